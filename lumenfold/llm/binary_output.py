@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenfold.llm import base
-from lumenfold.llm.tokens import crc, encode_texts, word_coder
+from lumenfold.llm.tokens import CODED_BYTES, crc, encode_texts, word_coder
 
 #: Ids of a block; the last of a shard may have fewer.
 BLOCK_IDS = 65_536
@@ -101,7 +101,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         writer, coder = _ShardWriter(TaskContext.get().partitionId(), block_ids), word_coder(tokenizer)
         for batch in batches:
-            for part in base.pieces(batch):
+            for part in base.pieces(batch, CODED_BYTES):
                 ids, sizes = encode_texts(part.column("text"), coder, end_id)
                 if rows := list(writer.add(part.column("doc_id").to_numpy(), ids, sizes)):
                     yield _batch(rows)

@@ -16,9 +16,9 @@ import pyarrow.compute as pc
 from lumenfold.llm.base import chunks, flat, spread
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 #: Text bytes whose words are told apart in one go.
-CODED_BYTES = 12 << 20
+CODED_BYTES = 6 << 20
 
 
 class Coder:
