@@ -22,6 +22,8 @@ from lumenfold.llm import base
 from lumenfold.llm.base import chunks, flat
 from lumenfold.llm.tokens import Coder, joined
 
+#: Pieces whose ids a worker remembers.
+CACHED_PIECES = 600_000
 _NONE = 1 << 60
 #: Bits of a tree value that hold the position; ranks stand above them, so that min() is leftmost.
 _SHIFT = 28
@@ -99,7 +101,7 @@ class ByteBpe:
         self.sizes = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.coder = Coder(self._encode)
+        self.coder = Coder(self._encode, CACHED_PIECES)
 
     def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return joined([encode_piece(x.encode(), self.ranks) for x in pieces])

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm.binary_output import op1_token_output
 from lumenfold.llm.byte_bpe import op7_byte_bpe
+from lumenfold.llm.packing import op10_packing
+from lumenfold.llm.substring_dedup import op6_substring_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op7_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op6_substring_dedup, op7_byte_bpe, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
