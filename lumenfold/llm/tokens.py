@@ -15,10 +15,10 @@ import pyarrow.compute as pc
 
 from lumenfold.llm.base import chunks, flat, spread
 
-#: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-CACHED_WORDS = 250_000
+#: Words whose ids a worker remembers; beyond it the later half is forgotten.
+CACHED_WORDS = 300_000
 #: Text bytes whose words are told apart in one go.
-CODED_BYTES = 6 << 20
+CODED_BYTES = 3 << 20
 
 
 class Coder:
@@ -33,6 +33,12 @@ class Coder:
         self.ids, self.start, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.n_ids = 0
 
+    def shrink(self) -> None:
+        """Keep the half learned first: frequent words are met early."""
+        keep = self.bound // 2
+        self.code = {w: c for w, c in self.code.items() if c < keep}
+        self.n_ids = int(self.start[keep])
+
     def learn(self, words: list) -> None:
         ids, sizes = self.encode(words)
         at, total = len(self.code), len(ids)
@@ -49,7 +55,7 @@ class Coder:
     def codes(self, words: list) -> np.ndarray:
         """Codes of distinct words."""
         if len(self.code) > self.bound:
-            self.forget()
+            self.shrink()
         found = list(map(self.code.get, words))
         if None in found:
             self.learn([w for w, c in zip(words, found, strict=True) if c is None])
@@ -103,13 +109,9 @@ def parted(column: pa.Array) -> pa.Array:
         return column
     letter = _LETTER[data]
     letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & ((data[1:] & 0xDF) != 0x97)
-    cut = np.zeros(len(data) + 1, np.int64)
-    cut[1:-1] = letter[:-1] & _MARK[data[1:]] if len(data) else 0
-    cut[offsets] = 0
-    shift = np.cumsum(cut)
-    out = np.full(len(data) + int(shift[-1]), 0x20, np.uint8)
-    out[np.arange(len(data)) + shift[:-1]] = data
-    moved = offsets + shift[offsets]
+    cut = np.flatnonzero(letter[:-1] & _MARK[data[1:]]) + 1
+    out = np.insert(data, cut, 0x20)
+    moved = offsets + np.searchsorted(cut, offsets)
     return pc.ascii_lower(pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(moved), pa.py_buffer(out)))
 
 
