@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm.binary_output import op1_token_output
 from lumenfold.llm.byte_bpe import op7_byte_bpe
+from lumenfold.llm.metric_join import op8_embedding_dedup
+from lumenfold.llm.ngram_join import op2_ngram_join
 from lumenfold.llm.packing import op10_packing
+from lumenfold.llm.quality_rules import op9_quality_rules
 from lumenfold.llm.substring_dedup import op6_substring_dedup
+from lumenfold.llm.suffix_dedup import op4_suffix_dedup
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_output, op6_substring_dedup, op7_byte_bpe, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_token_output, op2_ngram_join, op4_suffix_dedup, op6_substring_dedup, op7_byte_bpe, op8_embedding_dedup, op9_quality_rules, op10_packing)
+}
 
 ORACLE_SQL: dict[str, str] = {}
