@@ -106,6 +106,34 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digests: bool = False) -
     return docs.join(found, "doc_id", "left").select("doc_id", "text", "blobs").mapInArrow(cut, schema)
 
 
+def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with all their columns, repeated windows cut from `text`; what stands between kept words stays.
+
+    Where an interval is cut, one space is left. A text that loses all its words becomes empty, one
+    that loses none stays as it is, null included. Rows without a doc_id stay as they are."""
+    found = find(base.documents(docs), window).groupBy("doc_id").agg(F.collect_list("blob").alias("__blobs")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*docs.columns, "__blobs")
+    at = docs.columns.index("text")
+
+    def cut(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, mine in enumerate(batch.column("__blobs").to_pylist()):
+                if not mine or texts[i] is None:
+                    continue
+                raw = texts[i].encode()
+                starts, ends, _ = word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+                keep = kept_mask(len(starts), exchange.marked(mine), window)
+                if keep.all():
+                    continue
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], keep, [False]]).astype(np.int8))).reshape(-1, 2)
+                texts[i] = b" ".join(raw[starts[a] : ends[b - 1]] for a, b in edges.tolist()).decode()
+            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([batch.schema.field(k) for k in range(batch.num_columns - 1)]))
+
+    return joined.mapInArrow(cut, docs.schema)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows of `documents`: doc_id, n_words, n_removed, kept_sha256."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), WINDOW, digests=True)
