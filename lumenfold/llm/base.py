@@ -23,14 +23,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Arrow's own pools keep what they once held; a worker that meets one long batch should not.
+pa.set_memory_pool(pa.system_memory_pool())
+
+#: Rows of an Arrow batch: texts are long, and both sides of the pipe hold a batch.
+BATCH_ROWS = 1_000
+
 #: Bytes that end a word: space and 0x09-0x0D.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Text bytes gathered before packed blobs are cut; bounds a worker's memory.
-BLOCK_BYTES = 40 << 20
+BLOCK_BYTES = 20 << 20
 #: Text bytes hashed in one go; powers of the hash base are kept for so many.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(0x5EED))
@@ -43,7 +49,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = (int(n) + 0x10000) // 0x10000 * 0x10000
         _powers[:] = [np.concatenate([[U(1)], np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (BASE, _BASE_INVERSE)]
     return _powers[0][:n], _powers[1][:n]
 
@@ -207,8 +213,16 @@ def bucket_count(df: DataFrame, each: int = 8 << 20, least: int = 32) -> int:
     return max(least, -(-min(input_bytes(df), 1 << 50) // each))
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS, unless they are lower already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns operators need, named doc_id and text, without rows that have no id."""
+    bounded(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
 
 

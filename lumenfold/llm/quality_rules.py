@@ -146,6 +146,7 @@ def judged(docs: DataFrame, vocabulary: str | None = None, band: float = BAND, l
     gives no rows; rows that repeat an id are judged each on its own."""
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).where("doc_id is not null")
+    base.bounded(docs.sparkSession)
     facts = written(measured(rows, vocabulary))
     facts = facts.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
     tokens = F.greatest("n_tokens", F.lit(1))

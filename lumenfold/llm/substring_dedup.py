@@ -114,6 +114,7 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = find(base.documents(docs), window).groupBy("doc_id").agg(F.collect_list("blob").alias("__blobs")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*docs.columns, "__blobs")
     at = docs.columns.index("text")
+    base.bounded(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
