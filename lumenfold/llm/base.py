@@ -14,8 +14,11 @@ other than the named ones are ignored and may have any name.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -213,8 +216,28 @@ def bucket_count(df: DataFrame, each: int = 8 << 20, least: int = 32) -> int:
     return max(least, -(-min(input_bytes(df), 1 << 50) // each))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, unless their path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    known = {Path(p).resolve() for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    if root in known or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    with tempfile.TemporaryDirectory() as folder:
+        packed = Path(folder) / "lumenfold.zip"
+        with zipfile.ZipFile(packed, "w") as out:
+            for file in sorted((root / "lumenfold").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        context.addPyFile(str(packed))
+
+
 def bounded(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_ROWS, unless they are lower already."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)

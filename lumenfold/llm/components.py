@@ -63,6 +63,8 @@ def components(edges: DataFrame) -> DataFrame:
     forest = written(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_contract, EDGES))
     said = None
     while True:
+        # files of several tasks are read together, so this joins more than the task that wrote could
+        forest = forest.mapInArrow(_contract, EDGES)
         # large star: neighbours above u hang on the smallest that u sees
         both = forest.union(forest.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -70,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below hang on the smallest of them
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(below, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(below.toDF("a", "b"))
-        forest = written(small.distinct().mapInArrow(_contract, EDGES).distinct())
+        forest = written(small.mapInArrow(_contract, EDGES).distinct())
         state = forest.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")).first()
         if state == said:
             break

@@ -31,7 +31,7 @@ WORDS, SIMILAR = 5, (80, 100)
 #: Longest extension of a prefix.
 MOST_MATCHES = 8
 #: Documents of a block of a large group.
-BLOCK = 1024
+BLOCK = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -209,8 +209,8 @@ def adaptive_join(n: np.ndarray, entries: list[np.ndarray], key: np.ndarray, sid
         met = met[met < x]
         if len(met) < l:
             continue
-        met, times = np.unique(met, return_counts=True)
-        met = met[(times >= l) & (np.minimum(n[met], n[x]) * similar[1] >= np.maximum(n[met], n[x]) * similar[0])]
+        met = np.flatnonzero(np.bincount(met, minlength=x) >= l)
+        met = met[(np.minimum(n[met], n[x]) * similar[1] >= np.maximum(n[met], n[x]) * similar[0])]
         if cross[x]:
             met = met[side[met] != side[x]]
         if not len(met):
