@@ -227,12 +227,11 @@ def ship(spark: SparkSession) -> None:
     if root in known or context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
-    with tempfile.TemporaryDirectory() as folder:
-        packed = Path(folder) / "lumenfold.zip"
-        with zipfile.ZipFile(packed, "w") as out:
-            for file in sorted((root / "lumenfold").rglob("*.py")):
-                out.write(file, file.relative_to(root))
-        context.addPyFile(str(packed))
+    packed = Path(tempfile.mkdtemp(prefix="lumenfold-")) / "lumenfold.zip"  # on the driver, which serves it
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted((root / "lumenfold").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(str(packed))
 
 
 def bounded(spark: SparkSession) -> None:

@@ -9,10 +9,13 @@ Every string of `length` bytes that also starts earlier in the corpus is removed
 2. Those instances' bytes meet by the anchor's hash. What a task sees twice byte for byte it
    settles itself. Anchors so common that one bucket should not hold them (their number is
    bounded, see HOT_ANCHORS) have their windows dealt one by one, by the window's own hash.
-3. In a bucket, instances come in batches in corpus order. Each batch gets a suffix array (its windows'
-   starts in the order of the bytes from there on), is merge-scanned against every
-   level of the index for matches of `length` bytes, and becomes a level; levels of equal size
-   merge, so an index of n suffixes has at most log n levels. Bytes are compared, never hashes.
+3. In a bucket, instances come in batches in corpus order. Each batch gets a suffix array (its anchors
+   in the order of the bytes from there on), is merge-scanned against every level of the index, and
+   becomes a level; levels of equal size merge, so an index of n suffixes has at most log n levels.
+   Where a batch's suffix meets an earlier one with the same k-gram, their bytes are compared both
+   ways from the anchor, which says for each window of the run whether it repeats. An anchor that
+   has more than MOST_PAIRED different surroundings is indexed by all windows' starts instead, so
+   that work stays in proportion to its windows. Bytes are compared, never hashes.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from lumenfold.llm import base
 from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, byte_values, chunks, flat, group_starts, mix, pack, ragged, rolling, spread, unpack, written
 
 LENGTH = 100
-#: Suffixes of a batch.
-BATCH = 1 << 16
+#: Anchors, and windows, of a batch.
+BATCH_ANCHORS, BATCH = 1 << 13, 1 << 16
+#: Surroundings of an anchor that are compared pair by pair.
+MOST_PAIRED = 24
 #: Anchors with more instances than the corpus has / HOT_ANCHORS (and than LEAST_HOT) are dealt by
 #: window; there can be no more than HOT_ANCHORS of them, so their list has a bounded size.
 HOT_ANCHORS = 50_000
@@ -95,13 +100,49 @@ class SuffixFamily:
         return out
 
 
+class AnchorFamily:
+    """The index over anchors: levels of anchor numbers in the order of the `gram` bytes at each."""
+
+    def __init__(self, right: np.ndarray, gram: int):
+        self.keys = np.ascontiguousarray(right[:, :gram]).view(f"S{gram}").reshape(-1)
+        self.levels: list[np.ndarray] = []
+
+    def add(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index a batch (numbers in corpus order); all pairs of one of its anchors and an earlier one with the same k-gram."""
+        anchors = anchors[np.argsort(self.keys[anchors], kind="stable")]
+        keys, later, earlier = self.keys[anchors], [], []
+        for step in range(1, len(anchors)):
+            same = np.flatnonzero(keys[step:] == keys[:-step])
+            if not len(same):
+                break
+            later.append(anchors[same + step])
+            earlier.append(anchors[same])
+        for level in self.levels:
+            theirs = self.keys[level]
+            begin, end = np.searchsorted(theirs, keys, "left"), np.searchsorted(theirs, keys, "right")
+            later.append(np.repeat(anchors, end - begin))
+            earlier.append(level[spread(begin, end - begin)])
+        while self.levels and len(self.levels[-1]) <= 2 * len(anchors):
+            both = np.concatenate([self.levels.pop(), anchors])
+            anchors = both[np.argsort(self.keys[both], kind="stable")]
+        self.levels.append(anchors)
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty, *later]), np.concatenate([empty, *earlier])
+
+
+def common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many leading bytes the rows of a and b share, `most` at most."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1]), most)
+
+
 class Instances:
-    """Anchors of texts: for each, its hash, the run of windows first..last, and its text."""
+    """Anchors of texts: for each, its hash, its place, the run of windows first..last, and its text."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         gram = length // 2
         width = length - gram + 1
-        found = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(3))]
+        found = [[np.zeros(0, np.uint64)], *([np.zeros(0, np.int64)] for _ in range(4))]
         for i, _, part, at in chunks(data, offsets):
             if len(part) < length:
                 continue
@@ -119,9 +160,10 @@ class Instances:
             anchor = (np.minimum(behind[first], ahead[first + width - 1]) & np.uint64((1 << int(_PLACE_BITS)) - 1)).astype(np.int64)
             starts = group_starts(anchor)
             ends = np.append(starts[1:], len(anchor)) - 1
-            for to, x in zip(found, (h[anchor[starts]], first[starts] + offsets[i], first[ends] + offsets[i], np.searchsorted(at, first[starts], "right") - 1 + i), strict=True):
+            for to, x in zip(found, (mix(~h[anchor[starts]]), anchor[starts] + offsets[i], first[starts] + offsets[i], first[ends] + offsets[i], np.searchsorted(at, first[starts], "right") - 1 + i), strict=True):
                 to.append(x)
-        self.hash, self.first, self.last, self.text = (np.concatenate(x) for x in found) if len(data) else (x[0] for x in found)
+        # anchors are least hashes: mixed again, theirs are spread evenly
+        self.hash, self.at, self.first, self.last, self.text = (np.concatenate(x) for x in found)
 
 
 REPEATED = "doc_id bigint, blob binary"
@@ -217,6 +259,52 @@ def _settled(doc: np.ndarray, first: np.ndarray, contents: list[bytes]) -> tuple
     return keep, ~keep
 
 
+def repeats(h: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, back: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (document, first window, windows) that also start earlier, among instances that lie one after
+    another in `text`; back: bytes from an instance's first window to its anchor."""
+    start, windows, back = (x.astype(np.int64) for x in (start, windows, back))
+    sizes = windows + length - 1
+    at = np.cumsum(sizes) - sizes
+    raw = text.tobytes()
+    keep, drop = _settled(doc, start, [raw[a:b] for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)])
+    out = [(doc[drop], start[drop], windows[drop])]
+    left = np.flatnonzero(keep)
+    order = left[np.lexsort((start[left], doc[left]))]
+    _, which, times = np.unique(h[order], return_inverse=True, return_counts=True)
+    pair, crowd = order[(times[which] > 1) & (times[which] <= MOST_PAIRED)], order[times[which] > MOST_PAIRED]
+    gram = length // 2
+    if len(pair):
+        padded = np.concatenate([np.zeros(length, np.uint8), text, np.zeros(length, np.uint8)])
+        view = np.lib.stride_tricks.sliding_window_view(padded, length)
+        anchor = (at + back)[pair] + length
+        right, behind = view[anchor], view[anchor - length][:, ::-1][:, : length - gram]
+        ahead = (sizes - back)[pair]
+        family = AnchorFamily(right, gram)
+        for i in range(0, len(pair), BATCH_ANCHORS):
+            for_x, for_y = family.add(np.arange(i, min(i + BATCH_ANCHORS, len(pair))))
+            for j in range(0, len(for_x), 1 << 16):
+                x, y = for_x[j : j + (1 << 16)], for_y[j : j + (1 << 16)]
+                r = common(right[x], right[y], np.minimum(ahead[x], ahead[y]))
+                b = common(behind[x], behind[y], np.minimum(back[pair[x]], back[pair[y]]))
+                # a window d bytes before the anchor needs d bytes behind it and the rest ahead
+                far, near = b, np.maximum(length - r, 0)
+                hit = (r >= gram) & (near <= far)
+                k = pair[x[hit]]
+                out.append((doc[k], start[k] + back[k] - far[hit], (far - near + 1)[hit]))
+    if len(crowd):
+        family, edges, i = SuffixFamily(length), np.cumsum(windows[crowd]), 0
+        while i < len(crowd):
+            j = max(i + 1, int(np.searchsorted(edges, (edges[i - 1] if i else 0) + BATCH)))
+            mine = crowd[i:j]
+            local = np.cumsum(sizes[mine]) - sizes[mine]
+            seen = family.add(text[spread(at[mine], sizes[mine])], spread(local, windows[mine]))
+            places = spread(start[mine], windows[mine])[seen]
+            owner = np.repeat(doc[mine], windows[mine])[seen]
+            out.append((owner, places, np.ones(len(places), np.int64)))
+            i = j
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id and blob: runs (start, windows) of windows that also start earlier in the corpus."""
     repeated = written(repeated_anchors(docs, length))
@@ -234,12 +322,13 @@ def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             k = np.concatenate(picked)
             k = k[k < len(found.hash)]
             doc_ids, raw = table.column("doc_id").to_numpy(), data.tobytes()
-            h, doc, first, last = found.hash[k], doc_ids[found.text[k]], found.first[k], found.last[k]
+            h, doc, at, first, last = found.hash[k], doc_ids[found.text[k]], found.at[k], found.first[k], found.last[k]
             origin = offsets[found.text[k]]
             is_hot = np.isin(h, hot)
             if is_hot.any():  # each window on its own
                 n = (last - first + 1)[is_hot]
                 first = np.concatenate([first[~is_hot], spread(first[is_hot], n)])
+                at = np.concatenate([at[~is_hot], first[len(at) - int(is_hot.sum()) :]])  # a window's own start is its anchor
                 last = np.concatenate([last[~is_hot], first[len(last) - int(is_hot.sum()) :]])
                 doc, origin = (np.concatenate([x[~is_hot], np.repeat(x[is_hot], n)]) for x in (doc, origin))
                 cold = h[~is_hot]
@@ -258,7 +347,7 @@ def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 i = kept[bounds[b] : bounds[b + 1]]
                 text = np.frombuffer(b"".join([contents[j] for j in i.tolist()]), np.uint8)
-                blob = pack(doc[i], (first - origin)[i].astype(np.uint32), (last - first + 1)[i].astype(np.uint32), text)
+                blob = pack(np.diff(h[i], prepend=np.uint64(0)), doc[i], (first - origin)[i].astype(np.uint32), (last - first + 1)[i].astype(np.uint32), (at - first)[i].astype(np.uint16), text)
                 yield _batch([b], [None], [blob])
 
     def search(table: pa.Table) -> pa.Table:
@@ -267,29 +356,11 @@ def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         parts = [unpack(x) for x in table.filter(doc_ids.is_null()).column("blob").to_pylist()]
         if not parts:
             return own
-        doc, start, windows, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-        start, windows = start.astype(np.int64), windows.astype(np.int64)
-        sizes = windows + length - 1
-        at = np.cumsum(sizes) - sizes
-        order = np.lexsort((start, doc))
-        family, hits = SuffixFamily(length), []
-        edges = np.cumsum(windows[order])
-        i = 0
-        while i < len(order):
-            j = max(i + 1, int(np.searchsorted(edges, (edges[i - 1] if i else 0) + BATCH)))
-            mine = order[i:j]
-            content = text[spread(at[mine], sizes[mine])]
-            local = np.cumsum(sizes[mine]) - sizes[mine]
-            seen = family.add(content, spread(local, windows[mine]))
-            hits.append((np.repeat(doc[mine], windows[mine])[seen], spread(start[mine], windows[mine])[seen]))
-            i = j
-        doc, place = (np.concatenate(x) for x in zip(*hits, strict=True))
+        parts = [(np.cumsum(x[0], dtype=np.uint64), *x[1:]) for x in parts]
+        doc, start, runs = repeats(*(np.concatenate(x) for x in zip(*parts, strict=True)), length)
         if not len(doc):
             return own
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        runs = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)]))
-        ids, blob = _by_document(doc[runs], place[runs], np.diff(np.append(runs, len(doc))))
+        ids, blob = _by_document(doc, start, runs)
         return pa.concat_tables([own, pa.table([pa.array(ids, pa.int64()), blob], names=["doc_id", "blob"]).cast(own.schema)])
 
     return docs.join(marked, "doc_id").select("doc_id", "text", "blobs").mapInArrow(extract, MESSAGES).groupBy("bucket").applyInArrow(search, REPEATED)
