@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from lumenfold.llm.base import bucket_bounds, group_starts, pack, ragged, unpack
+from lumenfold.llm.base import bucket_bounds, group_starts, pack, ragged, trim, unpack
 
 #: bucket: range of the hash space. doc_id null: blob is a message to it; else blob is a verdict on that document.
 MESSAGES = "bucket int, doc_id bigint, blob binary"
@@ -69,6 +69,7 @@ def reducer(judge):
     occurrences it marks; verdicts that tasks reached alone pass through."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         doc_ids = table.column("doc_id")
         own = table.filter(doc_ids.is_valid()).select(["doc_id", "blob"])
         blobs = table.filter(doc_ids.is_null()).column("blob").to_pylist()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import base
-from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, chunks, flat, group_starts, mix, pack, ragged, rolling, spread, unpack, word_hashes, word_spans, written
+from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, chunks, flat, group_starts, mix, pack, ragged, rolling, spread, trim, unpack, word_hashes, word_spans, written
 from lumenfold.llm.components import components, roots
 
 #: Words of a shingle, and the similarity as a fraction, unless a caller says otherwise.
@@ -100,6 +100,7 @@ def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
                 yield _rows([b], [None], [None], [blob])
 
     def judge(table: pa.Table) -> pa.Table:
+        trim()
         doc_ids = table.column("doc_id")
         own = table.filter(doc_ids.is_valid()).select(["doc_id", "n", "blob"])
         parts = []

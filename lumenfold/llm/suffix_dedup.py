@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import base
-from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, byte_values, chunks, flat, group_starts, mix, pack, ragged, rolling, spread, unpack, written
+from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, byte_values, chunks, flat, group_starts, mix, pack, ragged, rolling, spread, trim, unpack, written
 
 LENGTH = 100
 #: Anchors, and windows, of a batch.
@@ -213,6 +213,7 @@ def repeated_anchors(docs: DataFrame, length: int) -> DataFrame:
                 yield _batch([b], [None], [blob])
 
     def judge(table: pa.Table) -> pa.Table:
+        trim()
         doc_ids = table.column("doc_id")
         out = [table.filter(doc_ids.is_valid()).select(["doc_id", "blob"])]
         parts = []
@@ -351,6 +352,7 @@ def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield _batch([b], [None], [blob])
 
     def search(table: pa.Table) -> pa.Table:
+        trim()
         doc_ids = table.column("doc_id")
         own = table.filter(doc_ids.is_valid()).select(["doc_id", "blob"])
         parts = [unpack(x) for x in table.filter(doc_ids.is_null()).column("blob").to_pylist()]
