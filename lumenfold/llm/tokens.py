@@ -13,10 +13,10 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumenfold.llm.base import chunks, flat, spread
+from lumenfold.llm.base import chunks, flat, spread, trim
 
 #: Words whose ids a worker remembers; beyond it the later half is forgotten.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 250_000
 #: Text bytes whose words are told apart in one go.
 CODED_BYTES = 3 << 20
 
@@ -24,6 +24,9 @@ CODED_BYTES = 3 << 20
 class Coder:
     """Ids of words through `encode`: list of words -> list of id sequences, remembered up to a bound."""
 
+    #: The coder in use; others give up their memory to it, as a worker serves one stage after another.
+    active: Coder | None = None
+
     def __init__(self, encode, bound: int = CACHED_WORDS):
         self.encode, self.bound = encode, bound
         self.forget()
@@ -38,6 +41,7 @@ class Coder:
         keep = self.bound // 2
         self.code = {w: c for w, c in self.code.items() if c < keep}
         self.n_ids = int(self.start[keep])
+        trim()
 
     def learn(self, words: list) -> None:
         ids, sizes = self.encode(words)
@@ -54,6 +58,11 @@ class Coder:
 
     def codes(self, words: list) -> np.ndarray:
         """Codes of distinct words."""
+        if Coder.active is not self:
+            if Coder.active is not None:
+                Coder.active.forget()
+                trim()
+            Coder.active = self
         if len(self.code) > self.bound:
             self.shrink()
         found = list(map(self.code.get, words))
