@@ -222,12 +222,14 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def bucket_count(df: DataFrame, each: int = 2 << 20, least: int = 32) -> int:
-    """Buckets for packed shuffles, in proportion to the input, without an upper bound."""
-    return max(least, -(-min(input_bytes(df), 1 << 50) // each))
+#: Sizes beyond it mean that the optimizer does not know.
+_UNKNOWN = 1 << 53
 
 
-_shipped: set[str] = set()
+def bucket_count(df: DataFrame, each: int = 2 << 20, least: int = 32) -> int:
+    """Buckets for packed shuffles, in proportion to the input, without an upper bound; by partitions where its size is unknown."""
+    size = input_bytes(df)
+    return max(least, -(-size // each) if size < _UNKNOWN else 4 * df.rdd.getNumPartitions())
 
 
 def ship(spark: SparkSession) -> None:
