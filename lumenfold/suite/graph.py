@@ -59,8 +59,8 @@ def file_dependency_edges(t: Tables) -> DataFrame:
     "simple_cycles",
     "G06 V03",
     """WITH RECURSIVE e AS (SELECT DISTINCT source, target FROM (SELECT event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS target FROM events) WHERE target IS NOT NULL AND source <> target),
-    w(start, at, path, closed) AS (SELECT source, target, [source, target], false FROM e WHERE source < target UNION ALL
-      SELECT w.start, e.target, CASE WHEN e.target = w.start THEN w.path ELSE list_append(w.path, e.target) END, e.target = w.start FROM w JOIN e ON e.source = w.at WHERE NOT w.closed AND e.target >= w.start AND (e.target = w.start OR NOT list_contains(w.path, e.target)))
+    w(first, here, path, closed) AS (SELECT source, target, [source, target], false FROM e WHERE source < target UNION ALL
+      SELECT w.first, e.target, CASE WHEN e.target = w.first THEN w.path ELSE list_append(w.path, e.target) END, e.target = w.first FROM w JOIN e ON e.source = w.here WHERE NOT w.closed AND e.target >= w.first AND (e.target = w.first OR NOT list_contains(w.path, e.target)))
     SELECT array_to_string(path, '>') AS path, len(path) AS length FROM w WHERE closed""",
 )
 def simple_cycles(t: Tables) -> DataFrame:
