@@ -1,0 +1,14 @@
+from pathlib import Path
+
+import pytest
+from oracle import connect, differences
+
+from lumenfold.llm.queries import ORACLE_SQL, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query(spark, name):
+    assert differences(QUERIES[name](spark, SF_DIR), connect(SF_DIR), ORACLE_SQL[name]) == []
