@@ -14,8 +14,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     What is not JSON is left out; a missing field is null; input and output may be any JSON and stay text."""
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("raw"))
-    one = whole.where(F.try_parse_json("raw").isNotNull())
-    lines = whole.where(F.try_parse_json("raw").isNull()).select(F.explode(F.split("raw", "\r?\n")).alias("raw"))
+    # a first line that is JSON by itself says that every line is an entry
+    by_line = F.try_parse_json(F.split_part("raw", F.lit("\n"), F.lit(1))).isNotNull()
+    one = whole.where(~by_line & F.try_parse_json("raw").isNotNull())
+    lines = whole.where(by_line | F.try_parse_json("raw").isNull()).select(F.explode(F.split("raw", "\r?\n")).alias("raw"))
     documents = one.unionByName(lines.select(F.trim("raw").alias("raw")).where(F.try_parse_json("raw").isNotNull()))
     inner = F.coalesce(F.get_json_object("raw", "$.logs"), F.col("raw"))
     items = F.when(inner.startswith("["), F.from_json(inner, "array<string>")).otherwise(F.array(inner))
