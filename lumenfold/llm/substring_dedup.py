@@ -37,7 +37,8 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[n
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and blobs: the windows (first word's index) whose words also start in a document with a smaller id."""
-    n_buckets = bucket_count(docs)
+    # a document gets a row from each bucket that holds its windows: no more buckets than memory needs
+    n_buckets = bucket_count(docs, 4 << 20)
 
     def settle(batches):
         for table in blocks(batches):
