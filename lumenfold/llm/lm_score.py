@@ -3,16 +3,20 @@
 A small network sees the words on both sides of a token, never the token itself, and gives its
 probability; a document's score is the sum of the logarithms over all its tokens.
 
-Vocabulary: the corpus's most frequent words (ASCII letters lower-cased), from counts of every word in
-it; other words share hashed ids. Network: each of 2 * SIDE neighbours gives an embedding scaled by
-weights of its offset, their sum goes through tanh, and the output is a softmax over classes of ids
-times one within the class. Training is data-parallel: every task takes one pass of Adagrad
-over all its texts from the same start, and parameters are averaged by tokens, in a tree of bounded fan-in.
+Vocabulary: every word of the corpus (ASCII letters lower-cased), with its count in a table by ranges
+of hashes. The most frequent ones, as many as the root of the corpus's tokens asks for, have an id each;
+the others share hashed ids, and within one a word has its share of the id's tokens, which documents
+learn by a join on hashes. Network: each of 2 * SIDE neighbours gives an embedding scaled by weights of
+its offset, their sum goes through tanh, and the output is a softmax a digit of the id, in a tree of
+LEVELS. Training is data-parallel: every task takes one pass of Adagrad over all its texts from the
+same start, and parameters are averaged by tokens, in a tree of bounded fan-in.
 Then a second map scores every document.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +27,10 @@ from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, chunks, flat
 
 SIDE = 3
 WIDTH = 16
-#: Classes times members of each: known words first, then hashed ids of others.
-CLASSES, MEMBERS, HASHED = 50, 48, 400
-KNOWN = CLASSES * MEMBERS - HASHED
+#: Digits of an id, and the least number of words with an own id and of hashed ids.
+LEVELS, LEAST_KNOWN, LEAST_HASHED = 3, 2_000, 400
+#: Text bytes whose words are looked up together.
+LOOKUP_BYTES = 8 << 20
 STEP_TOKENS = 1 << 15
 RATE = 0.1
 #: Parameter sets averaged in one task.
@@ -47,8 +52,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (hash) and n: the KNOWN most frequent words of each range of hashes, counted over all texts."""
-    n_buckets = bucket_count(docs)
+    """bucket, tokens, words and blob (hashes as differences, counts): every word of each range of hashes, a row a range."""
+    n_buckets = bucket_count(docs, LOOKUP_BYTES)
 
     def count(batches):
         for table in blocks(batches):
@@ -66,49 +71,97 @@ def word_counts(docs: DataFrame) -> DataFrame:
         order = np.argsort(h, kind="stable")
         begin = group_starts(h[order])
         h, n = h[order][begin], np.add.reduceat(n[order], begin)
-        most = np.lexsort((h, -n))[:KNOWN]
-        return pa.table([pa.array(h[most].view(np.int64)), pa.array(n[most])], names=["word", "n"])
+        blob = pack(np.diff(h, prepend=np.uint64(0)), n)
+        return pa.table([table.column("bucket")[:1], pa.array([int(n.sum())], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "tokens", "words", "blob"])
 
-    return docs.mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(total, "word bigint, n bigint")
+    return docs.mapInArrow(count, "bucket int, blob binary").groupBy("bucket").applyInArrow(total, "bucket int, tokens bigint, words bigint, blob binary")
 
 
-class Vocabulary:
-    """Ids of word hashes: id 0 .. KNOWN - 1 by frequency, then hashed ones; PAD stands outside texts."""
+def _counted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    h, n = unpack(blob)
+    return np.cumsum(h, dtype=np.uint64), n
+
+
+def sizes(tokens: int) -> tuple[int, int]:
+    """Words with an own id, and the base of ids' digits, for a corpus of so many tokens."""
+    known = max(LEAST_KNOWN, isqrt(tokens) // 2)
+    slots, base = known + max(LEAST_HASHED, known // 5), 1
+    while base**LEVELS < slots:
+        base += 1
+    return known, base
+
+
+def vocabulary_of(counts: DataFrame, tokens: int) -> Vocabulary:
+    """The corpus's most frequent words and, of hashed ids, the logarithms of their tokens."""
+    known, base = sizes(tokens)
+
+    def most(batches):
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                h, n = _counted(blob)
+                top = np.lexsort((h, -n))[:known]
+                yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(n[top])], names=["word", "n"])
+
+    rows = counts.select("blob").mapInArrow(most, "word bigint, n bigint").orderBy(F.desc("n"), "word").limit(known).collect()  # a root of the tokens
+    vocabulary = Vocabulary(np.array([r["word"] for r in rows], np.int64).view(np.uint64), base)
+
+    def shared(batches):
+        for batch in batches:
+            total = np.zeros(vocabulary.PAD, np.int64)
+            for blob in batch.column("blob").to_pylist():
+                h, n = _counted(blob)
+                np.add.at(total, vocabulary.ids(h), n)
+            some = np.flatnonzero(total)
+            some = some[some >= len(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    PAD = CLASSES * MEMBERS
+    for r in counts.select("blob").mapInArrow(shared, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row a hashed id
+        vocabulary.log_tokens[r["id"]] = np.log(r["n"])
+    return vocabulary
 
-    def __init__(self, words: np.ndarray):
+
+class Vocabulary:
+    """Ids of word hashes: the known words' by frequency, then hashed ones; PAD stands outside texts."""
+
+    def __init__(self, words: np.ndarray, base: int = sizes(0)[1]):
         self.order = np.argsort(words)
         self.words = words[self.order]
+        self.base, self.PAD = base, base**LEVELS
+        #: Of each id, the logarithm of the tokens that its words share; 0 of an id that is one word's.
+        self.log_tokens = np.zeros(self.PAD)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        other = KNOWN + ((hashes >> np.uint64(20)) % np.uint64(HASHED)).astype(np.int64)
-        if not len(self.words):
+        n = len(self.words)
+        other = n + ((hashes >> np.uint64(20)) % np.uint64(self.PAD - n)).astype(np.int64)
+        if not n:
             return other
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        at = np.minimum(np.searchsorted(self.words, hashes), n - 1)
         return np.where(self.words[at] == hashes, self.order[at], other)
 
-    def stream(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts with SIDE pads before and after each, where the tokens stand, and how many each text has."""
+    def stream(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts with SIDE pads before and after each, where the tokens stand, how many each text has, and their hashes."""
         h, counts = words_of(data, offsets)
         place = np.arange(len(h)) + SIDE * (1 + np.repeat(np.arange(len(counts)), counts))
         out = np.full(len(h) + SIDE * (len(counts) + 1), self.PAD)
         out[place] = self.ids(h)
-        return out, place, counts
+        return out, place, counts, h
 
 
 class Network:
-    SHAPES = {"embedding": (CLASSES * MEMBERS + 1, WIDTH), "offset": (2 * SIDE + 1, WIDTH), "bias": (WIDTH,), "top": (CLASSES, WIDTH), "top_bias": (CLASSES,), "low": (CLASSES, MEMBERS, WIDTH), "low_bias": (CLASSES, MEMBERS)}
-
-    def __init__(self, flat_values: np.ndarray | None = None, seed: int = 7):
+    def __init__(self, flat_values: np.ndarray | None = None, seed: int = 7, base: int = sizes(0)[1]):
+        self.base = base
+        shapes = {"embedding": (base**LEVELS + 1, WIDTH), "offset": (2 * SIDE + 1, WIDTH), "bias": (WIDTH,)}
+        for k in range(LEVELS):
+            shapes |= {f"out{k}": (base**k, base, WIDTH), f"out{k}_bias": (base**k, base)}
         if flat_values is None:
             rng = np.random.default_rng(seed)
-            self.p = {k: (rng.normal(0, 0.1, s) if k in ("embedding", "top", "low") else np.ones(s) if k == "offset" else np.zeros(s)).astype(np.float32) for k, s in self.SHAPES.items()}
+            drawn = {"embedding", *(f"out{k}" for k in range(LEVELS))}
+            self.p = {k: (rng.normal(0, 0.1, s) if k in drawn else np.ones(s) if k == "offset" else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
             self.p["embedding"][-1] = 0
             self.p["offset"][SIDE] = 0  # a token never sees itself
         else:
             self.p, at = {}, 0
-            for k, s in self.SHAPES.items():
+            for k, s in shapes.items():
                 n = int(np.prod(s))
                 self.p[k] = flat_values[at : at + n].reshape(s).astype(np.float32)
                 at += n
@@ -128,11 +181,20 @@ class Network:
         return np.tanh(total[at - low - SIDE] + self.p["bias"]), e, low
 
     @staticmethod
-    def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _by_id(ids: np.ndarray, limit: int) -> np.ndarray:
+        """A stable order by id."""
+        return np.argsort(ids.astype(np.uint16 if limit < 1 << 16 else np.int32), kind="stable")
+
+    def _level(self, k: int, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]], np.ndarray]:
+        """Of sorted ids: logits of the k-th digit less their largest, the digits, and the runs of rows under each node."""
+        prefix, digit = np.divmod(ids // self.base ** (LEVELS - 1 - k), self.base)
+        begin = group_starts(prefix)
+        runs = [(p, slice(s, t)) for p, s, t in zip(prefix[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(ids)], strict=True)]
+        x, w = self.p[f"out{k}_bias"][prefix], self.p[f"out{k}"]
+        for p, rows in runs:
+            x[rows] += h[rows] @ w[p].T
         x -= x.max(axis=1, keepdims=True)
-        y = np.exp(x)
-        s = y.sum(axis=1, keepdims=True)
-        return y / s, x - np.log(s)
+        return x, digit, runs, begin
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(token | both sides) at each place."""
@@ -140,16 +202,13 @@ class Network:
         for i in range(0, len(at), STEP_TOKENS):
             part = at[i : i + STEP_TOKENS]
             h, _, _ = self._hidden(ids, part)
-            _, top = self._softmax(h @ self.p["top"].T + self.p["top_bias"])
-            c, m = np.divmod(ids[part], MEMBERS)
-            got = top[np.arange(len(part)), c].astype(float)
-            order = np.argsort(c, kind="stable")
-            begin = group_starts(c[order])
-            for s, t in zip(begin, np.append(begin[1:], len(order)), strict=True):
-                rows, k = order[s:t], c[order[s]]
-                _, low = self._softmax(h[rows] @ self.p["low"][k].T + self.p["low_bias"][k])
-                got[rows] += low[np.arange(len(rows)), m[rows]]
-            out[i : i + STEP_TOKENS] = got
+            order = self._by_id(ids[part], self.base**LEVELS)
+            of, h, row = ids[part][order], h[order], np.arange(len(part))
+            got = np.zeros(len(part))
+            for k in range(LEVELS):
+                x, digit, _, _ = self._level(k, of, h)
+                got += x[row, digit] - np.log(np.exp(x).sum(axis=1))
+            out[i + order] = got
         return out
 
     def train(self, ids: np.ndarray, at: np.ndarray) -> None:
@@ -162,19 +221,22 @@ class Network:
     def _step(self, ids: np.ndarray, at: np.ndarray) -> None:
         p, n = self.p, len(at)
         h, e, first = self._hidden(ids, at)
-        c, m = np.divmod(ids[at], MEMBERS)
+        order = self._by_id(ids[at], self.base**LEVELS)
+        of, sorted_h, row = ids[at][order], h[order], np.arange(n)
         g = {k: np.zeros_like(v) for k, v in p.items()}
-        top, _ = self._softmax(h @ p["top"].T + p["top_bias"])
-        top[np.arange(n), c] -= 1
-        g["top"], g["top_bias"], back = top.T @ h, top.sum(axis=0), top @ p["top"]
-        order = np.argsort(c, kind="stable")
-        begin = group_starts(c[order])
-        for s, t in zip(begin, np.append(begin[1:], n), strict=True):
-            rows, k = order[s:t], c[order[s]]
-            low, _ = self._softmax(h[rows] @ p["low"][k].T + p["low_bias"][k])
-            low[np.arange(len(rows)), m[rows]] -= 1
-            g["low"][k], g["low_bias"][k] = low.T @ h[rows], low.sum(axis=0)
-            back[rows] += low @ p["low"][k]
+        under = np.zeros_like(h)
+        for k in range(LEVELS):
+            x, digit, runs, begin = self._level(k, of, sorted_h)
+            np.exp(x, out=x)
+            x /= x.sum(axis=1, keepdims=True)
+            x[row, digit] -= 1
+            w, gw = p[f"out{k}"], g[f"out{k}"]
+            for node, rows in runs:
+                gw[node] = x[rows].T @ sorted_h[rows]
+                under[rows] += x[rows] @ w[node]
+            g[f"out{k}_bias"][[node for node, _ in runs]] = np.add.reduceat(x, begin)
+        back = np.empty_like(under)
+        back[order] = under
         back *= 1 - h * h
         g["bias"] = back.sum(axis=0)
         wide = np.zeros((len(e) - 2 * SIDE, WIDTH), np.float32)
@@ -185,7 +247,7 @@ class Network:
                 g["offset"][o] = (wide * e[o : o + len(wide)]).sum(axis=0)
                 to[o : o + len(wide)] += wide * p["offset"][o]
         seen = ids[first : first + len(e)]
-        order = np.argsort(seen, kind="stable")
+        order = self._by_id(seen, self.base**LEVELS + 1)
         begin = group_starts(seen[order])
         g["embedding"][seen[order][begin]] = np.add.reduceat(to[order], begin)
         g["embedding"][-1] = 0
@@ -197,14 +259,14 @@ class Network:
 
 def trained(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     """The average of every task's network after a pass over all its texts."""
-    start = Network().flat()
+    start = Network(base=vocabulary.base).flat()
 
     def learn(batches):
         from pyspark import TaskContext
 
-        network, tokens = Network(start), 0
+        network, tokens = Network(start, base=vocabulary.base), 0
         for table in blocks(batches, 8 << 20):
-            ids, at, _ = vocabulary.stream(*flat(table.column("text")))
+            ids, at, _, _ = vocabulary.stream(*flat(table.column("text")))
             network.train(ids, at)
             tokens += len(at)
         if tokens:
@@ -222,7 +284,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary) -> Network:
     while found.count() > 1:
         found = written(found.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(average, schema))
     row = found.first()  # one set of parameters, of a fixed size
-    return Network(np.frombuffer(bytes(row["parameters"]), np.float32)) if row else Network(start)
+    return Network(np.frombuffer(bytes(row["parameters"]), np.float32) if row else start, base=vocabulary.base)
 
 
 SCORED = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_probability double"
@@ -234,22 +296,71 @@ def scored(docs: DataFrame) -> DataFrame:
     Null, empty and blank texts have no tokens: their sum is 0 and their mean null. Rows that
     repeat an id are scored each on its own; an empty table gives no rows."""
     docs = base.documents(docs)
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows
-    vocabulary = Vocabulary(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+    counts = written(word_counts(docs))
+    tokens = counts.agg(F.sum("tokens")).first()[0] or 0
+    vocabulary = vocabulary_of(counts, tokens)
     parameters = trained(docs, vocabulary).flat()
+    n_buckets = bucket_count(docs, LOOKUP_BYTES)
+    names = ["block", "bucket", "blob"]
 
     def score(batches):
-        network = Network(parameters)
-        for batch in batches:
-            for part in base.pieces(batch, 8 << 20):
-                ids, at, counts = vocabulary.stream(*flat(part.column("text")))
-                total = np.concatenate([[0.0], np.cumsum(network.log_probabilities(ids, at))])
-                ends = np.cumsum(counts)
-                sums = np.round(total[ends] - total[ends - counts], 3)
-                means = [round(s / n, 6) if n else None for s, n in zip(sums.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(sums), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
-
-    return docs.mapInArrow(score, SCORED)
+        """A blob a block of documents, in bucket -1: ids, tokens and what the network gives; and one for each range of hashes: words without an own id, their documents and how often."""
+        from pyspark import TaskContext
+
+        network = Network(parameters, base=vocabulary.base)
+        for k, table in enumerate(blocks(batches)):
+            block = (TaskContext.get().partitionId() << 32) + k
+            words, owners, lengths, sums, done = [], [], [], [], 0
+            for part in base.pieces(table, 8 << 20):
+                ids, at, n, h = vocabulary.stream(*flat(part.column("text")))
+                ids_at = ids[at]
+                total = np.concatenate([[0.0], np.cumsum(network.log_probabilities(ids, at) - vocabulary.log_tokens[ids_at])])
+                ends = np.cumsum(n)
+                lengths.append(n)
+                sums.append(total[ends] - total[ends - n])
+                rare = np.flatnonzero(ids_at >= len(vocabulary.words))
+                words.append(h[rare])
+                owners.append(done + np.searchsorted(ends, rare, "right"))
+                done += len(n)
+            ids = table.column("doc_id").to_numpy()
+            out = [(-1, pack(ids, np.concatenate(lengths), np.concatenate(sums)))]
+            h, of = np.concatenate(words), np.concatenate(owners).astype(np.uint32)
+            order = np.argsort(h, kind="stable")
+            h, of = h[order], of[order]
+            begin = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])) if len(h) else np.zeros(0, np.int64)
+            times = np.diff(np.append(begin, len(h))).astype(np.uint32)
+            h, of = h[begin], of[begin]
+            bounds = bucket_bounds(h, n_buckets)
+            for b in np.flatnonzero(np.diff(bounds)).tolist():
+                s = slice(bounds[b], bounds[b + 1])
+                out.append((b, pack(np.diff(h[s], prepend=np.uint64(0)), of[s], times[s])))
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=names)
+
+    def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+        """For each block, the sum of the logarithms of its documents' word counts."""
+        out = []
+        known = _counted(held.column("blob")[0].as_py()) if len(asked) else None
+        for block, bucket, blob in zip(*(asked.column(c).to_pylist() for c in names), strict=True):
+            h, of, times = unpack(blob)
+            logs = np.log(known[1][np.searchsorted(known[0], np.cumsum(h, dtype=np.uint64))]) * times
+            each, inverse = np.unique(of, return_inverse=True)
+            out.append((block, bucket, pack(each, np.bincount(inverse, logs))))
+        return pa.table([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=names)
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("bucket").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        ids, n, sums = unpack(rows[0][1])
+        for _, blob in rows[1:]:
+            of, more = unpack(blob)
+            sums[of] += more
+        sums = np.round(sums, 3)
+        means = [round(x / k, 6) if k else None for x, k in zip(sums.tolist(), n.tolist(), strict=True)]
+        return pa.table([pa.array(ids), pa.array(n, pa.int64()), pa.array(sums), pa.array(means, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
+
+    kind = "block bigint, bucket int, blob binary"
+    found = written(docs.mapInArrow(score, kind), "none")
+    rare = found.where("bucket >= 0").groupBy("bucket").cogroup(counts.select("bucket", "blob").groupBy("bucket")).applyInArrow(look_up, kind)
+    return found.where("bucket < 0").unionByName(rare).groupBy("block").applyInArrow(add, SCORED)
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,18 @@ def test_scores_of_odd_documents(docs, empty):
     assert (out[4]["n_tokens"], out[4]["log_likelihood"], out[4]["mean_log_probability"]) == (0, 0.0, None)
     assert out[8]["n_tokens"] == 30_000
     assert lm_score.scored(empty).count() == 0
+
+
+def test_the_vocabulary_grows_with_the_corpus(spark):
+    rng = random.Random(5)
+    nonsense = lambda: "".join(rng.choice("qxzjvkw") for _ in range(12))
+    real = [f"real{i}" for i in range(6_000)]
+    rows = [(i, " ".join(rng.choice(real) for _ in range(100))) for i in range(1_500)]
+    odd = [(5_000 + i, " ".join(nonsense() for _ in range(100))) for i in range(20)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string").repartition(4)
+    counted = lm_score.word_counts(lm_score.base.documents(docs)).selectExpr("sum(words) w", "sum(tokens) t").first()
+    assert (counted["w"], counted["t"]) == (len({w for _, t in rows + odd for w in t.split()}), 152_000)
+    out = {r["doc_id"]: r["mean_log_probability"] for r in lm_score.scored(docs).collect()}
+    assert max(out[d] for d, _ in odd) < min(out[d] for d, _ in rows) - 0.5
+    small, large = lm_score.sizes(17_000_000), lm_score.sizes(5_000_000_000)
+    assert large[0] > 10 * small[0] and large[1] ** lm_score.LEVELS > 10 * small[1] ** lm_score.LEVELS
