@@ -8,9 +8,10 @@ of hashes. The most frequent ones, as many as the root of the corpus's tokens as
 the others share hashed ids, and within one a word has its share of the id's tokens, which documents
 learn by a join on hashes. Network: each of 2 * SIDE neighbours gives an embedding scaled by weights of
 its offset, their sum goes through tanh, and the output is a softmax a digit of the id, in a tree of
-LEVELS. Training is data-parallel: every task takes one pass of Adagrad over all its texts from the
-same start, and parameters are averaged by tokens, in a tree of bounded fan-in.
-Then a second map scores every document.
+LEVELS. Training is data-parallel in rounds: documents are dealt by hash to shards of rounds, each shard
+of a round takes Adagrad steps from what the last round's shards came to on average, and shards, rounds
+and steps in each follow the corpus's tokens alone, never its partitions. Then a second map scores every
+document.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import base
-from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, chunks, flat, group_starts, pack, unpack, word_hashes, word_spans, written
+from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, chunks, flat, group_starts, pack, remove, shared_dir, spread, unpack, word_hashes, word_spans, written
 
 SIDE = 3
 WIDTH = 16
@@ -31,7 +32,8 @@ WIDTH = 16
 LEVELS, LEAST_KNOWN, LEAST_HASHED = 3, 2_000, 400
 #: Text bytes whose words are looked up together.
 LOOKUP_BYTES = 8 << 20
-STEP_TOKENS = 1 << 15
+#: Tokens of a step, and the least; a small corpus has STEPS steps.
+STEP_TOKENS, LEAST_STEP, STEPS = 1 << 15, 1 << 10, 64
 RATE = 0.1
 #: Parameter sets averaged in one task.
 FAN_IN = 64
@@ -141,10 +143,14 @@ class Vocabulary:
     def stream(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts with SIDE pads before and after each, where the tokens stand, how many each text has, and their hashes."""
         h, counts = words_of(data, offsets)
-        place = np.arange(len(h)) + SIDE * (1 + np.repeat(np.arange(len(counts)), counts))
-        out = np.full(len(h) + SIDE * (len(counts) + 1), self.PAD)
-        out[place] = self.ids(h)
-        return out, place, counts, h
+        return *self.padded(self.ids(h), counts), counts, h
+
+    def padded(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts with the pads, and where the tokens stand."""
+        place = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(counts)), counts))
+        out = np.full(len(ids) + SIDE * (len(counts) + 1), self.PAD)
+        out[place] = ids
+        return out, place
 
 
 class Network:
@@ -170,6 +176,18 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.reshape(-1) for v in self.p.values()])
 
+    def state(self) -> np.ndarray:
+        """Parameters, and Adagrad's sums of squares after them."""
+        return np.concatenate([self.flat(), *(v.reshape(-1) for v in self.squares.values())])
+
+    @classmethod
+    def resumed(cls, state: np.ndarray, base: int) -> Network:
+        """A network that trains on from a state."""
+        half = len(state) // 2
+        network, squares = cls(state[:half].copy(), base=base), cls(state[half:].copy(), base=base)
+        network.squares = squares.p
+        return network
+
     def _hidden(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         low = int(at[0]) - SIDE
         e = self.p["embedding"][ids[low : int(at[-1]) + SIDE + 1]]
@@ -211,12 +229,15 @@ class Network:
             out[i + order] = got
         return out
 
-    def train(self, ids: np.ndarray, at: np.ndarray) -> None:
-        """One pass of Adagrad over the tokens."""
+    def _begin(self) -> None:
         if self.squares is None:
             self.squares = {k: np.full(v.shape, 1e-2, np.float32) for k, v in self.p.items()}
-        for i in range(0, len(at), STEP_TOKENS):
-            self._step(ids, at[i : i + STEP_TOKENS])
+
+    def train(self, ids: np.ndarray, at: np.ndarray, step: int = STEP_TOKENS) -> None:
+        """One pass of Adagrad over the tokens."""
+        self._begin()
+        for i in range(0, len(at), step):
+            self._step(ids, at[i : i + step])
 
     def _step(self, ids: np.ndarray, at: np.ndarray) -> None:
         p, n = self.p, len(at)
@@ -257,34 +278,83 @@ class Network:
             v -= np.float32(RATE) * grad / np.sqrt(self.squares[k])
 
 
-def trained(docs: DataFrame, vocabulary: Vocabulary) -> Network:
-    """The average of every task's network after a pass over all its texts."""
-    start = Network(base=vocabulary.base).flat()
+def schedule(tokens: int) -> tuple[int, int]:
+    """Tokens of a step, and how many rounds and shards of each: both, and the steps in each, are the cube root of the steps in all."""
+    step = min(STEP_TOKENS, max(LEAST_STEP, tokens // STEPS))
+    return step, max(1, round((tokens / step) ** (1 / 3)))
 
-    def learn(batches):
-        from pyspark import TaskContext
 
-        network, tokens = Network(start, base=vocabulary.base), 0
-        for table in blocks(batches, 8 << 20):
-            ids, at, _, _ = vocabulary.stream(*flat(table.column("text")))
-            network.train(ids, at)
-            tokens += len(at)
-        if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(tokens)]), pa.array([network.flat().tobytes()], pa.binary())], names=["part", "tokens", "parameters"])
+def _labels(spark: SparkSession, n: int) -> list[int]:
+    """Numbers of n shards that hash partitioning deals to n partitions, one each."""
+    found = spark.range(64 * n).select(F.col("id").cast("int").alias("id")).groupBy(F.expr(f"pmod(hash(id), {n})").alias("to")).agg(F.min("id").alias("id"))
+    return sorted(r["id"] for r in found.collect())  # n rows
 
-    def average(table: pa.Table) -> pa.Table:
-        weights, total = table.column("tokens").to_numpy(), np.zeros(len(start))
-        for w, blob in zip(weights, table.column("parameters"), strict=True):
-            total += w / weights.sum() * np.frombuffer(blob.as_py(), np.float32)
-        part = min(table.column("part").to_pylist()) // FAN_IN
-        return pa.table([pa.array([part], pa.int64()), pa.array([float(weights.sum())]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "tokens", "parameters"])
 
-    schema = "part bigint, tokens double, parameters binary"
-    found = written(docs.mapInArrow(learn, schema))
-    while found.count() > 1:
-        found = written(found.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(average, schema))
-    row = found.first()  # one set of parameters, of a fixed size
-    return Network(np.frombuffer(bytes(row["parameters"]), np.float32) if row else start, base=vocabulary.base)
+def trained(docs: DataFrame, vocabulary: Vocabulary, tokens: int) -> Network:
+    """The network after all rounds; the same for any partitioning of the documents."""
+    spark, size = docs.sparkSession, vocabulary.base
+    step, rounds = schedule(tokens)
+    labels = _labels(spark, rounds)
+    network = Network(base=size)
+    network._begin()
+    state, n = network.state(), len(network.flat())
+
+    def deal(batches):
+        for table in blocks(batches):
+            ids, at, counts, _ = vocabulary.stream(*flat(table.column("text")))
+            ids = ids[at].astype(np.uint32)
+            key = table.column("key").to_numpy().view(np.uint64)
+            piece = (key % np.uint64(rounds * len(labels))).astype(np.int64)
+            ends = np.cumsum(counts)
+            order = np.argsort(piece, kind="stable")
+            begin = group_starts(piece[order])
+            for s, t in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+                some = order[s:t]
+                blob = pack(key[some], counts[some], ids[spread(ends[some] - counts[some], counts[some])])
+                of, shard = divmod(int(piece[some[0]]), len(labels))
+                yield pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), pa.array([labels[shard]], pa.int32()), pa.array([blob], pa.binary())], names=["round", "shard", "blob"])
+
+    path = shared_dir(spark)
+    keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("key"))
+    keyed.mapInArrow(deal, "round int, shard int, blob binary").write.partitionBy("round").parquet(path)
+    dealt = spark.read.schema("shard int, blob binary, round int").parquet(path)
+    schema = "part bigint, tokens double, state binary"
+
+    def row(part: int, weight: float, values: np.ndarray) -> pa.Table:
+        return pa.table([pa.array([part], pa.int64()), pa.array([weight]), pa.array([values.astype(np.float32).tobytes()], pa.binary())], names=["part", "tokens", "state"])
+
+    def average(table: pa.Table) -> pa.Table:
+        found = sorted(zip(table.column("part").to_pylist(), table.column("tokens").to_pylist(), table.column("state"), strict=True), key=lambda x: x[:2])
+        weight, total = sum(x[1] for x in found), np.zeros(2 * n)
+        for _, w, blob in found:
+            total += w / weight * np.frombuffer(blob.as_py(), np.float32)
+        return row(found[0][0] // FAN_IN, weight, total)
+
+    for k in range(rounds):
+
+        def learn(table: pa.Table) -> pa.Table:
+            parts = [unpack(x) for x in table.column("blob").to_pylist()]
+            key, counts, ids = (np.concatenate([x[i] for x in parts]) for i in range(3))
+            order = np.argsort(key, kind="stable")
+            ids = ids[spread((np.cumsum(counts) - counts)[order], counts[order])]
+            stream, at = vocabulary.padded(ids, counts[order])
+            network = Network.resumed(state, size)
+            if len(at):
+                network.train(stream, at, step)
+            return row(labels.index(table.column("shard")[0].as_py()), float(len(at)) or 1e-9, network.state())
+
+        found = dealt.where(F.col("round") == k).select("shard", "blob").repartition(len(labels), "shard").groupBy("shard").applyInArrow(learn, schema)
+        left = len(labels)
+        while True:
+            found = found.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(average, schema)
+            left = -(-left // FAN_IN)
+            if left == 1:
+                break
+        got = found.collect()  # one state, or none of a round without documents
+        if got:
+            state = np.frombuffer(bytes(got[0]["state"]), np.float32)
+    remove(spark, path)
+    return Network(state[:n].copy(), base=size)
 
 
 SCORED = "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_probability double"
@@ -299,7 +369,7 @@ def scored(docs: DataFrame) -> DataFrame:
     counts = written(word_counts(docs))
     tokens = counts.agg(F.sum("tokens")).first()[0] or 0
     vocabulary = vocabulary_of(counts, tokens)
-    parameters = trained(docs, vocabulary).flat()
+    parameters = trained(docs, vocabulary, tokens).flat()
     n_buckets = bucket_count(docs, LOOKUP_BYTES)
     names = ["block", "bucket", "blob"]
 

@@ -134,3 +134,21 @@ def test_the_vocabulary_grows_with_the_corpus(spark):
     assert max(out[d] for d, _ in odd) < min(out[d] for d, _ in rows) - 0.5
     small, large = lm_score.sizes(17_000_000), lm_score.sizes(5_000_000_000)
     assert large[0] > 10 * small[0] and large[1] ** lm_score.LEVELS > 10 * small[1] ** lm_score.LEVELS
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(6)
+    order = [f"t{i}" for i in range(30)]
+    rows = []
+    for i in range(600):
+        words = [order[(i + k) % 30] for k in range(80)]
+        if i % 10 == 0:
+            rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few, many = ({r["doc_id"]: r["mean_log_probability"] for r in lm_score.scored(docs.repartition(n)).collect()} for n in (2, 100))
+    assert max(abs(few[i] - many[i]) for i in few) < 0.01
+    mean = lambda shuffled: np.mean([v for i, v in many.items() if (i % 10 == 0) == shuffled])
+    assert mean(False) > mean(True) + 0.2
+    steps = [lm_score.schedule(t) for t in (17_000_000, 5_000_000_000)]
+    assert steps[1][1] > 5 * steps[0][1]
