@@ -5,7 +5,12 @@ over licence families and an unknown class, trained here on the notices below wi
 doubled and framed by other words, against sentences that use the same words for other things. The
 class probabilities are calibrated on held-out examples by a temperature and a shift of the unknown
 class. A predicted family counts only if a comparison with its notices confirms it: enough of
-a notice's word 2-grams stand in the paragraph, those that name the family among them.
+a notice's word 2-grams stand in the paragraph, those that name the family among them; a notice
+without such words needs the same share of the 2-grams that no other family's notice has.
+
+A notice may be wrapped: runs of lines between blank ones are searched for spans, over any number of
+lines, that hold enough of a notice's 2-grams, and each span is judged as a line is. It counts as
+the paragraph it begins in.
 """
 
 from __future__ import annotations
@@ -166,14 +171,90 @@ def _pairs(tokens: list[str]) -> set:
 
 
 _TEMPLATES = {family: [_pairs(_tokens(t)) for t in texts] for family, texts in NOTICES.items()}
+#: Of each notice without a name, the word pairs that no other family's notice has.
+_DISTINCTIVE = {family: [None if {w for p in t for w in p} & set(NAMES[family]) else t - {p for other, us in _TEMPLATES.items() if other != family for u in us for p in u} for t in ts] for family, ts in _TEMPLATES.items()}
 
 
 def similarity(line: str, family: str) -> float:
-    """Largest share of a notice's word pairs that stand in the line; 0 if nothing names the family and no notice is whole."""
+    """Largest share of a notice's word pairs that stand in the line. Where nothing names the family, a
+    notice with a name must be whole, and of one without the share of distinctive pairs counts, if less."""
     tokens = _tokens(line)
     mine = _pairs(tokens)
-    best = max(len(t & mine) / len(t) for t in _TEMPLATES[family])
-    return best if best > 0.95 or set(NAMES[family]) & set(tokens) else 0.0
+    named, best = bool(set(NAMES[family]) & set(tokens)), 0.0
+    for t, own in zip(_TEMPLATES[family], _DISTINCTIVE[family], strict=True):
+        share = len(t & mine) / len(t)
+        if not named and share <= 0.95:
+            share = min(share, len(own & mine) / len(own)) if own else 0.0
+        best = max(best, share)
+    return best
+
+
+class Spans:
+    """Where texts hold enough of a notice's word pairs close together."""
+
+    def __init__(self, confirmed: float):
+        self.confirmed = confirmed
+        texts = [t for ts in NOTICES.values() for t in ts]
+        pairs = [self._hashes(*_as_column([t]))[0] for t in texts]
+        self.known = np.unique(np.concatenate(pairs))
+        self.member = np.stack([np.isin(self.known, p) for p in pairs], axis=1)
+        self.total = self.member.sum(axis=0)
+        #: Words that a notice's span may have: half as many again, and some.
+        self.reach = [len(_tokens(t)) * 3 // 2 + 6 for t in texts]
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
+
+    @staticmethod
+    def _hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of word pairs, each one's first word and text, and starts and ends of words."""
+        gaps = np.where(_TOKEN[_LOWER[data]], _LOWER[data], 0x20).astype(np.uint8)
+        starts, ends, first = word_spans(gaps, offsets)
+        one = base.word_hashes(gaps, starts, ends)
+        pairs = np.maximum(np.diff(first) - 1, 0)
+        at = spread(first[:-1], pairs)
+        return mix(one[at] * np.uint64(3) + mix(one[at + 1])), at, np.repeat(np.arange(len(pairs)), pairs), starts, ends
+
+    def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """First and end byte of spans, in order, each once."""
+        h, word, of, starts, ends = self._hashes(data, offsets)
+        some = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.known, h[some]), len(self.known) - 1)
+        hit = self.known[at] == h[some]
+        pair, word, of = at[hit], word[some[hit]], of[some[hit]]
+        texts = np.unique(of * len(self.known) + pair)
+        rows, each = np.unique(texts // len(self.known), return_inverse=True)
+        held = np.zeros((len(rows), len(self.total)), np.int64)
+        np.add.at(held, each, self.member[texts % len(self.known)])
+        out = set()
+        for row, k in np.argwhere(held >= self.confirmed * self.total).tolist():
+            s, t = np.searchsorted(of, rows[row], "left"), np.searchsorted(of, rows[row], "right")
+            mine = self.member[pair[s:t], k]
+            for a, b in self._close(word[s:t][mine].tolist(), pair[s:t][mine].tolist(), k):
+                out.add((int(starts[a]), int(ends[b])))
+        return sorted(out)
+
+    def _close(self, words: list[int], pairs: list[int], k: int) -> list[tuple[int, int]]:
+        """First and last words of spans within reach that hold enough of notice k; of spans that overlap, the fullest."""
+        out, begin, i, times = [], 0, 0, {}
+        best = (0, 0, 0)
+        while i < len(words):
+            times[pairs[i]] = times.get(pairs[i], 0) + 1
+            while words[i] - words[begin] >= self.reach[k]:
+                times[pairs[begin]] -= 1
+                if not times[pairs[begin]]:
+                    del times[pairs[begin]]
+                begin += 1
+            if best[0] and words[i] - best[1] >= self.reach[k]:
+                out.append(best[1:])
+                best = (0, 0, 0)
+                begin = next(j for j in range(begin, i + 1) if words[j] >= out[-1][1])
+                times = {}
+                for p in pairs[begin : i + 1]:
+                    times[p] = times.get(p, 0) + 1
+            if len(times) >= self.confirmed * self.total[k] and len(times) > best[0]:
+                best = (len(times), words[begin], words[i] + 1)
+            i += 1
+        return [*out, best[1:]] if best[0] else out
 
 
 FOUND = "doc_id bigint, n_paragraphs bigint, n_license bigint, families array<string>, found array<struct<paragraph:int,family:string,probability:double,similarity:double>>"
@@ -184,7 +265,7 @@ def scan(docs: DataFrame, certain: float = CERTAIN, confirmed: float = CONFIRMED
     found (index of the paragraph, family, calibrated probability, similarity), a row a document.
 
     A map over rows: nothing is shuffled. Null, empty and blank texts have no paragraphs."""
-    model = fit()
+    model, spans = fit(), Spans(confirmed)
 
     def run(batches):
         for batch in batches:
@@ -210,6 +291,32 @@ def scan(docs: DataFrame, certain: float = CERTAIN, confirmed: float = CONFIRMED
                         near = similarity(raw[starts[line] : ends[line]].decode("utf-8", "replace"), family)
                         if near >= confirmed:
                             hits[of[line]].append({"paragraph": int(line - at[of[line]]), "family": family, "probability": round(float(p[i, best[i]]), 4), "similarity": round(near, 4)})
+                    # runs end where a text does, or a blank line stands
+                    breaks = np.flatnonzero(~full)
+                    runs = np.unique(np.concatenate([offsets, cuts[breaks], cuts[breaks + 1]]))
+                    found = [(a, b, np.searchsorted(starts, a, "right") - 1) for a, b in spans.find(data, runs)]
+                    found = [(a, b, int(line), int(np.searchsorted(starts, b, "left"))) for a, b, line in found]
+                    found = [x for x in found if x[3] - x[2] > 1]  # lines alone were judged above
+                    if found:
+                        which, logits = model.logits(*flat(pa.array([raw[a:b].replace(b"\n", b" ").decode("utf-8", "replace") for a, b, _, _ in found])))
+                        p = model.probabilities(logits)
+                        best = p[:, 1:].argmax(axis=1) + 1
+                        likely = []
+                        for i in np.flatnonzero(p[np.arange(len(best)), best] >= certain).tolist():
+                            a, b, line, end = found[which[i]]
+                            family = FAMILIES[best[i]]
+                            near = similarity(raw[a:b].decode("utf-8", "replace"), family)
+                            if near >= confirmed:
+                                likely.append((-near, a, b, line, end, family, float(p[i, best[i]])))
+                        for near, a, b, line, end, family, sure in sorted(likely):
+                            mine, first_line = hits[of[line]], at[of[line]]
+                            # of a line that is mostly a part of the span, the fuller reading holds
+                            part_of = [k for k in range(line, end) if 2 * (min(b, ends[k]) - max(a, starts[k])) > ends[k] - starts[k]]
+                            mine[:] = [x for x in mine if x["paragraph"] + first_line not in part_of or x["similarity"] >= round(-near, 4)]
+                            if not any(line <= x["paragraph"] + first_line < end and x["family"] == family for x in mine):
+                                mine.append({"paragraph": int(line - first_line), "family": family, "probability": round(sure, 4), "similarity": round(-near, 4)})
+                    for x in hits:
+                        x.sort(key=lambda y: (y["paragraph"], y["family"]))
                 columns = [part.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array([len(x) for x in hits], pa.int64()), pa.array([sorted({y["family"] for y in x}) for x in hits], pa.list_(pa.string()))]
                 kind = pa.list_(pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, kind)], names=["doc_id", "n_paragraphs", "n_license", "families", "found"])

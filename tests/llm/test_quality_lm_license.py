@@ -1,5 +1,6 @@
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -152,3 +153,21 @@ def test_scores_do_not_depend_on_partitions(spark):
     assert mean(False) > mean(True) + 0.2
     steps = [lm_score.schedule(t) for t in (17_000_000, 5_000_000_000)]
     assert steps[1][1] > 5 * steps[0][1]
+
+
+def test_wrapped_and_altered_notices_are_found(spark):
+    texts = [(family, t) for family, ts in license_scan.NOTICES.items() for t in ts]
+    wrap = lambda t, width: "\n".join(textwrap.wrap(t, width))
+    rows = [(1000 * width + i, f"some words stand here\n\nand before it\n{wrap(t, width)}\nmore words after\n\nlast line") for width in (24, 75) for i, (_, t) in enumerate(texts)]
+    comment = [(10 + i, "\n".join(f" * {line}" for line in textwrap.wrap(t, 60))) for i, (_, t) in enumerate(texts)]
+    altered = [(900_000 + i, t.replace("hereby", "herewith").replace("binary", "compiled")) for i, (f, t) in enumerate(texts) if f in ("MIT", "BSD", "ISC")]
+    split = [(950_000, "Permission is hereby granted, free of charge,\n\nto any person who asks for a copy of this book")]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows + comment + altered + split, "doc_id long, text string")).collect()}
+    missed = [(d, texts[d % 1000][1]) for d, _ in rows if out[d]["families"] != [texts[d % 1000][0]]]
+    assert not missed
+    assert [out[10 + i]["families"] for i in range(len(texts))] == [[f] for f, _ in texts]
+    nameless = [i for i, (f, t) in enumerate(texts) if f in ("MIT", "BSD", "ISC")]
+    assert [out[900_000 + k]["families"] for k, _ in enumerate(texts) if texts[k][0] in ("MIT", "BSD", "ISC")] == [[texts[i][0]] for i in nameless]
+    assert out[950_000]["families"] == []
+    mit = next(i for i, (_, t) in enumerate(texts) if t.startswith("Permission is"))
+    assert [f["paragraph"] for f in out[75_000 + mit]["found"]] == [2]
