@@ -39,6 +39,12 @@ def test_simple_cycles_once_each(spark):
     assert sorted(r["path"] for r in graph.simple_cycles(edges).collect()) == ["a>b", "a>b>c"]
 
 
+def test_simple_cycles_of_many_vertices(spark):
+    for n in (12, 110):
+        ring = [(f"v{i:03}", f"v{(i + 1) % n:03}") for i in range(n)]
+        assert [r["length"] for r in graph.simple_cycles(spark.createDataFrame(ring, "source string, target string")).collect()] == [n]
+
+
 def test_impact_steps(spark):
     edges = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (3, 1)], "caller long, callee long")
     out = {r["node"]: r["steps"] for r in graph.impact(edges, spark.createDataFrame([(1,)], "node long"), 2).collect()}
