@@ -54,8 +54,8 @@ def merge_candidates(t: Tables) -> DataFrame:
 @query("incoming_counts", "A07", "SELECT lower(p_name) AS name, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def incoming_counts(t: Tables) -> DataFrame:
     # counted by key before names are joined: one row a part crosses
-    by_part = t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return by_part.join(t.part, by_part.l_partkey == t.part.p_partkey).groupBy(F.lower("p_name").alias("name")).agg(F.sum("n").alias("n"))
+    by_part = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    return by_part.join(t.part, "p_partkey").groupBy(F.lower("p_name").alias("name")).agg(F.sum("n").alias("n"))
 
 
 @query("term_df", "A08", f"SELECT term, count(*) AS df FROM (SELECT unnest({S.words('text')}) AS term FROM documents) GROUP BY term")
