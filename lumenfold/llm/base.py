@@ -38,8 +38,8 @@ BATCH_ROWS = 1_000
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Text bytes gathered before packed blobs are cut; bounds a worker's memory.
-BLOCK_BYTES = 20 << 20
+#: Text bytes gathered before packed blobs are cut; bounds a worker's memory (about 14 bytes a text byte while it is sorted).
+BLOCK_BYTES = 10 << 20
 #: Text bytes hashed in one go; powers of the hash base are kept for so many.
 CHUNK_BYTES = 1 << 20
 
@@ -123,6 +123,17 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What tasks of a kind keep between each other in a worker, for `release` to empty.
+CACHES: list[dict] = []
+
+
+def release() -> None:
+    """Forget what earlier tasks of other operators left in this worker."""
+    for cache in CACHES:
+        cache.clear()
+    trim()
+
+
 def chunks(data: np.ndarray, offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Runs of whole texts of about `limit` bytes: first text, end text, bytes, offsets."""
     i, n = 0, len(offsets) - 1
@@ -226,6 +237,19 @@ def input_bytes(df: DataFrame) -> int:
 _UNKNOWN = 1 << 53
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """Bytes of all texts; a scan of one column. What files take says little, as it depends on their compression."""
+    return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+
+
+def fresh(name: str, *taken: str) -> str:
+    """A column name that is none of those taken."""
+    known = {x.lower() for x in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def bucket_count(df: DataFrame, each: int = 2 << 20, least: int = 32) -> int:
     """Buckets for packed shuffles, in proportion to the input, without an upper bound; by partitions where its size is unknown."""
     size = input_bytes(df)
@@ -236,7 +260,9 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the workers, unless their path has it already."""
     root = Path(__file__).resolve().parents[2]
     context = spark.sparkContext
-    known = {Path(p).resolve() for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    known = {Path(p).resolve() for p in filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))}
+    if context.master.startswith("local["):  # workers start in the driver's folder
+        known.add(Path.cwd())
     if root in known or context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
@@ -265,12 +291,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder below the cluster's spark.checkpoint.dir. Where that is unset: below a temporary one
+    if driver and executors are one process, else below the warehouse, which all share."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         top = spark.sparkContext.getCheckpointDir()
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        top = "file://" + tempfile.mkdtemp(prefix="lumenfold-") if alone else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/lumenfold/{uuid.uuid4().hex}"
     _written.append((spark, path))

@@ -34,17 +34,30 @@ def message_rows(hashes: np.ndarray, places: np.ndarray, doc_ids: np.ndarray, fi
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "doc_id", "blob"])
 
 
-def read_messages(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All messages of a bucket as one: hashes (sorted), each one's document id and place within its document."""
+#: A bucket's messages are judged in so many ranges of their hashes, one after another.
+_RANGES = 8
+
+
+def read_messages(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All messages of a bucket, range of hashes by range: hashes (sorted), each one's document id and
+    place within its document. Blobs stay packed as two columns; only a range at a time is spelt out."""
     parts = []
     for blob in blobs:
         h, at, doc_ids, firsts = unpack(blob)
-        h, doc_ids, firsts, at = np.cumsum(h, dtype=np.uint64), np.cumsum(doc_ids), np.cumsum(firsts), at.astype(np.int64)
-        k = np.searchsorted(firsts, at, "right") - 1
-        parts.append((h, doc_ids[k], at - firsts[k]))
-    h, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h, kind="stable")
-    return h[order], doc[order], at[order]
+        parts.append((np.cumsum(h, dtype=np.uint64), at, np.cumsum(doc_ids), np.cumsum(firsts)))
+    low, high = min(int(h[0]) for h, *_ in parts), max(int(h[-1]) for h, *_ in parts)
+    edges = np.array([low + (high - low) * i // _RANGES for i in range(1, _RANGES)], np.uint64)
+    bounds = [np.concatenate([[0], np.searchsorted(h, edges), [len(h)]]) for h, *_ in parts]
+    for i in range(_RANGES):
+        held = []
+        for (h, at, doc_ids, firsts), bound in zip(parts, bounds, strict=True):
+            here = at[bound[i] : bound[i + 1]].astype(np.int64)
+            k = np.searchsorted(firsts, here, "right") - 1
+            held.append((h[bound[i] : bound[i + 1]], doc_ids[k], here - firsts[k]))
+        h, doc, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h, kind="stable")
+        if len(h):
+            yield h[order], doc[order], at[order]
 
 
 def verdict_rows(doc: np.ndarray, places: np.ndarray, dtype=np.uint32) -> tuple[pa.Array, pa.Array]:
@@ -66,17 +79,21 @@ def verdict_batch(doc: np.ndarray, places: np.ndarray, bucket: int | None = None
 
 def reducer(judge):
     """For groupBy("bucket").applyInArrow: judge(hashes, doc ids, places) -> (doc ids, places) of the
-    occurrences it marks; verdicts that tasks reached alone pass through."""
+    occurrences it marks, called for each range of a bucket's hashes; verdicts that tasks reached alone
+    pass through. Memory is given back before a group ends, as the worker lives on beside others."""
+
+    def found(blobs: list[bytes]) -> pa.RecordBatch:
+        marks = [judge(*x) for x in read_messages(blobs)]
+        return verdict_batch(*(np.concatenate(x) for x in zip(*marks, strict=True)))
 
     def run(table: pa.Table) -> pa.Table:
-        trim()
         doc_ids = table.column("doc_id")
         own = table.filter(doc_ids.is_valid()).select(["doc_id", "blob"])
         blobs = table.filter(doc_ids.is_null()).column("blob").to_pylist()
-        if not blobs:
-            return own
-        batch = verdict_batch(*judge(*read_messages(blobs)))
-        return pa.concat_tables([own, pa.Table.from_batches([batch]).cast(own.schema)])
+        out = pa.concat_tables([own, pa.Table.from_batches([found(blobs)]).cast(own.schema)]) if blobs else own
+        del blobs
+        trim()
+        return out
 
     return run
 

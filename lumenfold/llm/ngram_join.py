@@ -69,6 +69,7 @@ def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
     n_buckets = bucket_count(docs)
 
     def find(batches):
+        base.release()
         for table in blocks(batches):
             doc_ids = table.column("doc_id").to_numpy()
             h, counts = shingles(*flat(table.column("text")), words)

@@ -48,6 +48,7 @@ _SCRIPT[range(0xE3, 0xEE)] = 5
 _SCRIPT[[0xE1, 0xE2, *range(0xEE, 0xF5)]] = 6
 
 _held: dict = {}
+base.CACHES.append(_held)
 
 
 def piece_coder(path: str | None = None) -> tuple[Coder, np.ndarray]:

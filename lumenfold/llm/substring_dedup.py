@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import base, exchange
-from lumenfold.llm.base import blocks, bucket_count, chunks, flat, group_starts, mix, rolling, spread, word_hashes, word_spans
+from lumenfold.llm.base import blocks, chunks, flat, group_starts, mix, rolling, spread, word_hashes, word_spans
 
 #: Words of a window.
 WINDOW = 13
+#: Text bytes whose windows a bucket holds, on average: a document gets a verdict row from each bucket
+#: that marks a window of it, so buckets are as large as a worker's memory allows.
+BUCKET_BYTES = 16 << 20
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,27 +40,31 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[n
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id and blobs: the windows (first word's index) whose words also start in a document with a smaller id."""
-    # a document gets a row from each bucket that holds its windows: no more buckets than memory needs
-    n_buckets = bucket_count(docs, 4 << 20)
+    n_buckets = max(1, -(-base.text_bytes(docs) // BUCKET_BYTES))
+
+    def one(table):
+        doc_ids = table.column("doc_id").to_numpy()
+        hashes, counts = window_hashes(*flat(table.column("text")), window)
+        if not len(hashes):
+            return
+        firsts = np.cumsum(counts) - counts
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        doc_of = np.repeat(doc_ids, counts)[order]
+        starts = group_starts(hashes)
+        later = doc_of > np.repeat(np.minimum.reduceat(doc_of, starts), np.diff(np.append(starts, len(order))))
+        if later.any():
+            k = order[later]
+            yield exchange.verdict_batch(doc_of[later], k - np.repeat(firsts, counts)[k], n_buckets)
+        has = counts > 0
+        hashes, order = hashes[~later], order[~later]
+        del doc_of, later
+        yield from exchange.message_rows(hashes, order, doc_ids[has], firsts[has], n_buckets)
 
     def settle(batches):
+        base.release()
         for table in blocks(batches):
-            doc_ids = table.column("doc_id").to_numpy()
-            hashes, counts = window_hashes(*flat(table.column("text")), window)
-            if not len(hashes):
-                continue
-            firsts = np.cumsum(counts) - counts
-            order = np.argsort(hashes, kind="stable")
-            sorted_hashes = hashes[order]
-            doc_of = np.repeat(doc_ids, counts)[order]
-            starts = group_starts(sorted_hashes)
-            least = np.repeat(np.minimum.reduceat(doc_of, starts), np.diff(np.append(starts, len(order))))
-            later = doc_of > least
-            if later.any():
-                k = order[later]
-                yield exchange.verdict_batch(doc_of[later], k - np.repeat(firsts, counts)[k], n_buckets)
-            has = counts > 0
-            yield from exchange.message_rows(sorted_hashes[~later], order[~later], doc_ids[has], firsts[has], n_buckets)
+            yield from one(table)
 
     def judge(hashes, doc, at):
         starts = group_starts(hashes)
@@ -112,15 +119,16 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Where an interval is cut, one space is left. A text that loses all its words becomes empty, one
     that loses none stays as it is, null included. Rows without a doc_id stay as they are."""
-    found = find(base.documents(docs), window).groupBy("doc_id").agg(F.collect_list("blob").alias("__blobs")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*docs.columns, "__blobs")
+    key, marks = base.fresh("__id", *docs.columns), base.fresh("__blobs", *docs.columns)
+    found = find(base.documents(docs), window).groupBy("doc_id").agg(F.collect_list("blob").alias(marks)).withColumnRenamed("doc_id", key)
+    joined = docs.join(found, F.col("doc_id").cast("long") == F.col(key), "left").select(*docs.columns, marks)
     at = docs.columns.index("text")
     base.bounded(docs.sparkSession)
 
     def cut(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for i, mine in enumerate(batch.column("__blobs").to_pylist()):
+            for i, mine in enumerate(batch.column(marks).to_pylist()):
                 if not mine or texts[i] is None:
                     continue
                 raw = texts[i].encode()

@@ -13,7 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumenfold.llm.base import chunks, flat, spread, trim
+from lumenfold.llm.base import CACHES, chunks, flat, spread, trim
 
 #: Words whose ids a worker remembers; beyond it the later half is forgotten.
 CACHED_WORDS = 250_000
@@ -21,12 +21,15 @@ CACHED_WORDS = 250_000
 CODED_BYTES = 3 << 20
 
 
+#: The coder in use; others give up their memory to it, as a worker serves one stage after another.
+_active: dict = {}
+_held: dict = {}
+CACHES += [_active, _held]
+
+
 class Coder:
     """Ids of words through `encode`: list of words -> list of id sequences, remembered up to a bound."""
 
-    #: The coder in use; others give up their memory to it, as a worker serves one stage after another.
-    active: Coder | None = None
-
     def __init__(self, encode, bound: int = CACHED_WORDS):
         self.encode, self.bound = encode, bound
         self.forget()
@@ -58,11 +61,11 @@ class Coder:
 
     def codes(self, words: list) -> np.ndarray:
         """Codes of distinct words."""
-        if Coder.active is not self:
-            if Coder.active is not None:
-                Coder.active.forget()
+        if (other := _active.get("coder")) is not self:
+            if other is not None:
+                other.forget()
                 trim()
-            Coder.active = self
+            _active["coder"] = self
         if len(self.code) > self.bound:
             self.shrink()
         found = list(map(self.code.get, words))
@@ -77,9 +80,6 @@ class Coder:
         return self.ids[spread(self.start[codes], sizes)], sizes
 
 
-_held: dict = {}
-
-
 def word_tokenizer(path: str | None = None):
     """The tokenizers library on one thread, read once a worker."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
