@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import ngram_join, packing, quality_rules, substring_dedup
-from lumenfold.llm.base import written
+from lumenfold.llm.base import fresh, written
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in the one column of ids."""
-    ids = ids.toDF("__id").distinct()
-    return docs.join(ids, F.col("doc_id").cast("long") == F.col("__id"), "left_semi")
+    key = fresh("__id", *docs.columns)
+    return docs.join(ids.toDF(key).distinct(), F.col("doc_id").cast("long") == F.col(key), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
