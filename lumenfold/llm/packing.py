@@ -2,10 +2,13 @@
 
 Documents are cut into full pieces and one remainder; the corpus is then known by its histogram of
 piece lengths, which has at most `capacity` entries however many documents there are. A linear
-program over patterns (multisets of lengths that fit a sequence) minimises stored tokens; a
-knapsack dynamic program over exact fills prices new patterns from the dual values. Patterns'
-counts are rounded down, what is left goes by best fit, and pieces, ranked within their length, take the
-places that patterns offer to that length.
+program over patterns (multisets of lengths that fit a sequence) minimises stored tokens. All its
+columns come from a knapsack dynamic program over exact fills: first with the lengths themselves as
+dual values, for as long as some length has demand that no pattern took, which gives a basis; then
+with the basis's own dual values, until what the basis costs is within GAP of the bound that dual
+values prove, or no pattern has a negative reduced cost. Patterns' counts are rounded down, what
+is left goes by best fit, and pieces, ranked within their length, take the places that patterns
+offer to that length.
 
 A sequence is stored padded to the capacity, except one whose fill is a power of two, which is
 stored as it is: such patterns cost their fill in the program, all others the capacity.
@@ -14,6 +17,7 @@ stored as it is: such patterns cost their fill in the program, all others the ca
 from __future__ import annotations
 
 import bisect
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +28,11 @@ from lumenfold.llm import base
 from lumenfold.llm.tokens import CODED_BYTES, crc, encode_texts, word_coder
 
 CAPACITY = 2048
-#: The program ends when stored tokens are within this share of its lower bound.
-GAP = 0.002
-#: Patterns priced at most; the plan is valid whenever it ends.
-MAX_COLUMNS = 400
+#: The program ends when stored tokens are within this share of the bound that its dual values prove,
+#: or when as many pivots as there are lengths have saved less than a tenth of it.
+GAP = 1e-4
+#: Reduced costs and steps this small are rounding.
+_EPS, _STEP = 1e-7, 1e-9
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 
@@ -37,90 +42,147 @@ def stored(fill: np.ndarray | int, capacity: int) -> np.ndarray | int:
     return np.where(fill & (fill - 1) == 0, fill, capacity)
 
 
-def price(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, float, np.ndarray]:
-    """The pattern with the least reduced cost: that cost, its value / cost ratio's best over fills, and counts per length."""
-    best = np.full(capacity + 1, -np.inf)
-    best[0] = 0.0
-    took = np.zeros(capacity + 1, np.int64)
-    order = np.argsort(lengths)
-    size, value = lengths[order], values[order]
-    upto = np.searchsorted(size, np.arange(capacity + 1), "right")
-    for f in range(1, capacity + 1):
-        n = upto[f]
-        if n:
-            found = best[f - size[:n]] + value[:n]
+#: Lengths (indices) of a pattern, and how many of each.
+Pattern = tuple[np.ndarray, np.ndarray]
+
+
+class Knapsack:
+    """The most that items can be worth at each exact fill, items of any number; of equal worth the longest is last."""
+
+    def __init__(self, sizes: np.ndarray, values: np.ndarray, capacity: int):
+        self.sizes, self.capacity, n = sizes, capacity, len(sizes)
+        best, took = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+        best[0] = 0.0
+        fits = np.searchsorted(sizes, np.arange(capacity + 1), "right")
+        down, worth = sizes[::-1], values[::-1]
+        for f in range(int(sizes[0]), capacity + 1):
+            skip = n - fits[f]
+            found = best[f - down[skip:]] + worth[skip:]
             k = int(found.argmax())
-            best[f], took[f] = found[k], k
-    fills = np.arange(1, capacity + 1)
-    cost = stored(fills, capacity) - best[1:]
-    f = int(cost.argmin()) + 1
-    ratio = float((best[1:] / stored(fills, capacity)).max())
-    counts = np.zeros(len(lengths), np.int64)
-    least = float(cost[f - 1])
-    while f:
-        counts[order[took[f]]] += 1
-        f -= int(size[took[f]])
-    return least, ratio, counts
+            best[f], took[f] = found[k], n - 1 - skip - k
+        self.best, self.took = best, took
+        # the best fill up to each room
+        self.top = np.maximum.accumulate(best)
+        self.at = np.maximum.accumulate(np.where(best == self.top, np.arange(capacity + 1), 0))
+
+    def items(self, fill: int) -> list[int]:
+        """Items of the best content of exactly this fill."""
+        out = []
+        while fill:
+            out.append(int(self.took[fill]))
+            fill -= int(self.sizes[out[-1]])
+        return out
 
 
-def first_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns filled longest first, each used until it exhausts a length; row r's pattern exhausts length r.
+def _pattern(items: list[int]) -> Pattern:
+    return np.unique(np.array(items, np.int64), return_counts=True)
 
-    No later pattern holds an exhausted length, so the patterns form a triangular matrix: a basis."""
+
+def priced_basis(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[Pattern], np.ndarray, int]:
+    """A pattern for each length, how often it is used, and how many knapsacks were solved.
+
+    The lengths are dual values that no pattern is worth more than it costs at. A knapsack over the
+    lengths with demand left gives for each of them, longest first, the best pattern that holds it;
+    it is used until it takes the last of some length, whose pattern in the basis it becomes. No
+    later pattern holds that length, so the basis is triangular."""
     m, left = len(lengths), demand.astype(float).copy()
-    patterns, x = np.zeros((m, m), np.int64), np.zeros(m)
-    active, sizes = list(range(m)), lengths.tolist()
-    while active:
-        room, counts = capacity, {}
-        known = [sizes[i] for i in active]
-        k = len(active)
-        while k and (k := bisect.bisect_right(known, room, 0, k)):
-            i = active[k - 1]
-            n = room // sizes[i]
-            # no more of a length than are left, in proportion to the longest one's
-            n = max(1, min(n, int(left[i] // (left[active[-1]] or 1)))) if counts else 1
-            counts[i] = counts.get(i, 0) + n
-            room -= n * sizes[i]
-            k -= n > 0 and bool(counts) and i != active[-1]
-        r = min(counts, key=lambda i: left[i] / counts[i])
-        x[r] = left[r] / counts[r]
-        for i, n in counts.items():
-            patterns[r, i] = n
-            left[i] = max(0.0, left[i] - n * x[r])
-        left[r] = 0.0
-        active.remove(r)
-    return patterns, x
-
-
-def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, max_columns: int = MAX_COLUMNS) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (a row each: counts per length) and how often the linear program uses each."""
-    patterns, x = first_basis(lengths, demand, capacity)
-    cost = stored(patterns @ lengths, capacity).astype(float)
-    inverse, tokens = None, float(lengths @ demand)
-    for _ in range(max_columns):
-        # every stored token holds a token at most, so their number bounds the optimum from below
-        if tokens >= (1 - gap) * (cost @ x):
-            break
-        if inverse is None:
-            inverse = np.linalg.inv(patterns.T.astype(float))
+    patterns: list[Pattern | None] = [None] * m
+    uses, open_, solved = np.zeros(m), np.ones(m, bool), 0
+    while open_.any():
+        here = np.flatnonzero(open_)
+        sack = Knapsack(lengths[here], lengths[here].astype(float), capacity)
+        solved += 1
+        for i in here[::-1].tolist():
+            if not open_[i]:
+                continue
+            items = here[sack.items(int(sack.at[capacity - lengths[i]]))]
+            if not open_[items].all():  # taken up by a pattern of this round
+                continue
+            which, times = pattern = _pattern([i, *items.tolist()])
+            r = int((left[which] / times).argmin())
+            used = left[which[r]] / times[r]
+            left[which] = np.maximum(left[which] - times * used, 0)
+            last = int(which[r])
+            patterns[last], uses[last], left[last], open_[last] = pattern, used, 0.0, False
+    return patterns, uses, solved
+
+
+def _columns(sack: Knapsack, lengths: np.ndarray, values: np.ndarray, capacity: int) -> list[Pattern]:
+    """For each length the best pattern that holds it, and the best of each fill that is stored as it is; with negative reduced cost."""
+    found = {}
+    for i in np.flatnonzero(values + sack.top[capacity - lengths] > capacity + _EPS).tolist():
+        found[tuple(sorted([i, *sack.items(int(sack.at[capacity - lengths[i]]))]))] = True
+    fills = np.arange(1, capacity + 1)
+    cost = stored(fills, capacity)
+    for f in fills[(cost < capacity) & (sack.best[1:] > cost + _EPS)].tolist():
+        found[tuple(sorted(sack.items(f)))] = True
+    return [_pattern(list(items)) for items in found]
+
+
+@dataclass
+class Program:
+    """Patterns of the basis, how often each is used, tokens stored, the bound below them that dual values
+    prove, knapsacks solved, and columns that entered the basis after the first."""
+
+    patterns: list[Pattern]
+    uses: np.ndarray
+    cost: float
+    bound: float
+    solved: int
+    entered: int
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP) -> Program:
+    """The linear program over patterns of distinct, ascending lengths <= capacity with a positive demand each."""
+    patterns, uses, solved = priced_basis(lengths, demand, capacity)
+    pay = lambda p: float(stored(int(p[1] @ lengths[p[0]]), capacity))
+    cost = np.array([pay(p) for p in patterns])
+    bound, entered, m = float(lengths @ demand), 0, len(lengths)
+    if cost @ uses * (1 - gap) <= bound:
+        return Program(patterns, uses, float(cost @ uses), bound, solved, entered)
+    basis = np.zeros((m, m))
+    for r, (which, times) in enumerate(patterns):
+        basis[which, r] = times
+    inverse = np.linalg.inv(basis)
+    # demands a little apart: no two lengths run out in the same pivot, so none is for nothing
+    uses = inverse @ (demand * (1 + 1e-7 * (1 + np.arange(m) * 0.6180339887 % 1)))
+    milestone, due = float(cost @ uses), m
+    while True:
         values = cost @ inverse
-        reduced, ratio, column = price(lengths, values, capacity)
-        # so do the values, scaled until no pattern is worth more than it costs
-        if reduced > -1e-7 or values @ demand / max(ratio, 1.0) >= (1 - gap) * (cost @ x):
+        sack = Knapsack(lengths, values, capacity)
+        solved += 1
+        # scaled until no pattern is worth more than it costs, values prove a bound
+        ratio = float((sack.best[1:] / stored(np.arange(1, capacity + 1), capacity)).max())
+        now, bound = float(cost @ uses), max(bound, float(values @ demand) / max(ratio, 1.0))
+        columns = _columns(sack, lengths, values, capacity)
+        if now * (1 - gap) <= bound or not columns:
             break
-        used = np.flatnonzero(column)
-        step = inverse[:, used] @ column[used]
-        leaves = step > 1e-10
-        ratios = np.full(len(x), np.inf)
-        ratios[leaves] = x[leaves] / step[leaves]
-        r = int(ratios.argmin())
-        row = inverse[r] / step[r]
-        inverse -= np.outer(step, row)
-        inverse[r] = row
-        x = np.maximum(x - ratios[r] * step, 0)
-        x[r] = ratios[r]
-        patterns[r], cost[r] = column, float(stored(int(column @ lengths), capacity))
-    return patterns, x
+        if entered >= due:
+            if now > milestone * (1 - gap / 10):
+                break
+            milestone, due = now, entered + m
+        sizes = np.array([len(which) for which, _ in columns])
+        first = np.cumsum(sizes) - sizes
+        which, times = (np.concatenate([c[k] for c in columns]) for k in (0, 1))
+        pays = np.array([pay(c) for c in columns])
+        for _ in range(m):
+            reduced = pays - np.add.reduceat(times * values[which], first)
+            q = int(reduced.argmin())
+            if reduced[q] > -_EPS:
+                break
+            step = inverse[:, columns[q][0]] @ columns[q][1]
+            leaves = np.flatnonzero(step > _STEP)
+            k = int((uses[leaves] / step[leaves]).argmin())
+            r = int(leaves[k])
+            used, row = uses[r] / step[r], inverse[r] / step[r]
+            others, across = np.flatnonzero(np.abs(step) > 1e-12), np.flatnonzero(row)
+            others = others[others != r]
+            uses[others] = np.maximum(uses[others] - used * step[others], 0)
+            inverse[np.ix_(others, across)] -= np.outer(step[others], row[across])
+            inverse[r], uses[r], patterns[r], cost[r] = row, used, columns[q], pays[q]
+            values = values + reduced[q] * row
+            entered += 1
+    return Program(patterns, uses, float(cost @ uses), bound, solved, entered)
 
 
 def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> dict[str, np.ndarray]:
@@ -148,12 +210,13 @@ def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> d
         left[k] = 0
     inner, want = lengths[partial], left[partial]
     if len(inner):
-        patterns, x = solve(inner, want.astype(float), capacity)
-        for row, n in zip(patterns, np.floor(x + 1e-6).astype(np.int64), strict=True):
-            n = min(int(n), int((want[row > 0] // row[row > 0]).min(initial=n)))
+        program = solve(inner, want.astype(float), capacity)
+        want = want.copy()
+        for (which, times), n in zip(program.patterns, np.floor(program.uses * (1 + 1e-6) + 1e-6).astype(np.int64).tolist(), strict=True):
+            n = min(n, int((want[which] // times).min()))
             if n:
-                want = want - n * row
-                place(np.repeat(inner, row)[::-1].tolist(), n)
+                want[which] -= n * times
+                place(np.repeat(inner[which], times)[::-1].tolist(), n)
         # best fit, longest first; open sequences by the room they have left
         room: list[tuple[int, int]] = []
         opened: list[list[int]] = []
