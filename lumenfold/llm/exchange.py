@@ -1,9 +1,11 @@
 """Packed exchange: what a task found in its block of texts meets, by hash, what other tasks found.
 
 A task sorts its 64-bit hashes and cuts them into equal ranges of the hash space, one blob a
-range. A reducer gets the blobs of one range, so it holds every occurrence of its hashes, and its
-verdicts go back by document. Blobs are byte planes under zstandard: sorted hashes as
-differences, places as 32-bit numbers, and a table of the block's documents.
+range. A reducer gets the blobs of one range, so it holds every occurrence of its hashes. Its
+verdicts go back the same way, one blob a share of the documents, where a document's are put
+together: rows are counted by shares and documents, not by how many ranges a document's hashes
+fall into. Blobs are byte planes under zstandard: sorted hashes as differences, places as 32-bit
+numbers, and a table of the block's documents.
 
 Before anything is sent, a task settles what it can alone, so a hash that a third of all rows
 share is sent once a task, not once a row; and what is sent is spread evenly, as hashes are.
@@ -16,11 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from lumenfold.llm.base import bucket_bounds, group_starts, pack, ragged, trim, unpack
+from pyspark.sql import DataFrame
 
-#: bucket: range of the hash space. doc_id null: blob is a message to it; else blob is a verdict on that document.
-MESSAGES = "bucket int, doc_id bigint, blob binary"
-VERDICTS = "doc_id bigint, blob binary"
+from lumenfold.llm.base import bucket_bounds, group_starts, mix, pack, ragged, trim, unpack
+
+#: bucket: range of the hash space. share null: blob is a message to it; else a verdict on that share's documents.
+MESSAGES = "bucket int, share int, blob binary"
+VERDICTS = "share int, blob binary"
+#: A document's own: its marks, each of as many 32-bit numbers as were given.
+MARKS = "doc_id bigint, blob binary"
 
 
 def message_rows(hashes: np.ndarray, places: np.ndarray, doc_ids: np.ndarray, firsts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -31,7 +37,7 @@ def message_rows(hashes: np.ndarray, places: np.ndarray, doc_ids: np.ndarray, fi
         used = np.zeros(len(doc_ids), bool)
         used[np.searchsorted(firsts, at, "right") - 1] = True
         blob = pack(np.diff(h, prepend=np.uint64(0)), at.astype(np.uint32), np.diff(doc_ids[used], prepend=np.int64(0)), np.diff(firsts[used], prepend=np.int64(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([None], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "doc_id", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([None], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "share", "blob"])
 
 
 #: A bucket's messages are judged in so many ranges of their hashes, one after another.
@@ -60,36 +66,57 @@ def read_messages(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
             yield h[order], doc[order], at[order]
 
 
-def verdict_rows(doc: np.ndarray, places: np.ndarray, dtype=np.uint32) -> tuple[pa.Array, pa.Array]:
-    """A row a document with its places as a blob; of any order."""
-    order = np.lexsort((places, doc))
-    doc, places = doc[order], places[order].astype(dtype)
+def verdict_batch(doc: np.ndarray, values: np.ndarray, n_shares: int, bucket: int | None = None) -> pa.RecordBatch:
+    """A row a share with marks on its documents, as VERDICTS, or as MESSAGES that pass through a
+    bucket. values: a row of numbers below 2**32 a mark."""
+    values = values.reshape(len(doc), -1)
+    share = (mix(doc.astype(np.uint64)) >> np.uint64(32)) % np.uint64(n_shares)
+    order = np.lexsort((doc, share))
+    doc, values, share = doc[order], values[order].astype(np.uint32), share[order]
+    starts, blobs = group_starts(share), []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True):
+        first = group_starts(doc[a:b])
+        blobs.append(pack(np.diff(doc[a:b][first], prepend=np.int64(0)), np.diff(np.append(first, b - a)), *np.ascontiguousarray(values[a:b].T)))
+    columns = {"share": pa.array(share[starts].astype(np.int32)), "blob": pa.array(blobs, pa.binary())}
+    if bucket is not None:
+        columns = {"bucket": pa.array(np.full(len(starts), bucket, np.int32)), **columns}
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _put_together(blobs: list[bytes]) -> pa.Table:
+    parts = [unpack(x) for x in blobs]
+    doc = np.concatenate([np.repeat(np.cumsum(x[0]), x[1]) for x in parts])
+    values = np.stack([np.concatenate(v) for v in zip(*(x[2:] for x in parts), strict=True)], axis=1)
+    order = np.argsort(doc, kind="stable")
+    doc = doc[order]
     starts = group_starts(doc)
-    return pa.array(doc[starts], pa.int64()), ragged(places, np.diff(np.append(starts, len(doc))))
+    return pa.table([pa.array(doc[starts], pa.int64()), ragged(values[order].reshape(-1), np.diff(np.append(starts, len(doc))) * values.shape[1])], names=["doc_id", "blob"])
+
+
+def by_document(verdicts: DataFrame) -> DataFrame:
+    """MARKS: a row for each document that verdicts name, with all its marks."""
 
+    def run(table: pa.Table) -> pa.Table:
+        out = _put_together(table.column("blob").to_pylist())
+        trim()
+        return out
 
-def verdict_batch(doc: np.ndarray, places: np.ndarray, bucket: int | None = None) -> pa.RecordBatch:
-    """verdict_rows as VERDICTS, or as MESSAGES that pass through the buckets, dealt by document."""
-    ids, blobs = verdict_rows(doc, places)
-    if bucket is None:
-        return pa.RecordBatch.from_arrays([ids, blobs], names=["doc_id", "blob"])
-    to = pa.array(np.mod(ids.to_numpy(), bucket), pa.int32())
-    return pa.RecordBatch.from_arrays([to, ids, blobs], names=["bucket", "doc_id", "blob"])
+    return verdicts.groupBy("share").applyInArrow(run, MARKS)
 
 
-def reducer(judge):
+def reducer(judge, n_shares: int):
     """For groupBy("bucket").applyInArrow: judge(hashes, doc ids, places) -> (doc ids, places) of the
     occurrences it marks, called for each range of a bucket's hashes; verdicts that tasks reached alone
     pass through. Memory is given back before a group ends, as the worker lives on beside others."""
 
     def found(blobs: list[bytes]) -> pa.RecordBatch:
         marks = [judge(*x) for x in read_messages(blobs)]
-        return verdict_batch(*(np.concatenate(x) for x in zip(*marks, strict=True)))
+        return verdict_batch(*(np.concatenate(x) for x in zip(*marks, strict=True)), n_shares)
 
     def run(table: pa.Table) -> pa.Table:
-        doc_ids = table.column("doc_id")
-        own = table.filter(doc_ids.is_valid()).select(["doc_id", "blob"])
-        blobs = table.filter(doc_ids.is_null()).column("blob").to_pylist()
+        share = table.column("share")
+        own = table.filter(share.is_valid()).select(["share", "blob"])
+        blobs = table.filter(share.is_null()).column("blob").to_pylist()
         out = pa.concat_tables([own, pa.Table.from_batches([found(blobs)]).cast(own.schema)]) if blobs else own
         del blobs
         trim()
@@ -98,8 +125,6 @@ def reducer(judge):
     return run
 
 
-def marked(blobs) -> np.ndarray:
-    """Sorted distinct places of a document's verdicts (a list of blobs, or None)."""
-    if not blobs:
-        return np.zeros(0, np.int64)
-    return np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in blobs])).astype(np.int64)
+def marked(blob: bytes | None) -> np.ndarray:
+    """Sorted distinct places of a document's marks, of one number each."""
+    return np.unique(np.frombuffer(blob or b"", np.uint32)).astype(np.int64)

@@ -21,9 +21,8 @@ from lumenfold.llm.base import blocks, chunks, flat, group_starts, mix, rolling,
 
 #: Words of a window.
 WINDOW = 13
-#: Text bytes whose windows a bucket holds, on average: a document gets a verdict row from each bucket
-#: that marks a window of it, so buckets are as large as a worker's memory allows.
-BUCKET_BYTES = 16 << 20
+#: Text bytes whose windows a bucket holds, and whose marks a share of documents, on average.
+BUCKET_BYTES, SHARE_BYTES = 8 << 20, 16 << 20
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,8 +38,9 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[n
 
 
 def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and blobs: the windows (first word's index) whose words also start in a document with a smaller id."""
-    n_buckets = max(1, -(-base.text_bytes(docs) // BUCKET_BYTES))
+    """doc_id and blob: the windows (first word's index) whose words also start in a document with a smaller id."""
+    size = base.text_bytes(docs)
+    n_buckets, n_shares = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARE_BYTES))
 
     def one(table):
         doc_ids = table.column("doc_id").to_numpy()
@@ -55,7 +55,7 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         later = doc_of > np.repeat(np.minimum.reduceat(doc_of, starts), np.diff(np.append(starts, len(order))))
         if later.any():
             k = order[later]
-            yield exchange.verdict_batch(doc_of[later], k - np.repeat(firsts, counts)[k], n_buckets)
+            yield exchange.verdict_batch(doc_of[later], k - np.repeat(firsts, counts)[k], n_shares, int(doc_ids[0]) % n_buckets)
         has = counts > 0
         hashes, order = hashes[~later], order[~later]
         del doc_of, later
@@ -71,7 +71,8 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
         return doc[later], at[later]
 
-    return docs.mapInArrow(settle, exchange.MESSAGES).groupBy("bucket").applyInArrow(exchange.reducer(judge), exchange.VERDICTS)
+    verdicts = docs.mapInArrow(settle, exchange.MESSAGES).groupBy("bucket").applyInArrow(exchange.reducer(judge, n_shares), exchange.VERDICTS)
+    return exchange.by_document(verdicts)
 
 
 def kept_mask(n_words: int, windows: np.ndarray, window: int) -> np.ndarray:
@@ -90,12 +91,12 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digests: bool = False) -
     A text that no window repeats keeps all its words. Null and empty texts have no words; texts
     shorter than the window lose none; rows that repeat a doc_id never count as each other's copies."""
     docs = base.documents(docs)
-    found = find(docs, window).groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
+    found = find(docs, window)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "spans array<array<bigint>>, kept_text string")
 
     def cut(batches):
         for batch in batches:
-            texts, blobs, ids = batch.column("text").to_pylist(), batch.column("blobs").to_pylist(), batch.column("doc_id")
+            texts, blobs, ids = batch.column("text").to_pylist(), batch.column("blob").to_pylist(), batch.column("doc_id")
             rows = []
             for text, mine in zip(texts, blobs, strict=True):
                 words = (text or "").encode().split()
@@ -111,7 +112,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digests: bool = False) -
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", *names])
 
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "blobs").mapInArrow(cut, schema)
+    return docs.join(found, "doc_id", "left").select("doc_id", "text", "blob").mapInArrow(cut, schema)
 
 
 def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -119,8 +120,8 @@ def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     Where an interval is cut, one space is left. A text that loses all its words becomes empty, one
     that loses none stays as it is, null included. Rows without a doc_id stay as they are."""
-    key, marks = base.fresh("__id", *docs.columns), base.fresh("__blobs", *docs.columns)
-    found = find(base.documents(docs), window).groupBy("doc_id").agg(F.collect_list("blob").alias(marks)).withColumnRenamed("doc_id", key)
+    key, marks = base.fresh("__id", *docs.columns), base.fresh("__marks", *docs.columns)
+    found = find(base.documents(docs), window).toDF(key, marks)
     joined = docs.join(found, F.col("doc_id").cast("long") == F.col(key), "left").select(*docs.columns, marks)
     at = docs.columns.index("text")
     base.bounded(docs.sparkSession)
