@@ -14,6 +14,7 @@ share is sent once a task, not once a row; and what is sent is spread evenly, as
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +70,12 @@ def read_messages(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray,
 def verdict_batch(doc: np.ndarray, values: np.ndarray, n_shares: int, bucket: int | None = None) -> pa.RecordBatch:
     """A row a share with marks on its documents, as VERDICTS, or as MESSAGES that pass through a
     bucket. values: a row of numbers below 2**32 a mark."""
-    values = values.reshape(len(doc), -1)
+    values = values if values.ndim == 2 else values[:, None]
     share = (mix(doc.astype(np.uint64)) >> np.uint64(32)) % np.uint64(n_shares)
     order = np.lexsort((doc, share))
     doc, values, share = doc[order], values[order].astype(np.uint32), share[order]
     starts, blobs = group_starts(share), []
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)], strict=True):
+    for a, b in pairwise([*starts.tolist(), len(doc)]):
         first = group_starts(doc[a:b])
         blobs.append(pack(np.diff(doc[a:b][first], prepend=np.int64(0)), np.diff(np.append(first, b - a)), *np.ascontiguousarray(values[a:b].T)))
     columns = {"share": pa.array(share[starts].astype(np.int32)), "blob": pa.array(blobs, pa.binary())}
