@@ -7,6 +7,9 @@ those cells; each cell then finds all partners of the vectors at home in it, on
 a cell rows are ordered by distance to its pivot, and blocks whose distances differ by more
 than r are skipped by the same inequality. Large cells are tiled, so that no task holds more than
 two blocks. Equal vectors are joined once, with their number.
+
+A label of n vectors has n / (2 * BLOCK) pivots, but no more than the root of n: cells are then no
+larger than a tile for as long as finding a vector's cells costs less than searching them.
 """
 
 from __future__ import annotations
@@ -20,9 +23,8 @@ from lumenfold.llm.base import written
 from lumenfold.llm.components import components
 
 THRESHOLD = 0.98
-#: Vectors of a tile's side, and pivots of a label and dimension at most.
+#: Vectors of a tile's side, and half of those that are placed together.
 BLOCK = 2048
-MOST_PIVOTS = 256
 #: Widens every bound on distances: rounding never loses a pair; the exact cosine decides.
 SLACK = 1e-6
 
@@ -30,7 +32,9 @@ SLACK = 1e-6
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    # by a power of two, which changes no bit of a cosine, so that squares neither vanish nor overflow
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -93,41 +97,51 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     smallest id reachable by links) and kept (vec_id = component_id), a row a vector.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, and those without a
-    label, link with nothing; vectors of different lengths neither. Rows without an id are left
-    out; rows that repeat an id are vectors of their own that share its component."""
+    label, link with nothing; vectors of different lengths neither. Any finite magnitudes are
+    compared alike. Rows without an id are left out; rows that repeat an id are vectors of their own
+    that share its component. Equal vectors link whatever their number; an empty table gives no rows;
+    columns other than the three named may have any name."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(group_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding")).where("vec_id is not null")
     finite = F.coalesce(F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     rows = rows.withColumn("sound", finite & F.exists("embedding", lambda v: v != 0) & F.col("label").isNotNull())
     sound = rows.where("sound").select("vec_id", "label", "embedding")
     classes = written(sound.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")))
 
-    # pivots: a bounded, evenly spread choice for each label and dimension; any choice gives the same links
+    # any choice of pivots gives the same links
     sizes = classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n"))
-    wanted = F.least(F.lit(MOST_PIVOTS), F.ceil(F.col("n") / (2 * block))).alias("wanted")
-    salted = classes.withColumn("dim", F.size("embedding")).join(sizes.select("label", "dim", "n", wanted), ["label", "dim"])
+    wanted = F.least(F.ceil(F.col("n") / (2 * block)), F.ceil(F.sqrt(F.col("n").cast("double")))).alias("wanted")
+    dealt = classes.withColumn("dim", F.size("embedding")).join(sizes.select("label", "dim", wanted, F.ceil(F.col("n") / (2 * block)).alias("salts")), ["label", "dim"])
     # min over a hash bucket picks one vector of it: a pre-aggregated draw without a sort
-    pivots = salted.withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("wanted"))).groupBy("label", "dim", "slot").agg(F.min_by("embedding", F.xxhash64("rep", "slot")).alias("pivot"))
-    pivots = pivots.groupBy("label", "dim").agg(F.sort_array(F.collect_list("pivot")).alias("pivots"))  # MOST_PIVOTS at most
+    pivots = dealt.groupBy("label", "dim", F.pmod(F.xxhash64("rep"), F.col("wanted")).alias("slot")).agg(F.min_by("embedding", F.xxhash64("rep", F.lit(1))).alias("embedding"), F.max("salts").alias("salts"))
+    # each share of a label's vectors meets a copy of its pivots
+    pivots = written(pivots).select("label", "dim", "slot", "embedding", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    dealt = dealt.select("label", "dim", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("salts")).alias("salt"), "rep", "times", "embedding")
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
 
-    def place(batches):
-        for batch in batches:
-            label, cells = batch.column("label"), []
-            for k in range(batch.num_rows):
-                x = _unit(np.array([batch.column("embedding")[k].values.to_numpy()]))
-                p = _unit(_matrix(batch.column("pivots")[k].values))
-                cosine = (x @ p.T)[0]
-                i = int(cosine.argmax())
-                # the plane midway between pivots i and j lies (cos_i - cos_j) / |p_i - p_j| away from x
-                gap = np.linalg.norm(p - p[i], axis=1)
-                visits = np.flatnonzero((cosine[i] - cosine <= radius * gap + SLACK))
-                cells.append([{"cell": int(j), "home": bool(j == i), "away": float(np.sqrt(max(0.0, 2 - 2 * cosine[j])))} for j in visits])
-            kind = pa.list_(pa.struct([("cell", pa.int32()), ("home", pa.bool_()), ("away", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("times"), label, batch.column("embedding"), pa.array(cells, kind)], names=["rep", "times", "label", "embedding", "cells"])
+    def place(rows: pa.Table, its: pa.Table) -> pa.Table:
+        x, p = _unit(_matrix(rows.column("embedding"))), _unit(_matrix(its.sort_by("slot").column("embedding")))
+        cosine = x @ p.T
+        own = cosine.argmax(axis=1)
+        at, cell, home = [], [], []
+        for i in np.unique(own).tolist():
+            mine = np.flatnonzero(own == i)
+            # the plane midway between pivots i and j lies (cos_i - cos_j) / |p_i - p_j| away from x
+            gap = np.linalg.norm(p - p[i], axis=1)
+            k, j = np.nonzero(cosine[mine, i][:, None] - cosine[mine] <= radius * gap + SLACK)
+            at.append(mine[k])
+            cell.append(j)
+            home.append(j == i)
+        at, cell, home = (np.concatenate(v) for v in (at, cell, home))
+        out = rows.select(["rep", "times", "label", "embedding"]).take(pa.array(at))
+        away = np.sqrt(np.maximum(0.0, 2 - 2 * cosine[at, cell]))
+        for name, v in (("cell", pa.array(cell, pa.int32())), ("home", pa.array(home)), ("away", pa.array(away))):
+            out = out.append_column(name, v)
+        return out
 
     label_type = classes.schema["label"].dataType.simpleString()
-    placed = classes.withColumn("dim", F.size("embedding")).join(pivots, ["label", "dim"]).select("rep", "times", "label", "embedding", "pivots").mapInArrow(place, f"rep bigint, times bigint, label {label_type}, embedding array<double>, cells array<struct<cell:int,home:boolean,away:double>>")
-    placed = written(placed.select("rep", "times", "label", "embedding", F.explode("cells").alias("c")).select("rep", "times", "label", "embedding", "c.*"))
+    shares = ["label", "dim", "salt"]
+    placed = dealt.groupBy(*shares).cogroup(pivots.groupBy(*shares)).applyInArrow(place, f"rep bigint, times bigint, label {label_type}, embedding array<double>, cell int, home boolean, away double")
+    placed = written(placed)
 
     cell_sizes = placed.groupBy("label", F.size("embedding").alias("dim"), "cell").agg(F.count_if("home").alias("homes"), F.count("*").alias("all"))
     tiles = placed.withColumn("dim", F.size("embedding")).join(cell_sizes, ["label", "dim", "cell"])
