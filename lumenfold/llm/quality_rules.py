@@ -10,8 +10,11 @@ characters per token, the share of byte-fallback tokens, and the entropy of its
   powers of two of tokens), since long texts have more of it;
 * byte fallback: more than FALLBACK above the language's median and beyond BAND median deviations.
 
-Copies count once in medians, so a text that a third of all rows repeat doesn't set the bands, and a
-cell with fewer than LEAST different documents has none.
+Every document is judged. A cell's median and deviation are drawn towards those of the next wider
+cell, which count as much as WIDER documents: language to script to all documents, and for entropy
+language and length to script and length to length to all. So a cell of few documents has about
+its wider cell's bands, and no size of a cell changes the rule. Equal texts count once, so a text
+that a third of all rows repeat doesn't set the bands; different texts with equal figures count each.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import base
@@ -27,9 +30,10 @@ from lumenfold.llm.base import SEPARATOR, flat, group_starts, mix, rolling, spre
 from lumenfold.llm.tokens import CODED_BYTES, Coder, coded, joined
 
 BAND = 8.0
-LEAST = 30
+WIDER = 30
 FALLBACK = 0.1
-#: Medians are read from histograms in steps of 1 / STEPS.
+#: Figures are counted in steps of 1 / STEPS, and deviations in steps of a STEPS-th power of two, so
+#: the medians' histograms have a few thousand entries however many and long the documents are.
 STEPS = 128
 #: Base rules: fewer words fail, and a larger share (percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED, REPEAT_WINDOW = 20, 30, 8
@@ -64,7 +68,7 @@ def piece_coder(path: str | None = None) -> tuple[Coder, np.ndarray]:
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text, and a hash of its words."""
     total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
     starts, ends, first = word_spans(data, offsets)
     n_words = np.diff(first)
@@ -75,7 +79,9 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         lines[i] = len(found) - len(set(found))
     windows = np.maximum(n_words - REPEAT_WINDOW + 1, 0)
     where = spread(first[:-1], windows)
-    h = mix(rolling(word_hashes(data, starts, ends), where, where + REPEAT_WINDOW))
+    words = word_hashes(data, starts, ends)
+    prints = mix(rolling(words, first[:-1], first[1:]) + n_words.astype(np.uint64))
+    h = mix(rolling(words, where, where + REPEAT_WINDOW))
     h = mix(h ^ mix(np.repeat(np.arange(len(n_words), dtype=np.uint64), windows)))
     order = np.argsort(h, kind="stable")
     begin = group_starts(h[order])
@@ -85,7 +91,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     np.add.at(edge, again, 1)
     np.add.at(edge, again + REPEAT_WINDOW, -1)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-    return {"n_words": n_words, "word_chars": total(~SEPARATOR[data] & ((data & 0xC0) != 0x80)), "n_symbols": total(_SYMBOL[data]), "n_dup_lines": lines, "n_repeat_words": covered[first[1:]] - covered[first[:-1]]}
+    return {"n_words": n_words, "word_chars": total(~SEPARATOR[data] & ((data & 0xC0) != 0x80)), "n_symbols": total(_SYMBOL[data]), "n_dup_lines": lines, "n_repeat_words": covered[first[1:]] - covered[first[:-1]], "print": prints.view(np.int64)}
 
 
 def fertility(column: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +114,7 @@ def fertility(column: pa.Array, path: str | None = None) -> tuple[np.ndarray, np
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURED = "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", n_tokens bigint, n_fallback bigint, entropy double, script string"
+MEASURED = "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in (*COUNTS, "print")) + ", n_tokens bigint, n_fallback bigint, entropy double, script string"
 
 
 def measured(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -123,19 +129,38 @@ def measured(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 script = _SCRIPT[data]
                 votes = np.stack([np.diff(np.concatenate([[0], np.cumsum(script == k)])[offsets]) for k in range(len(_SCRIPTS))])
                 names = np.array(_SCRIPTS)[votes.argmax(axis=0)]
-                columns = [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in COUNTS), *map(pa.array, tokens), pa.array(names.astype(object), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "n_tokens", "n_fallback", "entropy", "script"])
+                columns = [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in (*COUNTS, "print")), *map(pa.array, tokens), pa.array(names.astype(object), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "print", "n_tokens", "n_fallback", "entropy", "script"])
 
     return docs.mapInArrow(run, MEASURED)
 
 
-def _median(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Lower medians of a whole-numbered column by keys, from a histogram: its rows are bounded by the column's range."""
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    cell = Window.partitionBy(*keys)
-    upto = F.sum("n").over(cell.orderBy(value))
-    whole = F.sum("n").over(cell)
-    return counts.withColumn("upto", upto).withColumn("whole", whole).where((F.col("upto") * 2 >= F.col("whole")) & ((F.col("upto") - F.col("n")) * 2 < F.col("whole"))).select(*keys, F.col(value).alias(name), F.col("whole").alias(f"{name}_of"))
+#: Cells, from the widest to a document's own; the columns of each.
+_CELL = ["kind", "script", "length_class"]
+_BY_KIND = ([], ["script"], ["kind"])
+_BY_LENGTH = ([], ["length_class"], ["script", "length_class"], ["kind", "length_class"])
+
+
+def medians(rows: DataFrame, cells: DataFrame, values: dict[str, tuple[list[str], ...]]) -> DataFrame:
+    """cells (kind, script, length_class) with the median of each value, drawn from the widest to the
+    cell's own as `values` says. Medians are aggregates that combine counts of values before the shuffle."""
+    kinds = sorted({tuple(k) for chain in values.values() for k in chain})
+    found = rows.groupingSets([[F.col(c) for c in k] for k in kinds], *_CELL).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.percentile(v, 0.5).alias(v) for v in values))
+    found = written(found)
+    known = {v: None for v in values}
+    for keys in sorted(kinds, key=len):
+        level = sum(1 << (len(_CELL) - 1 - i) for i, c in enumerate(_CELL) if c not in keys)
+        names = {v: f"__{v}_{level}" for v, chain in values.items() if list(keys) in chain}
+        wide = found.where(F.col("level") == level).select(*keys, F.col("n").alias(f"__n_{level}"), *(F.col(v).alias(n) for v, n in names.items()))
+        cells = cells.join(wide, list(keys)) if keys else cells.join(F.broadcast(wide))  # one row
+    for v, chain in values.items():
+        drawn: Column | None = None
+        for keys in chain:
+            level = sum(1 << (len(_CELL) - 1 - i) for i, c in enumerate(_CELL) if c not in keys)
+            own, n = F.col(f"__{v}_{level}"), F.col(f"__n_{level}")
+            drawn = own if drawn is None else (n * own + WIDER * drawn) / (n + WIDER)
+        known[v] = drawn
+    return cells.select(*_CELL, *(c.alias(f"m_{v}") for v, c in known.items()))
 
 
 def judged(docs: DataFrame, vocabulary: str | None = None, band: float = BAND, lang_col: str | None = "lang") -> DataFrame:
@@ -143,8 +168,8 @@ def judged(docs: DataFrame, vocabulary: str | None = None, band: float = BAND, l
     fertility (chars_per_token, fallback_share, entropy) and kept.
 
     Null texts have no words and fail. Documents without a language are held to their script's
-    bands; one whose language or length class is too rare to have bands is kept. An empty table
-    gives no rows; rows that repeat an id are judged each on its own."""
+    bands. An empty table gives no rows; rows that repeat an id are judged each on its own, and
+    count once in bands if their words are equal too."""
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).where("doc_id is not null")
     base.bounded(docs.sparkSession)
@@ -153,22 +178,24 @@ def judged(docs: DataFrame, vocabulary: str | None = None, band: float = BAND, l
     tokens = F.greatest("n_tokens", F.lit(1))
     facts = facts.withColumn("kind", F.coalesce("lang", F.concat(F.lit("script:"), "script"))).withColumn("chars_per_token", F.col("word_chars") / tokens).withColumn("fallback_share", F.col("n_fallback") / tokens)
     facts = facts.withColumn("length_class", F.floor(2 * F.log2(tokens.cast("double"))).cast("int"))
-    step = lambda c: F.round(c * STEPS).cast("long")
-    marked = facts.withColumn("q_chars", step(F.col("chars_per_token"))).withColumn("q_entropy", step(F.col("entropy"))).withColumn("q_fallback", step(F.col("fallback_share")))
-    # copies have equal counts: one row stands for them
-    once = marked.where(F.col("n_words") >= LEAST_WORDS).groupBy("kind", "length_class", "n_tokens", "word_chars", "q_chars", "q_entropy", "q_fallback").agg(F.count("*").alias("copies"))
-    once = written(once)
-    by_kind = _median(once, ["kind"], "q_chars", "m_chars").join(_median(once, ["kind"], "q_fallback", "m_fallback"), "kind")
-    by_class = _median(once, ["kind", "length_class"], "q_entropy", "m_entropy")
-    off = once.join(F.broadcast(by_kind), "kind").join(F.broadcast(by_class), ["kind", "length_class"])  # a row a language, and a length class of it
-    off = off.withColumn("d_chars", F.round(F.abs(F.col("q_chars") - F.col("m_chars")) * F.sqrt("n_tokens")).cast("long")).withColumn("d_fallback", F.abs(F.col("q_fallback") - F.col("m_fallback"))).withColumn("d_entropy", F.abs(F.col("q_entropy") - F.col("m_entropy")))
-    by_kind = by_kind.join(_median(off, ["kind"], "d_chars", "s_chars"), "kind").join(_median(off, ["kind"], "d_fallback", "s_fallback"), "kind")
-    by_class = by_class.join(_median(off, ["kind", "length_class"], "d_entropy", "s_entropy"), ["kind", "length_class"])
-    held = marked.join(F.broadcast(written(by_kind)), "kind", "left").join(F.broadcast(written(by_class)), ["kind", "length_class"], "left")
-    chars = (F.col("m_chars_of") >= LEAST) & (F.abs(F.col("q_chars") - F.col("m_chars")) * F.sqrt("n_tokens") > band * F.greatest("s_chars", F.lit(STEPS // 4)))
-    entropy = (F.col("m_entropy_of") >= LEAST) & (F.col("m_entropy") - F.col("q_entropy") > band * F.greatest("s_entropy", F.lit(2)))
-    fallback = (F.col("m_fallback_of") >= LEAST) & (F.col("q_fallback") - F.col("m_fallback") > F.greatest(band * F.col("s_fallback"), F.lit(FALLBACK * STEPS)))
-    rejected = F.coalesce(chars, F.lit(False)) | F.coalesce(entropy, F.lit(False)) | F.coalesce(fallback, F.lit(False))
+    step = lambda c: F.round(c * STEPS)
+    facts = facts.withColumn("chars", step(F.col("chars_per_token"))).withColumn("bits", step(F.col("entropy"))).withColumn("bytes", step(F.col("fallback_share")))
+    figures = ["script", "length_class", "n_tokens", "chars", "bits", "bytes"]
+    once = facts.where(F.col("n_words") >= LEAST_WORDS).groupBy("kind", "print").agg(F.min(F.struct(*figures)).alias("f"))
+    once = written(once.select("kind", "f.*"))
+    cells = once.select(*_CELL).distinct()
+    middle = written(medians(once, cells, {"chars": _BY_KIND, "bytes": _BY_KIND, "bits": _BY_LENGTH}))
+    off = once.join(middle, _CELL)
+    power = lambda c: F.round(F.log2(1 + c) * STEPS)
+    off = off.select(*_CELL, power(F.abs(F.col("chars") - F.col("m_chars")) * F.sqrt("n_tokens")).alias("d_chars"), power(F.abs(F.col("bytes") - F.col("m_bytes"))).alias("d_bytes"), power(F.abs(F.col("bits") - F.col("m_bits"))).alias("d_bits"))
+    spread_ = medians(off, cells, {"d_chars": _BY_KIND, "d_bytes": _BY_KIND, "d_bits": _BY_LENGTH})
+    bands = written(middle.join(spread_, _CELL))
+    held = facts.join(bands, _CELL, "left")
+    back = lambda c: F.pow(F.lit(2.0), F.col(c) / STEPS) - 1
+    chars = F.abs(F.col("chars") - F.col("m_chars")) * F.sqrt("n_tokens") > band * F.greatest(back("m_d_chars"), F.lit(STEPS / 4))
+    entropy = F.col("m_bits") - F.col("bits") > band * F.greatest(back("m_d_bits"), F.lit(2.0))
+    fallback = F.col("bytes") - F.col("m_bytes") > F.greatest(band * back("m_d_bytes"), F.lit(FALLBACK * STEPS))
+    rejected = F.coalesce(chars | entropy | fallback, F.lit(False))
     return held.select("doc_id", *COUNTS, "base_failed", "n_tokens", "chars_per_token", "fallback_share", "entropy", (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
