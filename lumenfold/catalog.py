@@ -6,7 +6,7 @@ events for feedback, conversations for session logs, documents with labels for t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = ("function", "class", "method", "interface", "component")
@@ -36,6 +36,11 @@ class Tables:
         """Line items as call edges: caller (order), callee (part)."""
         return self.lineitem.select(F.col("l_orderkey").alias("caller"), F.col("l_partkey").alias("callee"))
 
+    def flows(self) -> DataFrame:
+        """Parts as callers of the part in the next line of the same order: caller, callee, each pair once."""
+        after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+        return self.lineitem.select(F.col("l_partkey").alias("caller"), after.alias("callee")).where("callee <> caller").distinct()
+
     def manifest(self) -> DataFrame:
         """Documents with the state of their index entry: doc_id, file_path, state, content_hash."""
         state = F.when(F.col("quality").isNull(), "pending").when(F.col("toxic") == 1, "failed").when(F.col("quality") == 0, "stale").otherwise("fresh")
@@ -55,5 +60,6 @@ class Tables:
 SQL_NODES = "(SELECT doc_id AS node_id, CASE doc_id % 5 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'method' WHEN 3 THEN 'interface' ELSE 'component' END AS kind, source AS file_path, lang AS language, text AS content FROM documents)"
 SQL_SYMBOLS = "(SELECT p_partkey AS node_id, p_name AS name, p_brand || '::' || p_name AS qualified_name, p_type AS kind, p_brand AS file_path FROM part)"
 SQL_CALLS = "(SELECT l_orderkey AS caller, l_partkey AS callee FROM lineitem)"
+SQL_FLOWS = "(SELECT DISTINCT caller, callee FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS callee FROM lineitem) WHERE callee <> caller)"
 SQL_MANIFEST = "(SELECT d.doc_id, d.source AS file_path, CASE WHEN l.quality IS NULL THEN 'pending' WHEN l.toxic = 1 THEN 'failed' WHEN l.quality = 0 THEN 'stale' ELSE 'fresh' END AS state, sha256(d.text) AS content_hash FROM documents d LEFT JOIN labels l USING (doc_id))"
 SQL_FEEDBACK = "(SELECT event_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'retrieval' ELSE 'compression' END AS stream, k AS hash, CASE k % 3 WHEN 0 THEN 'graph' WHEN 1 THEN 'vector' ELSE 'fts' END AS source, CASE user_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'code' ELSE 'text' END AS content_type, event_type AS kind FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"

@@ -5,23 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.sources import storage
+
 
 def impact(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """node and the least number of steps from a seed against the edges (caller, callee), seeds at 0.
 
-    One join a step with the frontier alone; nodes reached before leave by an anti join."""
-    reached = seeds.select(F.col("node").cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("steps")).distinct()
-    frontier = reached
+    One join a step with the frontier alone; nodes reached before leave by an anti join. Each frontier is a
+    written table, so a step's work isn't done again by those after it; an empty one ends the search."""
+    spark = edges.sparkSession
+    kept = lambda df: storage.kept(spark, df)
+    edges = kept(edges.select("caller", "callee").distinct())
+    frontier = kept(seeds.select(F.col("node").cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("steps")).distinct())
+    reached = frontier
     for step in range(1, depth + 1):
         met = edges.join(frontier.select(F.col("node").alias("callee")), "callee").select(F.col("caller").alias("node")).distinct()
-        frontier = met.join(reached.select("node"), "node", "left_anti").withColumn("steps", F.lit(step).cast("bigint"))
+        frontier = kept(met.join(reached.select("node"), "node", "left_anti").withColumn("steps", F.lit(step).cast("bigint")))
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
 
-def reverse_calls(edges: DataFrame) -> DataFrame:
-    """callee, callers (distinct, sorted)."""
-    return edges.groupBy("callee").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+def reverse_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """key, caller, each pair once: callers (caller, call) under up to three keys: the call as it is written, the
+    name of the symbol it is the name, the qualified name or the tail of, and its own tail.
+
+    A row a pair, not a list a key: a name that everybody calls is no row of its own."""
+    tail = lambda c: F.element_at(F.split(c, "::"), -1)
+    named = symbols.select("node_id", "name", F.explode(F.array_distinct(F.array("name", "qualified_name", tail(F.col("qualified_name"))))).alias("call"))
+    named = named.groupBy("call").agg(F.max_by("name", "node_id").alias("own"))
+    keys = F.explode(F.array_distinct(F.array("call", F.coalesce("own", "call"), tail(F.col("call"))))).alias("key")
+    return calls.select("caller", "call").distinct().join(named, "call", "left").select(keys, "caller").distinct()
+
+
+def edges_among(edges: DataFrame, results: DataFrame) -> DataFrame:
+    """Edges (caller, callee) of which both ends are results (node_id)."""
+    out = edges.select("caller", "callee").distinct()
+    for end in ("caller", "callee"):
+        out = out.join(results.select(F.col("node_id").alias(end)), end, "left_semi")
+    return out.select("caller", "callee")
 
 
 def undirected(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins between nodes, edges, documents and names. Keys are equal wherever they can be; substring joins take a bounded side."""
+"""Joins between nodes, edges, documents and names. All of them meet by equal keys; a substring meets by its rarest characters."""
 
 from __future__ import annotations
 
@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
+from lumenfold.operators import windows as W
 
-#: Seeds of a substring join: a query's result list, never a table.
-MOST_SEEDS = 2000
+#: Targets of a call that are told: those a result shows.
+MOST_TARGETS = 8
+#: Characters by which a substring and what contains it meet.
+GRAM = 3
 
 
 def target_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -17,17 +20,22 @@ def target_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.groupBy("caller").agg(F.array_sort(F.collect_set("name")).alias("calls"))
 
 
-def resolved_calls(calls: DataFrame, symbols: DataFrame, least: int = 3) -> DataFrame:
-    """caller, call, node_id, how: symbols whose name or qualified name is the call's; only for calls that
-    none answers, symbols that share a token of `least` characters or more."""
+def resolved_calls(calls: DataFrame, symbols: DataFrame, least: int = 3, most: int = MOST_TARGETS) -> DataFrame:
+    """caller, call, how, targets: the first `most` symbols, by id, whose name or qualified name is the
+    call's; only for calls that none answers, the first of those that share a token of `least` characters or more.
+
+    Each key's first symbols are cut before the join, so a common name or token costs a call `most` rows."""
     keyed = calls.withColumn("key", T.reference_key(F.col("call")))
     names = symbols.select("node_id", F.explode(F.array_distinct(F.array(T.reference_key(F.col("name")), T.reference_key(F.col("qualified_name"))))).alias("key"))
-    exact = keyed.join(names, "key").select("caller", "call", "node_id", F.lit("exact").alias("how"))
-    rest = keyed.join(names, "key", "left_anti")
-    parts = lambda c: F.explode(F.filter(F.split(c, " "), lambda w: F.length(w) >= least))
+    parts = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= least)))
     tokens = symbols.select("node_id", parts(T.reference_key(F.col("name"))).alias("token"))
-    loose = rest.select("caller", "call", parts(F.col("key")).alias("token")).join(tokens, "token").select("caller", "call", "node_id", F.lit("token").alias("how"))
-    return exact.unionByName(loose).distinct()
+    first = lambda df, key: W.first_per(df, [key], ["node_id"], most).groupBy(key).agg(F.collect_list("node_id").alias("ids"))
+    targets = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("targets")
+    by_name = first(names, "key")
+    exact = keyed.join(by_name, "key").groupBy("caller", "call").agg(targets).select("caller", "call", F.lit("exact").alias("how"), "targets")
+    rest = keyed.join(by_name, "key", "left_anti")
+    loose = rest.select("caller", "call", parts(F.col("key")).alias("token")).join(first(tokens, "token"), "token")
+    return exact.unionByName(loose.groupBy("caller", "call").agg(targets).select("caller", "call", F.lit("token").alias("how"), "targets"))
 
 
 def call_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -48,20 +56,60 @@ def first_peers(rows: DataFrame, key: str, node: str, order: list[str], most: in
     return pairs.withColumn("rank", place).where(F.col("rank") <= most).select(node, "peer", F.col("rank").cast("bigint"))
 
 
-def rare_token_pairs(tokens: DataFrame, n_docs: int, share: float = 0.35, most: int | None = None) -> DataFrame:
-    """a < b and shared: pairs of nodes that share a token which few enough nodes have (`share` of all, `most` if given)."""
-    limit = max(2, int(-(-share * n_docs // 1)))
-    limit = min(limit, most) if most else limit
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where((F.col("df") >= 2) & (F.col("df") <= limit))
-    rare = tokens.join(df.select("token"), "token")
-    left, right = rare.select("token", F.col("node_id").alias("a")), rare.select("token", F.col("node_id").alias("b"))
-    return left.join(right, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-
-
-def containing(seeds: DataFrame, rows: DataFrame, needle: str, haystack: str) -> DataFrame:
-    """Rows whose haystack contains a seed's needle. Seeds are cut to MOST_SEEDS distinct needles by their order, and so may be broadcast."""
-    few = seeds.select(needle).distinct().orderBy(needle).limit(MOST_SEEDS)
-    return rows.join(F.broadcast(few), F.col(haystack).contains(F.col(needle)))
+def rare_token_neighbours(tokens: DataFrame, nodes: DataFrame, share: float = 0.35, most: int = MOST_TARGETS) -> DataFrame:
+    """node, peer, shared, rank: the `most` peers of each node that share most tokens which few enough nodes
+    have (`share` of all, two at least); of equals those of smaller id.
+
+    Nodes with the same set of such tokens have the same peers, so sets are joined, not nodes: what a
+    token costs is the square of the different sets that hold it. A set stands for its first `most` + 1 nodes."""
+    n_docs = nodes.agg(F.greatest(F.lit(2), F.ceil(share * F.count("*"))).alias("limit"))  # one row
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n_docs)).where("df >= 2 and df <= limit")
+    sets = tokens.join(df.select("token"), "token").groupBy("node_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    heads = W.first_per(sets, ["tokens"], ["node_id"], most + 1).groupBy("tokens").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
+    posts = heads.select(F.xxhash64("tokens").alias("set"), "tokens", "ids")
+    left = posts.select(F.col("tokens").alias("mine"), F.explode("tokens").alias("token"))
+    right = posts.select("tokens", F.col("ids").alias("peers"), F.explode("tokens").alias("token"))
+    pairs = left.join(right, "token").groupBy("mine", "tokens").agg(F.count("*").alias("shared"), F.any_value("peers").alias("peers"))
+    # a set's best peers: as many as a node shows, and one more, which may be the node itself
+    best = W.first_per(pairs.select("mine", "shared", F.explode("peers").alias("peer")), ["mine"], [F.desc("shared"), F.asc("peer")], most + 1).drop("rank")
+    shown = sets.select("node_id", F.col("tokens").alias("mine")).join(best, "mine").where("node_id <> peer")
+    return W.first_per(shown.select("node_id", "peer", "shared"), ["node_id"], [F.desc("shared"), F.asc("peer")], most)
+
+
+def subsets(sets: DataFrame, key: str, items: str, most: int = 2) -> DataFrame:
+    """items and ids: for each different set, the first `most` owners (by key) of sets that hold all of it.
+
+    A set can only be held by those that have its rarest item, so sets meet by that."""
+    kinds = sets.withColumn(items, F.array_sort(F.array_distinct(items)))
+    kinds = W.first_per(kinds, [items], [key], most).groupBy(items).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    posts = kinds.select(F.col(items).alias("theirs"), "ids", F.explode(items).alias("item"))
+    often = posts.groupBy("item").agg(F.count("*").alias("n"))
+    rarest = kinds.select(items, F.explode(items).alias("item")).join(often, "item").groupBy(items).agg(F.min_by("item", F.struct("n", "item")).alias("item"))
+    held = rarest.join(posts, "item").where(F.size(F.array_except(items, "theirs")) == 0)
+    owners = W.first_per(held.select(items, F.explode("ids").alias("id")), [items], ["id"], most)
+    return owners.groupBy(items).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+
+
+def _grams(text, n: int):
+    """All runs of n characters of a text, each once."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def containing(seeds: DataFrame, rows: DataFrame, needle: str, haystack: str, gram: int = GRAM) -> DataFrame:
+    """Rows whose haystack contains a seed's needle, with that needle, once each; an empty or null needle is in none.
+
+    Different haystacks are cut into runs of up to `gram` characters. A needle looks only where the
+    rarest of its own runs stands, so no pair is tried that shares nothing."""
+    needles = seeds.select(F.col(needle).alias("__needle")).where("length(__needle) > 0").distinct()
+    texts = rows.select(F.col(haystack).alias("__text")).where("__text is not null").distinct()
+    posts = texts.select("__text", F.explode(F.concat(*(_grams(F.col("__text"), n) for n in range(1, gram + 1)))).alias("__gram"))
+    often = posts.groupBy("__gram").agg(F.count("*").alias("__n"))
+    own = F.coalesce(*(F.when(F.length("__needle") >= n, _grams(F.col("__needle"), n)) for n in range(gram, 0, -1)))
+    met = needles.select("__needle", F.explode(own).alias("__gram")).join(often, "__gram", "left")
+    rarest = met.groupBy("__needle").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
+    found = posts.join(rarest, "__gram").where(F.col("__text").contains(F.col("__needle"))).select(F.col("__text").alias(haystack), F.col("__needle").alias(needle))
+    return rows.join(found, haystack)
 
 
 def latest_compression(feedback: DataFrame) -> DataFrame:

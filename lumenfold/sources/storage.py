@@ -5,13 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """A new folder below spark.checkpoint.dir. Where that is unset: below a temporary one if driver and
+    executors are one process, as in tests, else below the warehouse, which all share."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        top = "file://" + tempfile.mkdtemp(prefix="lumenfold-") if alone else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/lumenfold/{uuid.uuid4().hex}"
+
+
+def kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: a cut of lineage that outlives executors."""
+    path = scratch(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,47 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.catalog import SQL_CALLS, SQL_SYMBOLS, Tables
+from lumenfold.catalog import SQL_CALLS, SQL_FLOWS, SQL_SYMBOLS, Tables
 from lumenfold.functions import text as T
 from lumenfold.operators import graph as G
 from lumenfold.operators import review as V
 from lumenfold.registry import query
 from lumenfold.suite import sql as S
 
-_SUPPLY = "(SELECT DISTINCT l_orderkey AS caller, l_suppkey AS callee FROM lineitem WHERE l_orderkey <= 2000)"
-
-
 @query("impact_one_hop", "G02 J08", f"SELECT DISTINCT caller AS node FROM {SQL_CALLS} WHERE callee IN (1, 2, 3)")
 def impact_one_hop(t: Tables) -> DataFrame:
     return t.calls().where(F.col("callee").isin(1, 2, 3)).select(F.col("caller").alias("node")).distinct()
 
 
-_NATION = "(SELECT c_nationkey AS a, s_nationkey AS b FROM (SELECT DISTINCT c_nationkey, s_nationkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 49.5 AND o_orderkey % 7 = 0))"
-
-
 @query(
     "impact_depth_k",
     "G02",
-    f"""WITH RECURSIVE e AS (SELECT CAST(a AS BIGINT) AS caller, CAST(b AS BIGINT) AS callee FROM {_NATION} WHERE a <> b), r(node, steps) AS (SELECT 5::BIGINT, 0::BIGINT UNION SELECT e.caller, r.steps + 1 FROM r JOIN e ON e.callee = r.node WHERE r.steps < 3)
+    f"""WITH RECURSIVE e AS (SELECT * FROM {SQL_FLOWS}), r(node, steps) AS (SELECT 5::BIGINT, 0::BIGINT UNION SELECT e.caller, r.steps + 1 FROM r JOIN e ON e.callee = r.node WHERE r.steps < 3)
     SELECT node, min(steps) AS steps FROM r GROUP BY node""",
 )
 def impact_depth_k(t: Tables) -> DataFrame:
-    lines = t.lineitem.where("l_quantity >= 49.5 and l_orderkey % 7 = 0").select("l_orderkey", "l_suppkey")
-    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
-    pairs = lines.join(orders, "l_orderkey").join(t.customer, "c_custkey").join(t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey")
-    edges = pairs.select(F.col("c_nationkey").cast("bigint").alias("caller"), F.col("s_nationkey").cast("bigint").alias("callee")).distinct().where("caller <> callee")
-    return G.impact(edges, t.spark.createDataFrame([(5,)], "node bigint"), 3)
+    return G.impact(t.flows(), t.spark.createDataFrame([(5,)], "node bigint"), 3)
 
 
-@query("affected_scores", "G03", f"WITH c AS (SELECT DISTINCT unnest({S.words('text')}) AS token FROM benchmark WHERE item_id < 3), d AS (SELECT DISTINCT doc_id AS test_id, unnest({S.words('text')}) AS token FROM documents) SELECT test_id, count(*) AS score FROM d JOIN c USING (token) GROUP BY test_id")
+@query("affected_scores", "G03", f"WITH c AS (SELECT DISTINCT unnest({S.words('text')}) AS token FROM benchmark), d AS (SELECT DISTINCT doc_id AS test_id, unnest({S.words('text')}) AS token FROM documents) SELECT test_id, count(*) AS score FROM d JOIN c USING (token) GROUP BY test_id")
 def affected_scores(t: Tables) -> DataFrame:
-    changed = t.benchmark.where("item_id < 3").select(F.explode(T.words(F.col("text"))).alias("token"))
+    changed = t.benchmark.select(F.explode(T.words(F.col("text"))).alias("token"))
     return G.affected(changed, t.documents.select(F.col("doc_id").alias("test_id"), F.explode(T.words(F.col("text"))).alias("token")))
 
 
-@query("result_edges", "G04", f"SELECT DISTINCT caller, callee FROM {SQL_CALLS} WHERE caller <= 40 AND callee <= 1000")
+@query("result_edges", "G04", f"WITH r AS (SELECT node_id FROM {SQL_SYMBOLS} WHERE name = 'cold widget') SELECT caller, callee FROM {SQL_FLOWS} WHERE caller IN (SELECT node_id FROM r) AND callee IN (SELECT node_id FROM r)")
 def result_edges(t: Tables) -> DataFrame:
-    return t.calls().where("caller <= 40 and callee <= 1000").distinct()
+    """Edges of which both ends are results; the results here are the symbols of a name."""
+    return G.edges_among(t.flows(), t.symbols().where("name = 'cold widget'").select("node_id"))
 
 
 @query("file_dependency_edges", "G05", f"SELECT DISTINCT a.file_path AS source, b.file_path AS target FROM {SQL_CALLS} c JOIN {SQL_SYMBOLS} b ON c.callee = b.node_id JOIN {SQL_SYMBOLS} a ON a.node_id = c.caller WHERE a.file_path <> b.file_path")
@@ -67,15 +58,23 @@ def simple_cycles(t: Tables) -> DataFrame:
     return G.simple_cycles(G.transitions(t.events, "user_id", ["ts", "event_id"], "event_type"))
 
 
-@query("reverse_call_map", "G07", f"SELECT callee, count(DISTINCT caller) AS n, array_to_string(list_sort(list(DISTINCT caller)), ',') AS callers FROM {_SUPPLY} GROUP BY callee")
+@query(
+    "reverse_call_map",
+    "G07",
+    f"""WITH s AS (SELECT * FROM {SQL_SYMBOLS}), c AS (SELECT DISTINCT f.caller, CASE WHEN f.caller % 2 = 0 THEN b.name ELSE b.qualified_name END AS call FROM {SQL_FLOWS} f JOIN s b ON f.callee = b.node_id),
+    n AS (SELECT call, arg_max(name, node_id) AS own FROM (SELECT node_id, name, unnest([name, qualified_name, split_part(qualified_name, '::', -1)]) AS call FROM s) GROUP BY call)
+    SELECT DISTINCT caller, unnest([call, coalesce(own, call), split_part(call, '::', -1)]) AS key FROM c LEFT JOIN n USING (call)""",
+)
 def reverse_call_map(t: Tables) -> DataFrame:
-    edges = t.lineitem.where("l_orderkey <= 2000").select(F.col("l_orderkey").alias("caller"), F.col("l_suppkey").alias("callee"))
-    return G.reverse_calls(edges).select("callee", F.size("callers").cast("bigint").alias("n"), F.array_join("callers", ",").alias("callers"))
+    s = t.symbols()
+    named = s.select(F.col("node_id").alias("callee"), "name", "qualified_name")
+    calls = t.flows().join(named, "callee").select("caller", F.when(F.col("caller") % 2 == 0, F.col("name")).otherwise(F.col("qualified_name")).alias("call"))
+    return G.reverse_calls(calls, s)
 
 
-@query("undirected_relations", "G08", f"SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM {SQL_CALLS} WHERE caller <> callee AND caller <= 500")
+@query("undirected_relations", "G08", f"SELECT DISTINCT least(caller, callee) AS a, greatest(caller, callee) AS b FROM {SQL_CALLS} WHERE caller <> callee")
 def undirected_relations(t: Tables) -> DataFrame:
-    return G.undirected(t.calls().where("caller <= 500"))
+    return G.undirected(t.calls())
 
 
 @query("relation_extract", "G09", "SELECT DISTINCT page_id, kind, target FROM (SELECT page_id, 'links' AS kind, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages UNION ALL SELECT page_id, 'images', unnest(regexp_extract_all(html, 'src=\"([^\"]+)\"', 1)) FROM pages UNION ALL SELECT page_id, 'heads', unnest(regexp_extract_all(html, '<h1>([^<]+)</h1>', 1)) FROM pages)")

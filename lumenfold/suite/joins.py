@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.catalog import SQL_CALLS, SQL_FEEDBACK, SQL_MANIFEST, SQL_SYMBOLS, Tables
+from lumenfold.catalog import SQL_CALLS, SQL_FEEDBACK, SQL_FLOWS, SQL_MANIFEST, SQL_SYMBOLS, Tables
 from lumenfold.functions import text as T
 from lumenfold.operators import joins as J
 from lumenfold.registry import query
@@ -28,16 +28,19 @@ def edges_for_ids(t: Tables) -> DataFrame:
 @query(
     "name_resolution_fallback",
     "J04",
-    f"""WITH calls AS (SELECT p_partkey AS caller, CASE WHEN p_partkey % 3 = 0 THEN 'un ' || p_name ELSE p_name END AS call FROM part WHERE p_partkey <= 60),
-    sym AS (SELECT * FROM {SQL_SYMBOLS} WHERE node_id <= 200), keyed AS (SELECT *, {_KEY.format(x="call")} AS key FROM calls),
+    f"""WITH calls AS (SELECT p_partkey AS caller, CASE WHEN p_partkey % 3 = 0 THEN 'un ' || p_name ELSE p_name END AS call FROM part),
+    sym AS (SELECT * FROM {SQL_SYMBOLS}), keyed AS (SELECT *, {_KEY.format(x="call")} AS key FROM calls),
     names AS (SELECT node_id, unnest(list_distinct([{_KEY.format(x="name")}, {_KEY.format(x="qualified_name")}])) AS key FROM sym),
-    toks AS (SELECT node_id, unnest(list_filter(string_split({_KEY.format(x="name")}, ' '), lambda w: length(w) >= 3)) AS token FROM sym),
-    rest AS (SELECT caller, call, unnest(list_filter(string_split(key, ' '), lambda w: length(w) >= 3)) AS token FROM keyed WHERE key NOT IN (SELECT key FROM names))
-    SELECT DISTINCT caller, call, node_id, 'exact' AS how FROM keyed JOIN names USING (key) UNION SELECT DISTINCT caller, call, node_id, 'token' FROM rest JOIN toks USING (token)""",
+    toks AS (SELECT node_id, unnest(list_distinct(list_filter(string_split({_KEY.format(x="name")}, ' '), lambda w: length(w) >= 3))) AS token FROM sym),
+    by_name AS (SELECT key, list(node_id) AS ids FROM (SELECT * FROM names QUALIFY row_number() OVER (PARTITION BY key ORDER BY node_id) <= 8) GROUP BY key),
+    by_token AS (SELECT token, list(node_id) AS ids FROM (SELECT * FROM toks QUALIFY row_number() OVER (PARTITION BY token ORDER BY node_id) <= 8) GROUP BY token),
+    rest AS (SELECT caller, call, unnest(list_distinct(list_filter(string_split(key, ' '), lambda w: length(w) >= 3))) AS token FROM keyed WHERE key NOT IN (SELECT key FROM names)),
+    met AS (SELECT caller, call, 'exact' AS how, ids FROM keyed JOIN by_name USING (key) UNION ALL SELECT caller, call, 'token', ids FROM rest JOIN by_token USING (token))
+    SELECT caller, call, how, array_to_string(list_sort(list_distinct(flatten(list(ids))))[1:8], ',') AS targets FROM met GROUP BY caller, call, how""",
 )
 def name_resolution_fallback(t: Tables) -> DataFrame:
-    calls = t.part.where("p_partkey <= 60").select(F.col("p_partkey").alias("caller"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("un "), "p_name")).otherwise(F.col("p_name")).alias("call"))
-    return J.resolved_calls(calls, t.symbols().where("node_id <= 200"))
+    calls = t.part.select(F.col("p_partkey").alias("caller"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("un "), "p_name")).otherwise(F.col("p_name")).alias("call"))
+    return J.resolved_calls(calls, t.symbols()).withColumn("targets", F.array_join("targets", ","))
 
 
 @query("hydrate_documents", "J05", "SELECT b.vec_id, b.label, d.lang, d.n_chars FROM embeddings b LEFT JOIN documents d ON b.vec_id = d.doc_id")
@@ -64,10 +67,10 @@ def callers(t: Tables) -> DataFrame:
     return t.calls().join(wanted, "callee", "left_semi").select("caller").distinct().orderBy("caller").limit(20)
 
 
-@query("callees", "J08 G01", f"SELECT DISTINCT c.caller, p.p_name AS name FROM {SQL_CALLS} c JOIN part p ON c.callee = p.p_partkey WHERE c.caller <= 100")
+@query("callees", "J08 G01", f"SELECT DISTINCT c.caller, p.p_name AS name FROM {SQL_CALLS} c JOIN part p ON c.callee = p.p_partkey")
 def callees(t: Tables) -> DataFrame:
     names = t.symbols().select(F.col("node_id").alias("callee"), "name")
-    return t.calls().where("caller <= 100").join(names, "callee").select("caller", "name").distinct()
+    return t.calls().join(names, "callee").select("caller", "name").distinct()
 
 
 @query("same_file_peers_top8", "J09 W02", f"SELECT a.node_id, b.node_id AS peer, row_number() OVER (PARTITION BY a.node_id ORDER BY b.qualified_name, b.node_id) AS rank FROM {SQL_SYMBOLS} a JOIN {SQL_SYMBOLS} b ON a.file_path = b.file_path AND a.node_id <> b.node_id QUALIFY rank <= 8")
@@ -78,27 +81,29 @@ def same_file_peers_top8(t: Tables) -> DataFrame:
 @query(
     "rare_token_pairs",
     "J10 U05",
-    f"""WITH toks AS (SELECT item_id AS node_id, unnest({S.words("text")}) AS token FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark),
+    f"""WITH toks AS (SELECT node_id, unnest({S.words("x")}) AS token FROM (SELECT p_partkey AS node_id, concat_ws(' ', p_name, p_brand, 'size' || CAST(p_size AS VARCHAR)) AS x FROM part)), n AS (SELECT count(*) AS n FROM part),
     rare AS (SELECT token FROM toks GROUP BY token HAVING count(*) BETWEEN 2 AND (SELECT greatest(2, ceil(0.35 * n)) FROM n))
-    SELECT x.node_id AS a, y.node_id AS b, count(*) AS shared FROM toks x JOIN toks y USING (token) JOIN rare USING (token) WHERE x.node_id < y.node_id GROUP BY ALL""",
+    SELECT x.node_id, y.node_id AS peer, count(*) AS shared, row_number() OVER (PARTITION BY x.node_id ORDER BY count(*) DESC, y.node_id) AS rank FROM toks x JOIN toks y USING (token) JOIN rare USING (token) WHERE x.node_id <> y.node_id GROUP BY x.node_id, y.node_id QUALIFY rank <= 8""",
 )
 def rare_token_pairs(t: Tables) -> DataFrame:
-    tokens = t.benchmark.select(F.col("item_id").alias("node_id"), F.explode(T.words(F.col("text"))).alias("token"))
-    return J.rare_token_pairs(tokens, t.benchmark.count())
+    rows = t.part.select(F.col("p_partkey").alias("node_id"), F.explode(T.words(F.concat_ws(" ", "p_name", "p_brand", F.concat(F.lit("size"), F.col("p_size").cast("string"))))).alias("token"))
+    return J.rare_token_neighbours(rows, t.part)
 
 
-@query("references_contains", "J11", "SELECT DISTINCT p.p_partkey, s.needle FROM part p JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS needle FROM part WHERE p_partkey <= 40) s ON contains(p.p_name, s.needle)")
+@query("references_contains", "J11", "SELECT p.p_partkey, s.needle FROM part p JOIN (SELECT DISTINCT split_part(p_name, ' ', 1) AS needle FROM part) s ON contains(p.p_name, s.needle)")
 def references_contains(t: Tables) -> DataFrame:
-    seeds = t.part.where("p_partkey <= 40").select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("needle"))
-    return J.containing(seeds, t.part.select("p_partkey", "p_name"), "needle", "p_name").select("p_partkey", "needle").distinct()
+    seeds = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("needle"))
+    return J.containing(seeds, t.part.select("p_partkey", "p_name"), "needle", "p_name").select("p_partkey", "needle")
 
 
-@query("call_proximity", "J12 R16", "SELECT a.p_partkey AS seed, b.p_partkey AS node FROM part a JOIN part b ON a.p_partkey <> b.p_partkey AND (contains(lower(b.p_name), lower(split_part(a.p_name, ' ', 1))) OR contains(lower(a.p_name), lower(split_part(b.p_name, ' ', 2)))) WHERE a.p_partkey <= 10")
+@query("call_proximity", "J12", f"WITH c AS (SELECT DISTINCT a.p_name AS name, b.p_name AS call FROM {SQL_FLOWS} f JOIN part a ON f.caller = a.p_partkey JOIN part b ON f.callee = b.p_partkey), n AS (SELECT DISTINCT p_name AS name, split_part(p_name, ' ', 2) AS tail FROM part), m AS (SELECT DISTINCT c.name AS a, n.name AS b FROM c JOIN n ON contains(c.call, n.name) OR contains(c.call, n.tail)) SELECT a AS seed, b AS node FROM m WHERE a <> b UNION SELECT b, a FROM m WHERE a <> b")
 def call_proximity(t: Tables) -> DataFrame:
-    a = t.part.where("p_partkey <= 10").select(F.col("p_partkey").alias("seed"), F.lower("p_name").alias("an"))
-    b = t.part.select(F.col("p_partkey").alias("node"), F.lower("p_name").alias("bn"))
-    near = F.col("bn").contains(F.split_part("an", F.lit(" "), F.lit(1))) | F.col("an").contains(F.split_part("bn", F.lit(" "), F.lit(2)))
-    return b.join(F.broadcast(a), near & (F.col("seed") != F.col("node"))).select("seed", "node")  # ten seeds
+    """Names of which one calls (in the same order's next line) something that contains the other or its tail, both ways."""
+    name = lambda k: t.symbols().select(F.col("node_id").alias(k), F.col("name").alias(f"{k}_name"))
+    calls = t.flows().join(name("caller"), "caller").join(name("callee"), "callee").select("caller_name", F.col("callee_name").alias("call")).distinct()
+    wanted = t.symbols().select("name", F.explode(F.array("name", F.split_part("name", F.lit(" "), F.lit(2)))).alias("needle")).distinct()
+    near = J.containing(wanted, calls, "needle", "call").join(wanted, "needle").select(F.col("caller_name").alias("seed"), F.col("name").alias("node")).where("seed <> node")
+    return near.union(near.select("node", "seed")).distinct()
 
 
 @query("removed_files_anti", "J13", "SELECT DISTINCT source FROM documents WHERE source NOT IN (SELECT 'src' || CAST(label AS VARCHAR) FROM embeddings)")
@@ -123,26 +128,26 @@ def same_signature_first(t: Tables) -> DataFrame:
 
 @query("redundant_import_nulls", "J16", "SELECT p.page_id, min(l.label) AS module FROM (SELECT page_id, nullif(page_id % 4, 0) AS wanted FROM pages) p JOIN (SELECT DISTINCT label FROM embeddings) l ON p.wanted IS NULL OR p.wanted = l.label GROUP BY p.page_id")
 def redundant_import_nulls(t: Tables) -> DataFrame:
-    known = t.embeddings.select("label").distinct().orderBy("label").limit(J.MOST_SEEDS)
+    known = t.embeddings.select("label").distinct()
     wanted = t.pages.select("page_id", F.nullif(F.col("page_id") % 4, F.lit(0)).alias("wanted"))
-    return wanted.join(F.broadcast(known), F.col("wanted").isNull() | (F.col("wanted") == F.col("label"))).groupBy("page_id").agg(F.min("label").alias("module"))
+    # what names nothing matches all, so the first of all; the rest meets by name
+    some = wanted.where("wanted is not null").join(known, F.col("wanted") == F.col("label")).groupBy("page_id").agg(F.min("label").alias("module"))
+    first = known.agg(F.min("label").alias("module")).where("module is not null")  # one row
+    return wanted.where("wanted is null").select("page_id").join(F.broadcast(first)).unionByName(some)
 
 
 @query(
     "similar_class_subset",
     "J17",
-    """WITH s AS (SELECT l_orderkey AS id, list(DISTINCT l_returnflag) AS flags FROM lineitem WHERE l_orderkey <= 200 GROUP BY 1)
-    SELECT a.id AS added, min(b.id) AS existing FROM s a JOIN s b ON a.id <> b.id AND len(list_filter(a.flags, lambda f: NOT list_contains(b.flags, f))) = 0 GROUP BY 1""",
+    """WITH s AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_returnflag || l_linestatus)) AS flags FROM lineitem GROUP BY 1),
+    k AS (SELECT flags, min(id) AS one, (list_sort(list(id)))[2] AS two FROM s GROUP BY flags),
+    h AS (SELECT a.flags, list_sort(list_filter(flatten(list([b.one, b.two])), lambda x: x IS NOT NULL))[1:2] AS ids FROM k a JOIN k b ON len(list_filter(a.flags, lambda f: NOT list_contains(b.flags, f))) = 0 GROUP BY a.flags)
+    SELECT s.id AS added, CASE WHEN ids[1] <> s.id THEN ids[1] ELSE ids[2] END AS existing FROM s JOIN h USING (flags) WHERE ids[1] <> s.id OR ids[2] IS NOT NULL""",
 )
 def similar_class_subset(t: Tables) -> DataFrame:
-    sets = t.lineitem.where("l_orderkey <= 200").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_returnflag").alias("flags"))
-    # equal sets answer alike: the join is between distinct sets, each with its two first owners
-    kinds = sets.withColumn("flags", F.array_sort("flags")).groupBy("flags").agg(F.slice(F.array_sort(F.collect_set("id")), 1, 2).alias("ids"))
-    other = kinds.select(F.col("flags").alias("theirs"), F.col("ids").alias("their_ids"))
-    held = kinds.select("flags").join(other, F.size(F.array_except("flags", "theirs")) == 0)
-    first = held.groupBy("flags").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("their_ids")))), 1, 2).alias("two"))
-    rows = sets.withColumn("flags", F.array_sort("flags")).join(first, "flags")
-    return rows.select(F.col("id").alias("added"), F.when(F.col("two")[0] != F.col("id"), F.col("two")[0]).otherwise(F.get("two", F.lit(1))).alias("existing")).where("existing is not null")
+    sets = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))).alias("flags"))
+    rows = sets.join(J.subsets(sets, "id", "flags"), "flags")
+    return rows.select(F.col("id").alias("added"), F.when(F.get("ids", F.lit(0)) != F.col("id"), F.get("ids", F.lit(0))).otherwise(F.get("ids", F.lit(1))).alias("existing")).where("existing is not null")
 
 
 @query("annotation_fallback_join", "J18", "SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), e.note, 'none') AS note FROM documents d LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT source, min(lang) AS note FROM documents GROUP BY source) e USING (source)")
