@@ -30,11 +30,18 @@ ROUTING_HINTS = ["intent", "parse", "query", "route", "router"]
 _PUNCTUATION = r"""[_\-./:(){}\[\],;<>+=!?'"`|\\]+"""
 
 
+#: The marks of _PUNCTUATION one by one.
+_MARKS = """_-./:(){}[],;<>+=!?'"`|\\"""
+
+
+def _humps(text: Column) -> Column:
+    camel = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
+    return F.regexp_replace(camel, "([A-Z]+)([A-Z][a-z])", "$1 $2")
+
+
 def spaced(text: Column) -> Column:
     """Words of identifiers and paths set apart by spaces; case stays."""
-    camel = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
-    acronym = F.regexp_replace(camel, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.regexp_replace(acronym, _PUNCTUATION, " ")
+    return F.regexp_replace(_humps(text), _PUNCTUATION, " ")
 
 
 def normalized(text: Column) -> Column:
@@ -43,7 +50,9 @@ def normalized(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Distinct, sorted tokens of LEAST_TOKEN characters or more that are not numbers; no stems."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(normalized(text), r"\s+"), lambda t: (F.length(t) >= LEAST_TOKEN) & ~t.rlike(r"^\d+$"))))
+    # marks become spaces one by one, as runs of spaces split alike; only different tokens are looked at
+    parts = F.split(F.lower(F.translate(_humps(text), _MARKS, " " * len(_MARKS))), r"\s+")
+    return F.sort_array(F.filter(F.array_distinct(parts), lambda t: (F.length(t) >= LEAST_TOKEN) & ~t.rlike(r"^\d+$")))
 
 
 def stems(token: Column) -> Column:
@@ -71,7 +80,7 @@ def tokens(text: Column, synonyms: bool = False) -> Column:
         lit = lambda xs: F.array(*map(F.lit, xs))
         asked = F.arrays_overlap(out, lit(ROUTING_ANCHORS)) & F.arrays_overlap(out, lit(ROUTING_TRIGGERS))
         out = F.when(asked, F.array_union(out, lit(ROUTING_HINTS))).otherwise(out)
-    return F.array_sort(out)
+    return F.sort_array(out)
 
 
 def canonical(text: Column) -> Column:

@@ -51,5 +51,13 @@ def expired(rows: DataFrame, ts: str, ttl: str) -> DataFrame:
     return rows.join(F.broadcast(now), F.col(ts) + F.expr(ttl) < F.col("__now")).drop("__now")
 
 
+def members(rows: DataFrame, group: Column, member: str) -> DataFrame:
+    """group, member and n, the group's number of members. Counts combine before the shuffle and join back,
+    so that a group of any size is spread over tasks."""
+    pairs = rows.select(group, member)
+    name = pairs.columns[0]
+    return pairs.join(pairs.groupBy(name).agg(F.count("*").alias("n")), name)
+
+
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)

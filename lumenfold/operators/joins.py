@@ -15,9 +15,8 @@ GRAM = 3
 
 
 def target_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """caller and the sorted distinct names it calls."""
-    named = edges.join(nodes.select(F.col("node_id").alias("callee"), "name"), "callee")
-    return named.groupBy("caller").agg(F.array_sort(F.collect_set("name")).alias("calls"))
+    """caller and name, each pair once: the names a caller calls."""
+    return edges.join(nodes.select(F.col("node_id").alias("callee"), "name"), "callee").select("caller", "name").distinct()
 
 
 def resolved_calls(calls: DataFrame, symbols: DataFrame, least: int = 3, most: int = MOST_TARGETS) -> DataFrame:

@@ -68,9 +68,10 @@ def corpus_stats(t: Tables) -> DataFrame:
     return t.documents.agg(F.count("*").alias("n_docs"), F.round(F.avg(F.size(T.words(F.col("text")))), 6).alias("mean_length"))
 
 
-@query("docs_per_file", "A09", "SELECT source AS file_path, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS doc_ids FROM documents GROUP BY source")
+@query("docs_per_file", "A09", "SELECT source AS file_path, doc_id, count(*) OVER (PARTITION BY source) AS n FROM documents")
 def docs_per_file(t: Tables) -> DataFrame:
-    return t.documents.groupBy(F.col("source").alias("file_path")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("doc_ids"))
+    """A row a file and document, with how many the file has: no file's documents meet in one row."""
+    return A.members(t.documents, F.col("source").alias("file_path"), "doc_id")
 
 
 @query("group_findings", "A10", "SELECT event_type AS type, user_id AS file, count(*) AS match_count, array_to_string(list_sort(list(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)))[1:5], ',') AS first_five, bool_and(value > 1) AS all_discussed FROM events GROUP BY ALL")

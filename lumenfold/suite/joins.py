@@ -14,9 +14,9 @@ from lumenfold.suite import sql as S
 _KEY = "trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query("edges_target_names", "J01", f"SELECT c.caller, array_to_string(list_sort(list(DISTINCT p.p_name)), ',') AS calls FROM {SQL_CALLS} c JOIN part p ON c.callee = p.p_partkey GROUP BY c.caller")
+@query("edges_target_names", "J01", f"SELECT DISTINCT c.caller, p.p_name AS name FROM {SQL_CALLS} c JOIN part p ON c.callee = p.p_partkey")
 def edges_target_names(t: Tables) -> DataFrame:
-    return J.target_names(t.calls(), t.symbols()).select("caller", F.array_join("calls", ",").alias("calls"))
+    return J.target_names(t.calls(), t.symbols())
 
 
 @query("edges_for_ids", "J02", f"SELECT caller, callee FROM {SQL_CALLS} WHERE caller IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")

@@ -25,7 +25,7 @@ _TERMS = ["the", "and", "der", "que"]
 @query(
     "bm25_topk",
     "R05",
-    f"""WITH t AS (SELECT doc_id, {S.words("text")} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+    f"""WITH t AS (SELECT doc_id, {S.tokens("text")} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
     d AS (SELECT x, count(*) FILTER (list_contains(w, x)) AS df FROM t, (SELECT unnest({S.in_list(_TERMS)}) AS x) GROUP BY x)
     SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(w) / mean)), 6) AS score FROM t, s, d WHERE list_contains(w, x) GROUP BY doc_id, w, n, mean ORDER BY score DESC, doc_id LIMIT 20""",
 )
@@ -34,10 +34,14 @@ def bm25_topk(t: Tables) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("token_cosine", "R06", f"WITH a AS (SELECT item_id, {S.words('text')} AS w FROM benchmark) SELECT item_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, ['the', 'of', 'and'])) / sqrt(3.0 * len(w)) END, 6)::DOUBLE AS score FROM a")
+#: A query's tokens with stems and synonyms.
+_EXPANDED = Q.tokens("ordering the sources of results and testing")
+
+
+@query("token_cosine", "R06", f"WITH a AS (SELECT doc_id, {S.tokens('text')} AS w FROM documents) SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, {S.in_list(_EXPANDED)})) / sqrt({len(_EXPANDED)}.0 * len(w)) END, 6)::DOUBLE AS score FROM a")
 def token_cosine(t: Tables) -> DataFrame:
-    asked = F.array(*map(F.lit, ["the", "of", "and"]))
-    return t.benchmark.select("item_id", F.round(V.token_cosine(asked, T.words(F.col("text"))), 6).alias("score"))
+    asked = F.array(*map(F.lit, _EXPANDED))
+    return t.documents.select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.round(V.token_cosine(asked, F.col("w")), 6).alias("score"))
 
 
 @query("dense_cosine_topk", "R07 R11", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY round({_COS}, 9) DESC, vec_id LIMIT 10")
@@ -50,21 +54,23 @@ def knn_filtered(t: Tables) -> DataFrame:
     return R.nearest(t.embeddings.where("label = 3"), TARGET, 5).select("vec_id", F.round("score", 6).alias("score"))
 
 
-_SPARSE = "(SELECT item_id, idx, count(*)::DOUBLE AS v FROM (SELECT item_id, CAST(('0x' || left(sha256(t), 8))::UBIGINT % 1000003 AS BIGINT) AS idx FROM (SELECT item_id, unnest({tokens}) AS t FROM benchmark)) GROUP BY ALL)".format(tokens=S.tokens("text"))
+def _sparse(table: str, key: str) -> str:
+    return f"(SELECT {key}, idx, count(*)::DOUBLE AS v FROM (SELECT {key}, CAST(('0x' || left(sha256(t), 8))::UBIGINT % 1000003 AS BIGINT) AS idx FROM (SELECT {key}, unnest({S.tokens('text')}) AS t FROM {table})) GROUP BY ALL)"
 
 
-@query("sparse_ip", "R09", f"SELECT a.item_id AS a, b.item_id AS b, sum(a.v * b.v) AS ip FROM {_SPARSE} a JOIN {_SPARSE} b USING (idx) WHERE a.item_id < b.item_id AND a.item_id < 5 GROUP BY ALL")
+@query("sparse_ip", "R09", f"SELECT a.item_id, b.doc_id, sum(a.v * b.v) AS score FROM {_sparse('benchmark', 'item_id')} a JOIN {_sparse('documents', 'doc_id')} b USING (idx) GROUP BY a.item_id, b.doc_id QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY sum(a.v * b.v) DESC, b.doc_id) <= 10")
 def sparse_ip(t: Tables) -> DataFrame:
-    rows = t.benchmark.select("item_id", F.explode(R.sparse_vector(F.col("text"))).alias("idx", "v"))
-    a = rows.where("item_id < 5").select(F.col("item_id").alias("a"), "idx", F.col("v").alias("x"))
-    return a.join(rows.select(F.col("item_id").alias("b"), "idx", F.col("v").alias("y")), "idx").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("ip"))
+    """The ten documents of largest inner product for each benchmark item."""
+    found = R.sparse_scores(R.sparse_postings(t.benchmark, "item_id", "text"), R.sparse_postings(t.documents, "doc_id", "text"), "item_id", "doc_id")
+    return W.first_per(found, ["item_id"], [F.desc("score"), F.asc("doc_id")], 10).drop("rank")
 
 
-@query("sparse_cosine", "R08", f"WITH s AS (SELECT * FROM {_SPARSE}), n AS (SELECT item_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1), f AS (SELECT * FROM s WHERE item_id = 0) SELECT s.item_id, round(sum(s.v * f.v) / (any_value(n.norm) * (SELECT norm FROM n WHERE item_id = 0)), 6) AS score FROM s JOIN f USING (idx) JOIN n ON n.item_id = s.item_id GROUP BY s.item_id")
+@query("sparse_cosine", "R08", f"WITH s AS (SELECT * FROM {_sparse('documents', 'doc_id')}), n AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM s GROUP BY 1), f AS (SELECT * FROM {_sparse('benchmark', 'item_id')} WHERE item_id = 0) SELECT s.doc_id, round(sum(s.v * f.v) / (any_value(n.norm) * (SELECT sqrt(sum(v * v)) FROM f)), 6) AS score FROM s JOIN f USING (idx) JOIN n ON n.doc_id = s.doc_id GROUP BY s.doc_id")
 def sparse_cosine(t: Tables) -> DataFrame:
-    rows = t.benchmark.select("item_id", R.sparse_vector(F.col("text")).alias("s"))
-    one = rows.where("item_id = 0").select(F.col("s").alias("q"))  # one row
-    return rows.join(F.broadcast(one)).select("item_id", F.round(V.sparse_cosine(F.col("s"), F.col("q")), 6).alias("score")).where("score > 0")
+    """All documents by cosine with the first benchmark item, those that share nothing with it aside."""
+    asked = R.sparse_postings(t.benchmark.where("item_id = 0"), "item_id", "text")
+    found = R.sparse_scores(asked, R.sparse_postings(t.documents, "doc_id", "text"), "item_id", "doc_id", cosine=True)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("local_embedding", "R10", f"WITH b AS (SELECT p_partkey, CAST(('0x' || left(sha256('dense:' || t), 8))::UBIGINT % 64 AS BIGINT) AS bucket FROM (SELECT p_partkey, unnest({S.tokens('p_name')}) AS t FROM part)), c AS (SELECT p_partkey, bucket, count(*) AS n FROM b GROUP BY ALL) SELECT p_partkey, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)), 6) AS weight FROM c")
@@ -72,14 +78,10 @@ def local_embedding(t: Tables) -> DataFrame:
     return R.local_embedding(t.part, "p_partkey", "p_name").withColumn("weight", F.round("weight", 6))
 
 
-@query("knn_lsh", "R11")
-def knn_lsh(t: Tables) -> DataFrame:
-    """Approximate neighbours by random projections, for corpora where an exact scan is too slow; exact cosine ranks what the buckets find."""
-    planes = [[math.sin((p + 1) * (i + 1)) for i in range(64)] for p in range(6)]
-    code = F.concat(*(F.when(V.dot(F.col("embedding"), F.array(*map(F.lit, p))) > 0, "1").otherwise("0") for p in planes))
-    wanted = "".join("1" if sum(a * b for a, b in zip(TARGET, p, strict=True)) > 0 else "0" for p in planes)
-    near = [wanted, *(wanted[:i] + ("0" if wanted[i] == "1" else "1") + wanted[i + 1 :] for i in range(6))]
-    return R.nearest(t.embeddings.where(code.isin(near)), TARGET, 10).select("vec_id", F.round("score", 6).alias("score"))
+@query("knn_quantised", "R11", f"SELECT vec_id, round({_COS}, 6) AS score FROM embeddings ORDER BY round({_COS}, 9) DESC, vec_id LIMIT 10")
+def knn_quantised(t: Tables) -> DataFrame:
+    """Approximate neighbours: a byte a component is scanned, the best are scored exactly. SQL scans all vectors exactly."""
+    return R.nearest_quantised(R.quantised(t.embeddings), t.embeddings, TARGET, 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
 def _graph_sql(terms: list[str]) -> str:
@@ -141,23 +143,24 @@ def hybrid_rerank(t: Tables) -> DataFrame:
 
 @query("coverage_diversify", "R23")
 def coverage_diversify(t: Tables) -> DataFrame:
+    """Ten of the best forty documents, new terms first; those of one source are anchors."""
     terms = F.array_intersect(T.words(F.col("text")), F.array(*map(F.lit, ["the", "and", "of", "der", "que", "la", "les"])))
-    rows = t.documents.select(F.col("doc_id").alias("node_id"), (F.size(terms) / 7.0).alias("score"), terms.alias("terms"))
-    return R.diversified(rows, 20)
+    rows = t.documents.select(F.col("doc_id").alias("node_id"), "source", terms.alias("terms"))
+    return R.diversified(rows.select("node_id", (F.size("terms") / 7.0).alias("score"), "terms", (F.col("source") == "src1").alias("is_anchor")), 40, 10)
 
 
 @query(
     "dedup_check",
     "R28 R29",
-    f"""WITH b AS (SELECT item_id, {S.words("text")} AS bw FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, {S.words("text")} AS dw FROM documents),
-    p AS (SELECT item_id, doc_id, round(least(1.0, (len(list_intersect(bw, dw)) / len(bw) + len(list_intersect(bw, dw)) / len(dw)) / 2), 6) AS score FROM b, d WHERE len(dw) > 0)
-    SELECT item_id, doc_id, score FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 3""",
+    f"""WITH d AS (SELECT doc_id, {S.words("text")} AS w FROM documents), q AS (SELECT doc_id AS query_id, w AS bw FROM d WHERE doc_id % 20 = 0 AND len(w) > 0),
+    p AS (SELECT query_id, doc_id, least(1.0, (len(list_intersect(bw, w)) / len(bw) + len(list_intersect(bw, w)) / len(w)) / 2) AS score FROM q, d WHERE len(w) > 0 AND doc_id <> query_id)
+    SELECT query_id, doc_id, round(score, 6) AS score FROM p WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5""",
 )
 def dedup_check(t: Tables) -> DataFrame:
-    asked = t.benchmark.where("item_id < 10").select("item_id", T.words(F.col("text")).alias("bw"))
-    docs = t.documents.select("doc_id", T.words(F.col("text")).alias("dw")).where(F.size("dw") > 0)
-    pairs = docs.join(F.broadcast(asked)).select("item_id", "doc_id", F.round(V.conservative_similarity(F.col("bw"), F.col("dw")), 6).alias("score"))  # ten queries
-    return W.first_per(pairs, ["item_id"], [F.desc("score"), F.asc("doc_id")], 3).drop("rank")
+    """For every document whose id 20 divides, the five documents most like it, at 0.85 or more."""
+    docs = t.documents.select("doc_id", T.words(F.col("text")).alias("tokens"))
+    asked = docs.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return R.resembling(asked, docs, 0.85, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("semantic_content", "R26", f"SELECT node_id, name || ' ' || array_to_string(list_sort(list_filter({S.tokens('qualified_name')}, lambda x: NOT contains(lower(name), x)))[1:8], ' ') AS content FROM {SQL_SYMBOLS}")
@@ -190,7 +193,40 @@ def annotate_rules(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(notes, ",").alias("notes"))
 
 
-@query("search_pipeline", "L02 L03 R14 R19 W09 U01 A06 P01")
+SEARCHED = "similar ranking of the function in src1 and des"
+
+
+def _search_sql(text: str, topk: int = 10, budget: int = 8000) -> str:
+    """The whole search as one statement; what the driver knows of the query is spelt out in it."""
+    q = Q.parse(text)
+    assert q.route != "hybrid" and not q.filters and not q.anchors_only
+    topk = Q.result_limit(q, topk)
+    limits = {k: v * topk for k, v in Q.CANDIDATES.items()}
+    share = lambda x: "(" + " + ".join(f"CASE WHEN contains({x}, '{t}') THEN 1 ELSE 0 END" for t in q.terms) + f") / {len(q.terms)}.0::DOUBLE"
+    asked = R.asked_embedding(list(q.terms))
+    weight = "CASE bucket " + " ".join(f"WHEN {k} THEN {v!r}::DOUBLE" for k, v in asked.items()) + " END"
+    lines = "string_split_regex(content, '\\r?\\n')"
+    head = f"CASE WHEN len({lines}) <= 22 THEN content ELSE array_to_string({lines}[1:22], chr(10)) || chr(10) || '... truncated ' || CAST(len({lines}) - 22 AS VARCHAR) || ' lines' END"
+    cut = lambda source, table: f"(SELECT node_id, '{source}' AS source, score * {q.weights[source]}::DOUBLE AS score FROM {table} WHERE score > 0 ORDER BY round({table}.score, 9) DESC, node_id LIMIT {limits[source]})"
+    part = lambda c: f"CASE WHEN max({c}) OVER () > 0 THEN greatest({c}, 0) / max({c}) OVER () ELSE 0 END"
+    f, prior = q.features, Q.PRIOR_WEIGHTS[q.route]
+    return f"""WITH n AS (SELECT * FROM {SQL_NODES}), fts AS (SELECT node_id, {share("lower(content)")} AS score FROM n), graph AS (SELECT node_id, {share(S.normalized("concat_ws(' ', file_path, kind)"))} AS score FROM n),
+    b AS (SELECT node_id, bucket, count(*) AS k FROM (SELECT node_id, CAST(('0x' || left(sha256('dense:' || x), 8))::UBIGINT % 64 AS BIGINT) AS bucket FROM (SELECT node_id, unnest({S.tokens("content")}) AS x FROM n)) GROUP BY ALL),
+    e AS (SELECT node_id, bucket, k / sqrt(sum(k * k) OVER (PARTITION BY node_id)) AS weight FROM b), vector AS (SELECT node_id, sum(weight * ({weight})) AS score FROM e WHERE bucket IN ({", ".join(map(str, asked))}) GROUP BY node_id),
+    d AS ({cut("graph", "graph")} UNION ALL {cut("fts", "fts")} UNION ALL {cut("vector", "vector")}),
+    m AS (SELECT node_id, sum(score) + 0.25 * (count(*) - 1) AS merged, coalesce(max(score) FILTER (source = 'fts'), 0) AS lexical, coalesce(max(score) FILTER (source = 'vector'), 0) AS semantic, coalesce(max(score) FILTER (source = 'graph'), 0) AS structure FROM d GROUP BY node_id ORDER BY round(sum(score) + 0.25 * (count(*) - 1), 9) DESC, node_id LIMIT {limits["merged"]}),
+    r AS (SELECT n.node_id, n.file_path, {head} AS shown, ({part("lexical")} * {f["lexical"]} + {part("semantic")} * {f["semantic"]} + least(structure, 1) * {f["structure"]} + CASE state WHEN 'fresh' THEN 1.0 WHEN 'pending' THEN 0.45 WHEN 'stale' THEN 0.15 ELSE 0.0 END * {f["freshness"]}) * {1 - prior} + {part("merged")} * {prior} AS score FROM m JOIN n USING (node_id) JOIN {SQL_MANIFEST} s ON s.doc_id = n.node_id),
+    k AS (SELECT *, {S.token_estimate("shown")} AS cost, row_number() OVER (ORDER BY round(score, 9) DESC, file_path, node_id) AS rank FROM r), x AS (SELECT *, {budget} - coalesce(sum(cost + 5) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM k WHERE rank <= {topk})
+    SELECT node_id, file_path, round(score, 6)::DOUBLE AS score, rank, CAST(least(cost + 5, remaining) AS BIGINT) AS used FROM x WHERE remaining > 5"""
+
+
+@query("search_pipeline", "L02 L03 L04 R13 R14 R19 W09 U01 A06 P01", _search_sql(SEARCHED))
 def search_pipeline(t: Tables) -> DataFrame:
     """The whole query: parse, route, three branches, merge, rerank, budget."""
-    return R.search(t.nodes(), t.manifest(), t.embeddings, "how does the function relate to src1")
+    return R.search(t.nodes(), t.manifest().select("doc_id", "state"), R.index(t.nodes()), SEARCHED)
+
+
+@query("search_hybrid", "R23 R24 L04")
+def search_hybrid(t: Tables) -> DataFrame:
+    """A query on the hybrid route, whose window is reordered so that new terms are covered first."""
+    return R.search(t.nodes(), t.manifest().select("doc_id", "state"), R.index(t.nodes()), "how does the function relate to src1 and der")
