@@ -24,7 +24,7 @@ def test_bm25_ranks_the_document_that_holds_the_terms(spark):
 
 def test_diversified_covers_new_terms_first(spark):
     rows = spark.createDataFrame([(1, 1.0, ["a", "b"]), (2, 0.9, ["a", "b"]), (3, 0.1, ["c"])], "node_id long, score double, terms array<string>")
-    out = ranking.diversified(rows, 10).orderBy("place").collect()
+    out = ranking.diversified(rows, 10, 10).orderBy("place").collect()
     assert [r["node_id"] for r in out] == [1, 3, 2]
 
 
