@@ -96,19 +96,71 @@ def test_strings_that_start_earlier_go(monkeypatch, corpus, hot, paired):
         assert (out[doc]["n_bytes"], out[doc]["n_removed"], out[doc]["n_spans"], out[doc]["kept_sha256"]) == (len(data), len(data) - len(kept), spans, sha(kept)), doc
 
 
-def test_suffix_levels_are_logarithmic():
-    rng = np.random.default_rng(1)
-    family, seen = suffix_dedup.SuffixFamily(8), set()
-    for _ in range(50):
-        text = rng.integers(97, 99, 120).astype(np.uint8)
-        starts = np.arange(len(text) - 7)
-        found = family.add(text, starts)
-        for s, f in zip(starts.tolist(), found.tolist(), strict=True):
-            key = text[s : s + 8].tobytes()
-            assert f == (key in seen)
-            seen.add(key)
-    assert sum(map(len, family.levels)) == len(seen)
-    assert len(family.levels) <= 10
+def anchors_of(texts, length):
+    """All anchors of texts, in corpus order; documents are numbered from 0."""
+    data = [t if isinstance(t, bytes) else t.encode() for t in texts]
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    offsets = np.cumsum([0, *map(len, data)])
+    found = suffix_dedup.Instances(flat, offsets, length)
+    windows = found.last - found.first + 1
+    return suffix_dedup.Anchors(found.hash, found.text, found.first - offsets[found.text], windows, found.at - found.first, flat[suffix_dedup.spread(found.first, windows + length - 1)], length)
+
+
+@pytest.mark.parametrize("paired, batch, windows", [(24, 1 << 16, 1 << 16), (24, 7, 1 << 16), (1, 7, 30), (3, 40, 100)])
+def test_the_family_finds_every_window(monkeypatch, paired, batch, windows):
+    """Pairs, crowds and equal surroundings in one batch and in many; levels stay logarithmic."""
+    monkeypatch.setattr(suffix_dedup, "MOST_PAIRED", paired)
+    monkeypatch.setattr(suffix_dedup, "BATCH_ANCHORS", batch)
+    monkeypatch.setattr(suffix_dedup, "BATCH", windows)
+    rng, length = random.Random(paired + batch), 12
+    passages = ["".join(rng.choices("ab\0", k=rng.randint(5, 40))) for _ in range(12)]
+    texts = ["".join(rng.choices([*passages, "x", "yy", "\0\0"], k=rng.randint(0, 8))) for _ in range(60)] + ["a" * 50] * 3
+    family = suffix_dedup.SuffixFamily(length)
+    doc, start, runs = family.extend(anchors_of(texts, length))
+    got = {(d, s + i) for d, s, n in zip(doc.tolist(), start.tolist(), runs.tolist(), strict=True) for i in range(n)}
+    seen, want = set(), set()
+    for d, t in enumerate(texts):
+        for i in range(len(t) - length + 1):
+            if t[i : i + length] in seen:
+                want.add((d, i))
+            seen.add(t[i : i + length])
+    assert got == want
+    sizes = list(map(len, family.levels))
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) <= 10
+
+
+def test_a_kept_index_meets_the_next_batch(spark, corpus):
+    """Two batches through a kept index mark what one run over both does."""
+    length = 40
+    rows = in_order(corpus)
+    whole, cut = {r["doc_id"]: r["blob"] for r in suffix_dedup.later_windows(suffix_dedup.base.documents(corpus), length).collect()}, 45
+    marks, index = suffix_dedup.extended(corpus.where(f"doc_id < {cut}"), None, length)
+    later, index = suffix_dedup.extended(corpus.where(f"doc_id >= {cut}"), index, length)
+    assert {r["doc_id"] for r in marks.collect()} <= set(range(cut))
+    kept = {r["doc_id"]: r["blob"] for r in marks.union(later).collect()}
+    for doc, text in rows:
+        n = len(text.encode())
+        assert suffix_dedup.kept_bytes(n, kept.get(doc), length).tolist() == suffix_dedup.kept_bytes(n, whole.get(doc), length).tolist(), doc
+    again, _ = suffix_dedup.extended(corpus.where("doc_id % 7 = 0"), index, length)
+    gone = {r["doc_id"]: r["blob"] for r in again.collect()}
+    for doc, text in rows:
+        if doc % 7 == 0 and len(text.encode()) >= length:
+            assert not suffix_dedup.kept_bytes(len(text.encode()), gone[doc], length).any()
+
+
+def test_anchors_that_become_hot_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "hot_anchors", lambda repeated: np.array(sorted(hot), np.uint64))
+    length, hot = 20, set()
+    texts = [f"{i} some common passage of many words {i} and more" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = suffix_dedup.deduplicated(docs, length).orderBy("doc_id").collect()
+    marks, index = suffix_dedup.extended(docs.where("doc_id < 10"), None, length)
+    hot |= set(anchors_of(texts, length).h.tolist()[::2])
+    later, _ = suffix_dedup.extended(docs.where("doc_id >= 10"), index, length)
+    got = {r["doc_id"]: r["blob"] for r in marks.union(later).collect()}
+    for r, text in zip(plain, texts, strict=True):
+        keep = suffix_dedup.kept_bytes(len(text), got.get(r["doc_id"]), length)
+        assert bytes(b for b, k in zip(text.encode(), keep.tolist(), strict=True) if k) == bytes(r["kept"])
 
 
 def brute_join(rows, words, similar):
