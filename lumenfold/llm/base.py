@@ -287,6 +287,17 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
 
 
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with a row an id: the different texts of repeated ids, in order, one after another.
+
+    Only ids are counted; texts move only where some id is repeated."""
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs
+    joint = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("text")), "\n").alias("text"))
+    return docs.join(again, "doc_id", "left_anti").unionByName(joint)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -141,7 +141,13 @@ def least_overlap(n: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
     return -(-n * similar[0] // similar[1])
 
 
-CANDIDATES = "doc_id bigint, n bigint, prefix int, blob binary"
+def size_class(n: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
+    """Classes of sizes: sets whose classes are more than one apart can't link."""
+    width = max(np.log(similar[1] / similar[0]) * 1.0001, 1e-9) if similar[0] else np.inf
+    return np.floor(np.log(np.maximum(n, 1)) / width).astype(np.int64)
+
+
+CANDIDATES = "doc_id bigint, n bigint, cls bigint, prefix int, blob binary"
 
 
 def _candidates(similar):
@@ -157,9 +163,9 @@ def _candidates(similar):
                 prefix = n - int(least_overlap(np.int64(n), similar)) + 1 - (n - len(entries))
                 if prefix > 0:
                     entries = entries[np.lexsort((entries["hash"], entries["df"]))]
-                    out.append((doc, n, min(prefix, len(entries)), entries.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n", "prefix", "blob"])
+                    out.append((doc, n, int(size_class(np.int64(n), similar)), min(prefix, len(entries)), entries.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "n", "cls", "prefix", "blob"])
 
     return run
 
@@ -170,7 +176,7 @@ def _prefix_tokens(batches):
         for prefix, blob in zip(batch.column("prefix").to_pylist(), batch.column("blob").to_pylist(), strict=True):
             tokens.append(np.frombuffer(blob, ENTRY, prefix)["hash"].view(np.int64) if prefix == len(blob) // ENTRY.itemsize else np.ascontiguousarray(np.frombuffer(blob, ENTRY, prefix)["hash"]).view(np.int64))
         sizes = batch.column("prefix").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.concatenate(tokens))), pa.array(np.repeat(docs, sizes))], names=["token", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.concatenate(tokens))), pa.array(np.repeat(docs, sizes)), pa.array(np.repeat(batch.column("cls").to_numpy(), sizes))], names=["token", "doc_id", "cls"])
 
 
 def adaptive_join(n: np.ndarray, entries: list[np.ndarray], key: np.ndarray, side: np.ndarray, cross: np.ndarray, similar: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,27 +257,39 @@ def joined(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMIL
     directly, equal sets included), a row a document.
 
     Two sets link when similar[1] * intersection >= similar[0] * union. Fewer words than `words` make
-    one shingle; null, empty and blank texts have none and link with nothing. Rows that repeat an
-    id give one row; their shingles count as one document's."""
-    found = written(shared_shingles(base.documents(docs), words))
-    sets = found.where("n is not null").groupBy("doc_id").agg(F.max("n").alias("n"), F.max("blob").alias("print"))
+    one shingle; null, empty and blank texts have none and link with nothing. Rows that repeat an id
+    give one row; they are one document, of their different texts in order, one after another. Texts
+    of any length are read whole, equal sets always link, an empty table gives no rows, and columns
+    other than doc_id and text may have any name."""
+    found = written(shared_shingles(base.one_per_id(base.documents(docs)), words))
+    sets = found.where("n is not null").select("doc_id", "n", F.col("blob").alias("print"))
     classes = sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"))
     per_doc = found.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list(F.when(F.col("n").isNull(), F.col("blob"))).alias("blobs"))
     candidates = written(per_doc.where(F.size("blobs") > 0).mapInArrow(_candidates(similar), CANDIDATES))
 
-    tokens = written(candidates.select("doc_id", "prefix", "blob").mapInArrow(_prefix_tokens, "token bigint, doc_id bigint"))
-    stars = tokens.groupBy("token").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).where("b < top").select("token", "b")
-    groups = components(tokens.join(stars, "token").select(F.col("doc_id").alias("a"), "b")).withColumnRenamed("node", "doc_id")
-
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = groups.join(sizes, "component").join(candidates.select("doc_id", "n", "blob"), "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "times"), "doc_id")
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("doc_id"), "n_blocks").cast("long")).withColumn("other", F.explode(F.expr("sequence(0, n_blocks - 1)")))
-    low, high = F.least("side", "other"), F.greatest("side", "other")
-    dealt = dealt.withColumn("key", F.xxhash64("component", low, high)).withColumn("is_cross", F.col("side") != F.col("other"))
-    # rows of a pair of blocks that come from the same side meet in that side's own key only
-    dealt = dealt.withColumn("is_cross", low != high)
+    tokens = written(candidates.select("doc_id", "cls", "prefix", "blob").mapInArrow(_prefix_tokens, "token bigint, doc_id bigint, cls bigint"))
+    heads = written(tokens.groupBy("token", "cls").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")))
+    within = tokens.join(heads.where("b < top"), ["token", "cls"]).select(F.col("doc_id").alias("a"), "b")
+    beside = heads.select("token", (F.col("cls") + 1).alias("cls"), F.col("b").alias("a")).join(heads.select("token", "cls", "b"), ["token", "cls"]).select("a", "b")
+    groups = components(within.unionByName(beside)).withColumnRenamed("node", "doc_id")
+
+    members = written(groups.join(candidates.select("doc_id", "n", "cls", "blob"), "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "times"), "doc_id"))
+    sizes = members.groupBy("component", "cls").agg(F.count("*").alias("size"))
+    large = sizes.groupBy("component").agg(F.sum("size").alias("whole")).where(F.col("whole") > BLOCK).select("component", F.lit(True).alias("is_large"))
+    sizes = written(sizes.join(large, "component").select("component", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    dealt = members.join(large, "component", "left").join(sizes, ["component", "cls"], "left")
+    for step, to in ((1, "above"), (-1, "below")):
+        dealt = dealt.join(sizes.select("component", (F.col("cls") - step).alias("cls"), F.col("blocks").alias(to)), ["component", "cls"], "left")
+    dealt = dealt.withColumn("side", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("blocks")), F.lit(0)).cast("long"))
+    with_others = lambda n, key, cross: f"CASE WHEN {n} > 0 THEN transform(sequence(0, {n} - 1), o -> struct(xxhash64(component, {key}) AS key, {cross} AS is_cross)) ELSE array() END"
+    keys = F.expr(
+        "CASE WHEN is_large THEN concat("
+        + ", ".join([with_others("blocks", "cls, least(side, o), cls, greatest(side, o)", "side <> o"), with_others("above", "cls, side, cls + 1, cast(o AS bigint)", "true"), with_others("below", "cls - 1, cast(o AS bigint), cls, side", "true")])
+        + ") ELSE array(struct(xxhash64(component) AS key, false AS is_cross)) END"
+    )
+    dealt = dealt.withColumn("k", F.explode(keys)).withColumn("side", F.xxhash64("cls", "side"))
     n_buckets = max(32, -(-candidates.count() // 1000))
-    linked = written(dealt.select("doc_id", "n", "times", "blob", "key", "side", "is_cross", F.pmod("key", F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(_joined(similar), LINKS))
+    linked = written(dealt.select("doc_id", "n", "times", "blob", "k.key", "side", "k.is_cross", F.pmod("k.key", F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(_joined(similar), LINKS))
 
     links = linked.groupBy("doc_id").agg(F.sum("links").alias("links")).withColumnRenamed("doc_id", "rep")
     joint = components(linked.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")

@@ -230,3 +230,10 @@ def test_range_join_is_exact(spark, block):
     for r in odd[:-1]:
         assert out[r[0]] == (0, r[0], True)
     assert len(out) == len(rows) + len(odd) - 1
+
+
+def test_repeated_ids_are_one_document(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(words[:20])), (1, " ".join(words[20:])), (1, " ".join(words[:20])), (2, "\n".join(words)), (3, " ".join(words[:20])), (2, None)]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (36, 1, 1), 2: (36, 1, 1), 3: (16, 3, 0)}
