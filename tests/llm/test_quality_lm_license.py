@@ -171,3 +171,30 @@ def test_wrapped_and_altered_notices_are_found(spark):
     assert out[950_000]["families"] == []
     mit = next(i for i, (_, t) in enumerate(texts) if t.startswith("Permission is"))
     assert [f["paragraph"] for f in out[75_000 + mit]["found"]] == [2]
+
+
+def test_recall_on_plain_notices(spark):
+    """Notices as people write them, none of them a training line, plain, in capitals and wrapped; and lines that grant nothing."""
+    said = {
+        "MIT": ["// SPDX-License-Identifier: MIT", "Released under the MIT license", "This library is MIT licensed, see below"],
+        "Apache-2.0": ["Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License)", "This package: Apache-2.0 licensed"],
+        "GPL": ["SPDX-License-Identifier: GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "It is distributed under GPLv3 or later"],
+        "LGPL": ["GNU Lesser General Public License v2.1 or later"],
+        "BSD": ["the BSD 3-Clause License", "# SPDX-License-Identifier: BSD-3-Clause", "Licensed under the BSD license"],
+        "EPL": ["Eclipse Public License - v 2.0 applies"],
+        "BSL-1.0": ["(Distributed under the Boost Software License, Version 1.0. See LICENSE)"],
+        "CC-BY": ["Creative Commons Attribution 4.0 International Public License"],
+        "CC-BY-SA": ["text is available under Creative Commons Attribution-ShareAlike 4.0 International"],
+        "MPL-2.0": ["the Mozilla Public License Version 2.0"],
+        "ISC": ["The ISC License"],
+        "Zlib": ["the zlib License"],
+        "CC0": ["CC0 1.0 Universal Public Domain Dedication"],
+        "OFL": ["SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007"],
+        "": ["He works at MIT.", "the Apache helicopter landed", "a free software conference", "version 2.0 of the report", "The license was revoked in 2004.", "attribution to the author by name"],
+    }
+    cases = [(f, t) for f, ts in said.items() for t in ts]
+    forms = [t for _, t in cases] + [t.upper() for _, t in cases] + ["\n".join(textwrap.wrap(t, 28)) for _, t in cases]
+    out = {r["doc_id"]: r["families"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")).collect()}
+    hits = [(out[i] == [cases[i % len(cases)][0]]) for i in range(len(forms)) if cases[i % len(cases)][0]]
+    assert sum(hits) >= 0.9 * len(hits), [forms[i] for i in range(len(forms)) if cases[i % len(cases)][0] and out[i] != [cases[i % len(cases)][0]]]
+    assert all(out[i] == [] for i in range(len(forms)) if not cases[i % len(cases)][0])
