@@ -90,11 +90,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     """Encode `docs` (doc_id, text) and write the data set to `path`.
 
     Documents are range-partitioned and sorted by doc_id, a shard a partition; rows that repeat a
-    doc_id stand one after another. Null texts are empty and hold the end id alone; an empty table
+    doc_id stand one after another, by text. Null texts are empty and hold the end id alone; an empty table
     gives a data set without rows."""
     docs = base.documents(docs)
     spark = docs.sparkSession
-    ranged = docs.repartitionByRange(base.bucket_count(docs, shard_bytes, 8), "doc_id").sortWithinPartitions("doc_id")
+    ranged = docs.repartitionByRange(base.bucket_count(docs, shard_bytes, 8), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encoded(batches):
         from pyspark import TaskContext
