@@ -6,12 +6,16 @@ events for feedback, conversations for session logs, documents with labels for t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = ("function", "class", "method", "interface", "component")
 
 
+def _capital(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, F.lit(2), F.length(word)))
+
+
 class Tables:
     """Tables by name; each is read with the columns a query selects, no more."""
 
@@ -41,6 +45,25 @@ class Tables:
         after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
         return self.lineitem.select(F.col("l_partkey").alias("caller"), after.alias("callee")).where("callee <> caller").distinct()
 
+    def code(self) -> DataFrame:
+        """Parts as symbols of source files: node_id, name, qualified_name, kind, language, file_path, signature, docstring, content."""
+        one, two, folder = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lower("p_type")
+        name = F.concat(_capital(one), _capital(two))
+        path = F.concat(F.lit("src/"), folder, F.lit("/"), one, F.lit("_"), two, F.when(F.col("p_partkey") % 7 == 0, ".test.ts").otherwise(".ts"))
+        is_class = F.col("p_partkey") % 2 == 0
+        a_class = F.concat(F.lit("class "), name, F.lit(" extends "), _capital(folder), F.lit("Base implements "), _capital(two), F.lit(", Sized"))
+        a_function = F.concat(F.lit("function "), one, _capital(two), F.lit("(size: number): "), _capital(two))
+        signature = F.when(is_class, a_class).otherwise(a_function)
+        imports = F.concat(F.lit('import { x } from "./'), one, F.lit("_"), two, F.lit('";\nimport "../'), folder, F.lit("/"), one, F.lit("_"), two, F.lit('";\n'))
+        doc = F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("The "), "p_name", F.lit(" of "), "p_brand"))
+        kind = F.when(is_class, "class").otherwise("function")
+        return self.part.select(F.col("p_partkey").alias("node_id"), name.alias("name"), F.concat(folder, F.lit("::"), name).alias("qualified_name"), kind.alias("kind"), F.lit("typescript").alias("language"), path.alias("file_path"), signature.alias("signature"), doc.alias("docstring"), F.concat(imports, signature, F.lit(" {}")).alias("content"))
+
+    def code_calls(self) -> DataFrame:
+        """Calls of `code`: caller (a node) and the name it calls, each pair once."""
+        names = self.code().select(F.col("node_id").alias("callee"), F.col("name").alias("call"))
+        return self.flows().join(names, "callee").select("caller", "call").distinct()
+
     def manifest(self) -> DataFrame:
         """Documents with the state of their index entry: doc_id, file_path, state, content_hash."""
         state = F.when(F.col("quality").isNull(), "pending").when(F.col("toxic") == 1, "failed").when(F.col("quality") == 0, "stale").otherwise("fresh")
@@ -63,3 +86,15 @@ SQL_CALLS = "(SELECT l_orderkey AS caller, l_partkey AS callee FROM lineitem)"
 SQL_FLOWS = "(SELECT DISTINCT caller, callee FROM (SELECT l_partkey AS caller, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS callee FROM lineitem) WHERE callee <> caller)"
 SQL_MANIFEST = "(SELECT d.doc_id, d.source AS file_path, CASE WHEN l.quality IS NULL THEN 'pending' WHEN l.toxic = 1 THEN 'failed' WHEN l.quality = 0 THEN 'stale' ELSE 'fresh' END AS state, sha256(d.text) AS content_hash FROM documents d LEFT JOIN labels l USING (doc_id))"
 SQL_FEEDBACK = "(SELECT event_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 'retrieval' ELSE 'compression' END AS stream, k AS hash, CASE k % 3 WHEN 0 THEN 'graph' WHEN 1 THEN 'vector' ELSE 'fts' END AS source, CASE user_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'code' ELSE 'text' END AS content_type, event_type AS kind FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"
+
+
+def _sql_capital(x: str) -> str:
+    return f"(upper(left({x}, 1)) || substr({x}, 2))"
+
+
+_ONE, _TWO = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+_NAME = f"{_sql_capital(_ONE)} || {_sql_capital(_TWO)}"
+_SIGNATURE = f"CASE WHEN p_partkey % 2 = 0 THEN 'class ' || {_NAME} || ' extends ' || {_sql_capital('lower(p_type)')} || 'Base implements ' || {_sql_capital(_TWO)} || ', Sized' ELSE 'function ' || {_ONE} || {_sql_capital(_TWO)} || '(size: number): ' || {_sql_capital(_TWO)} END"
+_IMPORTS = f"""'import {{ x }} from "./' || {_ONE} || '_' || {_TWO} || '";' || chr(10) || 'import "../' || lower(p_type) || '/' || {_ONE} || '_' || {_TWO} || '";' || chr(10)"""
+SQL_CODE = f"(SELECT p_partkey AS node_id, {_NAME} AS name, lower(p_type) || '::' || {_NAME} AS qualified_name, CASE WHEN p_partkey % 2 = 0 THEN 'class' ELSE 'function' END AS kind, 'typescript' AS language, 'src/' || lower(p_type) || '/' || {_ONE} || '_' || {_TWO} || CASE WHEN p_partkey % 7 = 0 THEN '.test.ts' ELSE '.ts' END AS file_path, {_SIGNATURE} AS signature, CASE WHEN p_partkey % 3 <> 0 THEN 'The ' || p_name || ' of ' || p_brand END AS docstring, {_IMPORTS} || {_SIGNATURE} || ' {{}}' AS content FROM part)"
+SQL_CODE_CALLS = f"(SELECT DISTINCT f.caller, c.name AS call FROM {SQL_FLOWS} f JOIN {SQL_CODE} c ON f.callee = c.node_id)"

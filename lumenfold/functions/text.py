@@ -110,6 +110,91 @@ def is_test_path(path: Column) -> Column:
     return path.rlike(r"(?i)(^|/)(tests?|__tests__|spec)(/|$)|[._-](test|spec)\.[a-z]+$")
 
 
+# What makes a path a test's, in files of a project and in words of a query.
+_TEST_FILE = r"(?:^|/)(?:tests|unit_tests|integration_tests|__tests__)(?:/|$)|(?:^|/)src/test(?:/|$)|^tests/|\.test\.[cm]?[jt]sx?$|\.spec\.[cm]?[jt]sx?$"
+_TEST_PART = r"(?i)(?:^|/)(?:tests|unit_tests|integration_tests)(?:/|$)|(?:^|/)src/test(?:/|$)|testdata"
+_TEST_LIKE = r"(?i)(^|[/\\])(?:test|tests|spec|specs)([/\\]|$)|(?:test|spec)\.[A-Za-z0-9]+$"
+
+
+def _slashes(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def is_test_file(path: Column) -> Column:
+    """A file of tests, by its folders or its ending."""
+    return F.lower(_slashes(path)).rlike(_TEST_FILE)
+
+
+def is_test_part(part: Column) -> Column:
+    """A word of a query that asks for tests' folders."""
+    return _slashes(part).rlike(_TEST_PART)
+
+
+def is_test_like(path: Column) -> Column:
+    """Anything that looks like a test: the widest of the three."""
+    return path.rlike(_TEST_LIKE)
+
+
+# Words that say nothing of a symbol, and names that are too common to be one.
+STOP_WORDS = ["the", "and", "for", "from", "with", "this", "that", "test", "tests", "src", "source", "unit", "integration", "function", "class", "method", "file", "path"]
+BROAD_NAMES = ["add", "build", "check", "create", "delete", "execute", "fetch", "get", "init", "list", "load", "main", "open", "patch", "read", "run", "set", "start", "stop", "sync", "test", "update", "validate", "write"]
+MOST_FTS_TERMS, MOST_FAMILIES = 16, 4
+
+
+def exact_tokens(text: Column) -> Column:
+    """Runs of letters, digits and underscores, in lower case and in order."""
+    return F.filter(F.transform(F.split(text, "[^A-Za-z0-9_]+"), F.lower), lambda t: t != "")
+
+
+def split_identifiers(text: Column) -> Column:
+    """Words of identifiers: cut at humps, underscores and marks; case stays."""
+    return F.filter(F.split(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9_]+|_+"), lambda t: t != "")
+
+
+def _telling(words: Column) -> Column:
+    stop = F.array(*map(F.lit, STOP_WORDS))
+    return F.array_distinct(F.filter(F.transform(words, F.lower), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t) & ~t.rlike(r"^\d+$")))
+
+
+def path_stem_tokens(path: Column) -> Column:
+    """Telling words of a file's name without its ending."""
+    return _telling(split_identifiers(F.regexp_replace(F.regexp_replace(_slashes(path), "^.*/", ""), r"\.[A-Za-z0-9]{1,8}$", "")))
+
+
+def _clean_part(part: Column) -> Column:
+    return F.regexp_replace(F.trim(part), "^[`'\"]+|[`'\",;]+$", "")
+
+
+def query_paths(text: Column) -> Column:
+    """Words of a query that hold a slash, without quotes and field names."""
+    parts = F.filter(F.transform(word_list(text), _clean_part), lambda p: p.contains("/") | p.contains("\\"))
+    return F.array_distinct(F.filter(F.transform(parts, lambda p: _slashes(F.regexp_replace(F.regexp_replace(p, "(?i)^file:", ""), "(?i)^path:", ""))), lambda p: F.length(p) > 1))
+
+
+def query_symbols(text: Column) -> Column:
+    """Words of a query that may be names, and their last parts."""
+    parts = F.filter(F.transform(word_list(text), _clean_part), lambda p: (p != "") & ~p.contains("/"))
+    plain = F.transform(parts, lambda p: F.regexp_replace(p, "(?i)^(?:name|symbol|kind):", ""))
+    both = F.flatten(F.transform(plain, lambda p: F.array(p, F.coalesce(F.try_element_at(F.filter(F.split(p, "::|[.#]"), lambda x: x != ""), F.lit(-1)), F.lit("")))))
+    return F.array_distinct(F.filter(both, lambda p: p.rlike(r"^[A-Za-z_$][\w$.:#-]*$") & (F.length(p) >= 2)))
+
+
+def fts_terms(text: Column) -> Column:
+    """Telling words of a query for full-text search."""
+    return _telling(F.flatten(F.transform(F.split(text, "[^A-Za-z0-9_]+"), split_identifiers)))
+
+
+def family_terms(terms: Column) -> Column:
+    """The first terms that can name a family of files."""
+    broad = F.array(*map(F.lit, [*BROAD_NAMES, *STOP_WORDS]))
+    return F.slice(F.filter(terms, lambda t: (F.length(t) >= 4) & ~F.array_contains(broad, t)), 1, MOST_FAMILIES)
+
+
+def fts_query(terms: Column) -> Column:
+    """Terms in quotes, any of which may match; the first MOST_FTS_TERMS."""
+    return F.array_join(F.transform(F.slice(F.array_distinct(terms), 1, MOST_FTS_TERMS), lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), " OR ")
+
+
 def path_matches(path: Column, wanted: Column) -> Column:
     return (path == wanted) | path.endswith(F.concat(F.lit("/"), wanted))
 

@@ -51,11 +51,6 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")).where("a <> b").distinct()
 
 
-def affected(changed: DataFrame, tests: DataFrame) -> DataFrame:
-    """tests (test_id, token) by how many distinct tokens of the changed files (token) each holds."""
-    wanted = changed.select("token").distinct()
-    return tests.distinct().join(wanted, "token", "left_semi").groupBy("test_id").agg(F.count("*").alias("score"))
-
 
 def transitions(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """source, target: consecutive different values within a key."""
@@ -82,11 +77,3 @@ def simple_cycles(edges: DataFrame, most_steps: int | None = None, name: str = "
           WHERE NOT w.closed AND size(w.path) <= {most_steps} AND e.target >= w.start AND (e.target = w.start OR NOT array_contains(w.path, e.target)))
         SELECT array_join(path, '>') AS path, cast(size(path) AS bigint) AS length FROM walk WHERE closed"""
     )
-
-
-def relations(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, kind, target: links, mail addresses and emphasised names that a text mentions."""
-    patterns = {"links": 'href="([^"]+)"', "images": 'src="([^"]+)"', "heads": "<h1>([^<]+)</h1>"}
-    found = F.array(*(F.struct(F.lit(k).alias("kind"), F.array_distinct(F.regexp_extract_all(text, F.lit(p), 1)).alias("targets")) for k, p in patterns.items()))
-    rows = texts.select(key, F.explode(found).alias("r")).select(key, "r.kind", F.explode("r.targets").alias("target"))
-    return rows

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenfold.catalog import Tables
 
 #: Modules of queries; importing one registers what it defines.
-SUITES = ("scans", "joins", "aggregates", "windows", "text", "ranking", "graph", "lifecycle", "evaluation")
+SUITES = ("scans", "joins", "aggregates", "windows", "text", "ranking", "graph", "code", "lifecycle", "evaluation")
 
 
 @dataclass(frozen=True)

@@ -12,11 +12,6 @@ from lumenfold.operators import review as V
 from lumenfold.registry import query
 from lumenfold.suite import sql as S
 
-@query("impact_one_hop", "G02 J08", f"SELECT DISTINCT caller AS node FROM {SQL_CALLS} WHERE callee IN (1, 2, 3)")
-def impact_one_hop(t: Tables) -> DataFrame:
-    return t.calls().where(F.col("callee").isin(1, 2, 3)).select(F.col("caller").alias("node")).distinct()
-
-
 @query(
     "impact_depth_k",
     "G02",
@@ -27,12 +22,6 @@ def impact_depth_k(t: Tables) -> DataFrame:
     return G.impact(t.flows(), t.spark.createDataFrame([(5,)], "node bigint"), 3)
 
 
-@query("affected_scores", "G03", f"WITH c AS (SELECT DISTINCT unnest({S.words('text')}) AS token FROM benchmark), d AS (SELECT DISTINCT doc_id AS test_id, unnest({S.words('text')}) AS token FROM documents) SELECT test_id, count(*) AS score FROM d JOIN c USING (token) GROUP BY test_id")
-def affected_scores(t: Tables) -> DataFrame:
-    changed = t.benchmark.select(F.explode(T.words(F.col("text"))).alias("token"))
-    return G.affected(changed, t.documents.select(F.col("doc_id").alias("test_id"), F.explode(T.words(F.col("text"))).alias("token")))
-
-
 @query("result_edges", "G04", f"WITH r AS (SELECT node_id FROM {SQL_SYMBOLS} WHERE name = 'cold widget') SELECT caller, callee FROM {SQL_FLOWS} WHERE caller IN (SELECT node_id FROM r) AND callee IN (SELECT node_id FROM r)")
 def result_edges(t: Tables) -> DataFrame:
     """Edges of which both ends are results; the results here are the symbols of a name."""
@@ -77,11 +66,6 @@ def undirected_relations(t: Tables) -> DataFrame:
     return G.undirected(t.calls())
 
 
-@query("relation_extract", "G09", "SELECT DISTINCT page_id, kind, target FROM (SELECT page_id, 'links' AS kind, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS target FROM pages UNION ALL SELECT page_id, 'images', unnest(regexp_extract_all(html, 'src=\"([^\"]+)\"', 1)) FROM pages UNION ALL SELECT page_id, 'heads', unnest(regexp_extract_all(html, '<h1>([^<]+)</h1>', 1)) FROM pages)")
-def relation_extract(t: Tables) -> DataFrame:
-    return G.relations(t.pages, "page_id", "html")
-
-
 @query("review_findings", "V01 V04 V03 J14 J15", f"SELECT 'same-signature' AS type, p_partkey AS subject FROM part WHERE p_partkey > (SELECT min(p_partkey) FROM part q WHERE lower(q.p_name) = lower(part.p_name)) UNION ALL SELECT 'dead-code', node_id FROM {SQL_SYMBOLS} s WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = s.node_id)")
 def review_findings(t: Tables) -> DataFrame:
     called = t.lineitem.select(F.col("l_partkey").alias("node_id")).distinct()

@@ -169,12 +169,6 @@ def case_compare_full_outer(t: Tables) -> DataFrame:
     return both.select("id", (F.col("y") - F.col("x")).alias("delta"), F.when(F.col("y") > F.col("x"), "target").when(F.col("y") < F.col("x"), "baseline").otherwise("tie").alias("winner"))
 
 
-@query("import_targets_endswith", "J22", "SELECT p.page_id, CAST(s.x AS BIGINT) AS ending FROM pages p JOIN (SELECT unnest(range(10)) AS x) s ON suffix(p.url, CAST(s.x AS VARCHAR))")
-def import_targets_endswith(t: Tables) -> DataFrame:
-    endings = t.spark.range(10).select(F.col("id").alias("ending"))
-    return t.pages.join(F.broadcast(endings), F.col("url").endswith(F.col("ending").cast("string"))).select("page_id", "ending")  # ten rows
-
-
 @query("fingerprint_full_outer", "J23 U07", "WITH a AS (SELECT doc_id AS path, n_chars AS print FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS print FROM documents WHERE doc_id % 4 <> 0) SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.print IS DISTINCT FROM b.print")
 def fingerprint_full_outer(t: Tables) -> DataFrame:
     d = t.documents.select(F.col("doc_id").alias("path"), "n_chars")

@@ -111,12 +111,6 @@ def route_weighted(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("node_id"), source.alias("source"), (F.col("p_size") / 50.0).alias("s")).select("node_id", "source", F.round(F.col("s") * weight, 6).alias("score"))
 
 
-@query("focus_boost", "R15 R16", f"SELECT node_id, round(s * own * CASE WHEN own > 1 THEN 1 + least(1.0, 0.4) ELSE 1 END, 6)::DOUBLE AS score FROM (SELECT node_id, 0.5::DOUBLE AS s, CASE WHEN file_path = 'Brand#13' AND contains(name, 'cold') THEN 3.6 WHEN file_path = 'Brand#13' THEN 2.0 WHEN contains(name, 'cold') THEN 1.8 ELSE 1.0 END::DOUBLE AS own FROM {SQL_SYMBOLS})")
-def focus_boost(t: Tables) -> DataFrame:
-    path, symbol, no = F.col("file_path") == "Brand#13", F.col("name").contains("cold"), F.lit(False)
-    return t.symbols().select("node_id", F.round(R.focus_boost(F.lit(0.5), path, symbol, no, no, F.lit(1.0), no), 6).alias("score"))
-
-
 @query("merge_scored", "R17", f"SELECT node_id, round(sum(s) + 0.25 * (count(*) - 1), 6)::DOUBLE AS score FROM (SELECT node_id, 0.5::DOUBLE AS s FROM {SQL_SYMBOLS} WHERE contains(name, 'cold') UNION ALL SELECT node_id, 0.25 FROM {SQL_SYMBOLS} WHERE contains(name, 'widget')) GROUP BY node_id")
 def merge_scored(t: Tables) -> DataFrame:
     from lumenfold.operators import aggregates

@@ -57,11 +57,6 @@ def reference_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.reference_key(F.concat_ws("::", "p_brand", "p_name")).alias("k"))
 
 
-@query("identifier_words", "F07", f"SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array({S.normalized('url')}, '[^a-z0-9]+'), lambda t: length(t) >= 3 AND NOT regexp_full_match(t, '\\d+')))), ',') AS w FROM pages")
-def identifier_words(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", _list(F.array_sort(T.identifier_words(F.col("url")))).alias("w"))
-
-
 @query("symbol_like", "F08", f"SELECT item_id, {S.is_symbol('w')} AS is_symbol FROM (SELECT item_id, split_part(text, ' ', 1) AS w FROM benchmark)")
 def symbol_like(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", T.is_symbol(F.split_part("text", F.lit(" "), F.lit(1))).alias("is_symbol"))
@@ -72,12 +67,6 @@ def path_like(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.is_path(F.col("url")).alias("is_path"))
 
 
-@query("query_extractors", "F10", f"SELECT item_id, len(list_filter({S.word_list('text')}, lambda p: {S.is_symbol('p')})) AS symbols, len(list_filter({S.word_list('text')}, lambda p: {S.is_path('p')})) AS paths FROM benchmark")
-def query_extractors(t: Tables) -> DataFrame:
-    parts = T.word_list(F.col("text"))
-    return t.benchmark.select("item_id", F.size(F.filter(parts, T.is_symbol)).cast("bigint").alias("symbols"), F.size(F.filter(parts, T.is_path)).cast("bigint").alias("paths"))
-
-
 @query("normalise_signature", "F12", "SELECT p_partkey, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace('export async fn ( ' || p_name || ' : string , n )', '\\s+', ' ', 'g')), '^(export )?(default )?(async )?', ''), '\\s*:\\s*', ':', 'g'), '\\s*,\\s*', ',', 'g'), '\\s*\\(\\s*', '(', 'g'), '\\s*\\)\\s*', ')', 'g')) AS k FROM part")
 def normalise_signature(t: Tables) -> DataFrame:
     made = F.concat(F.lit("export async fn ( "), "p_name", F.lit(" : string , n )"))
@@ -104,12 +93,6 @@ def content_type(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.content_type(F.col("text")).alias("content_type"))
 
 
-@query("node_text", "F17", f"SELECT node_id, concat_ws(chr(10), 'name: ' || name, 'qualified: ' || qualified_name, 'kind: ' || kind, 'file: ' || file_path) AS body FROM {SQL_SYMBOLS}")
-def node_text(t: Tables) -> DataFrame:
-    part = lambda label, c: F.concat(F.lit(f"{label}: "), F.nullif(F.col(c), F.lit("")))
-    return t.symbols().select("node_id", F.concat_ws("\n", part("name", "name"), part("qualified", "qualified_name"), part("kind", "kind"), part("file", "file_path")).alias("body"))
-
-
 @query("hash_ids", "F18", "SELECT doc_id, left(sha256(source || chr(0) || lang), 16) AS scope, CAST(('0x' || left(sha256(text), 8))::UBIGINT AS BIGINT) AS h FROM documents")
 def hash_ids(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.short_hash(F.col("source"), F.col("lang")).alias("scope"), T.hash32(F.col("text")).alias("h"))

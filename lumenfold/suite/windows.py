@@ -12,20 +12,6 @@ from lumenfold.registry import query
 from lumenfold.suite import sql as S
 
 
-@query("top4_neighbours", "W01 R25", f"SELECT a.node_id, b.node_id AS peer, row_number() OVER (PARTITION BY a.node_id ORDER BY 0.45::DOUBLE + CASE WHEN a.kind = b.kind THEN 0.3::DOUBLE ELSE 0 END DESC, b.node_id) AS rank FROM {SQL_SYMBOLS} a JOIN {SQL_SYMBOLS} b ON a.name = b.name AND a.node_id <> b.node_id QUALIFY rank <= 4")
-def top4_neighbours(t: Tables) -> DataFrame:
-    s = t.symbols().select("node_id", "name", "kind")
-    # a node's four best of a name are among the name's five first of its own kind, and others
-    by_kind = W.first_per(s, ["name", "kind"], ["node_id"], 5)
-    heads = by_kind.select(F.col("node_id").alias("peer"), "name", F.col("kind").alias("peer_kind"))
-    same = s.join(heads, "name").where("kind = peer_kind and node_id <> peer").select("node_id", "peer", F.lit(0.75).alias("score"))
-    # others can only follow all of the own kind's: take them where those are fewer than four
-    few = s.join(s.groupBy("name", "kind").count().where("count < 5").select("name", "kind"), ["name", "kind"], "left_semi")
-    other = few.join(s.join(few.select("name").distinct(), "name", "left_semi").select(F.col("node_id").alias("peer"), "name", F.col("kind").alias("peer_kind")), "name").where("kind <> peer_kind")
-    pairs = same.unionByName(W.first_per(other.select("node_id", "peer"), ["node_id"], ["peer"], 4).select("node_id", "peer", F.lit(0.45).alias("score")))
-    return W.first_per(pairs, ["node_id"], [F.desc("score"), "peer"], 4).select("node_id", "peer", "rank")
-
-
 @query("tool_rank", "W03", "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS tool_rank FROM conversations")
 def tool_rank(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("bigint").alias("tool_rank"))
