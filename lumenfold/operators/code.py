@@ -48,7 +48,7 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
     """file_path, specifier, target: files (file_path) that equal, or end with, a path that an import may mean.
 
     Different paths are cut into their endings, so that imports meet them by equality."""
-    asked = imports.select("file_path", "specifier").distinct()
+    asked = imports.select("file_path", "specifier").where(F.trim("specifier") != "").distinct()
     wanted = asked.select("file_path", "specifier", F.explode(import_candidates(F.col("file_path"), F.col("specifier"))).alias("__end"))
     known = files.select(F.col("file_path").alias("target")).where("target is not null").distinct()
     ends = F.transform(F.sequence(F.lit(1), F.length("target")), lambda i: F.substring("target", i, F.length("target")))
