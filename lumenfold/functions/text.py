@@ -295,6 +295,29 @@ def masked(text: Column) -> Column:
     return text
 
 
+# Names of properties that change from run to run, and the share of prompts that a cache can serve at most.
+DYNAMIC_LABELS = ["file_path", "file", "project", "cwd", "working_directory", "indexed_at", "session", "version", "timestamp"]
+BEST_HIT_RATE = 0.95
+
+
+def dynamic_patterns(text: Column) -> Column:
+    """How many of the DYNAMIC patterns a text holds, each looked for in what masking those before it left."""
+    total = F.lit(0)
+    for pattern in DYNAMIC:
+        total = total + text.rlike(pattern).cast("int")
+    return total
+
+
+def is_dynamic_label(name: Column) -> Column:
+    return F.lower(name).isin(DYNAMIC_LABELS)
+
+
+def cache_hit_rate(dynamic_fields: Column, tools: Column) -> Column:
+    """Expected hits of a prompt cache: fewer, the more fields of the tools change."""
+    rate = F.least(F.lit(BEST_HIT_RATE), 1 - dynamic_fields / F.greatest(F.lit(1), tools * 3))
+    return F.when(dynamic_fields > 0, F.greatest(F.lit(0.0), rate)).otherwise(BEST_HIT_RATE)
+
+
 # Names whose values are secrets.
 _SECRET = r"api[_-]?key|access[_-]?token|secret|password|passwd|authorization|token|credential"
 LONGEST_LOG = 8192

@@ -98,9 +98,30 @@ def hash_ids(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.short_hash(F.col("source"), F.col("lang")).alias("scope"), T.hash32(F.col("text")).alias("h"))
 
 
-@query("diff_like_parse", "F20 S19")
+_DIFF = [
+    "+++ b/src/page{}.ts",
+    "+import {{ a as b, c }} from 'x';",
+    "+import * as all from \"y\";",
+    "+import main, {{ d }} from 'z';",
+    "+import 'w';",
+    "+// function hidden() {{",
+    "+export async function run(a: string,  b: number): Promise<void> {{",
+    "-function old() {{",
+    "+const one = x => x;",
+    "+  class P extends Q.R implements S, T {{",
+    " function same() {{",
+]
+_DECLARED = [("import", "x", "a", "b"), ("import", "x", "c", "c"), ("import", "y", "*", "all"), ("import", "z", "default", "main"), ("import", "w", None, None), ("function", "run", "function run(a: string, b: number): Promise<void>", None), ("function", "one", "function one(x)", None), ("class", "P", "class P extends Q.R implements S, T", None)]
+
+
+def _literal(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+@query("diff_like_parse", "F20 S19", "SELECT p.page_id AS diff_id, 'src/page' || p.page_id || '.ts' AS file_path, v.* FROM pages p, (VALUES " + ", ".join("(" + ", ".join(map(_literal, x)) + ")" for x in _DECLARED) + ") v(type, name, detail, local)")
 def diff_like_parse(t: Tables) -> DataFrame:
-    body = F.concat(F.lit("+++ b/src/page"), F.col("page_id"), F.lit(".ts\n+import { a as b } from 'x';\n+export function run(a: string) {\n-old\n+class P extends Q implements R, S {\n"))
+    """A diff of ten lines a page; SQL says what each of them declares."""
+    body = F.concat(F.lit(_DIFF[0].split("{}")[0]), F.col("page_id"), F.lit(".ts\n" + "\n".join(x.format() for x in _DIFF[1:])))
     return diffs.additions(t.pages.select(F.col("page_id").alias("diff_id"), body.alias("content")))
 
 
@@ -109,12 +130,27 @@ def redact_secrets(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.redacted(F.col("text")).alias("clean"))
 
 
-@query("mask_dynamic", "F22 C11", "SELECT event_id, regexp_replace(regexp_replace('at /home/u' || user_id || '/x v1.2.' || event_id || ' end', '(?i)/home/\\w+', '[DYNAMIC]'), '\\b\\d+\\.\\d+\\.\\d+\\b', '[DYNAMIC]') AS masked FROM events")
+@query("mask_dynamic", "F22", "SELECT event_id, regexp_replace(regexp_replace('at /home/u' || user_id || '/x v1.2.' || event_id || ' end', '(?i)/home/\\w+', '[DYNAMIC]'), '\\b\\d+\\.\\d+\\.\\d+\\b', '[DYNAMIC]') AS masked FROM events")
 def mask_dynamic(t: Tables) -> DataFrame:
     made = F.concat(F.lit("at /home/u"), F.col("user_id"), F.lit("/x v1.2."), F.col("event_id"), F.lit(" end"))
     return t.events.select("event_id", T.masked(made).alias("masked"))
 
 
+@query(
+    "cache_alignment",
+    "F22 C11",
+    """WITH t AS (SELECT p_partkey, 'Reads /home/u' || p_size || ' at 1.2.' || p_partkey AS a, CASE p_partkey % 3 WHEN 0 THEN 'cwd' WHEN 1 THEN 'name' ELSE 'Version' END AS label, 'session: s' || p_size AS d FROM part),
+    f AS (SELECT p_partkey, 'Reads [DYNAMIC] at [DYNAMIC]' AS description, label, '[DYNAMIC]' AS property, 3 + CASE WHEN lower(label) IN ('cwd', 'version') THEN 1 ELSE 0 END AS n FROM t)
+    SELECT p_partkey, description, property, n AS dynamic_fields, CAST(floor((length(description) + length(property)) * 0.25) AS BIGINT) AS prefix_tokens, round(greatest(0.0, least(0.95, 1 - n / 3.0)), 6)::DOUBLE AS hit_rate FROM f""",
+)
+def cache_alignment(t: Tables) -> DataFrame:
+    """Descriptions with what changes masked, how many fields change, and how much of a prompt's prefix can be cached."""
+    label = F.when(F.col("p_partkey") % 3 == 0, "cwd").when(F.col("p_partkey") % 3 == 1, "name").otherwise("Version")
+    tools = t.part.select("p_partkey", F.concat(F.lit("Reads /home/u"), "p_size", F.lit(" at 1.2."), "p_partkey").alias("description"), label.alias("label"), F.concat(F.lit("session: s"), "p_size").alias("property"))
+    rows = tools.select("p_partkey", T.masked(F.col("description")).alias("description"), T.masked(F.col("property")).alias("property"), (T.dynamic_patterns(F.col("description")) + T.dynamic_patterns(F.col("property")) + T.is_dynamic_label(F.col("label")).cast("int")).alias("dynamic_fields"))
+    return rows.select("p_partkey", "description", "property", F.col("dynamic_fields").cast("bigint"), F.floor((F.length("description") + F.length("property")) * 0.25).alias("prefix_tokens"), F.round(T.cache_hit_rate(F.col("dynamic_fields"), F.lit(1)), 6).alias("hit_rate"))
+
+
 @query("extract_paths", "F23", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '([A-Za-z0-9_./-]+\\.(?:ts|tsx|js|jsx|py|rs|go|java|md|json|html))\\b', 1))), ',') AS files FROM pages")
 def extract_paths(t: Tables) -> DataFrame:
     return t.pages.select("page_id", _list(T.mentioned_files(F.col("html"))).alias("files"))
