@@ -2,17 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def retrieval(rows: DataFrame, key: str, order: list, k: int) -> DataFrame:
-    """rows (key, good) in order -> recall of good rows among the first k, precision, and 0.7 / 0.3 of them."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    shown = F.col("rank") <= k
-    counts = rows.withColumn("rank", rank).groupBy(key).agg(F.count_if("good").alias("golden"), F.count_if(F.col("good") & shown).alias("hits"), F.count_if(shown).alias("shown"))
-    recall, precision = F.coalesce(F.try_divide("hits", "golden"), F.lit(0.0)), F.col("hits") / F.col("shown")
-    return counts.select(key, F.round(recall, 6).alias("recall"), F.round(precision, 6).alias("precision"), F.round(0.7 * recall + 0.3 * precision, 6).alias("score"))
+# Weights of a case's dimensions, of a task's scores, and of quality alone.
+CASE_WEIGHTS = {"retrieval": 30, "relations": 20, "multi": 15, "freshness": 20, "impact": 15}
+TASK_WEIGHTS = {"retrieval": 30, "density": 20, "runtime": 15, "depth": 15, "freshness": 10, "capability": 10}
+QUALITY = ["retrieval", "depth", "freshness", "capability"]
+#: What a false positive costs, and the share of it that all of them may cost.
+PENALTY = 0.25
+
+
+def _share(found: Column, of: Column) -> Column:
+    """How much of a list another one has; 0 of none."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(of, found)), F.size(F.array_distinct(of))), F.lit(0.0))
+
+
+def clamp(x: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+
+
+def retrieval(golden_files: Column, golden_symbols: Column, files: Column, symbols: Column, top_files: Column, top_symbols: Column, n_top: Column, false_positives: Column) -> Column:
+    """Recall of files and symbols and precision of what is on top, less a penalty for each different false positive."""
+    golden, shown = F.concat(golden_files, golden_symbols), F.concat(top_files, top_symbols)
+    precision = F.size(F.array_intersect(golden, shown)) / F.greatest(F.lit(1), n_top)
+    both = 0.5 * _share(files, golden_files) + 0.3 * _share(symbols, golden_symbols) + 0.2 * precision
+    base = F.when(F.size(golden_symbols) > 0, both).otherwise(0.7 * _share(files, golden_files) + 0.3 * precision)
+    return clamp(base - F.least(F.lit(1.0), PENALTY * F.size(F.array_distinct(false_positives))))
+
+
+def multi(has_valid: Column, has_invalid: Column, has_alternate: Column) -> Column:
+    """1 for a valid implementation or an alternate one, a half if an invalid one stands beside a valid one."""
+    return F.when(has_valid & has_invalid, 0.5).when(has_valid | has_alternate, 1.0).otherwise(0.0)
+
+
+def freshness(new: Column, stale: Column, shown: Column) -> Column:
+    """Mean of how much of the new targets is shown, and of whether no stale one is."""
+    hidden = F.when(F.size(F.array_intersect(stale, shown)) == 0, 1.0).otherwise(0.0)
+    return clamp((_share(shown, new) + hidden) / 2)
+
+
+def impact(tests: Column, artifacts: Column, terms: Column, hits: Column) -> Column:
+    """Shares of tests, runtime artifacts and consequences that are named: 0.4, 0.3 and 0.3."""
+    return clamp(0.4 * _share(hits, tests) + 0.3 * _share(hits, artifacts) + 0.3 * _share(hits, terms))
 
 
 def weighted(scores: dict[str, Column], weights: dict[str, float]) -> Column:
@@ -21,10 +54,37 @@ def weighted(scores: dict[str, Column], weights: dict[str, float]) -> Column:
     return F.try_divide(sum((F.coalesce(s, F.lit(0.0)) * weights[k] for k, s in scores.items()), F.lit(0.0)), total)
 
 
-def relative(rows: DataFrame, task: str) -> DataFrame:
-    """rows (task, x: latency, n: hits) with runtime (best latency / own) and density (own hits / most)."""
-    same = Window.partitionBy(task)
-    return rows.withColumn("runtime", F.min("x").over(same) / F.col("x")).withColumn("density", F.col("n") / F.max("n").over(same))
+def task_scores(runs: DataFrame) -> DataFrame:
+    """task, arm and six scores of each run.
+
+    runs: task, arm, ok, latency, bytes, golden_files, file_hits, golden_symbols, symbol_hits, terms, term_hits, top_hit,
+    structural, fresh_hits, fresh_expected, capable, capable_expected. Density and runtime are relative to the
+    task's best among runs that succeeded, one row a task; a run that failed scores nothing."""
+    at_least = lambda c: F.greatest(F.lit(1), F.col(c))
+    raw = runs.withColumn("raw", (F.col("file_hits") + F.col("symbol_hits") + F.col("term_hits")) / F.greatest(F.col("bytes") / 1024, F.lit(0.5)))
+    best = raw.where("ok").groupBy("task").agg(F.max("raw").alias("best_raw"), F.min(F.when(F.col("latency") > 0, F.col("latency"))).alias("best_latency"))
+    rows = raw.join(best, "task", "left")
+    symbols = F.when(F.col("golden_symbols") > 0, F.col("symbol_hits") / at_least("golden_symbols")).otherwise(0.0)
+    scores = {
+        "retrieval": clamp((F.col("file_hits") / at_least("golden_files") + F.greatest(symbols, F.col("term_hits") / at_least("terms")) + F.col("top_hit")) / 3),
+        "density": F.when(F.col("best_raw") > 0, clamp(F.col("raw") / F.col("best_raw"))).otherwise(0.0),
+        "runtime": F.when((F.col("best_latency") > 0) & (F.col("latency") > 0), clamp(F.col("best_latency") / F.col("latency"))).otherwise(0.0),
+        "depth": clamp(F.col("file_hits") / at_least("golden_files") * 0.5 + F.least(F.col("structural"), F.lit(6)) / 6 * 0.5),
+        "freshness": clamp(F.col("fresh_hits") / F.greatest(F.lit(1), F.least(F.lit(4), F.col("fresh_expected")))),
+        "capability": clamp(F.col("capable") / at_least("capable_expected")),
+    }
+    return rows.select("task", "arm", *(F.when(F.col("ok"), v).otherwise(0.0).alias(k) for k, v in scores.items()))
+
+
+def arm_summary(scores: DataFrame) -> DataFrame:
+    """arm, the mean of each score, total (weighted, all), quality (weighted, quality alone) and which arms are best by either."""
+    means = scores.groupBy("arm").agg(*(F.round(F.avg(k), 4).alias(k) for k in TASK_WEIGHTS))
+    total = sum((F.col(k) * w for k, w in TASK_WEIGHTS.items()), F.lit(0.0))
+    own = sum(TASK_WEIGHTS[k] for k in QUALITY)
+    quality = sum((F.col(k) * TASK_WEIGHTS[k] for k in QUALITY), F.lit(0.0)) / own * 100
+    rows = means.withColumn("total", F.round(total, 2)).withColumn("quality", F.round(quality, 2))
+    top = rows.agg(F.max_by("arm", F.struct("quality", F.col("arm"))).alias("__winner"), F.max_by("arm", F.struct("total", F.col("arm"))).alias("__total"))  # one row
+    return rows.join(F.broadcast(top)).withColumn("is_winner", F.col("arm") == F.col("__winner")).withColumn("is_best_total", F.col("arm") == F.col("__total")).drop("__winner", "__total")
 
 
 def hits(text: Column, terms: list[str]) -> list[Column]:

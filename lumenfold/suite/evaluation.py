@@ -10,28 +10,86 @@ from lumenfold.operators import evaluation as E
 from lumenfold.registry import query
 
 
-@query("retrieval_metrics", "E01 E03", "WITH r AS (SELECT d.source, d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.n_chars DESC, d.doc_id) AS rank, coalesce(l.quality, 0) AS good FROM documents d LEFT JOIN labels l USING (doc_id)), g AS (SELECT source, count(*) FILTER (good = 1) AS golden, count(*) FILTER (good = 1 AND rank <= 10) AS hits, count(*) FILTER (rank <= 10) AS shown FROM r GROUP BY source) SELECT source, round(CASE WHEN golden = 0 THEN 0 ELSE hits / golden END, 6)::DOUBLE AS recall, round(hits / shown, 6)::DOUBLE AS \"precision\", round(CASE WHEN golden = 0 THEN 0 ELSE 0.7 * hits / golden END + 0.3 * hits / shown, 6)::DOUBLE AS score FROM g")
-def retrieval_metrics(t: Tables) -> DataFrame:
-    good = t.documents.select("doc_id", "source", "n_chars").join(t.labels.select("doc_id", "quality"), "doc_id", "left").withColumn("good", F.coalesce("quality", F.lit(0)) == 1)
-    return E.retrieval(good, "source", [F.desc("n_chars"), F.asc("doc_id")], 10)
+#: A user's events as a case: files are keys of events, symbols their types; the first ten by time are returned, three of them on top.
+_CASES = """(SELECT user_id AS case_id, list(DISTINCT k) FILTER (value > 60) AS golden_files, coalesce(list(DISTINCT event_type) FILTER (value > 95), []) AS golden_symbols, list(DISTINCT k) FILTER (n <= 10) AS files, list(DISTINCT event_type) FILTER (n <= 10) AS symbols,
+    list(DISTINCT k) FILTER (n <= 3) AS top_files, list(DISTINCT event_type) FILTER (n <= 3) AS top_symbols, coalesce(list(DISTINCT k) FILTER (n <= 3 AND event_type = 'error' AND value < 5), []) AS wrong, coalesce(list(DISTINCT k) FILTER (value < 5), []) AS stale, bool_or(n <= 3 AND value > 60) AS has_valid, bool_or(n <= 3 AND value < 5) AS has_invalid, bool_or(n <= 10 AND value > 90) AS has_alternate
+    FROM (SELECT *, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) GROUP BY user_id)"""
 
 
-@query("relation_multi_fresh_impact_scores", "E02 J20", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS multi, round(0.4 * quality + 0.3 * (1 - toxic) + 0.3 * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END, 6)::DOUBLE AS impact FROM labels")
-def relation_multi_fresh_impact_scores(t: Tables) -> DataFrame:
-    multi = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).when(F.col("quality") == 1, 0.5).otherwise(0.0)
-    impact = 0.4 * F.col("quality") + 0.3 * (1 - F.col("toxic")) + 0.3 * F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0)
-    return t.labels.select("doc_id", multi.alias("multi"), F.round(impact, 6).alias("impact"))
+def _cases(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
 
+    rows = t.events.withColumn("k", F.get_json_object("props", "$.k")).withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    some = lambda c, cond, to: F.collect_set(F.when(F.expr(cond), F.col(c))).alias(to)
+    return rows.groupBy(F.col("user_id").alias("case_id")).agg(
+        some("k", "value > 60", "golden_files"), some("event_type", "value > 95", "golden_symbols"), some("k", "n <= 10", "files"), some("event_type", "n <= 10", "symbols"), some("k", "n <= 3", "top_files"), some("event_type", "n <= 3", "top_symbols"),
+        some("k", "n <= 3 and event_type = 'error' and value < 5", "wrong"), some("k", "value < 5", "stale"), F.some(F.expr("n <= 3 and value > 60")).alias("has_valid"), F.some(F.expr("n <= 3 and value < 5")).alias("has_invalid"), F.some(F.expr("n <= 10 and value > 90")).alias("has_alternate"),
+    )
 
-@query("task_scores", "E04", "WITH r AS (SELECT user_id AS task, event_type AS arm, avg(value) AS x, count(*) AS n FROM events GROUP BY ALL) SELECT task, arm, round(min(x) OVER (PARTITION BY task) / x, 6) AS runtime, round(n / max(n) OVER (PARTITION BY task), 6)::DOUBLE AS density FROM r WHERE x > 0")
+
+def _sql_share(found: str, of: str) -> str:
+    return f"CASE WHEN len(coalesce({of}, [])) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({of}), {found})) / len(list_distinct({of})) END"
+
+
+_SCORED = f"""(WITH c AS (SELECT * REPLACE (coalesce(golden_files, []) AS golden_files) FROM {_CASES}), p AS (SELECT *, len(list_intersect(list_concat(golden_files, golden_symbols), list_concat(top_files, top_symbols))) / 3.0 AS precise, least(1.0, 0.25 * len(wrong)) AS penalty, {_sql_share("files", "golden_files")} AS by_file, {_sql_share("symbols", "golden_symbols")} AS by_symbol FROM c)
+    SELECT case_id, least(1.0, greatest(0.0, CASE WHEN len(golden_symbols) > 0 THEN 0.5 * by_file + 0.3 * by_symbol + 0.2 * precise ELSE 0.7 * by_file + 0.3 * precise END - penalty))::DOUBLE AS retrieval, (CASE WHEN has_valid AND has_invalid THEN 0.5 WHEN has_valid OR has_alternate THEN 1.0 ELSE 0.0 END)::DOUBLE AS multi,
+    (({_sql_share("top_files", "golden_files")} + CASE WHEN len(list_intersect(stale, top_files)) = 0 THEN 1 ELSE 0 END) / 2)::DOUBLE AS freshness, (0.4 * {_sql_share("files", "golden_files")} + 0.3 * {_sql_share("files", "stale")} + 0.3 * {_sql_share("files", "wrong")})::DOUBLE AS impact FROM p)"""
+
+
+@query("case_scores", "E01 E02", f"SELECT case_id, round(retrieval, 6) AS retrieval, round(multi, 6) AS multi, round(freshness, 6) AS freshness, round(impact, 6) AS impact FROM {_SCORED}")
+def case_scores(t: Tables) -> DataFrame:
+    return _scores(t).select("case_id", *(F.round(k, 6).alias(k) for k in ("retrieval", "multi", "freshness", "impact")))
+
+
+def _scores(t: Tables) -> DataFrame:
+    c = F.col
+    return _cases(t).select(
+        "case_id",
+        E.retrieval(c("golden_files"), c("golden_symbols"), c("files"), c("symbols"), c("top_files"), c("top_symbols"), F.lit(3), c("wrong")).alias("retrieval"),
+        E.multi(c("has_valid"), c("has_invalid"), c("has_alternate")).alias("multi"),
+        E.freshness(c("golden_files"), c("stale"), c("top_files")).alias("freshness"),
+        E.impact(c("golden_files"), c("stale"), c("wrong"), c("files")).alias("impact"),
+    )
+
+
+@query("case_totals", "E03", f"SELECT case_id, round(100 * (30 * retrieval + 15 * multi + CASE WHEN case_id % 2 = 0 THEN 20 * freshness ELSE 0 END + CASE WHEN case_id % 3 = 0 THEN 15 * impact ELSE 0 END) / (45 + CASE WHEN case_id % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN case_id % 3 = 0 THEN 15 ELSE 0 END), 4) AS score FROM {_SCORED}")
+def case_totals(t: Tables) -> DataFrame:
+    """Each case's score over the dimensions that apply to it: freshness to every second one, impact to every third."""
+    apply = {"retrieval": F.col("retrieval"), "multi": F.col("multi"), "freshness": F.when(F.col("case_id") % 2 == 0, F.col("freshness")), "impact": F.when(F.col("case_id") % 3 == 0, F.col("impact"))}
+    return _scores(t).select("case_id", F.round(100 * E.weighted(apply, E.CASE_WEIGHTS), 4).alias("score"))
+
+
+#: Events of a user and type as a run: task, arm, whether it succeeded, and what it found.
+_RUNS = "(SELECT user_id AS task, event_type AS arm, max(value) > 20 AS ok, median(value) AS latency, sum(length(props)) * 40 AS bytes, 5 AS golden_files, least(5, count(*)) AS file_hits, user_id % 3 AS golden_symbols, count(*) FILTER (value > 80) AS symbol_hits, 4 AS terms, least(4, count(*) FILTER (value > 50)) AS term_hits, CASE WHEN min(value) < 1 THEN 1 ELSE 0 END AS top_hit, count(DISTINCT json_extract(props, '$.k')) AS structural, count(*) FILTER (value > 70) AS fresh_hits, 6 AS fresh_expected, count(*) FILTER (value > 60) AS capable, 3 AS capable_expected FROM events GROUP BY ALL)"
+
+
+def _runs(t: Tables) -> DataFrame:
+    n = lambda cond: F.count_if(F.expr(cond))
+    return t.events.groupBy(F.col("user_id").alias("task"), F.col("event_type").alias("arm")).agg(
+        (F.max("value") > 20).alias("ok"), F.median("value").alias("latency"), (F.sum(F.length("props")) * 40).alias("bytes"), F.lit(5).alias("golden_files"), F.least(F.lit(5), F.count("*")).alias("file_hits"), F.first(F.col("user_id") % 3).alias("golden_symbols"), n("value > 80").alias("symbol_hits"),
+        F.lit(4).alias("terms"), F.least(F.lit(4), n("value > 50")).alias("term_hits"), F.when(F.min("value") < 1, 1).otherwise(0).alias("top_hit"), F.countDistinct(F.get_json_object("props", "$.k")).alias("structural"), n("value > 70").alias("fresh_hits"), F.lit(6).alias("fresh_expected"), n("value > 60").alias("capable"), F.lit(3).alias("capable_expected"),
+    )
+
+
+_TASKS = f"""(WITH r AS (SELECT *, (file_hits + symbol_hits + term_hits) / greatest(bytes / 1024.0, 0.5) AS raw FROM {_RUNS}), b AS (SELECT task, max(raw) FILTER (ok) AS best_raw, min(latency) FILTER (ok AND latency > 0) AS best_latency FROM r GROUP BY task)
+    SELECT task, arm, CASE WHEN ok THEN least(1, greatest(0, (file_hits / greatest(1, golden_files) + greatest(CASE WHEN golden_symbols > 0 THEN symbol_hits / golden_symbols ELSE 0 END, term_hits / greatest(1, terms)) + top_hit) / 3)) ELSE 0 END::DOUBLE AS retrieval, CASE WHEN ok AND best_raw > 0 THEN least(1, raw / best_raw) ELSE 0 END::DOUBLE AS density,
+    CASE WHEN ok AND best_latency > 0 AND latency > 0 THEN least(1, best_latency / latency) ELSE 0 END::DOUBLE AS runtime, CASE WHEN ok THEN least(1, file_hits / greatest(1, golden_files) * 0.5 + least(structural, 6) / 6 * 0.5) ELSE 0 END::DOUBLE AS depth, CASE WHEN ok THEN least(1, fresh_hits / greatest(1, least(4, fresh_expected))) ELSE 0 END::DOUBLE AS freshness,
+    CASE WHEN ok THEN least(1, capable / greatest(1, capable_expected)) ELSE 0 END::DOUBLE AS capability FROM r LEFT JOIN b USING (task))"""
+
+
+@query("task_scores", "E04 E05", f"SELECT task, arm, {', '.join(f'round({k}, 6) AS {k}' for k in E.TASK_WEIGHTS)} FROM {_TASKS}")
 def task_scores(t: Tables) -> DataFrame:
-    rows = t.events.groupBy(F.col("user_id").alias("task"), F.col("event_type").alias("arm")).agg(F.avg("value").alias("x"), F.count("*").alias("n")).where("x > 0")
-    return E.relative(rows, "task").select("task", "arm", F.round("runtime", 6).alias("runtime"), F.round("density", 6).alias("density"))
+    return E.task_scores(_runs(t)).select("task", "arm", *(F.round(k, 6).alias(k) for k in E.TASK_WEIGHTS))
 
 
-@query("task_baselines", "E05", "SELECT user_id AS task, max(value) AS best_value, min(value) AS least_value FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id")
-def task_baselines(t: Tables) -> DataFrame:
-    return t.events.where(F.col("event_type").isin("view", "click")).groupBy(F.col("user_id").alias("task")).agg(F.max("value").alias("best_value"), F.min("value").alias("least_value"))
+@query(
+    "arm_summary",
+    "A19",
+    f"""WITH m AS (SELECT arm, {", ".join(f"round(avg({k}), 4) AS {k}" for k in E.TASK_WEIGHTS)} FROM {_TASKS} GROUP BY arm), s AS (SELECT *, round({" + ".join(f"{k} * {w}" for k, w in E.TASK_WEIGHTS.items())}, 2) AS total, round(({" + ".join(f"{k} * {E.TASK_WEIGHTS[k]}" for k in E.QUALITY)}) / {sum(E.TASK_WEIGHTS[k] for k in E.QUALITY)} * 100, 2) AS quality FROM m)
+    SELECT *, arm = (SELECT arg_max(arm, (quality, arm)) FROM s) AS is_winner, arm = (SELECT arg_max(arm, (total, arm)) FROM s) AS is_best_total FROM s""",
+)
+def arm_summary(t: Tables) -> DataFrame:
+    return E.arm_summary(E.task_scores(_runs(t)))
 
 
 @query("hit_counts", "E06", "SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'und') THEN 1 ELSE 0 END AS hits, contains(lower(left(text, greatest(1, length(text) // 4))), 'the') AS early FROM documents")
