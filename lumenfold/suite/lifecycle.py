@@ -48,10 +48,21 @@ def compress_code(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", C.code(F.col("text"), 80).alias("content"))
 
 
-@query("compress_json_array", "C03")
+_ITEMS = "'[' || array_to_string(list_transform(range(1, user_id % 9 + 1), lambda i: '{{\"i\":' || i || ',\"t\":\"a b' || i || ' c\"}}'), '{comma}') || ']'"
+_MIXED = f"(SELECT event_id, user_id, CASE event_id % 4 WHEN 0 THEN 'plain words ' || repeat('and more ', 6) WHEN 1 THEN '{{\"a\": \"one two three four five six seven eight\"}}' ELSE {_ITEMS.format(comma=', ')} END AS text, event_id % 4 AS kind, {_ITEMS.format(comma=',')} AS compact FROM events)"
+
+
+@query(
+    "compress_json_array",
+    "C03",
+    f"""WITH m AS (SELECT *, user_id % 9 AS n, CASE WHEN user_id % 9 = 0 THEN 1 ELSE 2 * (user_id % 9) + 1 END AS words FROM {_MIXED})
+    SELECT event_id, CASE kind WHEN 0 THEN 'plain words and more and more ... [compressed]' WHEN 1 THEN '{{"a":"one two three four five six ... [compressed]' ELSE CASE WHEN words <= 6 THEN compact
+      ELSE '{{"__compressed":true,"totalItems":' || n || ',"shownItems":' || greatest(1, CAST(floor(n * 6 / words) AS BIGINT)) || ',"items":[' || array_to_string(list_transform(range(1, greatest(1, CAST(floor(n * 6 / words) AS BIGINT)) + 1), lambda i: '{{"i":' || i || ',"t":"a b' || i || ' c"}}'), ',') || ']}}' END END AS content FROM m""",
+)
 def compress_json_array(t: Tables) -> DataFrame:
-    rows = t.events.groupBy("user_id").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "props"))), lambda e: e["props"]), ", "), F.lit("]")).alias("items"))
-    return C.crushed(rows, "user_id", "items", 6)
+    items = F.array_join(F.transform(F.when(F.col("user_id") % 9 > 0, F.sequence(F.lit(1).cast("bigint"), F.col("user_id") % 9)).otherwise(F.array().cast("array<bigint>")), lambda i: F.concat(F.lit('{"i":'), i.cast("string"), F.lit(',"t":"a b'), i.cast("string"), F.lit(' c"}'))), ", ")
+    text = F.when(F.col("event_id") % 4 == 0, F.lit("plain words " + "and more " * 6)).when(F.col("event_id") % 4 == 1, F.lit('{"a": "one two three four five six seven eight"}')).otherwise(F.concat(F.lit("["), items, F.lit("]")))
+    return t.events.select("event_id", C.crushed(text, 6).alias("content"))
 
 
 @query("compress_results", "C07 C12", f"SELECT doc_id AS node_id, {_CUT.format(w=S.word_list('text'), n=20)} AS content, left(sha256(text), 16) AS hash, {S.token_estimate('text')} AS tokens_before, {S.token_estimate(_CUT.format(w=S.word_list('text'), n=20))} AS tokens_after FROM documents")
@@ -59,15 +70,66 @@ def compress_results(t: Tables) -> DataFrame:
     return C.results(t.documents.select(F.col("doc_id").alias("node_id"), F.col("text").alias("content")), 8000, 1000)
 
 
-@query("retrieve_original", "C12 S16 S17", f"SELECT r.event_id, r.hash, d.n_chars FROM {SQL_FEEDBACK} r JOIN documents d ON d.doc_id = r.hash WHERE r.stream = 'retrieval'")
-def retrieve_original(t: Tables) -> DataFrame:
-    store = t.documents.select(F.col("doc_id").alias("hash"), "n_chars")
-    return t.feedback().where("stream = 'retrieval'").select("event_id", "hash").join(store, "hash").select("event_id", "hash", "n_chars")
+#: Documents as stored contents, an hour apart by ten; retrievals are events that name them.
+_STORE = f"(SELECT hash, text, created_at, coalesce(n, 0) AS retrievals FROM (SELECT left(sha256(text), 16) AS hash, min(text) AS text, min(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * (doc_id // 10)) AS created_at FROM documents GROUP BY 1) LEFT JOIN (SELECT left(sha256(d.text), 16) AS hash, count(*) AS n FROM {SQL_FEEDBACK} f JOIN documents d ON d.doc_id = f.hash WHERE f.stream = 'retrieval' GROUP BY 1) USING (hash))"
+
+
+def _store(t: Tables) -> DataFrame:
+    made = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + 3600 * F.expr("doc_id div 10")).cast("timestamp_ntz")
+    store = C.stored(C.originals(t.documents.select(F.col("text").alias("content"), "doc_id"), made))
+    return C.retrieved(store, _asked(t))
+
+
+def _asked(t: Tables) -> DataFrame:
+    hashes = t.documents.select(F.col("doc_id").alias("hash"), T.short_hash(F.col("text")).alias("__hash"))
+    return t.feedback().where("stream = 'retrieval'").select("hash").join(hashes, "hash").select(F.col("__hash").alias("hash"))
+
 
+@query("content_store", "S16 C07 C12", f"SELECT hash, length(text) AS chars, CAST(epoch(created_at) AS BIGINT) AS created, retrievals FROM {_STORE}")
+def content_store(t: Tables) -> DataFrame:
+    """Originals of compressed results under their hashes, with how often each was asked for again."""
+    return _store(t).select("hash", F.length("content").cast("bigint").alias("chars"), F.unix_timestamp("created_at").alias("created"), "retrievals")
 
-@query("compress_review", "C09 A10", "SELECT event_type AS type, count(*) AS tokens_before, count(DISTINCT user_id) AS tokens_after, left(sha256(event_type), 16) AS hash FROM events GROUP BY event_type")
+
+@query("evict_store", "U04 S16 T12", f"SELECT hash, retrievals FROM {_STORE} WHERE created_at + INTERVAL 72 HOUR >= (SELECT max(created_at) FROM {_STORE}) ORDER BY retrievals DESC, created_at DESC, hash LIMIT 100")
+def evict_store(t: Tables) -> DataFrame:
+    """What a store of a hundred entries and three days keeps."""
+    from lumenfold.sources import storage
+
+    store = storage.kept(t.spark, _store(t))
+    now = store.agg(F.max("created_at").alias("now"))  # one row
+    return C.evicted(store.join(F.broadcast(now)), F.col("now"), "INTERVAL 72 HOURS", 100).select("hash", "retrievals")
+
+
+@query("search_store", "S16 P13 C12", f"SELECT hash, CAST(epoch(created_at) AS BIGINT) AS created FROM {_STORE} WHERE contains(lower(text), 'the') AND contains(lower(text), 'and') ORDER BY created_at DESC, hash LIMIT 50")
+def search_store(t: Tables) -> DataFrame:
+    return C.search_store(_store(t), ["the", "AND"]).limit(50).select("hash", F.unix_timestamp("created_at").alias("created"))
+
+
+@query("feedback_since", "S17 J19", f"SELECT event_id, hash, kind FROM {SQL_FEEDBACK} WHERE ts >= TIMESTAMP '2024-01-02' AND stream = 'retrieval'")
+def feedback_since(t: Tables) -> DataFrame:
+    """Retrievals since a time."""
+    return t.feedback().where("ts >= TIMESTAMP_NTZ '2024-01-02' and stream = 'retrieval'").select("event_id", "hash", "kind")
+
+
+@query("compress_review", "C09 A10", f"WITH f AS (SELECT event_type AS type, 'f' || user_id AS file, CAST(json_extract(props, '$.k') AS BIGINT) AS line, event_type || ' at ' || props || ' of ' || user_id AS text FROM events), g AS (SELECT type, file, count(*) AS matches, list_sort(list(DISTINCT line))[1:5] AS lines, CAST(sum({S.token_estimate('text')}) AS BIGINT) AS tokens_before FROM f GROUP BY ALL), h AS (SELECT *, type || ' ' || file || ' x' || matches || CASE WHEN len(lines) > 0 THEN ' ' || array_to_string(lines, ',') ELSE '' END AS summary FROM g) SELECT type, file, matches, tokens_before, summary, {S.token_estimate('summary')} AS tokens_after, left(sha256(type || chr(0) || file), 16) AS hash, round({S.token_estimate('summary')} / tokens_before, 6) AS ratio FROM h")
 def compress_review(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("tokens_before"), F.countDistinct("user_id").alias("tokens_after")).withColumn("hash", T.short_hash(F.col("type")))
+    found = t.events.select(F.col("event_type").alias("type"), F.concat(F.lit("f"), "user_id").alias("file"), F.get_json_object("props", "$.k").cast("bigint").alias("line"), F.concat("event_type", F.lit(" at "), "props", F.lit(" of "), "user_id").alias("text"))
+    return C.review(found).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("category_use", "K01", f"WITH m AS (SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(content_type) = 0 THEN 'content_type' ELSE 'kind' END || ':' || coalesce(source, content_type, kind) AS category, count(*) FILTER (stream = 'compression') AS c, count(*) FILTER (stream = 'retrieval') AS r FROM {SQL_FEEDBACK} GROUP BY GROUPING SETS ((source), (content_type), (kind))) SELECT category, round(r / c, 6) AS rate, CASE WHEN r = 0 THEN 'never' ELSE 'frequent' END AS use FROM m WHERE c > 0 AND (r = 0 OR r / c >= 0.5)")
+def category_use(t: Tables) -> DataFrame:
+    """Categories of contents that are never asked for again, and those that often are."""
+    return C.category_use(A.feedback_marginals(t.feedback()))
+
+
+@query("freshness_gate", "T07 T08", f"WITH m AS (SELECT count(*) FILTER (state = 'stale') AS stale, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'failed') AS failed, count(*) AS total FROM {SQL_MANIFEST}) SELECT failed = 0 AS allowed, CASE WHEN stale + pending + failed = 0 THEN 'fresh' WHEN failed = 0 THEN 'fresh after sync' ELSE 'blocked' END AS how, CASE WHEN failed = 0 THEN '' ELSE failed || ' failed' END AS warnings FROM m")
+def freshness_gate(t: Tables) -> DataFrame:
+    """Whether a search may run, after a sync that makes all but failed entries fresh."""
+    manifest = t.manifest()
+    synced = manifest.withColumn("state", F.when(F.col("state") == "failed", "failed").otherwise("fresh"))
+    return C.gate(A.state_counts(manifest), False, A.state_counts(synced)).withColumn("warnings", F.array_join("warnings", ","))
 
 
 _MARG = f"(SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(content_type) = 0 THEN 'content_type' ELSE 'kind' END AS dimension, coalesce(source, content_type, kind) AS category, count(*) FILTER (stream = 'compression') AS c, count(*) FILTER (stream = 'retrieval') AS r FROM {SQL_FEEDBACK} GROUP BY GROUPING SETS ((source), (content_type), (kind)))"
@@ -85,10 +147,18 @@ def policy_rules(t: Tables) -> DataFrame:
     return C.policy(A.feedback_marginals(t.feedback()))
 
 
-@query("adjustment_audit", "K03", "SELECT event_type AS setting, 1.0::DOUBLE AS old_value, round(1.0 + 0.1 * count(*) / 100.0, 6)::DOUBLE AS new_value, 'retrieval rate' AS reason FROM events GROUP BY event_type")
+@query(
+    "adjustment_audit",
+    "K03",
+    f"""WITH m AS (SELECT dimension, category, c, CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE r / c END AS rate FROM {_MARG}), p AS (SELECT *, 'graph-weight' AS a, '+0.1' AS v FROM m WHERE category = 'graph' AND rate > 0.6 UNION ALL SELECT *, 'graph-level', 'conservative' FROM m WHERE category = 'graph' AND rate > 0.6
+      UNION ALL SELECT *, 'fts-level', 'aggressive' FROM m WHERE category = 'fts' AND c > 0 AND rate < 0.05 UNION ALL SELECT *, 'kind-boost', '+0.2' FROM m WHERE dimension = 'kind' AND c > 0 AND rate > 0.5
+      UNION ALL SELECT *, 'code-level', 'conservative' FROM m WHERE category = 'code' AND rate > 0.7 UNION ALL SELECT *, 'json-level', 'aggressive' FROM m WHERE category = 'json' AND c > 0 AND rate < 0.1)
+    SELECT CASE WHEN suffix(a, 'weight') THEN 'route-weight' WHEN suffix(a, 'boost') THEN 'kind-boost' ELSE 'compression-level' END AS type, a || '.' || category AS field, CASE a WHEN 'graph-weight' THEN '1.25' WHEN 'kind-boost' THEN '0' ELSE 'auto' END AS old_value, v AS new_value, dimension || ':' || category || ' retrieval rate ' || printf('%.3f', round(rate, 6)) AS reason FROM p""",
+)
 def adjustment_audit(t: Tables) -> DataFrame:
-    rows = t.events.groupBy(F.col("event_type").alias("setting")).agg(F.count("*").alias("n"))
-    return rows.select("setting", F.lit(1.0).alias("old_value"), F.round(1.0 + 0.1 * F.col("n") / 100.0, 6).alias("new_value"), F.lit("retrieval rate").alias("reason"))
+    """What feedback changes, with the value before and the reason."""
+    rows = C.audit(C.policy(A.feedback_marginals(t.feedback())), {"graph-weight": "1.25", "kind-boost": "0"}, F.current_timestamp())
+    return rows.drop("adjusted_at")
 
 
 _FLAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{p}') THEN '{k}' END" for k, p in sorted(C.FAILURES.items())) + "], lambda x: x IS NOT NULL)"
@@ -97,18 +167,29 @@ _MADE = "(SELECT role, CASE WHEN turn % 5 = 0 THEN text || ' no results' WHEN tu
 
 @query("failure_patterns_having", "A11 K04", f"SELECT type, count(*) AS n, array_to_string(list_sort(list(DISTINCT role)), ',') AS files FROM (SELECT role, unnest({_FLAGS}) AS type FROM {_MADE}) GROUP BY type HAVING count(*) >= 3")
 def failure_patterns_having(t: Tables) -> DataFrame:
-    made = F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(" no results"))).when(F.col("turn") % 7 == 0, F.concat("text", F.lit(" index is stale"))).otherwise(F.col("text"))
-    rows = C.failure_patterns(t.conversations.select(made.alias("text"), F.col("role").alias("file")))
+    rows = C.failure_patterns(_logs(t))
     return rows.select("type", "n", F.array_join("files", ",").alias("files"))
 
 
-@query("learned_rules", "K05", f"SELECT type, row_number() OVER (ORDER BY n DESC, type) AS rank, 'When ' || type || ' happened ' || n || ' times, check the index first.' AS rule FROM (SELECT type, count(*) AS n FROM (SELECT unnest({_FLAGS}) AS type FROM {_MADE}) GROUP BY type HAVING count(*) >= 3)")
-def learned_rules(t: Tables) -> DataFrame:
-    from lumenfold.operators import windows as W
+def _logs(t: Tables) -> DataFrame:
+    made = F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(" no results"))).when(F.col("turn") % 7 == 0, F.concat("text", F.lit(" index is stale"))).otherwise(F.col("text"))
+    return t.conversations.select(made.alias("text"), F.col("role").alias("file"))
 
-    rows = failure_patterns_having(t)
-    ranked = W.top(rows.select("type", "n"), [F.desc("n"), F.asc("type")], len(C.FAILURES))
-    return ranked.select("type", "rank", F.format_string("When %s happened %d times, check the index first.", "type", "n").alias("rule"))
+
+_LESSON = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LESSONS.items()) + " END"
+
+
+@query(
+    "learned_rules",
+    "K05",
+    f"""WITH p AS (SELECT type, count(*) AS n, list_sort(list(DISTINCT role)) AS files FROM (SELECT role, unnest({_FLAGS}) AS type FROM {_MADE}) GROUP BY type HAVING count(*) >= 3),
+    l AS (SELECT string_agg('- **' || type || '** (' || n || ' occurrence' || CASE WHEN n = 1 THEN '' ELSE 's' END || ', confidence ' || printf('%.2f', least(0.95, 0.5 + n * 0.05)) || '): ' || {_LESSON} || ' Affected files: ' || array_to_string(files, ', ') || '.', chr(10) ORDER BY n DESC, type) AS lines,
+      string_agg('{{"type":"' || type || '","n":' || n || ',"files":["' || array_to_string(files, '","') || '"]}}', ',' ORDER BY n DESC, type) AS json FROM p)
+    SELECT f.format, CASE WHEN f.title IS NULL THEN '{{"patterns":[' || coalesce(json, '') || ']}}' ELSE '# Learned ' || f.title || ' Guidance' || chr(10) || chr(10) || coalesce(lines, '- No recurring failure patterns met the configured minimum occurrence threshold.') || chr(10) END AS content FROM l, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in C.FORMATS.items())}, ('json', NULL)) f(format, title)""",
+)
+def learned_rules(t: Tables) -> DataFrame:
+    """What session logs teach, in each format."""
+    return C.rules(C.failure_patterns(_logs(t)))
 
 
 @query("state_transitions", "T04 T05", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND state = 'fresh' THEN 'stale' WHEN doc_id % 6 = 0 AND state = 'pending' THEN 'fresh' ELSE state END AS state FROM {SQL_MANIFEST}")
@@ -153,3 +234,43 @@ def stream_debounced(t: Tables) -> DataFrame:
 def ttl_over_time(t: Tables) -> DataFrame:
     now = t.events.agg(F.max("ts").alias("now"))
     return t.events.join(F.broadcast(now)).select("event_id", (F.col("ts") + F.expr("INTERVAL 30 MINUTE") < F.col("now")).alias("expired"))  # one row
+
+
+@query("snapshot_modes", "S02 S08", "SELECT doc_id AS node_id, length(text) AS full_chars, CASE WHEN source IN ('src1', 'src2') THEN length(text) END AS some_chars FROM documents")
+def snapshot_modes(t: Tables) -> DataFrame:
+    """A snapshot that was written and is read whole, without contents, and with those of two files."""
+    from lumenfold.sources import collections, storage
+
+    path = storage.scratch(t.spark)
+    collections.write_snapshot(t.nodes(), path)
+    read = lambda mode: collections.read_snapshot(t.spark, path, mode, ["src1", "src2"])
+    full, some = read("full").select("node_id", F.length("content").cast("bigint").alias("full_chars")), read("files").select("node_id", F.length("content").cast("bigint").alias("some_chars"))
+    return read("lite").select("node_id").join(full, "node_id").join(some, "node_id")
+
+
+@query("collection_lifecycle", "S10 S11 S12", "SELECT 'vd_' || left(sha256(CAST(doc_id AS VARCHAR) || chr(0) || 'local'), 32) AS id, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE source NOT IN ('src1', 'src2')")
+def collection_lifecycle(t: Tables) -> DataFrame:
+    """A collection after an upsert of all documents, one of every third, a deletion of two files' and a compaction."""
+    from lumenfold.sources import collections, storage
+
+    path = storage.scratch(t.spark)
+    key = t.documents.select(F.col("doc_id").cast("string").alias("node"), F.lit("local").alias("profile"), F.col("source").alias("file_path"), "n_chars", "doc_id")
+    docs = key.select(collections.document_id("node", "profile").alias("id"), "file_path", "n_chars", "doc_id")
+    collections.upsert(docs.drop("doc_id"), path)
+    collections.upsert(docs.where("doc_id % 3 = 0").withColumn("n_chars", F.col("n_chars") + 1).drop("doc_id"), path)
+    collections.delete_files(t.spark, path, t.documents.where("source in ('src1', 'src2')").select(F.col("source").alias("file_path")))
+    collections.optimize(t.spark, path)
+    return collections.read(t.spark, path).select("id", "n_chars")
+
+
+@query("session_logs", "S18", "SELECT conv_id, turn, role AS tool_name, length(text) AS chars, turn * 10 AS duration_ms FROM conversations")
+def session_logs(t: Tables) -> DataFrame:
+    """Logs in files of one JSON entry a line, read back."""
+    from lumenfold.sources import session_logs as logs
+    from lumenfold.sources import storage
+
+    path = storage.scratch(t.spark)
+    entry = F.struct(F.col("role").alias("toolName"), F.struct("conv_id", "turn").alias("input"), F.col("text").alias("output"), (F.col("turn") * 10).alias("durationMs"))
+    t.conversations.select(F.to_json(entry).alias("value")).write.text(path)
+    rows = logs.read(t.spark, path)
+    return rows.select(F.get_json_object("input", "$.conv_id").cast("bigint").alias("conv_id"), F.get_json_object("input", "$.turn").cast("bigint").alias("turn"), "tool_name", F.length("output").cast("bigint").alias("chars"), "duration_ms")
