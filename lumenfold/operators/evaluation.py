@@ -95,6 +95,17 @@ def hits(text: Column, terms: list[str]) -> list[Column]:
     return [count.alias("hits"), quarter.contains(terms[0]).alias("early")]
 
 
-def gated(rows: DataFrame, column: str, floor: float) -> DataFrame:
-    """passes: at the floor or above; near: within a tenth of it."""
-    return rows.withColumn("passes", F.col(column) >= floor).withColumn("near", F.abs(F.col(column) - floor) <= floor / 10)
+def gated(measures: DataFrame, gates: DataFrame) -> DataFrame:
+    """name, value, passes and near: each gate (name, is_floor, bound) against its measure (name, value).
+
+    near: it passes by less than a tenth of the bound. A gate without a measure fails."""
+    ahead = F.when(F.col("is_floor"), F.col("value") - F.col("bound")).otherwise(F.col("bound") - F.col("value"))
+    rows = gates.join(measures, "name", "left").withColumn("ahead", ahead)
+    passes = F.coalesce(F.col("ahead") >= 0, F.lit(False))
+    return rows.select("name", "value", passes.alias("passes"), (passes & (F.col("ahead") <= F.abs("bound") / 10)).alias("near"))
+
+
+def latest_accepted(runs: DataFrame, version: int, tiers: list[str], key: str) -> DataFrame:
+    """key and run of the latest accepted run (accepted, version, tiers, ts, run) that compares with this one: same version, same tiers."""
+    like = runs.where(F.col("accepted") & (F.col("version") == version) & (F.array_sort("tiers") == F.array(*map(F.lit, sorted(tiers)))))
+    return like.groupBy(key).agg(F.max_by("run", F.struct("ts", "run")).alias("run"))

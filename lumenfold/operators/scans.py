@@ -18,6 +18,53 @@ def snippet(text: Column, first: int, last: int, most_lines: int = 80, most_char
     return F.substring(F.rtrim(F.array_join(lines, "\n")), 1, most_chars)
 
 
+#: Characters of a file that snippets are cut from.
+LONGEST_FILE = 1 << 20
+
+
+def is_inside(path: Column) -> Column:
+    """A path that names a file of the project: relative, and never above its root."""
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    return (F.trim(path) != "") & ~path.rlike(r"^([/\\]|[A-Za-z]:)") & ~F.array_contains(parts, "..")
+
+
+def with_snippets(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """nodes (node_id, file_path, first, last) with the lines of their files (file_path, content) as snippet.
+
+    A file is cut once to what snippets may need; nodes of files that are not there, or outside, are left out."""
+    cut = files.where(is_inside(F.col("file_path"))).select("file_path", F.split(F.substring("content", 1, LONGEST_FILE), "\r?\n").alias("__lines"))
+    lines = F.slice("__lines", F.col("first"), F.least(F.col("last") - F.col("first") + 1, F.lit(80)))
+    text = F.substring(F.rtrim(F.array_join(lines, "\n")), 1, 6000)
+    return nodes.join(cut, "file_path").withColumn("snippet", text).drop("__lines")
+
+
+def current(rows: DataFrame, profile: str, chunker: str, version: int) -> DataFrame:
+    """Stored rows (profile, chunker, body: JSON) that the present code wrote."""
+    of = F.try_variant_get(F.try_parse_json("body"), "$.version", "bigint")
+    return rows.where((F.col("profile") == profile) & (F.col("chunker") == chunker) & (of == version))
+
+
+# Fields of stored nodes, files and manifest entries, and the kind of each.
+NODE_FIELDS = {"id": "STRING", "kind": "STRING", "name": "STRING", "calls": "ARRAY"}
+FILE_FIELDS = {"path": "STRING", "contentHash": "STRING", "language": "STRING"}
+
+
+def is_valid(text: Column, fields: dict[str, str]) -> Column:
+    """Whether a text is a JSON object that has all the fields, each of its kind."""
+    value = F.try_parse_json(text)
+    kinds = (F.schema_of_variant(F.try_variant_get(value, f"$.{name}", "variant")).startswith(kind) for name, kind in fields.items())
+    ok = F.lit(True)
+    for k in kinds:
+        ok = ok & F.coalesce(k, F.lit(False))
+    return ok
+
+
+def summarised(nodes: DataFrame) -> DataFrame:
+    """nodes without contents, scores to four decimals, empty texts as null."""
+    kept = [F.nullif(F.trim(c), F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in nodes.dtypes if c not in ("content", "score")]
+    return nodes.select(*kept, F.round("score", 4).alias("score"))
+
+
 def filtered(nodes: DataFrame, filters: dict[str, str], names: tuple[str, ...] = ("name", "qualified_name")) -> DataFrame:
     """Scalar filters: kind, language and file are equal, path is a prefix, name is contained in any case."""
     for key, column in (("kind", "kind"), ("language", "language"), ("file", "file_path")):

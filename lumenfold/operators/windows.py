@@ -23,6 +23,19 @@ def round_robin(rows: DataFrame, key: str, order: list, cap: int, most: int) ->
     return top(first_per(rows, [key], order, cap, "depth"), ["depth", *order], most)
 
 
+def source_priority(graph: Column, vector: Column, fts: Column) -> Column:
+    """What a budget takes first: found by the graph, else by vectors, else by text; of one source, what others found too."""
+    also = lambda c, v: F.when(c, v).otherwise(0)
+    return F.when(graph, 3000 + also(vector, 20) + also(fts, 10)).when(vector, 2000 + also(fts, 10)).otherwise(1000)
+
+
+def median_run(rows: DataFrame, key: str, value: str, index: str, size: str) -> DataFrame:
+    """The row of each key nearest its median; of equals the first by index, then the smallest. Two aggregates that combine before the shuffle."""
+    middle = rows.groupBy(key).agg(F.median(value).alias("__m"))
+    near = F.struct(F.abs(F.col(value) - F.col("__m")), F.col(index), F.col(size))
+    return rows.join(middle, key).groupBy(key).agg(F.min_by(F.struct(index, value, size), near).alias("b")).select(key, "b.*")
+
+
 def budgeted(rows: DataFrame, order: list, cost: Column, budget: int, overhead: int, most: int) -> DataFrame:
     """Rows of a ranked list of `most` at most that a budget admits, with `used` tokens each.
 

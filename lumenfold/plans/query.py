@@ -116,6 +116,18 @@ def parse(query: str) -> Query:
     return Query(query, text, filters, terms, made, route(text, filters, terms, made))
 
 
+def field_columns(text: Column) -> dict[str, Column]:
+    """`parse` of many queries at once: a column a field (null where it is missing), and `rest`, the free text."""
+    parts = T.word_list(text)
+    is_field = lambda names: lambda p: p.rlike(f"(?i)^({'|'.join(names)}):[^:]")
+    out = {}
+    for name in dict.fromkeys(FILTER_ALIASES.values()):
+        found = F.filter(parts, is_field([k for k, v in FILTER_ALIASES.items() if v == name]))
+        out[name] = F.regexp_replace(F.try_element_at(found, F.lit(-1)), "^[^:]*:", "")
+    rest = is_field(list(FILTER_ALIASES))
+    return out | {"rest": F.array_join(F.filter(parts, lambda p: ~rest(p)), " ")}
+
+
 def intent(text: str, filters: dict[str, str], terms: tuple[str, ...]) -> str:
     if is_symbol(text) or is_symbol(filters.get("name", "")):
         return "exact-symbol"

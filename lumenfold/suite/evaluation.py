@@ -97,10 +97,14 @@ def hit_counts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", *E.hits(F.col("text"), ["the", "und"]))
 
 
-@query("goal_gate", "E07", "SELECT event_type AS arm, round(avg(value), 6) AS score, avg(value) >= 50 AS passes, abs(avg(value) - 50) <= 5 AS near FROM events GROUP BY event_type")
+_GATES = [("view", True, 50.0), ("click", True, 48.0), ("purchase", False, 51.0), ("error", False, 20.0), ("missing", True, 1.0)]
+
+
+@query("goal_gate", "E07", f"SELECT g.name, round(m.value, 6) AS value, coalesce(CASE WHEN g.is_floor THEN m.value >= g.bound ELSE m.value <= g.bound END, false) AS passes, coalesce(CASE WHEN g.is_floor THEN m.value - g.bound ELSE g.bound - m.value END BETWEEN 0 AND g.bound / 10, false) AS near FROM (VALUES {', '.join(f'({n!r}, {f}, {b}::DOUBLE)' for n, f, b in _GATES)}) g(name, is_floor, bound) LEFT JOIN (SELECT event_type AS name, avg(value) AS value FROM events GROUP BY 1) m USING (name)")
 def goal_gate(t: Tables) -> DataFrame:
-    rows = t.events.groupBy(F.col("event_type").alias("arm")).agg(F.avg("value").alias("x"))
-    return E.gated(rows, "x", 50.0).select("arm", F.round("x", 6).alias("score"), "passes", "near")
+    gates = t.spark.createDataFrame(_GATES, "name string, is_floor boolean, bound double")
+    measures = t.events.groupBy(F.col("event_type").alias("name")).agg(F.avg("value").alias("value"))
+    return E.gated(measures, gates).withColumn("value", F.round("value", 6))
 
 
 @query("hard_gates", "E08", "SELECT user_id % 5 AS tier, bool_and(value > 0) AS all_positive, count(*) FILTER (value < 10) AS below_floor FROM events GROUP BY 1")
@@ -108,6 +112,9 @@ def hard_gates(t: Tables) -> DataFrame:
     return t.events.groupBy((F.col("user_id") % 5).alias("tier")).agg(F.every(F.col("value") > 0).alias("all_positive"), F.count_if(F.col("value") < 10).alias("below_floor"))
 
 
-@query("accepted_baseline", "E09", "SELECT user_id, max(event_id) AS baseline, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+@query("accepted_baseline", "E09", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS run FROM events WHERE event_type = 'purchase' AND event_id % 2 = 1 AND value > 30 GROUP BY user_id")
 def accepted_baseline(t: Tables) -> DataFrame:
-    return t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("baseline"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+    """The latest accepted run of each user with the same version and tiers."""
+    tiers = F.when(F.col("value") > 30, F.array(F.lit("extended"), F.lit("core"))).otherwise(F.array(F.lit("core")))
+    runs = t.events.select("user_id", F.col("event_id").alias("run"), "ts", (F.col("event_type") == "purchase").alias("accepted"), (F.col("event_id") % 2).alias("version"), tiers.alias("tiers"))
+    return E.latest_accepted(runs, 1, ["core", "extended"], "user_id")

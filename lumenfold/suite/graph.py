@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.catalog import SQL_CALLS, SQL_FLOWS, SQL_SYMBOLS, Tables
+from lumenfold.catalog import SQL_CALLS, SQL_CODE, SQL_CODE_CALLS, SQL_FLOWS, SQL_SYMBOLS, Tables
 from lumenfold.functions import text as T
 from lumenfold.operators import graph as G
 from lumenfold.operators import review as V
@@ -86,3 +86,30 @@ def finding_signatures(t: Tables) -> DataFrame:
 @query("already_discussed", "T11 C09", "SELECT event_id, n > 1 AS discussed FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type, CAST(json_extract(props, '$.k') AS BIGINT) ORDER BY ts, event_id) AS n FROM events)")
 def already_discussed(t: Tables) -> DataFrame:
     return V.discussed(t.events.withColumn("k", F.get_json_object("props", "$.k")), ["event_type", "k"], ["ts", "event_id"]).select("event_id", "discussed")
+
+
+@query("remembered_findings", "T11", "SELECT event_id, EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 0 AND b.user_id % 3 = a.user_id % 3 AND b.event_type = a.event_type AND json_extract_string(b.props, '$.k') = json_extract_string(a.props, '$.k')) AS discussed FROM events a WHERE event_id % 2 = 1")
+def remembered_findings(t: Tables) -> DataFrame:
+    """Findings of one turn against those that a turn before left in the store, scope by scope."""
+    from lumenfold.sources import storage
+
+    path = storage.scratch(t.spark)
+    said = t.events.select("event_id", (F.col("user_id") % 3).cast("string").alias("scope"), V.signature(F.col("event_type"), F.col("props"), ("k",)).alias("signature"))
+    V.remember(said.where("event_id % 2 = 0"), path)
+    return V.remembered(said.where("event_id % 2 = 1"), path).select("event_id", "discussed")
+
+
+@query(
+    "review_composed",
+    "V01 V04 J15 J16 J17",
+    f"""WITH c AS (SELECT *, lower(signature) AS s, nullif(lower(regexp_extract(signature, '(?i)extends\\s+([A-Za-z0-9_.:<>]+)', 1)), '') AS base FROM {SQL_CODE}), a AS (SELECT * FROM c WHERE node_id % 10 = 0), e AS (SELECT * FROM c WHERE node_id % 10 <> 0), n AS (SELECT call, count(*) AS n FROM {SQL_CODE_CALLS} WHERE caller % 50 = 0 GROUP BY 1)
+    SELECT 'same-signature' AS type, name AS subject, file_path FROM a WHERE regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\s*:\\s*', ':', 'g'), '\\s*,\\s*', ',', 'g'), '\\s*\\(\\s*', '(', 'g'), '\\s*\\)\\s*', ')', 'g') IN (SELECT regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '\\s*:\\s*', ':', 'g'), '\\s*,\\s*', ',', 'g'), '\\s*\\(\\s*', '(', 'g'), '\\s*\\)\\s*', ')', 'g') FROM e)
+    UNION SELECT 'similar-class', name, file_path FROM a WHERE kind = 'class' AND EXISTS (SELECT 1 FROM e WHERE e.kind = 'class' AND e.base = a.base AND e.name <> a.name)
+    UNION SELECT 'redundant-import', './' || lower(name), file_path FROM a WHERE file_path IN (SELECT file_path FROM e WHERE lower(e.name) = lower(a.name))
+    UNION SELECT 'unneeded', name, file_path FROM a LEFT JOIN n ON n.call = name WHERE kind = 'function' AND coalesce(n, 0) <= 1""",
+)
+def review_composed(t: Tables) -> DataFrame:
+    """Four finders over every tenth symbol as an addition to the others."""
+    code = t.code()
+    imports = code.select("file_path", F.concat(F.lit("./"), F.lower("name")).alias("specifier"), (F.col("node_id") % 10 == 0).alias("is_added"))
+    return V.review(code.where("node_id % 10 = 0"), code.where("node_id % 10 <> 0"), imports, t.code_calls().where("caller % 50 = 0"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.catalog import SQL_FEEDBACK, SQL_MANIFEST, SQL_NODES, SQL_SYMBOLS, Tables
+from lumenfold.catalog import SQL_CODE, SQL_FEEDBACK, SQL_NODES, SQL_SYMBOLS, Tables
 from lumenfold.functions import text as T
 from lumenfold.operators import scans as O
 from lumenfold.plans import query as Q
@@ -53,9 +53,16 @@ def result_filters(t: Tables) -> DataFrame:
     return O.filtered(t.symbols(), {"name": "Brand#1"}, names=("qualified_name",)).select("node_id", "qualified_name")
 
 
-@query("current_version", "P04 P06", f"SELECT doc_id, state FROM {SQL_MANIFEST} WHERE state = 'fresh' AND file_path = 'src3'")
+_ENTRIES = "(SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'local' WHEN 1 THEN 'remote' ELSE 'other' END AS profile, 'v' || (event_id % 2 + 1) AS chunker, CASE WHEN event_id % 7 = 0 THEN '{broken' ELSE '{\"version\":' || (user_id % 2 + 1) || '}' END AS body FROM events)"
+
+
+@query("current_version", "P04 P06", f"SELECT event_id FROM {_ENTRIES} WHERE profile = 'local' AND chunker = 'v2' AND json_valid(body) AND json_extract_string(CASE WHEN json_valid(body) THEN body END, '$.version') = '2'")
 def current_version(t: Tables) -> DataFrame:
-    return t.manifest().where((F.col("state") == "fresh") & (F.col("file_path") == "src3")).select("doc_id", "state")
+    """Stored documents of one profile and chunker whose JSON is of the current version."""
+    profile = F.when(F.col("user_id") % 3 == 0, "local").when(F.col("user_id") % 3 == 1, "remote").otherwise("other")
+    body = F.when(F.col("event_id") % 7 == 0, "{broken").otherwise(F.concat(F.lit('{"version":'), (F.col("user_id") % 2 + 1).cast("string"), F.lit("}")))
+    rows = t.events.select("event_id", profile.alias("profile"), F.concat(F.lit("v"), (F.col("event_id") % 2 + 1).cast("string")).alias("chunker"), body.alias("body"))
+    return O.current(rows, "local", "v2", 2).select("event_id")
 
 
 @query("path_match_tiered", "P07 P11", "SELECT page_id, url, tier FROM (SELECT page_id, url, CASE WHEN url = 'https://example.com' THEN 0 WHEN suffix(url, '/1') THEN 1 WHEN contains(url, '1') THEN 2 END AS tier FROM pages) WHERE tier IS NOT NULL ORDER BY tier, url, page_id LIMIT 50")
@@ -84,14 +91,33 @@ def validate_json(t: Tables) -> DataFrame:
     return t.events.select("event_id", parsed["k"].alias("k")).where("k is not null")
 
 
+_RAW = "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{\"id\":\"n' || event_id || '\",\"kind\":\"function\",\"name\":\"f\",\"calls\":[\"a\"]}' WHEN 1 THEN '{\"id\":' || event_id || ',\"kind\":\"function\",\"name\":\"f\",\"calls\":[]}' WHEN 2 THEN '{\"id\":\"n\",\"kind\":\"class\",\"name\":\"f\",\"calls\":\"a\"}' WHEN 3 THEN 'no json' ELSE '{\"id\":\"n\",\"name\":\"f\",\"calls\":[]}' END AS raw FROM events)"
+
+
+@query("validate_nodes", "P12", f"SELECT event_id, coalesce(json_valid(raw) AND json_type(j, '$.id') = 'VARCHAR' AND json_type(j, '$.kind') = 'VARCHAR' AND json_type(j, '$.name') = 'VARCHAR' AND json_type(j, '$.calls') = 'ARRAY', false) AS is_node FROM (SELECT *, CASE WHEN json_valid(raw) THEN raw END AS j FROM {_RAW})")
+def validate_nodes(t: Tables) -> DataFrame:
+    """Which JSON texts are nodes: their fields are there and of the right kind."""
+    e, m = F.col("event_id").cast("string"), F.col("event_id") % 5
+    raw = (
+        F.when(m == 0, F.concat(F.lit('{"id":"n'), e, F.lit('","kind":"function","name":"f","calls":["a"]}')))
+        .when(m == 1, F.concat(F.lit('{"id":'), e, F.lit(',"kind":"function","name":"f","calls":[]}')))
+        .when(m == 2, '{"id":"n","kind":"class","name":"f","calls":"a"}')
+        .when(m == 3, "no json")
+        .otherwise('{"id":"n","name":"f","calls":[]}')
+    )
+    return t.events.select("event_id", O.is_valid(raw, O.NODE_FIELDS).alias("is_node"))
+
+
 @query("ccr_search_all_terms", "P13 S16", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'and')")
 def ccr_search_all_terms(t: Tables) -> DataFrame:
     return O.contains_all(t.documents, "text", ["the", "and"]).select("doc_id")
 
 
-@query("compact_nodes", "P14", "SELECT vec_id AS node_id, round(CAST(embedding[1] AS DOUBLE), 4) AS score, label FROM embeddings")
+@query("compact_nodes", "P14", f"SELECT node_id, name, file_path, nullif(trim(coalesce(docstring, '')), '') AS docstring, round(node_id / 7.0, 4)::DOUBLE AS score FROM {SQL_CODE}")
 def compact_nodes(t: Tables) -> DataFrame:
-    return t.embeddings.select(F.col("vec_id").alias("node_id"), F.round(F.col("embedding")[0].cast("double"), 4).alias("score"), "label")
+    """Nodes for a summary: no contents, scores to four decimals, empty fields as none."""
+    rows = t.code().withColumn("score", F.col("node_id") / 7.0)
+    return O.summarised(rows).select("node_id", "name", "file_path", "docstring", "score")
 
 
 @query("compact_unique", "P15", "SELECT p_partkey, p_name, CASE WHEN rk <= 20 THEN left(p_type, 8) END AS content FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rk FROM (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) = 1)) WHERE rk <= 100")
@@ -109,10 +135,10 @@ def index_status(t: Tables) -> DataFrame:
     return t.documents.agg(F.count("*").alias("n_nodes"), F.countDistinct("source").alias("n_files"), F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("languages"))
 
 
-@query("upsert_latest", "S11 S13 S14 T05", f"SELECT 'zg_' || left(sha256(CAST(hash AS VARCHAR)), 32) AS id, hash, max_by(kind, event_id) AS kind, max(event_id) AS event_id FROM {SQL_FEEDBACK} GROUP BY hash")
+@query("upsert_latest", "S11 S13 S14 T05", f"SELECT 'vd_' || left(sha256(CAST(hash AS VARCHAR)), 32) AS id, hash, max_by(kind, event_id) AS kind, max(event_id) AS event_id FROM {SQL_FEEDBACK} GROUP BY hash")
 def upsert_latest(t: Tables) -> DataFrame:
     rows = O.latest_by(t.feedback(), ["hash"], "event_id", ["kind"])
-    return rows.select(F.concat(F.lit("zg_"), T.short_hash(F.col("hash").cast("string"), length=32)).alias("id"), "hash", "kind", "event_id")
+    return rows.select(F.concat(F.lit("vd_"), T.short_hash(F.col("hash").cast("string"), length=32)).alias("id"), "hash", "kind", "event_id")
 
 
 @query("delete_by_path", "S12 S15", "SELECT doc_id, source FROM documents WHERE source NOT IN ('src0', 'src1')")
@@ -121,10 +147,16 @@ def delete_by_path(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source").join(F.broadcast(gone), "source", "left_anti").select("doc_id", "source")  # two rows
 
 
-@query("attach_snippets", "S06 S04", "SELECT p.page_id, p.url, left(array_to_string(regexp_split_to_array(p.html, '\\r?\\n')[1:3], chr(10)), 200) AS snippet FROM pages p")
+_PLACES = "(SELECT doc_id * 2 + k AS node_id, CASE WHEN doc_id % 50 = 0 THEN '../' ELSE '' END || 'd' || doc_id AS file_path, 1 + 3 * k AS first, 1 + 3 * k + 100 * k AS last FROM documents, (SELECT unnest([0, 1]) AS k))"
+
+
+@query("attach_snippets", "S06 S04 S05 T09", f"SELECT node_id, n.file_path, nullif(left(rtrim(array_to_string(regexp_split_to_array(left(text, 1048576), '\\r?\\n')[first:least(last, first + 79)], chr(10))), 6000), '') AS snippet FROM {_PLACES} n JOIN documents d ON n.file_path = 'd' || d.doc_id")
 def attach_snippets(t: Tables) -> DataFrame:
-    texts = t.pages.select("page_id", "html")
-    return t.pages.select("page_id", "url").join(texts, "page_id").select("page_id", "url", F.substring(F.array_join(F.slice(F.split("html", "\r?\n"), 1, 3), "\n"), 1, 200).alias("snippet"))
+    """Two nodes a file with their lines of it; files outside the project have none."""
+    files = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"))
+    outside = F.when(F.col("doc_id") % 50 == 0, "../").otherwise("")
+    nodes = t.documents.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select((F.col("doc_id") * 2 + F.col("k")).alias("node_id"), F.concat(outside, F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), (1 + 3 * F.col("k")).alias("first"), (1 + 103 * F.col("k")).alias("last"))
+    return O.with_snippets(nodes, files).select("node_id", "file_path", F.nullif("snippet", F.lit("")).alias("snippet"))
 
 
 @query("exports_scan", "S22", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")
@@ -139,11 +171,22 @@ def source_scan(t: Tables) -> DataFrame:
     return declarations(t.pages.select(F.col("url").alias("file_path"), F.col("html").alias("content")))
 
 
-@query("parse_fielded_query", "P01", "SELECT item_id, nullif(regexp_extract('lang:' || left(text, 2) || ' kind:fn ' || text, '(?:^|\\s)lang:(\\S+)', 1), '') AS language, nullif(regexp_extract('lang:' || left(text, 2) || ' kind:fn ' || text, '(?:^|\\s)kind:(\\S+)', 1), '') AS kind FROM benchmark WHERE NOT contains(left(text, 2), ' ')")
+_TYPED = "('lang:' || lower(left(p_type, 2)) || ' ' || split_part(p_name, ' ', 1) || ' kind:fn Type:' || lower(p_type) || ' path:src/x lang:py std::' || split_part(p_name, ' ', 2) || ' name: symbol:' || p_brand)"
+_FIELD = "(list_filter(w, lambda x: regexp_matches(x, '(?i)^({keys}):[^:]')))[-1]"
+
+
+def _field_sql(name: str) -> str:
+    keys = "|".join(k for k, v in Q.FILTER_ALIASES.items() if v == name)
+    return f"regexp_replace({_FIELD.format(keys=keys)}, '^[^:]*:', '') AS {name}"
+
+
+@query("parse_fielded_query", "P01", f"SELECT p_partkey, {', '.join(_field_sql(k) for k in ('language', 'kind', 'path', 'name'))}, array_to_string(list_filter(w, lambda x: NOT regexp_matches(x, '(?i)^({'|'.join(Q.FILTER_ALIASES)}):[^:]')), ' ') AS rest FROM (SELECT p_partkey, {S.word_list(_TYPED)} AS w FROM part)")
 def parse_fielded_query(t: Tables) -> DataFrame:
-    fielded = F.concat(F.lit("lang:"), F.substring("text", 1, 2), F.lit(" kind:fn "), F.col("text"))
-    rows = t.benchmark.where(~F.substring("text", 1, 2).contains(" "))
-    return rows.select("item_id", *(F.nullif(F.regexp_extract(fielded, rf"(?:^|\s){k}:(\S+)", 1), F.lit("")).alias(to) for k, to in (("lang", "language"), ("kind", "kind"))))
+    """Fields and free text of many queries at once."""
+    one, two = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    typed = F.concat(F.lit("lang:"), F.lower(F.substring("p_type", 1, 2)), F.lit(" "), one, F.lit(" kind:fn Type:"), F.lower("p_type"), F.lit(" path:src/x lang:py std::"), two, F.lit(" name: symbol:"), "p_brand")
+    fields = Q.field_columns(typed)
+    return t.part.select("p_partkey", *(fields[k].alias(k) for k in ("language", "kind", "path", "name", "rest")))
 
 
 @query(

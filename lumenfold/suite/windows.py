@@ -44,22 +44,21 @@ def cap_per_anchor(t: Tables) -> DataFrame:
 @query(
     "token_budget",
     "W09 F14 L05",
-    f"""WITH c AS (SELECT doc_id, {S.token_estimate("text")} AS cost, CASE WHEN doc_id % 3 = 0 THEN 3000 WHEN doc_id % 3 = 1 THEN 2000 ELSE 1000 END AS tier FROM documents),
-    r AS (SELECT *, row_number() OVER (ORDER BY tier DESC, doc_id) AS rank FROM c), x AS (SELECT *, 8000 - coalesce(sum(cost + 5) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM r WHERE rank <= 2000)
+    f"""WITH c AS (SELECT doc_id, {S.token_estimate("text")} AS cost, CASE WHEN doc_id % 3 = 0 THEN 3000 + CASE WHEN doc_id % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN doc_id % 5 <> 0 THEN 10 ELSE 0 END WHEN doc_id % 2 = 0 THEN 2000 + CASE WHEN doc_id % 5 <> 0 THEN 10 ELSE 0 END ELSE 1000 END AS tier, doc_id % 89 AS score FROM documents),
+    r AS (SELECT *, row_number() OVER (ORDER BY tier DESC, score DESC, doc_id) AS rank FROM c), x AS (SELECT *, 8000 - coalesce(sum(cost + 5) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM r WHERE rank <= 2000)
     SELECT doc_id, rank, CAST(least(cost + 5, remaining) AS BIGINT) AS used FROM x WHERE remaining > 5""",
 )
 def token_budget(t: Tables) -> DataFrame:
-    tier = F.when(F.col("doc_id") % 3 == 0, 3000).when(F.col("doc_id") % 3 == 1, 2000).otherwise(1000)
-    rows = t.documents.select("doc_id", T.token_estimate(F.col("text")).alias("cost"), tier.alias("tier"))
-    return W.budgeted(rows, [F.desc("tier"), F.asc("doc_id")], F.col("cost"), 8000, 5, 2000).select("doc_id", "rank", "used")
+    d = F.col("doc_id")
+    tier = W.source_priority(d % 3 == 0, d % 2 == 0, d % 5 != 0)
+    rows = t.documents.select("doc_id", T.token_estimate(F.col("text")).alias("cost"), tier.alias("tier"), (d % 89).alias("score"))
+    return W.budgeted(rows, [F.desc("tier"), F.desc("score"), F.asc("doc_id")], F.col("cost"), 8000, 5, 2000).select("doc_id", "rank", "used")
 
 
-@query("median_run", "W11", "WITH m AS (SELECT event_type, median(value) AS m FROM events GROUP BY 1) SELECT event_type, event_id, round(value, 6) AS value FROM events JOIN m USING (event_type) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY abs(value - m), event_id) = 1")
+@query("median_run", "W11", "WITH r AS (SELECT event_type, user_id % 10 AS run, round(value) AS latency, length(props) AS bytes FROM events), m AS (SELECT event_type, median(latency) AS m FROM r GROUP BY 1) SELECT DISTINCT event_type, run, latency, bytes FROM r JOIN m USING (event_type) QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY abs(latency - m), run, bytes, latency) = 1")
 def median_run(t: Tables) -> DataFrame:
-    middle = t.events.groupBy("event_type").agg(F.median("value").alias("m"))
-    rows = t.events.select("event_type", "event_id", "value").join(F.broadcast(middle), "event_type")  # a row an arm
-    best = rows.groupBy("event_type").agg(F.min_by(F.struct("event_id", "value"), F.struct(F.abs(F.col("value") - F.col("m")), "event_id")).alias("b"))
-    return best.select("event_type", "b.event_id", F.round("b.value", 6).alias("value"))
+    rows = t.events.select("event_type", (F.col("user_id") % 10).alias("run"), F.round("value").alias("latency"), F.length("props").alias("bytes"))
+    return W.median_run(rows, "event_type", "latency", "run", "bytes")
 
 
 @query("position_weight", "W12", "SELECT conv_id, turn, round(CASE WHEN n = 1 THEN 1 ELSE 1 + ((n - i) / (n - 1)) * 0.75 END, 6)::DOUBLE AS weight FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)")
