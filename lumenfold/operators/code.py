@@ -207,3 +207,30 @@ def impact(seeds: DataFrame, nodes: DataFrame, calls: DataFrame) -> DataFrame:
     mentions = joins.containing(names.withColumnRenamed("name", "needle"), texts, "needle", "text").where("name <> needle").select(F.lit("reference").alias("relation"), "node_id")
     out = callers.unionByName(callees).unionByName(mentions)
     return out.join(seeds.select("node_id"), "node_id", "left_anti").select("relation", "node_id").distinct()
+
+
+# Files that export for a folder, and how they write it.
+BARREL = r"(?:^|/)index\.(?:ts|tsx|mts|cts|js|jsx|mjs|cjs)$"
+_DECLARED = r"export\s+(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:const|let|var|function|class|interface|type|enum)\s+([A-Za-z_$][\w$]*)"
+_LISTED = r"export\s+(?:type\s+)?\{([^}]*)\}"
+
+
+def barrels(seeds: DataFrame, files: DataFrame) -> DataFrame:
+    """file_path, barrel, exported, each once: what index files (file_path, content) in the folders above seeds (file_path) export."""
+    folders = F.split(F.regexp_replace("file_path", "/?[^/]*$", ""), "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(folders)), lambda n: F.array_join(F.slice(folders, F.lit(1), n), "/"))
+    asked = seeds.select("file_path").distinct().select("file_path", F.explode(above).alias("__folder"))
+    index = files.where(F.col("file_path").rlike(BARREL)).select(F.regexp_replace("file_path", "/?[^/]*$", "").alias("__folder"), F.col("file_path").alias("barrel"), "content")
+    listed = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(_LISTED), 1), lambda x: F.split(x, ",")))
+    names = F.transform(listed, lambda x: F.trim(F.regexp_replace(x, r"(?is)^.*\s+as\s+", "")))
+    exported = F.array_distinct(F.filter(F.concat(names, F.regexp_extract_all("content", F.lit(_DECLARED), 1)), lambda x: x != ""))
+    return asked.join(index, "__folder").select("file_path", "barrel", F.explode(exported).alias("exported")).distinct()
+
+
+def anchored(nodes: DataFrame, symbol: str, path: str, stem: str) -> DataFrame:
+    """nodes in the order for a query that names a symbol and a path: exact names, paths, no tests, types,
+    names that begin alike, documented ones, short signatures and paths, and then by name."""
+    last = lambda c: F.when(c, 0).otherwise(1)
+    name, file = F.lower("name"), F.lower("file_path")
+    keys = [last(name == symbol), last(file.contains(path)), last(~T.is_test_file(F.col("file_path"))), last(F.col("kind").isin("class", "interface")), last(name.startswith(stem)), last(F.col("docstring").isNotNull())]
+    return nodes.orderBy(*keys, F.length("signature"), F.length("file_path"), "file_path", "qualified_name", "node_id")

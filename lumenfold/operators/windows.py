@@ -46,3 +46,15 @@ def budgeted(rows: DataFrame, order: list, cost: Column, budget: int, overhead:
     left = budget - before
     used = F.least(cost + overhead, left)
     return ranked.withColumn("left", left).where(F.col("left") > overhead).withColumn("used", used.cast("bigint")).drop("left")
+
+
+def tail_inserted(selected: DataFrame, extra: DataFrame, key: str, most: int) -> DataFrame:
+    """key and place of a list (key, place) after extras (key, place) were put at its end one by one: in a full list each
+    takes the last one's place. Keys that the list has are not put again. Lists are short; one task orders them."""
+    new = extra.join(selected.select(key), key, "left_anti").groupBy(key).agg(F.min("place").alias("place"))
+    both = selected.select(key, F.lit(0).alias("__part"), "place").unionByName(new.select(key, F.lit(1).alias("__part"), "place"))
+    whole = Window.orderBy("__part", "place", key)
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    rows = both.withColumn("__at", F.row_number().over(whole)).withColumn("__n", n)
+    kept = rows.where((F.col("__n") <= most) | (F.col("__at") < most) | (F.col("__at") == F.col("__n")))
+    return kept.select(key, F.least("__at", F.lit(most)).cast("bigint").alias("place"))

@@ -113,15 +113,34 @@ def query_extractors(t: Tables) -> DataFrame:
 _TOKENS = lambda c: f"array_to_string({S.tokens(c)}, ' ')"
 
 
+_BODY = f"""(WITH c AS (SELECT caller AS node_id, list_sort(list(DISTINCT call)) AS calls FROM {SQL_CODE_CALLS} GROUP BY 1) SELECT node_id, file_path, concat_ws(chr(10), 'path ' || file_path, 'normalized path ' || nullif({_TOKENS("file_path")}, ''), 'kind ' || kind, 'language ' || language, 'qualified ' || qualified_name, 'normalized qualified ' || nullif({_TOKENS("qualified_name")}, ''), 'normalized name ' || nullif({_TOKENS("name")}, ''),
+    signature, docstring, 'source' || chr(10) || content, 'calls ' || array_to_string(calls, ' ')) AS body FROM {SQL_CODE} LEFT JOIN c USING (node_id))"""
+
+
+def _bodies(t: Tables) -> DataFrame:
+    said = t.code_calls().groupBy(F.col("caller").alias("node_id")).agg(F.array_sort(F.collect_set("call")).alias("calls"))
+    return t.code().join(said, "node_id", "left").select("node_id", "file_path", K.node_text(F.col("calls")).alias("body"))
+
+
+@query("node_text", "F17", f"SELECT node_id, body FROM {_BODY}")
+def node_text(t: Tables) -> DataFrame:
+    return _bodies(t).select("node_id", "body")
+
+
 @query(
-    "node_text",
-    "F17",
-    f"""WITH c AS (SELECT caller AS node_id, list_sort(list(DISTINCT call)) AS calls FROM {SQL_CODE_CALLS} GROUP BY 1) SELECT node_id, concat_ws(chr(10), 'path ' || file_path, 'normalized path ' || nullif({_TOKENS("file_path")}, ''), 'kind ' || kind, 'language ' || language, 'qualified ' || qualified_name, 'normalized qualified ' || nullif({_TOKENS("qualified_name")}, ''), 'normalized name ' || nullif({_TOKENS("name")}, ''),
-    signature, docstring, 'source' || chr(10) || content, 'calls ' || array_to_string(calls, ' ')) AS body FROM {SQL_CODE} LEFT JOIN c USING (node_id)""",
+    "build_documents",
+    "R27 R10 F18",
+    f"""WITH d AS (SELECT node_id, body FROM {_BODY} WHERE file_path IN (SELECT file_path FROM {SQL_CODE} WHERE node_id % 9 = 0)), b AS (SELECT node_id, CAST(('0x' || left(sha256('dense:' || x), 8))::UBIGINT % 64 AS BIGINT) AS bucket, count(*) AS k FROM (SELECT node_id, unnest({S.tokens("body")}) AS x FROM d) GROUP BY ALL)
+    SELECT 'vd_' || left(sha256(CAST(d.node_id AS VARCHAR) || chr(0) || 'local' || chr(0) || 'v1'), 32) AS id, left(sha256(body), 16) AS content_hash, bucket, round(k / sqrt(sum(k * k) OVER (PARTITION BY d.node_id)), 6) AS weight FROM d JOIN b USING (node_id)""",
 )
-def node_text(t: Tables) -> DataFrame:
-    said = t.code_calls().groupBy(F.col("caller").alias("node_id")).agg(F.array_sort(F.collect_set("call")).alias("calls"))
-    return t.code().join(said, "node_id", "left").select("node_id", K.node_text(F.col("calls")).alias("body"))
+def build_documents(t: Tables) -> DataFrame:
+    """Vector documents of the symbols in changed files: id, hash of the text, embedding."""
+    from lumenfold.sources import collections
+
+    changed = t.code().where("node_id % 9 = 0").select("file_path").distinct()
+    docs = _bodies(t).join(changed, "file_path", "left_semi")
+    ids = docs.select("node_id", collections.document_id(F.col("node_id").cast("string"), F.lit("local"), F.lit("v1")).alias("id"), T.short_hash(F.col("body")).alias("content_hash"))
+    return R.local_embedding(docs, "node_id", "body").join(ids, "node_id").select("id", "content_hash", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query("semantic_neighbours", "W01 R25")
@@ -190,3 +209,21 @@ def impact_one_hop(t: Tables) -> DataFrame:
 def best_test_per_file(t: Tables) -> DataFrame:
     """The first test symbol of each file of tests."""
     return W.first_per(t.code().where(T.is_test_file(F.col("file_path"))).select("file_path", "node_id"), ["file_path"], ["node_id"], 1).drop("rank")
+
+
+_INDEX = f"(SELECT 'src/' || folder || '/index.ts' AS file_path, 'export {{ ' || string_agg(DISTINCT name, ', ' ORDER BY name) || ' as Alias }} from \"./all\";' || chr(10) || 'export const SIZE = 1;' || chr(10) || 'export default class Main {{}}' AS content, list_sort(list(DISTINCT name)) AS names FROM (SELECT split_part(qualified_name, '::', 1) AS folder, name FROM {SQL_CODE}) GROUP BY folder)"
+
+
+@query("exports_scan", "S22", f"WITH i AS (SELECT file_path AS barrel, unnest(list_concat(names[1:len(names) - 1], ['Alias', 'SIZE', 'Main'])) AS exported FROM {_INDEX}) SELECT DISTINCT n.file_path, barrel, exported FROM {SQL_CODE} n JOIN i ON barrel = 'src/' || split_part(n.qualified_name, '::', 1) || '/index.ts' WHERE n.node_id % 25 = 0")
+def exports_scan(t: Tables) -> DataFrame:
+    """What index files in the folders above a result export."""
+    code = t.code()
+    names = code.select(F.split_part("qualified_name", F.lit("::"), F.lit(1)).alias("folder"), "name").distinct().groupBy("folder").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+    files = names.select(F.concat(F.lit("src/"), "folder", F.lit("/index.ts")).alias("file_path"), F.concat(F.lit("export { "), "names", F.lit(' as Alias } from "./all";\nexport const SIZE = 1;\nexport default class Main {}')).alias("content"))
+    return K.barrels(code.where("node_id % 25 = 0").select("file_path"), files)
+
+
+@query("many_key_sort", "L06", f"SELECT node_id FROM {SQL_CODE} ORDER BY CASE WHEN lower(name) = 'coldwidget' THEN 0 ELSE 1 END, CASE WHEN contains(lower(file_path), 'small') THEN 0 ELSE 1 END, CASE WHEN regexp_matches(lower(file_path), {_quoted(T._TEST_FILE)}) THEN 1 ELSE 0 END, CASE WHEN kind = 'class' THEN 0 ELSE 1 END, CASE WHEN starts_with(lower(name), 'cold') THEN 0 ELSE 1 END, CASE WHEN docstring IS NULL THEN 1 ELSE 0 END, length(signature), length(file_path), file_path, qualified_name, node_id LIMIT 100")
+def many_key_sort(t: Tables) -> DataFrame:
+    """Candidates of a query that names a symbol and a path, by eleven keys."""
+    return K.anchored(t.code(), "coldwidget", "small", "cold").limit(100).select("node_id")

@@ -33,11 +33,19 @@ def strategy_from_levels(t: Tables) -> DataFrame:
     return C.level_of(t.feedback().select("hash", level.alias("level")), ["hash"])
 
 
-@query("compress_words", "C06 C08", f"SELECT doc_id, {_CUT.format(w=S.word_list('text'), n=40)} AS content FROM documents")
+@query("compress_words", "C06", f"SELECT doc_id, {_CUT.format(w=S.word_list('text'), n=40)} AS content FROM documents")
 def compress_words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.first_words(F.col("text"), 40).alias("content"))
 
 
+@query("compress_local", "C08", f"SELECT event_id, CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_id % 4 = 1 THEN left(c, CAST(floor(length(c) * (6.0::DOUBLE / 11)) AS BIGINT)) || '... [compressed]' ELSE '{{\"k\":' || json_extract_string(props, '$.k') || '}}' END ELSE {_CUT.format(w=S.word_list('text'), n=6)} END AS content FROM (SELECT event_id, props, repeat('word ' || user_id || ' ', 5) AS text, '[' || repeat('\"one two three\",', 5) || '\"four\"]' AS c FROM events)")
+def compress_local(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_id") % 2 == 1, "json").otherwise("text")
+    long_ = F.lit("[" + '"one two three", ' * 5 + '"four"]')
+    text = F.when(F.col("event_id") % 4 == 1, long_).when(F.col("event_id") % 2 == 1, F.col("props")).otherwise(F.repeat(F.concat(F.lit("word "), F.col("user_id").cast("string"), F.lit(" ")), F.lit(5)))
+    return t.events.select("event_id", C.local(text, kind, 6).alias("content"))
+
+
 @query("compress_lines_scored", "C05 W10")
 def compress_lines_scored(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", C.important_lines(F.col("text"), 120).alias("content"))

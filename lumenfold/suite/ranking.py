@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.catalog import SQL_MANIFEST, SQL_NODES, SQL_SYMBOLS, Tables
+from lumenfold.catalog import SQL_CODE, SQL_CODE_CALLS, SQL_MANIFEST, SQL_NODES, SQL_SYMBOLS, Tables
 from lumenfold.functions import text as T
 from lumenfold.functions import vectors as V
 from lumenfold.operators import ranking as R
@@ -111,28 +111,76 @@ def route_weighted(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("node_id"), source.alias("source"), (F.col("p_size") / 50.0).alias("s")).select("node_id", "source", F.round(F.col("s") * weight, 6).alias("score"))
 
 
-@query("merge_scored", "R17", f"SELECT node_id, round(sum(s) + 0.25 * (count(*) - 1), 6)::DOUBLE AS score FROM (SELECT node_id, 0.5::DOUBLE AS s FROM {SQL_SYMBOLS} WHERE contains(name, 'cold') UNION ALL SELECT node_id, 0.25 FROM {SQL_SYMBOLS} WHERE contains(name, 'widget')) GROUP BY node_id")
+_BQ = Q.parse("cold widget economy how")
+_HAS = lambda x: f"len(list_intersect({S.in_list(_BQ.terms)}, {S.tokens(x)}))"
+
+
+@query(
+    "merge_scored",
+    "R17 A06",
+    f"""WITH d AS (SELECT node_id, 'graph' AS source, 0.5::DOUBLE AS s FROM {SQL_CODE} WHERE contains(lower(name), 'cold') UNION ALL SELECT node_id, 'fts', 0.25 FROM {SQL_CODE} WHERE contains(signature, 'Widget') UNION ALL SELECT node_id, 'vector', 0.125 FROM {SQL_CODE} WHERE docstring IS NULL), m AS (SELECT node_id, sum(s) + 0.25 * (count(*) - 1) AS score FROM d GROUP BY 1)
+    SELECT node_id, round(score + least(1.2, {_HAS("concat_ws(' ', file_path, qualified_name, content)")} / {len(_BQ.terms)} * 0.35 + {_HAS("concat_ws(' ', file_path, qualified_name)")} / {len(_BQ.terms)} * 0.5), 6)::DOUBLE AS score FROM m JOIN {SQL_CODE} USING (node_id)""",
+)
 def merge_scored(t: Tables) -> DataFrame:
+    """Candidates of three branches by node, with what a broad query adds."""
     from lumenfold.operators import aggregates
 
-    part = lambda w, s, v: t.symbols().where(F.col("name").contains(w)).select("node_id", F.lit(s).alias("source"), F.lit(v).alias("score"))
-    return aggregates.merged(part("cold", "graph", 0.5).unionByName(part("widget", "fts", 0.25))).select("node_id", F.round("score", 6).alias("score"))
+    assert _BQ.route == "hybrid"
+    code = t.code()
+    part = lambda cond, s, v: code.where(cond).select("node_id", F.lit(s).alias("source"), F.lit(v).alias("score"))
+    drafts = part("contains(lower(name), 'cold')", "graph", 0.5).unionByName(part("contains(signature, 'Widget')", "fts", 0.25)).unionByName(part("docstring is null", "vector", 0.125))
+    rows = aggregates.merged(drafts).join(code.select("node_id", "file_path", "qualified_name", "content"), "node_id")
+    return rows.select("node_id", F.round(F.col("score") + R.broad_boost(_BQ, F.col("file_path"), F.col("qualified_name"), F.col("content")), 6).alias("score"))
 
 
-_HQ = Q.parse("how does ranking relate")
+_HQ = Q.parse("how does cold widget ranking relate")
+_N = len(_HQ.terms)
+_IN = lambda x: "(" + " + ".join(f"CASE WHEN contains({x}, '{t}') THEN 1 ELSE 0 END" for t in _HQ.terms) + ")"
 
 
 @query(
     "hybrid_rerank",
     "R19 R20 R21 R22 A13",
-    f"""WITH r AS (SELECT d.doc_id, (d.doc_id % 13)::DOUBLE AS lexical, (d.doc_id % 7)::DOUBLE AS semantic, ((d.doc_id % 5) / 5.0)::DOUBLE AS structure, (d.doc_id % 11)::DOUBLE AS merged, m.state FROM documents d JOIN {SQL_MANIFEST} m USING (doc_id)),
-    x AS (SELECT max(lexical) AS l, max(semantic) AS s, max(merged) AS g FROM r)
-    SELECT doc_id, round((lexical / l * {_HQ.features["lexical"]} + semantic / s * {_HQ.features["semantic"]} + least(structure, 1) * {_HQ.features["structure"]} + CASE state WHEN 'fresh' THEN 1.0 WHEN 'pending' THEN 0.45 WHEN 'stale' THEN 0.15 ELSE 0.0 END * {_HQ.features["freshness"]}) * {1 - Q.PRIOR_WEIGHTS[_HQ.route]} + merged / g * {Q.PRIOR_WEIGHTS[_HQ.route]}, 6)::DOUBLE AS score FROM r, x""",
+    f"""WITH c AS (SELECT caller AS node_id, list_sort(list(DISTINCT call)) AS calls FROM {SQL_CODE_CALLS} GROUP BY 1), r AS (SELECT n.node_id, {_IN("lower(content)")} / {_N}.0 AS lexical, len(list_intersect({S.in_list(_HQ.terms)}, {S.tokens("content")})) / sqrt({_N}.0 * len({S.tokens("content")})) AS semantic, {_IN(S.normalized("concat_ws(' ', name, file_path)"))} / {_N}.0 AS graph,
+      least(1.0, {_IN(S.normalized("concat_ws(' ', file_path, qualified_name)"))} / {_N}.0 * 0.55 + coalesce({_IN(S.normalized("array_to_string(calls, ' ')"))}, 0) / {_N}.0 * 0.2) AS structure, CASE n.node_id % 5 WHEN 0 THEN 'fresh' WHEN 1 THEN 'pending' WHEN 2 THEN 'stale' WHEN 3 THEN 'failed' END AS state FROM {SQL_CODE} n LEFT JOIN c USING (node_id)),
+    x AS (SELECT max(lexical) AS l, max(semantic) AS s, max(graph) AS g FROM r)
+    SELECT node_id, round((lexical / l * {_HQ.features["lexical"]} + semantic / s * {_HQ.features["semantic"]} + least(1.0, structure * 0.5 + graph / g * 0.5) * {_HQ.features["structure"]} + CASE state WHEN 'fresh' THEN 1.0 WHEN 'pending' THEN 0.45 WHEN 'stale' THEN 0.15 WHEN 'failed' THEN 0.0 ELSE {Q.UNKNOWN_STATE} END * {_HQ.features["freshness"]}) * {1 - Q.PRIOR_WEIGHTS[_HQ.route]} + graph / g * {Q.PRIOR_WEIGHTS[_HQ.route]}, 6)::DOUBLE AS score FROM r, x""",
 )
 def hybrid_rerank(t: Tables) -> DataFrame:
-    d = F.col("doc_id")
-    rows = t.manifest().select("doc_id", (d % 13).cast("double").alias("lexical"), (d % 7).cast("double").alias("semantic"), ((d % 5) / 5.0).alias("structure"), (d % 11).cast("double").alias("merged"), "state")
-    return R.reranked(rows, _HQ).select("doc_id", F.round("score", 6).alias("score"))
+    """All symbols by four features of a query: words, token cosine, structure with its graph score, freshness."""
+    said = t.code_calls().groupBy(F.col("caller").alias("node_id")).agg(F.array_sort(F.collect_set("call")).alias("calls"))
+    terms, n = list(_HQ.terms), F.col("node_id") % 5
+    state = F.when(n == 0, "fresh").when(n == 1, "pending").when(n == 2, "stale").when(n == 3, "failed")
+    rows = t.code().join(said, "node_id", "left").select(
+        "node_id",
+        R.lexical_score(F.col("content"), _HQ).alias("lexical"),
+        V.token_cosine(F.array(*map(F.lit, terms)), T.tokens(F.col("content"))).alias("semantic"),
+        (T.matched_terms(T.normalized(F.concat_ws(" ", "name", "file_path")), terms) / len(terms)).alias("merged"),
+        R.structure_score(_HQ, F.col("file_path"), F.col("qualified_name"), F.coalesce("calls", F.array().cast("array<string>"))).alias("own"),
+        state.alias("state"),
+    )
+    top = rows.agg(F.max("merged").alias("__g"))  # one row
+    rows = rows.join(F.broadcast(top)).withColumn("structure", F.least(F.lit(1.0), F.col("own") * 0.5 + F.coalesce(F.try_divide("merged", "__g"), F.lit(0.0)) * 0.5)).drop("__g", "own")
+    return R.reranked(rows, _HQ).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "dense_dedup_check",
+    "R28 R07 J05",
+    f"""WITH v AS (SELECT vec_id AS node_id, label, CAST(embedding AS DOUBLE[]) AS e, {S.words("coalesce(source, '') || ' ' || coalesce(lang, '')")} AS meta, {S.words("text")} AS w FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
+    n AS (SELECT q.node_id AS query_id, v.node_id, list_cosine_similarity(v.e, q.e) AS score, q.w AS asked, v.meta, v.w FROM v JOIN v q ON v.label = q.label AND q.node_id % 20 = 0 AND v.node_id <> q.node_id QUALIFY row_number() OVER (PARTITION BY q.node_id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, v.node_id) <= 5),
+    s AS (SELECT query_id, node_id, CASE WHEN w IS NOT NULL AND coalesce((len(list_intersect(asked, meta)) / nullif(len(asked), 0) + len(list_intersect(asked, meta)) / nullif(len(meta), 0)) / 2, 0) < 0.3 THEN least(score, coalesce(least(1, (len(list_intersect(asked, w)) / nullif(len(asked), 0) + len(list_intersect(asked, w)) / nullif(len(w), 0)) / 2), 0)) ELSE score END AS score FROM n WHERE score >= 0.35)
+    SELECT query_id, node_id, round(score, 6) AS score FROM s WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) <= 3""",
+)
+def dense_dedup_check(t: Tables) -> DataFrame:
+    """For every vector whose id 20 divides, the three of its label most like it, checked against texts."""
+    docs = t.documents.select(F.col("doc_id").alias("node_id"), "source", "lang", "text")
+    known = t.embeddings.select(F.col("vec_id").alias("node_id"), "label", "embedding").join(docs, "node_id", "left")
+    meta = F.concat_ws(" ", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    vectors = known.select("node_id", "label", "embedding", T.words(meta).alias("tokens"))
+    asked = known.where("node_id % 20 = 0").select(F.col("node_id").alias("query_id"), "label", "embedding", F.coalesce(T.words(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    texts = docs.select("node_id", T.words(F.col("text")).alias("tokens"))
+    return R.dense_duplicates(asked, vectors, texts, 0.35, 3).select("query_id", "node_id", F.round("score", 6).alias("score"))
 
 
 @query("coverage_diversify", "R23")
@@ -163,11 +211,6 @@ def semantic_content(t: Tables) -> DataFrame:
     return t.symbols().select("node_id", F.concat("name", F.lit(" "), F.array_join(extra, " ")).alias("content"))
 
 
-@query("build_documents", "R27", f"SELECT node_id, left(sha256(concat_ws(chr(10), name, kind, file_path)), 16) AS content_hash, len({S.tokens('qualified_name')}) AS n_tokens FROM {SQL_SYMBOLS}")
-def build_documents(t: Tables) -> DataFrame:
-    return t.symbols().select("node_id", T.short_hash(F.concat_ws("\n", "name", "kind", "file_path")).alias("content_hash"), F.size(T.tokens(F.col("qualified_name"))).cast("bigint").alias("n_tokens"))
-
-
 @query("fast_score", "R30", f"SELECT node_id, round(CASE WHEN lower(name) = 'cold widget' THEN 25 ELSE 0 END + CASE WHEN contains(lower(file_path), 'brand#1') THEN 38 ELSE 0 END + CASE WHEN contains(lower(name), 'cold') THEN 3 ELSE 0 END * 1.3, 6)::DOUBLE AS score FROM {SQL_SYMBOLS}")
 def fast_score(t: Tables) -> DataFrame:
     name = F.lower("name")

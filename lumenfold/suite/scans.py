@@ -159,11 +159,6 @@ def attach_snippets(t: Tables) -> DataFrame:
     return O.with_snippets(nodes, files).select("node_id", "file_path", F.nullif("snippet", F.lit("")).alias("snippet"))
 
 
-@query("exports_scan", "S22", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1))), ' ') AS links FROM pages")
-def exports_scan(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1))), " ").alias("links"))
-
-
 @query("source_scan", "S07 F19 F25")
 def source_scan(t: Tables) -> DataFrame:
     from lumenfold.sources.code import declarations

@@ -78,17 +78,14 @@ def rerank_window(t: Tables) -> DataFrame:
     return t.symbols().orderBy("name", "node_id").limit(20).orderBy("qualified_name", "node_id").limit(10).select("node_id")
 
 
-@query("many_key_sort", "L06", "SELECT p_partkey FROM part ORDER BY p_size DESC, p_brand, p_type, length(p_name), p_name, p_retailprice DESC, p_partkey LIMIT 100")
-def many_key_sort(t: Tables) -> DataFrame:
-    return t.part.orderBy(F.desc("p_size"), "p_brand", "p_type", F.length("p_name"), "p_name", F.desc("p_retailprice"), "p_partkey").limit(100).select("p_partkey")
-
-
 @query("evidence_order_nulls_last", "L07", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality ASC NULLS LAST, length(d.source), d.source, d.doc_id LIMIT 450")
 def evidence_order_nulls_last(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", "source").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
     return rows.orderBy(F.asc_nulls_last("quality"), F.length("source"), "source", "doc_id").limit(450).select("doc_id", "quality")
 
 
-@query("tail_evict", "L08", f"SELECT node_id FROM (SELECT node_id, CASE WHEN kind = 'class' THEN 0 ELSE 1 END AS prio FROM {SQL_NODES}) ORDER BY prio, node_id LIMIT 25")
+@query("tail_evict", "L08", f"SELECT node_id, rank AS place FROM (SELECT node_id, row_number() OVER (ORDER BY node_id) AS rank FROM {SQL_NODES} WHERE kind = 'class') WHERE rank < 25 UNION ALL SELECT node_id, 25 FROM (SELECT node_id FROM {SQL_NODES} WHERE kind = 'method' ORDER BY node_id LIMIT 7) QUALIFY row_number() OVER (ORDER BY node_id DESC) = 1")
 def tail_evict(t: Tables) -> DataFrame:
-    return t.nodes().select("node_id", F.when(F.col("kind") == "class", 0).otherwise(1).alias("priority")).orderBy("priority", "node_id").limit(25).select("node_id")
+    """Seven extras at the end of a full list of 25: each takes the last place."""
+    listed = lambda kind, n: W.top(t.nodes().where(F.col("kind") == kind).select("node_id"), ["node_id"], n).withColumnRenamed("rank", "place")
+    return W.tail_inserted(listed("class", 25), listed("method", 7), "node_id", 25)
