@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,13 +62,14 @@ def transitions(rows: DataFrame, key: str, order: list[str], value: str) -> Data
     return rows.select(F.col(value).alias("source"), after.alias("target")).where("target is not null and source <> target").distinct()
 
 
-def simple_cycles(edges: DataFrame, most_steps: int | None = None, name: str = "cycle_edges") -> DataFrame:
+def simple_cycles(edges: DataFrame, most_steps: int | None = None) -> DataFrame:
     """path and length of every simple cycle of most_steps edges or fewer, once each, from its smallest vertex.
 
     A recursive query that carries the path; the bound is the number of vertices unless given, which cuts no
     simple cycle, though their number can be exponential."""
     if most_steps is None:
         most_steps = edges.select(F.explode(F.array("source", "target")).alias("v")).agg(F.countDistinct("v")).first()[0]
+    name = f"edges_{uuid.uuid4().hex}"  # no two uses in a session share it
     edges.createOrReplaceTempView(name)
     return edges.sparkSession.sql(
         f"""WITH RECURSIVE walk(start, at, path, closed) MAX RECURSION LEVEL {max(100, most_steps + 2)} AS (
