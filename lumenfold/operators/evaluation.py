@@ -109,3 +109,21 @@ def latest_accepted(runs: DataFrame, version: int, tiers: list[str], key: str) -
     """key and run of the latest accepted run (accepted, version, tiers, ts, run) that compares with this one: same version, same tiers."""
     like = runs.where(F.col("accepted") & (F.col("version") == version) & (F.array_sort("tiers") == F.array(*map(F.lit, sorted(tiers)))))
     return like.groupBy(key).agg(F.max_by("run", F.struct("ts", "run")).alias("run"))
+
+
+def fixture_problems(cases: DataFrame, repos: DataFrame) -> DataFrame:
+    """case_id and problem, a row each: what is wrong with cases (case_id, repo, dimensions, golden_files, golden_symbols) of repos (repo, enabled)."""
+    known = repos.select("repo", "enabled").distinct()
+    twice = cases.groupBy("case_id").agg(F.count("*").alias("__n"))
+    rows = cases.join(known, "repo", "left").join(twice, "case_id")
+    unknown = F.size(F.array_except("dimensions", F.array(*map(F.lit, CASE_WEIGHTS)))) > 0
+    problems = F.array_compact(
+        F.array(
+            F.when(F.col("enabled").isNull(), "unknown repository"),
+            F.when(~F.col("enabled"), "repository is not enabled"),
+            F.when(F.col("__n") > 1, "case id is not unique"),
+            F.when(F.size("golden_files") + F.size("golden_symbols") == 0, "nothing golden"),
+            F.when(unknown, "unknown dimension"),
+        )
+    )
+    return rows.select("case_id", F.explode(problems).alias("problem")).distinct()

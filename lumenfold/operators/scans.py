@@ -96,3 +96,37 @@ def latest_by(rows: DataFrame, keys: list[str], order: str, values: list[str]) -
     """The values of each key's last row, by an aggregate that combines before the shuffle."""
     last = F.max_by(F.struct(*values), order).alias("v")
     return rows.groupBy(*keys).agg(last, F.max(order).alias(order)).select(*keys, "v.*", order)
+
+
+def capsule(nodes: DataFrame, query: str, most: int) -> DataFrame:
+    """One row, content: a JSON capsule of the best `most` nodes (node_id, name, file_path, docstring, score) of a query, without empty fields."""
+    few = summarised(nodes).orderBy(F.desc("score"), "node_id").limit(most)
+    items = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "node_id", "name", "file_path", "docstring", "score"))), lambda x: F.to_json(F.struct(x["node_id"].alias("id"), x["name"].alias("name"), x["file_path"].alias("file"), x["docstring"].alias("doc"), x["score"].alias("score"))))
+    return few.agg(F.concat(F.lit('{"query":'), F.lit('"' + query.replace("\\", "\\\\").replace('"', '\\"') + '"'), F.lit(',"nodes":['), F.array_join(items, ","), F.lit("]}")).alias("content"))
+
+
+def cached(candidates: DataFrame, path: str, *parts: str) -> DataFrame:
+    """Candidates of a query and its options (parts), from the store at `path` under a hash of them, and into it if they are not there."""
+    import hashlib
+
+    from lumenfold.sources import collections
+
+    at = f"{path}/{hashlib.sha256(chr(0).join(parts).encode()).hexdigest()}"
+    found = collections.read(candidates.sparkSession, at)
+    if found is None:
+        collections.write(candidates, at)
+        found = collections.read(candidates.sparkSession, at)
+    return found
+
+
+def sidecar_warnings(manifest: DataFrame, stored: DataFrame) -> DataFrame:
+    """file_path and warning: where a manifest (file_path, n_docs, content_hash) and what is stored (file_path, content_hash) disagree."""
+    held = stored.groupBy("file_path").agg(F.count("*").alias("held"), F.min("content_hash").alias("low"), F.max("content_hash").alias("high"))
+    both = manifest.join(held, "file_path", "full_outer")
+    warning = (
+        F.when(F.col("n_docs").isNull(), "documents of a file that the manifest lacks")
+        .when(F.col("held").isNull() & (F.col("n_docs") > 0), "no documents of a file in the manifest")
+        .when(F.coalesce("held", F.lit(0)) != F.col("n_docs"), "another number of documents than the manifest says")
+        .when((F.col("low") != F.col("content_hash")) | (F.col("high") != F.col("content_hash")), "documents of another content than the manifest's")
+    )
+    return both.select("file_path", warning.alias("warning")).where("warning is not null")

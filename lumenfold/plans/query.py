@@ -178,6 +178,20 @@ def route_column(text: Column, made: Column) -> Column:
     return F.when(made == "exact-symbol", "graph-first").when(made == "semantic-ranking", "vector-first").when(made == "graph-navigation", graph).otherwise("hybrid")
 
 
+def checked(topk: int | str | None = None, threshold: float | str | None = None) -> tuple[int | None, float | None]:
+    """Options as numbers: topk a whole number above 0, threshold from 0 to 1; ValueError for anything else."""
+    try:
+        whole = None if topk is None else int(str(topk).strip())
+        share = None if threshold is None else float(str(threshold).strip())
+    except ValueError as error:
+        raise ValueError("topk must be a whole number, threshold a number") from error
+    if whole is not None and whole <= 0:
+        raise ValueError("topk must be above 0")
+    if share is not None and not 0 <= share <= 1:
+        raise ValueError("threshold must be from 0 to 1")
+    return whole, share
+
+
 def result_limit(query: Query, asked: int) -> int:
     """Results shown: more for queries rich in anchors, few for one exact symbol."""
     if len(query.symbols) + len(query.paths) >= 3:

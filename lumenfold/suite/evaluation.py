@@ -118,3 +118,12 @@ def accepted_baseline(t: Tables) -> DataFrame:
     tiers = F.when(F.col("value") > 30, F.array(F.lit("extended"), F.lit("core"))).otherwise(F.array(F.lit("core")))
     runs = t.events.select("user_id", F.col("event_id").alias("run"), "ts", (F.col("event_type") == "purchase").alias("accepted"), (F.col("event_id") % 2).alias("version"), tiers.alias("tiers"))
     return E.latest_accepted(runs, 1, ["core", "extended"], "user_id")
+
+
+@query("fixture_problems", "E10", "WITH c AS (SELECT event_id // 2 AS case_id, user_id % 4 AS repo, event_id % 9 = 0 AS is_odd, event_id % 5 = 0 AS is_empty FROM events WHERE event_id % 8 < 3), n AS (SELECT case_id, count(*) AS n FROM c GROUP BY 1), r AS (SELECT * FROM c JOIN n USING (case_id)) SELECT case_id, 'unknown repository' AS problem FROM r WHERE repo = 3 UNION SELECT case_id, 'repository is not enabled' FROM r WHERE repo = 2 UNION SELECT case_id, 'case id is not unique' FROM r WHERE n > 1 UNION SELECT case_id, 'nothing golden' FROM r WHERE is_empty UNION SELECT case_id, 'unknown dimension' FROM r WHERE is_odd")
+def fixture_problems(t: Tables) -> DataFrame:
+    """What is wrong with a set of cases."""
+    strings = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    cases = t.events.where("event_id % 8 < 3").select(F.expr("event_id div 2").alias("case_id"), (F.col("user_id") % 4).alias("repo"), F.when(F.col("event_id") % 9 == 0, strings("retrieval", "taste")).otherwise(strings("retrieval")).alias("dimensions"), F.when(F.col("event_id") % 5 == 0, strings()).otherwise(strings("a.ts")).alias("golden_files"), strings().alias("golden_symbols"))
+    repos = t.spark.createDataFrame([(0, True), (1, True), (2, False)], "repo bigint, enabled boolean")
+    return E.fixture_problems(cases, repos)

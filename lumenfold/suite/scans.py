@@ -204,3 +204,48 @@ def parse_fielded_query(t: Tables) -> DataFrame:
 def intent_route(t: Tables) -> DataFrame:
     rows = t.benchmark.select("item_id", "text", Q.intent_column(F.col("text")).alias("intent"))
     return rows.select("item_id", "intent", Q.route_column(F.col("text"), F.col("intent")).alias("route"))
+
+
+@query("context_capsule", "S24 P14", f"SELECT '{{\"query\":\"cold widget\",\"nodes\":[' || string_agg('{{\"id\":' || node_id || ',\"name\":\"' || name || '\",\"file\":\"' || file_path || '\"' || CASE WHEN docstring IS NULL THEN '' ELSE ',\"doc\":\"' || docstring || '\"' END || ',\"score\":' || score || '}}', ',' ORDER BY score DESC, node_id) || ']}}' AS content FROM (SELECT node_id, name, file_path, docstring, (node_id % 7 + 0.5)::DOUBLE AS score FROM {SQL_CODE} WHERE name = 'ColdWidget' ORDER BY score DESC, node_id LIMIT 5)")
+def context_capsule(t: Tables) -> DataFrame:
+    rows = t.code().where("name = 'ColdWidget'").withColumn("score", (F.col("node_id") % 7 + 0.5).cast("double"))
+    return O.capsule(rows, "cold widget", 5)
+
+
+@query("candidate_cache", "S09", f"SELECT node_id, name FROM {SQL_SYMBOLS} WHERE starts_with(name, 'cold')")
+def candidate_cache(t: Tables) -> DataFrame:
+    """Candidates read from the cache that the query before them filled; what is asked for the second time is not scanned for."""
+    from lumenfold.sources import storage
+
+    path, found = storage.scratch(t.spark), t.symbols().where(F.col("name").startswith("cold")).select("node_id", "name")
+    O.cached(found, path, "cold", "topk=10")
+    return O.cached(found.where("false"), path, "cold", "topk=10")
+
+
+@query("sidecar_warnings", "T10 S15", "WITH m AS (SELECT 'd' || doc_id AS file_path, doc_id % 3 AS n_docs, 'h' || doc_id % 5 AS content_hash FROM documents WHERE doc_id % 7 <> 0), s AS (SELECT 'd' || doc_id AS file_path, count(*) AS held, 'h' || any_value(doc_id % 4) AS h FROM documents, (SELECT unnest([1, 2]) AS k) WHERE doc_id % 11 <> 0 AND k <= doc_id % 3 GROUP BY doc_id) SELECT * FROM (SELECT coalesce(m.file_path, s.file_path) AS file_path, CASE WHEN n_docs IS NULL THEN 'documents of a file that the manifest lacks' WHEN held IS NULL AND n_docs > 0 THEN 'no documents of a file in the manifest' WHEN coalesce(held, 0) <> n_docs THEN 'another number of documents than the manifest says' WHEN h <> content_hash THEN 'documents of another content than the manifest''s' END AS warning FROM m FULL JOIN s ON m.file_path = s.file_path) WHERE warning IS NOT NULL")
+def sidecar_warnings(t: Tables) -> DataFrame:
+    d = F.col("doc_id")
+    path = F.concat(F.lit("d"), d.cast("string")).alias("file_path")
+    hashed = lambda n: F.concat(F.lit("h"), (d % n).cast("string")).alias("content_hash")
+    manifest = t.documents.where("doc_id % 7 <> 0").select(path, (d % 3).alias("n_docs"), hashed(5))
+    stored = t.documents.where("doc_id % 11 <> 0").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).where("k <= doc_id % 3").select(path, hashed(4))
+    return O.sidecar_warnings(manifest, stored)
+
+
+@query("embedding_payloads", "S21", "SELECT event_id, CASE event_id % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 2 END AS n, event_id % 6 <= 3 AND NOT (event_id % 6 = 3 AND user_id % 2 = 0) AS is_sound, CASE event_id % 6 WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE user_id + 0.5 END::DOUBLE AS first FROM events")
+def embedding_payloads(t: Tables) -> DataFrame:
+    """Vectors of responses of different shapes, and whether they are what was asked for."""
+    from lumenfold.sources import embeddings as S
+
+    u, kind = F.concat((F.col("user_id") + 0.5).cast("string")), F.col("event_id") % 6
+    ragged = F.when(F.col("user_id") % 2 == 0, "[1]").otherwise("[1, 2]")
+    payload = (
+        F.when(kind == 0, F.concat(F.lit('{"data": [{"embedding": ['), u, F.lit(', 1]}, {"embedding": [3, 4]}]}')))
+        .when(kind == 1, F.concat(F.lit('{"output": {"embeddings": [['), u, F.lit(", 1], [3, 4]]}}")))
+        .when(kind == 2, F.concat(F.lit('{"embeddings": [['), u, F.lit(", 1], [3, 4]]}")))
+        .when(kind == 3, F.concat(F.lit("[["), u, F.lit(", 1], "), ragged, F.lit("]")))
+        .when(kind == 4, F.lit('{"error": "no"}'))
+        .otherwise(F.lit("not json"))
+    )
+    rows = t.events.select("event_id", S.payload_vectors(payload).alias("v"))
+    return rows.select("event_id", F.when(F.col("v").isNotNull(), F.size("v").cast("bigint")).alias("n"), S.is_sound(F.col("v"), 2).alias("is_sound"), F.try_element_at("v", F.lit(1))[0].alias("first"))
