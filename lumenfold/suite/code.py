@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lumenfold.catalog import SQL_CODE, SQL_CODE_CALLS, Tables
 from lumenfold.functions import text as T
 from lumenfold.operators import code as K
+from lumenfold.operators import fast as P
 from lumenfold.operators import joins as J
 from lumenfold.operators import ranking as R
 from lumenfold.operators import windows as W
+from lumenfold.plans import query as Q
 from lumenfold.registry import query
 from lumenfold.suite import sql as S
 
@@ -227,3 +229,34 @@ def exports_scan(t: Tables) -> DataFrame:
 def many_key_sort(t: Tables) -> DataFrame:
     """Candidates of a query that names a symbol and a path, by eleven keys."""
     return K.anchored(t.code(), "coldwidget", "small", "cold").limit(100).select("node_id")
+
+
+_PLAIN_QUERY = Q.parse("cold widget")
+_HELD = lambda x: S.normalized(f"concat_ws(' ', {x})")
+_FAST = f"""(WITH c AS (SELECT caller AS node_id, array_to_string(list_sort(list(DISTINCT call)), ' ') AS said FROM {SQL_CODE_CALLS} GROUP BY 1), r AS (SELECT n.*, {_HELD("name, qualified_name, file_path, signature, docstring, said")} AS meta, {S.normalized("content")} AS body FROM {SQL_CODE} n LEFT JOIN c USING (node_id))
+    SELECT node_id, file_path, CASE WHEN lower(name) = 'coldwidget' THEN 25 ELSE 0 END + {" + ".join(f"CASE WHEN contains(meta, '{t}') THEN 3 WHEN contains(body, '{t}') THEN 1 ELSE 0 END" for t in _PLAIN_QUERY.terms)} - CASE WHEN regexp_matches(lower(file_path), {_quoted(T._TEST_FILE)}) THEN 2 ELSE 0 END + CASE WHEN kind = 'class' THEN 2 ELSE 0 END AS score FROM r)"""
+
+
+def _fast(t: Tables, asked: Q.Query) -> DataFrame:
+    said = t.code_calls().groupBy(F.col("caller").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("call")), " ").alias("said"))
+    made = P.score(asked, *(F.col(c) for c in ("name", "qualified_name", "file_path", "kind", "signature", "docstring", "content", "said")))
+    return t.code().join(said, "node_id", "left").select("node_id", "name", "qualified_name", "file_path", made.alias("score"))
+
+
+@query("fast_score", "R30", f"SELECT node_id, round(score, 6)::DOUBLE AS score FROM {_FAST}")
+def fast_score(t: Tables) -> DataFrame:
+    """All symbols by the fast path's expression, for a query that anchors nothing; tests hold anchored ones against a plain reading."""
+    return _fast(t, _PLAIN_QUERY).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query("fast_select", "R31 W05 W08", f"WITH d AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY score DESC, node_id) AS depth FROM {_FAST} WHERE score > 0), w AS (SELECT * FROM d WHERE depth <= 4 ORDER BY depth, score DESC, node_id LIMIT 20) SELECT node_id, file_path, score::DOUBLE AS score, 'ranked' AS why, row_number() OVER (ORDER BY depth, score DESC, node_id) AS rank FROM w ORDER BY rank LIMIT 10")
+def fast_select(t: Tables) -> DataFrame:
+    """The ten symbols that a result shows, files in turn."""
+    return P.selected(_fast(t, _PLAIN_QUERY), _PLAIN_QUERY, 10)
+
+
+@query("fast_select_anchored", "R30 R31 W06 W07")
+def fast_select_anchored(t: Tables) -> DataFrame:
+    """The same for a query that names a symbol and a file."""
+    asked = Q.parse("fix ColdWidget in src/small/red_bolt.ts")
+    return P.selected(_fast(t, asked), asked, 10)

@@ -211,13 +211,6 @@ def semantic_content(t: Tables) -> DataFrame:
     return t.symbols().select("node_id", F.concat("name", F.lit(" "), F.array_join(extra, " ")).alias("content"))
 
 
-@query("fast_score", "R30", f"SELECT node_id, round(CASE WHEN lower(name) = 'cold widget' THEN 25 ELSE 0 END + CASE WHEN contains(lower(file_path), 'brand#1') THEN 38 ELSE 0 END + CASE WHEN contains(lower(name), 'cold') THEN 3 ELSE 0 END * 1.3, 6)::DOUBLE AS score FROM {SQL_SYMBOLS}")
-def fast_score(t: Tables) -> DataFrame:
-    name = F.lower("name")
-    flag = lambda c, v: F.when(c, float(v)).otherwise(0.0)
-    return t.symbols().select("node_id", F.round(flag(name == "cold widget", 25) + flag(F.lower("file_path").contains("brand#1"), 38) + flag(name.contains("cold"), 3) * 1.3, 6).alias("score"))
-
-
 @query("family_scores", "R32", f"SELECT file_path, CAST(sum(CASE WHEN contains(name, 'cold') THEN 2 WHEN contains(name, 'widget') THEN 1 ELSE 0 END) AS BIGINT) AS score FROM {SQL_SYMBOLS} GROUP BY file_path")
 def family_scores(t: Tables) -> DataFrame:
     value = F.when(F.col("name").contains("cold"), 2).when(F.col("name").contains("widget"), 1).otherwise(0)
