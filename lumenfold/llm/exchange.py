@@ -30,6 +30,16 @@ VERDICTS = "share int, blob binary"
 MARKS = "doc_id bigint, blob binary"
 
 
+def message(bucket: int, blob: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([None], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "share", "blob"])
+
+
+def divided(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    """A bucket's verdicts that pass through, and its messages."""
+    share = table.column("share")
+    return table.filter(share.is_valid()).select(["share", "blob"]), table.filter(share.is_null()).column("blob").to_pylist()
+
+
 def message_rows(hashes: np.ndarray, places: np.ndarray, doc_ids: np.ndarray, firsts: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of MESSAGES. hashes: sorted; places: each one's index in the block's stream; document k's stream begins at firsts[k]."""
     bounds = bucket_bounds(hashes, n_buckets)
@@ -38,7 +48,7 @@ def message_rows(hashes: np.ndarray, places: np.ndarray, doc_ids: np.ndarray, fi
         used = np.zeros(len(doc_ids), bool)
         used[np.searchsorted(firsts, at, "right") - 1] = True
         blob = pack(np.diff(h, prepend=np.uint64(0)), at.astype(np.uint32), np.diff(doc_ids[used], prepend=np.int64(0)), np.diff(firsts[used], prepend=np.int64(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([None], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "share", "blob"])
+        yield message(b, blob)
 
 
 #: A bucket's messages are judged in so many ranges of their hashes, one after another.
@@ -84,23 +94,23 @@ def verdict_batch(doc: np.ndarray, values: np.ndarray, n_shares: int, bucket: in
     return pa.RecordBatch.from_pydict(columns)
 
 
-def _put_together(blobs: list[bytes]) -> pa.Table:
-    parts = [unpack(x) for x in blobs]
+def put_together(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, pa.Array]:
+    """Documents of unpacked verdicts, sorted, and the marks of each."""
     doc = np.concatenate([np.repeat(np.cumsum(x[0]), x[1]) for x in parts])
     values = np.stack([np.concatenate(v) for v in zip(*(x[2:] for x in parts), strict=True)], axis=1)
     order = np.argsort(doc, kind="stable")
     doc = doc[order]
     starts = group_starts(doc)
-    return pa.table([pa.array(doc[starts], pa.int64()), ragged(values[order].reshape(-1), np.diff(np.append(starts, len(doc))) * values.shape[1])], names=["doc_id", "blob"])
+    return doc[starts], ragged(values[order].reshape(-1), np.diff(np.append(starts, len(doc))) * values.shape[1])
 
 
 def by_document(verdicts: DataFrame) -> DataFrame:
     """MARKS: a row for each document that verdicts name, with all its marks."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = _put_together(table.column("blob").to_pylist())
+        doc, marks = put_together([unpack(x) for x in table.column("blob").to_pylist()])
         trim()
-        return out
+        return pa.table([pa.array(doc, pa.int64()), marks], names=["doc_id", "blob"])
 
     return verdicts.groupBy("share").applyInArrow(run, MARKS)
 
@@ -115,9 +125,7 @@ def reducer(judge, n_shares: int):
         return verdict_batch(*(np.concatenate(x) for x in zip(*marks, strict=True)), n_shares)
 
     def run(table: pa.Table) -> pa.Table:
-        share = table.column("share")
-        own = table.filter(share.is_valid()).select(["share", "blob"])
-        blobs = table.filter(share.is_null()).column("blob").to_pylist()
+        own, blobs = divided(table)
         out = pa.concat_tables([own, pa.Table.from_batches([found(blobs)]).cast(own.schema)]) if blobs else own
         del blobs
         trim()

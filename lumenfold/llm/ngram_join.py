@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import base
-from lumenfold.llm.base import blocks, bucket_bounds, bucket_count, chunks, flat, group_starts, mix, pack, ragged, rolling, spread, trim, unpack, word_hashes, word_spans, written
+from lumenfold.llm import base, exchange
+from lumenfold.llm.base import blocks, bucket_bounds, chunks, flat, group_starts, mix, pack, ragged, rolling, spread, trim, unpack, word_hashes, word_spans, written
 from lumenfold.llm.components import components, roots
 
 #: Words of a shingle, and the similarity as a fraction, unless a caller says otherwise.
@@ -32,6 +32,8 @@ WORDS, SIMILAR = 5, (80, 100)
 MOST_MATCHES = 8
 #: Documents of a block of a large group.
 BLOCK = 512
+#: Text bytes whose shingles a bucket holds, and whose documents a share, on average.
+BUCKET_BYTES, SHARE_BYTES = 4 << 20, 8 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -55,64 +57,72 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return np.concatenate(out), np.concatenate(counts)
 
 
-EXCHANGED = "bucket int, doc_id bigint, n bigint, blob binary"
-FOUND = "doc_id bigint, n bigint, blob binary"
+#: A document: its set's size and 128-bit fingerprint, and for the first of each class ENTRYs of the shingles that other classes have too.
+FOUND = "doc_id bigint, n bigint, print binary, blob binary"
+#: Numbers of 32 bits in a set's size and fingerprint, and in an ENTRY.
+_SET, _ENTRY = 5, 3
 
 
-def _rows(bucket, doc_ids, n, blobs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), blobs if isinstance(blobs, pa.Array) else pa.array(blobs, pa.binary())], names=["bucket", "doc_id", "n", "blob"])
+def _words(*columns: np.ndarray) -> np.ndarray:
+    """64-bit numbers as two of 32 bits each, low half first, and others as they are: a row an item."""
+    parts = []
+    for c in columns:
+        parts += [c & np.uint64(0xFFFFFFFF), c >> np.uint64(32)] if c.dtype == np.uint64 else [c]
+    return np.stack([x.astype(np.uint32) for x in parts], axis=1)
 
 
 def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
-    """For each document its set's size n and 128-bit fingerprint (blob); and, n null, for the first
-    document of each class the shingles that other classes have too (blob of ENTRY; several rows)."""
-    n_buckets = bucket_count(docs)
+    """FOUND of every document. Sizes, fingerprints and shared shingles come back to a document's share packed (see exchange.py)."""
+    size = base.text_bytes(docs)
+    n_buckets, n_shares = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARE_BYTES))
+
+    def one(table):
+        doc_ids = table.column("doc_id").to_numpy()
+        h, counts = shingles(*flat(table.column("text")), words)
+        of = np.repeat(np.arange(len(doc_ids), dtype=np.int32), counts)
+        order = np.argsort(h, kind="stable")
+        hs, ds = h[order], of[order]
+        first = np.ones(len(hs), bool)
+        first[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
+        mask = np.zeros(len(h), bool)
+        mask[order[first]] = True
+        del order
+        n = np.bincount(of[mask], minlength=len(doc_ids))
+        edge = np.concatenate([[0], np.cumsum(n)])
+        h = h[mask]
+        prints = []
+        for salt in (0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64)])
+            prints.append(total[edge[1:]] - total[edge[:-1]])
+        del h, of, mask, total
+        prints = np.ascontiguousarray(np.stack(prints, axis=1))
+        yield exchange.verdict_batch(doc_ids, _words(n, prints[:, 0], prints[:, 1]), n_shares, int(doc_ids[0]) % n_buckets)
+        # of equal sets in the block, the smallest id speaks
+        by = np.lexsort((doc_ids, prints[:, 1], prints[:, 0]))
+        lead = np.zeros(len(doc_ids), bool)
+        lead[by] = np.concatenate([[True], (prints[by[1:]] != prints[by[:-1]]).any(axis=1)])[: len(by)]
+        keep = first & lead[ds]
+        hs, ds = hs[keep], ds[keep]
+        bounds = bucket_bounds(hs, n_buckets)
+        for b in np.flatnonzero(np.diff(bounds)).tolist():
+            used, k = np.unique(ds[bounds[b] : bounds[b + 1]], return_inverse=True)
+            yield exchange.message(b, pack(np.diff(hs[bounds[b] : bounds[b + 1]], prepend=np.uint64(0)), k.astype(np.uint32), doc_ids[used], prints[used, 0]))
 
     def find(batches):
         base.release()
         for table in blocks(batches):
-            doc_ids = table.column("doc_id").to_numpy()
-            h, counts = shingles(*flat(table.column("text")), words)
-            of = np.repeat(np.arange(len(doc_ids)), counts)
-            order = np.argsort(h, kind="stable")
-            hs, ds = h[order], of[order]
-            first = np.ones(len(hs), bool)
-            first[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
-            mask = np.zeros(len(h), bool)
-            mask[order[first]] = True
-            n = np.bincount(of[mask], minlength=len(doc_ids))
-            edge = np.concatenate([[0], np.cumsum(n)])
-            prints = []
-            for salt in (0x8CB92BA72F3D8DD7, 0xE7037ED1A0B428DB):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(h[mask] ^ np.uint64(salt)), dtype=np.uint64)])
-                prints.append(total[edge[1:]] - total[edge[:-1]])
-            prints = np.ascontiguousarray(np.stack(prints, axis=1))
-            yield _rows(np.mod(doc_ids, n_buckets), doc_ids, n, ragged(prints.reshape(-1), np.full(len(doc_ids), 2)))
-            # of equal sets in the block, the smallest id speaks
-            by = np.lexsort((doc_ids, prints[:, 1], prints[:, 0]))
-            lead = np.zeros(len(doc_ids), bool)
-            lead[by] = np.concatenate([[True], (prints[by[1:]] != prints[by[:-1]]).any(axis=1)])[: len(by)]
-            keep = first & lead[ds]
-            hs, ds = hs[keep], ds[keep]
-            bounds = bucket_bounds(hs, n_buckets)
-            for b in np.flatnonzero(np.diff(bounds)).tolist():
-                used, k = np.unique(ds[bounds[b] : bounds[b + 1]], return_inverse=True)
-                blob = pack(np.diff(hs[bounds[b] : bounds[b + 1]], prepend=np.uint64(0)), k.astype(np.uint32), doc_ids[used], prints[used, 0])
-                yield _rows([b], [None], [None], [blob])
+            yield from one(table)
 
-    def judge(table: pa.Table) -> pa.Table:
-        trim()
-        doc_ids = table.column("doc_id")
-        own = table.filter(doc_ids.is_valid()).select(["doc_id", "n", "blob"])
+    def judged(blobs: list[bytes]) -> pa.RecordBatch:
         parts = []
-        for blob in table.filter(doc_ids.is_null()).column("blob").to_pylist():
+        for blob in blobs:
             h, k, ids, prints = unpack(blob)
             parts.append((np.cumsum(h, dtype=np.uint64), ids[k], prints[k]))
-        if not parts:
-            return own
         h, doc, prints = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
         order = np.argsort(h, kind="stable")
         h, doc, prints = h[order], doc[order], prints[order]
+        del order
         starts = group_starts(h)
         each = np.diff(np.append(starts, len(h)))
         again = np.repeat(each > 1, each)
@@ -126,15 +136,31 @@ def shared_shingles(docs: DataFrame, words: int) -> DataFrame:
         starts = group_starts(h)
         df = np.diff(np.append(starts, len(h)))
         shared = np.repeat(df > 1, df)
-        entries = np.zeros(int(shared.sum()), ENTRY)
-        entries["hash"], entries["df"], doc = h[shared], np.repeat(df, df)[shared], doc[shared]
-        order = np.argsort(doc, kind="stable")
-        doc, entries = doc[order], entries[order]
-        starts = group_starts(doc)
-        out = pa.table([pa.array(doc[starts], pa.int64()), pa.nulls(len(starts), pa.int64()), ragged(entries, np.diff(np.append(starts, len(doc))))], names=["doc_id", "n", "blob"])
-        return pa.concat_tables([own, out.cast(own.schema)])
+        return exchange.verdict_batch(doc[shared], _words(h[shared], np.repeat(df, df)[shared]), n_shares)
+
+    def judge(table: pa.Table) -> pa.Table:
+        own, blobs = exchange.divided(table)
+        out = pa.concat_tables([own, pa.Table.from_batches([judged(blobs)]).cast(own.schema)]) if blobs else own
+        del blobs
+        trim()
+        return out
+
+    def together(table: pa.Table) -> pa.Table:
+        parts = [unpack(x) for x in table.column("blob").to_pylist()]
+        doc, sets = exchange.put_together([x for x in parts if len(x) == 2 + _SET])
+        sets = np.frombuffer(b"".join(sets.to_pylist()), np.uint32).reshape(-1, _SET)
+        entries, at = pa.nulls(len(doc), pa.binary()), [x for x in parts if len(x) == 2 + _ENTRY]
+        if at:
+            some, blobs = exchange.put_together(at)
+            place = np.searchsorted(some, doc)
+            has = some[np.minimum(place, len(some) - 1)] == doc
+            entries = blobs.take(pa.array(place, mask=~has))
+        out = pa.table([pa.array(doc, pa.int64()), pa.array(sets[:, 0], pa.int64()), ragged(np.ascontiguousarray(sets[:, 1:]).reshape(-1), np.full(len(doc), _SET - 1)), entries], names=["doc_id", "n", "print", "blob"])
+        trim()
+        return out
 
-    return docs.mapInArrow(find, EXCHANGED).groupBy("bucket").applyInArrow(judge, FOUND)
+    verdicts = docs.mapInArrow(find, exchange.MESSAGES).groupBy("bucket").applyInArrow(judge, exchange.VERDICTS)
+    return verdicts.groupBy("share").applyInArrow(together, FOUND)
 
 
 def least_overlap(n: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
@@ -156,10 +182,10 @@ def _candidates(similar):
     def run(batches):
         for batch in batches:
             out = []
-            for doc, n, blobs in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n", "blobs")), strict=True):
-                if not n or not blobs:
+            for doc, n, blob in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "n", "blob")), strict=True):
+                if not n or not blob:
                     continue
-                entries = np.concatenate([np.frombuffer(b, ENTRY) for b in blobs])
+                entries = np.frombuffer(blob, ENTRY)
                 prefix = n - int(least_overlap(np.int64(n), similar)) + 1 - (n - len(entries))
                 if prefix > 0:
                     entries = entries[np.lexsort((entries["hash"], entries["df"]))]
@@ -247,6 +273,7 @@ def _joined(similar):
         total = np.zeros(len(nodes), np.int64)
         hit = links > 0
         np.add.at(total, np.searchsorted(nodes, doc[hit]), links[hit].astype(np.int64))
+        trim()
         return pa.table([pa.array(a, pa.int64()) for a in (nodes, total, root)], names=["doc_id", "links", "root"])
 
     return run
@@ -262,10 +289,9 @@ def joined(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMIL
     of any length are read whole, equal sets always link, an empty table gives no rows, and columns
     other than doc_id and text may have any name."""
     found = written(shared_shingles(base.one_per_id(base.documents(docs)), words))
-    sets = found.where("n is not null").select("doc_id", "n", F.col("blob").alias("print"))
+    sets = found.select("doc_id", "n", "print")
     classes = sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times"))
-    per_doc = found.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list(F.when(F.col("n").isNull(), F.col("blob"))).alias("blobs"))
-    candidates = written(per_doc.where(F.size("blobs") > 0).mapInArrow(_candidates(similar), CANDIDATES))
+    candidates = written(found.where("blob is not null").select("doc_id", "n", "blob").mapInArrow(_candidates(similar), CANDIDATES))
 
     tokens = written(candidates.select("doc_id", "cls", "prefix", "blob").mapInArrow(_prefix_tokens, "token bigint, doc_id bigint, cls bigint"))
     heads = written(tokens.groupBy("token", "cls").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")))

@@ -250,6 +250,8 @@ def cut(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity
                 at = np.repeat(np.cumsum(sizes) - sizes, n) + start
                 sums = [crc(ids[a : a + k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.repeat(part.column("doc_id").to_numpy(), n), start, length, sums, total)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                del ids
+        base.trim()
 
     return base.documents(docs).mapInArrow(run, PIECES)
 

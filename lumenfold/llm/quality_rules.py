@@ -131,6 +131,8 @@ def measured(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 names = np.array(_SCRIPTS)[votes.argmax(axis=0)]
                 columns = [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in (*COUNTS, "print")), *map(pa.array, tokens), pa.array(names.astype(object), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "print", "n_tokens", "n_fallback", "entropy", "script"])
+                del data, offsets, counts, tokens, script, votes, names, columns
+        base.trim()
 
     return docs.mapInArrow(run, MEASURED)
 

@@ -276,16 +276,6 @@ class Instances:
         self.hash, self.at, self.first, self.last, self.text = (np.concatenate(x) for x in found)
 
 
-def _message(bucket: int, blob: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([None], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "share", "blob"])
-
-
-def _divided(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
-    """A bucket's verdicts that pass through, and its messages."""
-    share = table.column("share")
-    return table.filter(share.is_valid()).select(["share", "blob"]), table.filter(share.is_null()).column("blob").to_pylist()
-
-
 #: The share that no document is in: blobs of it are pairs of an anchor's hash and its number of instances.
 _HOT = -1
 
@@ -314,7 +304,7 @@ def repeated_anchors(docs: DataFrame, length: int, n_buckets: int, n_shares: int
         for b in np.flatnonzero(np.diff(bounds)).tolist():
             s = slice(bounds[b], bounds[b + 1])
             used, k = np.unique(found.text[first[s]], return_inverse=True)
-            yield _message(b, pack(np.diff(h[s], prepend=np.uint64(0)), k.astype(np.uint32), (first[s] - firsts[found.text[first[s]]]).astype(np.uint32), times[s].astype(np.uint32), doc_ids[used]))
+            yield exchange.message(b, pack(np.diff(h[s], prepend=np.uint64(0)), k.astype(np.uint32), (first[s] - firsts[found.text[first[s]]]).astype(np.uint32), times[s].astype(np.uint32), doc_ids[used]))
 
     def find(batches):
         base.release()
@@ -340,7 +330,7 @@ def repeated_anchors(docs: DataFrame, length: int, n_buckets: int, n_shares: int
         return out
 
     def judge(table: pa.Table) -> pa.Table:
-        own, blobs = _divided(table)
+        own, blobs = exchange.divided(table)
         out = pa.concat_tables([own, *(pa.Table.from_batches([x]).cast(own.schema) for x in (judged(blobs) if blobs else []))])
         del blobs
         trim()
@@ -384,7 +374,7 @@ def _messages(anchors: Anchors, n_buckets: int):
     order = np.argsort(anchors.h, kind="stable")
     bounds = bucket_bounds(anchors.h[order], n_buckets)
     for b in np.flatnonzero(np.diff(bounds)).tolist():
-        yield _message(b, anchors.take(order[bounds[b] : bounds[b + 1]]).packed())
+        yield exchange.message(b, anchors.take(order[bounds[b] : bounds[b + 1]]).packed())
 
 
 def _extract(length: int, hot: np.ndarray, n_buckets: int, n_shares: int, all_of_them: bool):
@@ -435,7 +425,7 @@ def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = exchange.by_document(repeated.where(F.col("share") != _HOT))
 
     def search(table: pa.Table) -> pa.Table:
-        own, blobs = _divided(table)
+        own, blobs = exchange.divided(table)
         if blobs:
             doc, start, runs = SuffixFamily(length).extend(_unpacked(blobs, length).in_order())
             batch = exchange.verdict_batch(doc, np.stack([start, runs], axis=1), n_shares)
@@ -485,7 +475,7 @@ def extended(docs: DataFrame, index: DataFrame | None = None, length: int = LENG
     def search(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         level = table.column("level")
-        own, blobs = _divided(table.filter(level.is_null()))
+        own, blobs = exchange.divided(table.filter(level.is_null()))
         old = [(n, Anchors.unpacked(x, length)) for n, x in zip(level.to_pylist(), table.column("blob").to_pylist(), strict=True) if n is not None]
         family = SuffixFamily(length, [SuffixLevel(a) for n, a in old if n >= 0])
         moved = [a for n, a in old if n < 0]
