@@ -1,8 +1,9 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of `documents`. Rows without a doc_id can't be told apart by any stage and leave with the first;
-rows that repeat a doc_id share its fate and stay apart.
+of `documents`, whatever their names. What holds for every stage: rows without a doc_id can't be told
+apart by any stage and leave with the first; rows that repeat a doc_id share its fate and stay
+apart; texts of any length are read whole; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,23 +22,27 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or their language's fertility bands reject go."""
+    """Documents that the base rules or their language's fertility bands reject go; null and empty texts are
+    among them. Of rows that repeat an id all stay if one is kept. Equal texts are judged alike."""
     return _only(docs, quality_rules.judged(docs).where("kept").select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at Jaccard 0.8: of documents that links connect, the smallest doc_id stays."""
+    """Five-word shingles at Jaccard 0.8: of documents that links connect, the smallest doc_id stays. Texts
+    without words link with nothing and stay; rows that repeat an id are one document here."""
     return _only(docs, ngram_join.joined(docs).where("component_id = doc_id").select("doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 13 words that a smaller doc_id also has are cut from `text`; n_chars follows."""
+    """Windows of 13 words that a smaller doc_id also has are cut from `text`; n_chars follows. Null texts and
+    those of fewer words stay as they are; rows that repeat an id never count as each other's copies."""
     cut = substring_dedup.rewritten(docs)
     return cut.withColumn("n_chars", F.char_length("text").cast(cut.schema["n_chars"].dataType)) if "n_chars" in cut.columns else cut
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents left, in sequences of at most 2048 tokens."""
+    """Pieces of all documents left, in sequences of at most 2048 tokens. A null or empty text is its end id alone;
+    rows that repeat an id are packed each on its own; pieces of equal length take places by id."""
     return packing.packed(docs)
 
 
