@@ -173,8 +173,9 @@ def test_wrapped_and_altered_notices_are_found(spark):
     assert [f["paragraph"] for f in out[75_000 + mit]["found"]] == [2]
 
 
-def test_recall_on_plain_notices(spark):
-    """Notices as people write them, none of them a training line, plain, in capitals and wrapped; and lines that grant nothing."""
+def test_short_notices_are_found_in_any_form(spark):
+    """A regression test: short notices, many of them templates or close to one, plain, in capitals and wrapped; and lines
+    that grant nothing. It says nothing of recall on free wording, which the README gives."""
     said = {
         "MIT": ["// SPDX-License-Identifier: MIT", "Released under the MIT license", "This library is MIT licensed, see below"],
         "Apache-2.0": ["Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License)", "This package: Apache-2.0 licensed"],
