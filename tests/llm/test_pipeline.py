@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 
@@ -23,3 +25,47 @@ def test_stages_keep_columns_and_take_effect(spark, docs, empty):
     for stage in (s for _, s in corpus_pipeline.STAGES):
         assert stage(spark, empty, "").count() == 0
         assert stage(spark, docs, "").count() >= 0
+
+
+def test_stages_against_plain_loops(spark):
+    """Near duplicates and repeated passages of a made-up corpus, with columns named like the stages' own."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passage = " ".join(rng.choices(vocabulary, k=40))
+    texts = []
+    for i in range(40):
+        body = rng.choices(vocabulary, k=rng.randint(5, 90))
+        texts.append(" ".join(body))
+        if i % 4 == 0:
+            texts.append(" ".join([*body[:-1], "changed"]))
+        if i % 5 == 0:
+            texts.append(f"{passage} own{i} " + " ".join(rng.choices(vocabulary, k=20)))
+    texts += ["", None]
+    columns = "doc_id long, text string, __id long, __marks string, blob string, share int, n long"
+    table = spark.createDataFrame([(i, t, -i, "m", "b", 1, 2) for i, t in enumerate(texts)], columns)
+    stages = dict(corpus_pipeline.STAGES)
+
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    kept = stages["ngram_join"](spark, table, "")
+    assert kept.columns == table.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, g in enumerate(group) if g == i]
+
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        gone = [False] * len(words)
+        for k in range(len(words) - 12):
+            if first.setdefault(tuple(words[k : k + 13]), i) < i:
+                gone[k : k + 13] = [True] * 13
+        want[i] = t if t is None or not any(gone) else " ".join(w for w, g in zip(words, gone, strict=True) if not g)
+    cut = stages["substring_dedup"](spark, table, "")
+    assert cut.columns == table.columns
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == want
+    judged = stages["quality_rules"](spark, table, "")
+    assert judged.columns == table.columns and None not in {r["text"] for r in judged.collect()}
