@@ -165,6 +165,7 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = G
         first = np.cumsum(sizes) - sizes
         which, times = (np.concatenate([c[k] for c in columns]) for k in (0, 1))
         pays = np.array([pay(c) for c in columns])
+        before = entered
         for _ in range(m):
             reduced = pays - np.add.reduceat(times * values[which], first)
             q = int(reduced.argmin())
@@ -182,6 +183,8 @@ def solve(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = G
             inverse[r], uses[r], patterns[r], cost[r] = row, used, columns[q], pays[q]
             values = values + reduced[q] * row
             entered += 1
+        if entered == before:  # what is left is rounding
+            break
     return Program(patterns, uses, float(cost @ uses), bound, solved, entered)
 
 

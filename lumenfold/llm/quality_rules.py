@@ -12,8 +12,10 @@ characters per token, the share of byte-fallback tokens, and the entropy of its
 
 Every document is judged. A cell's median and deviation are drawn towards those of the next wider
 cell, which count as much as WIDER documents: language to script to all documents, and for entropy
-language and length to script and length to length to all. So a cell of few documents has about
-its wider cell's bands, and no size of a cell changes the rule. Equal texts count once, so a text
+language and length to script and length to length to all. Deviations of all documents are drawn
+in the same way towards PRIOR, as three documents that happen to be alike say little of a fourth. So
+a cell of few documents has about its wider cell's bands, a corpus of few has wide ones, and no
+size changes the rule. Equal texts count once, so a text
 that a third of all rows repeat doesn't set the bands; different texts with equal figures count each.
 """
 
@@ -38,6 +40,10 @@ STEPS = 128
 #: Base rules: fewer words fail, and a larger share (percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED, REPEAT_WINDOW = 20, 30, 8
 
+#: Deviations that count as WIDER documents beside all of them, in steps: of characters a token (times the
+#: root of tokens), share of byte fallback, and bits of entropy.
+PRIOR = {"d_chars": 2.0 * STEPS, "d_bytes": 0.05 * STEPS, "d_bits": 0.25 * STEPS}
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: Scripts by the first byte of their characters in UTF-8.
@@ -143,9 +149,10 @@ _BY_KIND = ([], ["script"], ["kind"])
 _BY_LENGTH = ([], ["length_class"], ["script", "length_class"], ["kind", "length_class"])
 
 
-def medians(rows: DataFrame, cells: DataFrame, values: dict[str, tuple[list[str], ...]]) -> DataFrame:
-    """cells (kind, script, length_class) with the median of each value, drawn from the widest to the
-    cell's own as `values` says. Medians are aggregates that combine counts of values before the shuffle."""
+def medians(rows: DataFrame, cells: DataFrame, values: dict[str, tuple[list[str], ...]], priors: dict[str, float] | None = None) -> DataFrame:
+    """cells (kind, script, length_class) with the median of each value, drawn from its prior, if it has
+    one, and the widest cell to the cell's own as `values` says. Medians are aggregates that combine counts of values before the shuffle."""
+    priors = priors or {}
     kinds = sorted({tuple(k) for chain in values.values() for k in chain})
     found = rows.groupingSets([[F.col(c) for c in k] for k in kinds], *_CELL).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.percentile(v, 0.5).alias(v) for v in values))
     found = written(found)
@@ -160,6 +167,8 @@ def medians(rows: DataFrame, cells: DataFrame, values: dict[str, tuple[list[str]
         for keys in chain:
             level = sum(1 << (len(_CELL) - 1 - i) for i, c in enumerate(_CELL) if c not in keys)
             own, n = F.col(f"__{v}_{level}"), F.col(f"__n_{level}")
+            if drawn is None and v in priors:
+                drawn = F.lit(priors[v])
             drawn = own if drawn is None else (n * own + WIDER * drawn) / (n + WIDER)
         known[v] = drawn
     return cells.select(*_CELL, *(c.alias(f"m_{v}") for v, c in known.items()))
@@ -190,7 +199,8 @@ def judged(docs: DataFrame, vocabulary: str | None = None, band: float = BAND, l
     off = once.join(middle, _CELL)
     power = lambda c: F.round(F.log2(1 + c) * STEPS)
     off = off.select(*_CELL, power(F.abs(F.col("chars") - F.col("m_chars")) * F.sqrt("n_tokens")).alias("d_chars"), power(F.abs(F.col("bytes") - F.col("m_bytes"))).alias("d_bytes"), power(F.abs(F.col("bits") - F.col("m_bits"))).alias("d_bits"))
-    spread_ = medians(off, cells, {"d_chars": _BY_KIND, "d_bytes": _BY_KIND, "d_bits": _BY_LENGTH})
+    priors = {k: float(np.round(np.log2(1 + d) * STEPS)) for k, d in PRIOR.items()}
+    spread_ = medians(off, cells, {"d_chars": _BY_KIND, "d_bytes": _BY_KIND, "d_bits": _BY_LENGTH}, priors)
     bands = written(middle.join(spread_, _CELL))
     held = facts.join(bands, _CELL, "left")
     back = lambda c: F.pow(F.lit(2.0), F.col(c) / STEPS) - 1

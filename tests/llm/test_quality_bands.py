@@ -7,9 +7,10 @@ import numpy as np
 from lumenfold.llm import quality_rules as Q
 
 
-def drawn(cells, values, chain):
-    """For each document: the median of its cells, from the widest to its own, each counting its documents against WIDER of the wider."""
-    out = [None] * len(values)
+def drawn(cells, values, chain, prior=None):
+    """For each document: the median of its cells, from the widest to its own, each counting its documents against WIDER of
+    the wider, and the widest's against WIDER of a prior, if there is one."""
+    out = [prior] * len(values)
     for keys in chain:
         groups = {}
         for cell, v in zip(cells, values, strict=True):
@@ -48,7 +49,8 @@ def test_verdicts_against_a_plain_loop(spark):
     for v, x in figures.items():
         d = np.abs(x - middle[v]) * (root if v == "chars" else 1)
         power = np.floor(np.log2(1 + d) * Q.STEPS + 0.5)
-        spread[v] = 2 ** (drawn(cells, power, Q._BY_LENGTH if v == "bits" else Q._BY_KIND) / Q.STEPS) - 1
+        prior = math.floor(math.log2(1 + Q.PRIOR[f"d_{v}"]) * Q.STEPS + 0.5)
+        spread[v] = 2 ** (drawn(cells, power, Q._BY_LENGTH if v == "bits" else Q._BY_KIND, prior) / Q.STEPS) - 1
     rejected = np.abs(figures["chars"] - middle["chars"]) * root > Q.BAND * np.maximum(spread["chars"], Q.STEPS / 4)
     rejected |= middle["bits"] - figures["bits"] > Q.BAND * np.maximum(spread["bits"], 2)
     rejected |= figures["bytes"] - middle["bytes"] > np.maximum(Q.BAND * spread["bytes"], Q.FALLBACK * Q.STEPS)
@@ -57,3 +59,9 @@ def test_verdicts_against_a_plain_loop(spark):
         assert r["kept"] == (not r["base_failed"] and bool(verdict.get((lang, t), False))), r
     kept = {r["doc_id"]: r["kept"] for r in got}
     assert not kept[600] and not kept[700] and Counter(kept.values())[True] > 300
+
+
+def test_a_few_documents_reject_none_of_their_like(spark):
+    """Bands of a tiny corpus are wide: texts that differ in their words alone all stay."""
+    rows = [(i, " ".join(f"word{k}" for k in range(60 * i, 60 * i + 40 + 30 * i)), "en") for i in range(4)]
+    assert all(r["kept"] for r in Q.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())

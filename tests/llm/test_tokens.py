@@ -124,7 +124,30 @@ def test_column_generation_wastes_little():
 
 def test_pricing_finds_the_best_pattern():
     lengths, values = np.array([3, 5, 7]), np.array([3.3, 5.1, 7.9])
-    reduced, _, counts = packing.price(lengths, values, 16)
+    sack = packing.Knapsack(lengths, values, 16)
+    fills = np.arange(1, 17)
+    costs = packing.stored(fills, 16) - sack.best[1:]
     best = min(packing.stored(3 * a + 5 * b + 7 * c, 16) - (3.3 * a + 5.1 * b + 7.9 * c) for a in range(6) for b in range(4) for c in range(3) if 0 < 3 * a + 5 * b + 7 * c <= 16)
-    assert abs(reduced - best) < 1e-9
-    assert abs(packing.stored(int(counts @ lengths), 16) - counts @ values - best) < 1e-9
+    assert abs(costs.min() - best) < 1e-9
+    items = np.array(sack.items(int(fills[costs.argmin()])))
+    assert abs(packing.stored(int(lengths[items].sum()), 16) - values[items].sum() - best) < 1e-9
+
+
+def test_columns_are_priced_until_the_bound():
+    """Every column comes from a knapsack, later ones enter where the first basis leaves a gap, and the bound is a bound."""
+    rng = np.random.default_rng(1)
+    entered = 0
+    for lengths in (np.array([700, 703, 900, 1030]), np.sort(rng.choice(np.arange(300, 1200), 60, False)), np.sort(rng.choice(np.arange(500, 1500), 120, False))):
+        demand = rng.integers(1, 300, len(lengths))
+        program = packing.solve(lengths, demand.astype(float), 2048)
+        entered += program.entered
+        assert program.solved > 0
+        # never below the tokens, within the gap of what dual values prove unless pricing found nothing more
+        assert lengths @ demand - 1e-6 <= program.bound * (1 + 1e-6) <= program.cost * (1 + 2e-6)
+        assert program.bound >= program.cost * (1 - 2 * packing.GAP)
+        made = np.zeros(len(lengths))
+        for (which, times), uses in zip(program.patterns, program.uses, strict=True):
+            assert times @ lengths[which] <= 2048 and uses >= 0
+            made[which] += times * uses
+        assert np.allclose(made, demand, rtol=1e-5)
+    assert entered > 0
