@@ -63,7 +63,7 @@ def test_merged_scores_and_marginals(spark):
 
 def test_json_arrays_are_crushed_in_proportion(spark):
     rows = spark.createDataFrame([(1, json.dumps(["a b", "c d", "e f", "g h"])), (2, "x " * 10), (3, None)], "id long, body string")
-    out = {r["id"]: r["content"] for r in compression.crushed(rows, "id", "body", 3).collect()}
+    out = {r["id"]: r["content"] for r in rows.select("id", compression.crushed(F.col("body"), 3).alias("content")).collect()}
     assert json.loads(out[1])["totalItems"] == 4
     assert out[2] == "x x x ... [compressed]"
     assert out[3] is None
