@@ -118,7 +118,8 @@ def byte_values(data: np.ndarray) -> np.ndarray:
 
 
 def trim() -> None:
-    """Give freed memory back: a worker lives on after its task, beside others."""
+    """Give freed memory back, and the tables of powers, soon made again: a worker lives on after its task, beside others."""
+    _powers.clear()
     with contextlib.suppress(AttributeError, OSError):  # only where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
 

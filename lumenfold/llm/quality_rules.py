@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import base
-from lumenfold.llm.base import SEPARATOR, flat, group_starts, mix, rolling, spread, word_hashes, word_spans, written
+from lumenfold.llm.base import SEPARATOR, chunks, flat, group_starts, mix, rolling, spread, word_hashes, word_spans, written
 from lumenfold.llm.tokens import CODED_BYTES, Coder, coded, joined
 
 BAND = 8.0
@@ -65,6 +65,7 @@ def piece_coder(path: str | None = None) -> tuple[Coder, np.ndarray]:
     """Ids of words in a sentencepiece vocabulary, and which ids are bytes it fell back to."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     if path not in _held:
+        base.release()  # of other vocabularies
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -100,6 +101,12 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": total(~SEPARATOR[data] & ((data & 0xC0) != 0x80)), "n_symbols": total(_SYMBOL[data]), "n_dup_lines": lines, "n_repeat_words": covered[first[1:]] - covered[first[:-1]], "print": prints.view(np.int64)}
 
 
+def script_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many characters of each script each text has."""
+    script = _SCRIPT[data]
+    return np.stack([np.diff(np.concatenate([[0], np.cumsum(script == k)])[offsets]) for k in range(len(_SCRIPTS))])
+
+
 def fertility(column: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Tokens, byte-fallback tokens and token entropy (bits) of each text, its words encoded one by one."""
     coder, fallback = piece_coder(path)
@@ -130,14 +137,14 @@ def measured(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in batches:
             for part in base.pieces(batch, CODED_BYTES):
                 data, offsets = flat(part.column("text"))
-                counts = base_counts(data, offsets)
+                found = [base_counts(d, o) for _, _, d, o in chunks(data, offsets)]  # a megabyte at a time
+                counts = {c: np.concatenate([x[c] for x in found]) for c in (*COUNTS, "print")}
                 tokens = fertility(part.column("text"), vocabulary)
-                script = _SCRIPT[data]
-                votes = np.stack([np.diff(np.concatenate([[0], np.cumsum(script == k)])[offsets]) for k in range(len(_SCRIPTS))])
+                votes = np.concatenate([script_votes(d, o) for _, _, d, o in chunks(data, offsets)], axis=1)
                 names = np.array(_SCRIPTS)[votes.argmax(axis=0)]
                 columns = [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in (*COUNTS, "print")), *map(pa.array, tokens), pa.array(names.astype(object), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "print", "n_tokens", "n_fallback", "entropy", "script"])
-                del data, offsets, counts, tokens, script, votes, names, columns
+                del data, offsets, found, counts, tokens, votes, names, columns
         base.trim()
 
     return docs.mapInArrow(run, MEASURED)

@@ -13,7 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lumenfold.llm.base import CACHES, chunks, flat, spread, trim
+from lumenfold.llm.base import CACHES, chunks, flat, release, spread, trim
 
 #: Words whose ids a worker remembers; beyond it the later half is forgotten.
 CACHED_WORDS = 250_000
@@ -130,6 +130,7 @@ def word_coder(path: str | None = None) -> Coder:
     encoded many to a text, and told apart by the ids that end a word."""
     key = ("coder", path)
     if key not in _held:
+        release()  # of other vocabularies
         tokenizer = word_tokenizer(path)
         vocabulary = tokenizer.get_vocab()
         final = np.zeros(max(vocabulary.values()) + 1, bool)
