@@ -47,4 +47,65 @@ kept AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS gone, string_agg(subs
 SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op4_suffix_dedup": SUFFIX_DEDUP, "op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP, "op8_embedding_dedup": EMBEDDING_DEDUP}
+#: Integer vectors, the first 40 by digest, five rounds of floors of means, and the last assignment.
+CENTROIDS = "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)," + """
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS z, e FROM (SELECT e, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT 40)),""" + "".join(
+    f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(v.e) AS e, min_by(z, (d, z)) AS z, min(d) AS d FROM (SELECT vec_id, v.e, z, CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r} c) v GROUP BY vec_id),
+s{r} AS (SELECT z, i, sum(x) AS s, count(*) AS n FROM (SELECT z, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY z, i),
+c{r + 1} AS MATERIALIZED (SELECT c.z, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN (SELECT z, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS e FROM s{r} GROUP BY z) m USING (z)),"""
+    for r in range(6)
+) + """
+t AS (SELECT z, CAST(sum(d) AS BIGINT) AS s FROM a5 GROUP BY z)
+SELECT vec_id, CAST(a5.z AS INTEGER) AS cluster, d AS distance, t.s AS cluster_inertia, CAST((SELECT sum(s) FROM t) AS BIGINT) AS inertia, sha256(array_to_string(c5.e, ',')) AS centroid_sha256
+FROM a5 JOIN t USING (z) JOIN c5 USING (z)
+"""
+
+_FIELD = "coalesce(strlen({0}) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "{n}", "text")) + ")"
+
+
+def _tree(name: str, first: str, levels: int) -> str:
+    """CTEs of a tree's levels: pairs become their digest, a lone node stays as it is; and of each leaf's siblings."""
+    out = f"{name}0 AS (SELECT g, i, n, h FROM {first}),\n"
+    for k in range(levels):
+        up = f"SELECT g, i // 2 AS i, (any_value(n) + 1) // 2 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY g, i // 2"
+        out += f"{name}{k + 1} AS MATERIALIZED ({up}),\n"
+    return out
+
+
+def _path(name: str, levels: int) -> str:
+    """Columns p (siblings) and f (what a leaf t folds to) of each leaf in `{name}l`, level by level."""
+    out = f"{name}p0 AS (SELECT g, i AS pos, i, t, '' AS p FROM {name}l),\n"
+    for k in range(levels):
+        step = f"SELECT x.g, pos, x.i // 2 AS i, CASE WHEN o.n = 1 THEN t WHEN s.h IS NULL THEN sha256(t) WHEN x.i % 2 = 1 THEN sha256(s.h || t) ELSE sha256(t || s.h) END AS t, p || CASE WHEN o.n = 1 THEN '' ELSE coalesce(s.h, '') END AS p"
+        out += f"{name}p{k + 1} AS MATERIALIZED ({step} FROM {name}p{k} x JOIN (SELECT g, i, n FROM {name}{k}) o ON o.g = x.g AND o.i = x.i LEFT JOIN {name}{k} s ON s.g = x.g AND s.i = xor(x.i, 1)),\n"
+    return out
+
+
+#: Levels that the SQL goes up: enough for as many leaves of a language as two to this power, and for as many languages.
+_UP, _UP_LANGS = 14, 4
+
+#: The table of CRC-32 from its polynomial, leaves, levels, siblings and what leaves fold to.
+MERKLE = f"""
+WITH RECURSIVE crc(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM crc WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM crc WHERE k = 8),
+d AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, tab[xor(c, b) % 256 + 1])), 4294967295) % 7 = 0 AS hit FROM documents, tab),
+leaf AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE 'v' || lang END AS g, {_LEAF.format(n="n_chars")} AS h, {_LEAF.format(n="n_chars + CASE WHEN hit THEN 1 ELSE 0 END")} AS t FROM d),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM leaf),
+al AS (SELECT g, i, t FROM placed),
+{_tree("a", "placed", _UP)}{_path("a", _UP)}
+langs AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, h, g AS lang FROM a{_UP}),
+{_tree("b", "langs", _UP_LANGS)}
+bs AS (SELECT placed.g || ' ' || placed.i AS leaf_of, langs.i AS i, p, ap.t FROM placed JOIN ap{_UP} ap ON ap.g = placed.g AND ap.pos = placed.i JOIN langs ON langs.lang = placed.g),
+bp0 AS (SELECT leaf_of, i, t, p FROM bs),
+""" + "".join(
+    f"bp{k + 1} AS MATERIALIZED (SELECT leaf_of, x.i // 2 AS i, CASE WHEN o.n = 1 THEN t WHEN s.h IS NULL THEN sha256(t) WHEN x.i % 2 = 1 THEN sha256(s.h || t) ELSE sha256(t || s.h) END AS t, p || CASE WHEN o.n = 1 THEN '' ELSE coalesce(s.h, '') END AS p FROM bp{k} x JOIN (SELECT i, n FROM b{k}) o ON o.i = x.i LEFT JOIN b{k} s ON s.i = xor(x.i, 1)),\n"
+    for k in range(_UP_LANGS)
+) + f"""
+root AS (SELECT h AS root FROM b{_UP_LANGS})
+SELECT doc_id, placed.h AS leaf, langs.h AS subroot, root, sha256(p) AS proof_sha256, bp.t AS folded_root, bp.t = root AS verified
+FROM placed JOIN langs ON langs.lang = placed.g JOIN bp{_UP_LANGS} bp ON bp.leaf_of = placed.g || ' ' || placed.i CROSS JOIN root
+"""
+
+ORACLE_SQL = {"op4_suffix_dedup": SUFFIX_DEDUP, "op2_ngram_join": NGRAM_JOIN, "op6_substring_dedup": SUBSTRING_DEDUP, "op8_embedding_dedup": EMBEDDING_DEDUP, "op12_centroid_clusters": CENTROIDS, "op13_merkle_manifest": MERKLE}
