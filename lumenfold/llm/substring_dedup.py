@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import base, exchange
 from lumenfold.llm.base import blocks, chunks, flat, group_starts, mix, rolling, spread, word_hashes, word_spans
+from lumenfold.llm.numbering import keyed
 
 #: Words of a window.
 WINDOW = 13
@@ -37,8 +38,10 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[n
     return (np.concatenate(out), np.concatenate(counts)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id and blob: the windows (first word's index) whose words also start in a document with a smaller id."""
+def find(docs: DataFrame, window: int = WINDOW, bits: int = 0) -> DataFrame:
+    """doc_id and blob: the windows (first word's index) whose words also start in a document with a smaller id.
+
+    docs: a row an id. Ids that differ in their low `bits` alone are no one's copies, but marked each on its own."""
     size = base.text_bytes(docs)
     n_buckets, n_shares = max(1, -(-size // BUCKET_BYTES)), max(1, -(-size // SHARE_BYTES))
 
@@ -52,13 +55,14 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         hashes = hashes[order]
         doc_of = np.repeat(doc_ids, counts)[order]
         starts = group_starts(hashes)
-        later = doc_of > np.repeat(np.minimum.reduceat(doc_of, starts), np.diff(np.append(starts, len(order))))
+        rank = doc_of >> bits
+        later = rank > np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(order))))
         if later.any():
             k = order[later]
             yield exchange.verdict_batch(doc_of[later], k - np.repeat(firsts, counts)[k], n_shares, int(doc_ids[0]) % n_buckets)
         has = counts > 0
         hashes, order = hashes[~later], order[~later]
-        del doc_of, later
+        del doc_of, rank, later
         yield from exchange.message_rows(hashes, order, doc_ids[has], firsts[has], n_buckets)
 
     def settle(batches):
@@ -68,7 +72,8 @@ def find(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def judge(hashes, doc, at):
         starts = group_starts(hashes)
-        later = doc > np.repeat(np.minimum.reduceat(doc, starts), np.diff(np.append(starts, len(doc))))
+        rank = doc >> bits
+        later = rank > np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(doc))))
         return doc[later], at[later]
 
     verdicts = docs.mapInArrow(settle, exchange.MESSAGES).groupBy("bucket").applyInArrow(exchange.reducer(judge, n_shares), exchange.VERDICTS)
@@ -89,9 +94,10 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digests: bool = False) -
     (kept words joined by one space), or with `digests` its SHA-256 instead of spans and text.
 
     A text that no window repeats keeps all its words. Null and empty texts have no words; texts
-    shorter than the window lose none; rows that repeat a doc_id never count as each other's copies."""
-    docs = base.documents(docs)
-    found = find(docs, window)
+    shorter than the window lose none. Rows that repeat a doc_id never count as each other's copies, and each
+    loses what its own text repeats."""
+    own = keyed(base.documents(docs), "key")
+    found = find(own.texts, window, own.bits)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept_sha256 string" if digests else "spans array<array<bigint>>, kept_text string")
 
     def cut(batches):
@@ -112,19 +118,21 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, digests: bool = False) -
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", *names])
 
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "blob").mapInArrow(cut, schema)
+    return own.rows.join(found.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", "blob").mapInArrow(cut, schema)
 
 
 def rewritten(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with all their columns, repeated windows cut from `text`; what stands between kept words stays.
 
     Where an interval is cut, one space is left. A text that loses all its words becomes empty, one
-    that loses none stays as it is, null included. Rows without a doc_id stay as they are."""
+    that loses none stays as it is, null included. Rows without a doc_id stay as they are; rows that repeat one
+    lose each what its own text repeats of smaller ids."""
     key, marks = base.fresh("__id", *docs.columns), base.fresh("__marks", *docs.columns)
-    found = find(base.documents(docs), window).toDF(key, marks)
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col(key), "left").select(*docs.columns, marks)
-    at = docs.columns.index("text")
     base.bounded(docs.sparkSession)
+    own = keyed(docs, key)
+    found = find(own.texts, window, own.bits).toDF(key, marks)
+    joined = own.rows.join(found, key, "left").select(*docs.columns, marks)
+    at = docs.columns.index("text")
 
     def cut(batches):
         for batch in batches:

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import base, exchange
 from lumenfold.llm.base import blocks, bucket_bounds, byte_values, chunks, flat, group_starts, mix, pack, rolling, spread, trim, unpack, written
+from lumenfold.llm.numbering import keyed
 
 LENGTH = 100
 #: Anchors of a batch, and windows that are scanned together.
@@ -418,7 +419,7 @@ def _sizes(docs: DataFrame) -> tuple[int, int]:
 
 
 def later_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and blob: runs (start, windows) of windows that also start earlier in the corpus."""
+    """doc_id and blob: runs (start, windows) of windows that also start earlier in the corpus. docs: a row an id."""
     n_buckets, n_shares = _sizes(docs)
     repeated = written(repeated_anchors(docs, length, n_buckets, n_shares))
     hot = hot_anchors(repeated)
@@ -447,7 +448,7 @@ def extended(docs: DataFrame, index: DataFrame | None = None, length: int = LENG
     """A batch of documents met with a kept index (INDEX; None: an empty one): later_windows of the batch, where all
     of the index counts as earlier, and the index with the batch in it. Both are written tables.
 
-    The number of buckets is the first batch's. Anchors once dealt by window stay so, and what the
+    Ids must be distinct, within the batch and from those of the index (see `keyed`). The number of buckets is the first batch's. Anchors once dealt by window stay so, and what the
     index holds of an anchor that becomes hot in this batch is dealt anew. An index holds every
     anchor, so a batch costs an exchange of about five times its text."""
     n_buckets, n_shares = _sizes(docs)
@@ -515,10 +516,11 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, digests: bool = False) -
     spans (start and end byte of each) and kept (the remaining bytes).
 
     Texts are UTF-8 bytes, null texts are empty; texts shorter than `length` lose nothing, and a text of
-    any length is one document. Rows that repeat a doc_id are taken for one document's earlier and
-    later strings. An empty table gives no rows; other columns may have any name."""
-    docs = base.documents(docs)
-    found = later_windows(docs, length)
+    any length is one document. Different texts of one doc_id stand one after another in the order of their
+    digests, each with its own cuts; equal texts of one doc_id are one document, and each such row has its
+    result. An empty table gives no rows; other columns may have any name."""
+    own = keyed(base.documents(docs), "key")
+    found = later_windows(own.texts, length)
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, " + ("kept_sha256 string" if digests else "spans array<array<bigint>>, kept binary")
 
     def cut(batches):
@@ -535,7 +537,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, digests: bool = False) -
             kinds = [pa.int64(), pa.int64(), pa.int64(), *([pa.string()] if digests else [pa.list_(pa.list_(pa.int64())), pa.binary()])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", *names])
 
-    return docs.join(found, "doc_id", "left").select("doc_id", "text", "blob").mapInArrow(cut, schema)
+    return own.rows.join(found.withColumnRenamed("doc_id", "key"), "key", "left").select("doc_id", "text", "blob").mapInArrow(cut, schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

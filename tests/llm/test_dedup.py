@@ -237,3 +237,19 @@ def test_repeated_ids_are_one_document(spark):
     rows = [(1, " ".join(words[:20])), (1, " ".join(words[20:])), (1, " ".join(words[:20])), (2, "\n".join(words)), (3, " ".join(words[:20])), (2, None)]
     out = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out == {1: (36, 1, 1), 2: (36, 1, 1), 3: (16, 3, 0)}
+
+
+@pytest.mark.parametrize("far", [0, 1 << 61])
+def test_texts_of_one_id_are_judged_each_on_its_own(spark, far):
+    """far: ids beside which no bits are left for the number of a text."""
+    alpha, beta, gamma = (" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma"))
+    rows = [(0, alpha), (1, alpha), (1, beta), (1, beta), (2 + far, f"{gamma} {beta}"), (2 + far, gamma), (-far, None), (None, alpha)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted([(0, alpha), (1, ""), (1, beta), (1, beta), (2 + far, gamma), (2 + far, gamma), (-far, "")])
+    cut = substring_dedup.deduplicated(table).collect()
+    assert sorted((r["doc_id"], r["kept_text"]) for r in cut) == want
+    assert sorted((r["doc_id"], r["text"] or "") for r in substring_dedup.rewritten(table).where("doc_id is not null").collect()) == want
+    # strings of 100 bytes: one of the two rows with gamma has it later than the other
+    kept = sorted((r["doc_id"], r["kept"].decode().strip()) for r in suffix_dedup.deduplicated(table).collect())
+    later = [t for i, t in kept if i == 2 + far]
+    assert sorted(later) == sorted(["", gamma]) and [x for x in kept if x[0] != 2 + far] == sorted([(-far, ""), (0, alpha), (1, ""), (1, beta), (1, beta)])

@@ -69,3 +69,20 @@ def test_stages_against_plain_loops(spark):
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == want
     judged = stages["quality_rules"](spark, table, "")
     assert judged.columns == table.columns and None not in {r["text"] for r in judged.collect()}
+
+
+def test_repeated_ids_and_an_empty_table(spark, tmp_path):
+    """Rows of one id with different texts through all stages, from files; and no rows at all."""
+    words = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(0, words("alpha"), "en"), (1, words("beta"), "en"), (1, f"{words('gamma')} {words('alpha')}", "en"), (1, "short", "en"), (None, words("delta"), "en"), (2, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = dict(corpus_pipeline.STAGES)["quality_rules"](spark, table, "")
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted((i, t) for i, t, _ in rows[:3])
+    cut = dict(corpus_pipeline.STAGES)["substring_dedup"](spark, kept, "")
+    assert sorted((r["doc_id"], r["text"]) for r in cut.collect()) == sorted([(0, words("alpha")), (1, words("beta")), (1, words("gamma"))])
+    table.write.parquet(str(tmp_path / "some/documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    assert {r["doc_id"] for r in out} == {0, 1} and len({(r["doc_id"], r["ids_crc32"]) for r in out}) == 3
+    assert sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out)
+    table.where("false").write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
