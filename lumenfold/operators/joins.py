@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
 from lumenfold.operators import windows as W
+from lumenfold.sources import storage
 
 #: Targets of a call that are told: those a result shows.
 MOST_TARGETS = 8
@@ -55,24 +56,67 @@ def first_peers(rows: DataFrame, key: str, node: str, order: list[str], most: in
     return pairs.withColumn("rank", place).where(F.col("rank") <= most).select(node, "peer", F.col("rank").cast("bigint"))
 
 
+#: Sets of up to so many tokens meet by all their subsets; of larger ones the rarest CORE tokens' subsets give a first bound.
+SMALL, CORE = 8, 5
+
+
+def most_shared(sets: DataFrame, most: int, key: str = "node_id", items: str = "tokens") -> DataFrame:
+    """key, peer, shared, rank: for each set the `most` others that share most items with it (one at least), of equals
+    those of smaller key. Exact; items are distinct within a set.
+
+    A subset of items keeps its first `most` + 1 owners only. Nothing better is lost: if a peer shares exactly the
+    items T, every owner of T with a smaller key shares as much or more, so a peer beyond T's first ones is
+    beyond the best ones too. Small sets list all their subsets. A larger set lists those of its rarest
+    items, which bounds from below how much its last peer shares; whoever shares as much has one of its
+    rarest items among all but so many less one, and likewise on the other side, so items that
+    many sets hold make no candidates but where nothing better is known. Equal sets meet once."""
+    spark = sets.sparkSession
+    held = sets.select(F.col(key).alias("__id"), F.explode(items).alias("__item"))
+    often = held.groupBy("__item").agg(F.count("*").alias("__df"))
+    ordered = held.join(often, "__item").groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__df", "__item"))), lambda x: x["__item"]).alias("__items"))
+    ordered = storage.kept(spark, ordered)  # rarest first
+    kinds = W.first_per(ordered, ["__items"], ["__id"], most + 1).groupBy("__items").agg(F.array_sort(F.collect_list("__id")).alias("__ids"))
+    kinds = storage.kept(spark, kinds.withColumn("__set", F.element_at("__ids", 1)).withColumn("__n", F.size("__items")))
+    core = F.when(F.col("__n") <= SMALL, F.col("__items")).otherwise(F.slice("__items", 1, CORE))
+    mask = F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("__core")).cast("int") - 1))
+    listed = kinds.select("__set", "__n", "__ids", core.alias("__core")).select("*", mask.alias("__mask"))
+    part = F.filter("__core", lambda x, i: F.getbit(F.col("__mask"), i) == 1)
+    listed = storage.kept(spark, listed.select("__set", "__n", "__ids", part.alias("__part")))
+    owners = W.first_per(listed.select("__part", F.explode("__ids").alias("__peer")), ["__part"], ["__peer"], most + 1).drop("rank")
+    met = listed.select("__set", "__n", "__part").join(owners, "__part").groupBy("__set", "__peer").agg(F.max(F.size("__part")).alias("__shared"))
+    best = lambda df: W.first_per(df, ["__set"], [F.desc("__shared"), F.asc("__peer")], most + 1).drop("rank")  # noqa: E731  one may be the node itself
+    if kinds.where(F.col("__n") > SMALL).isEmpty():
+        found = best(met)
+    else:
+        of_peer = ordered.select(F.col("__id").alias("__peer"), F.col("__items").alias("__theirs"))
+        mine = kinds.select("__set", "__items", "__n")
+        checked = met.join(mine, "__set").join(of_peer, "__peer")
+        checked = checked.select("__set", "__peer", F.size(F.array_intersect("__items", "__theirs")).alias("__shared"))
+        first = storage.kept(spark, best(checked))
+        least = first.groupBy("__set").agg(F.when(F.count("*") > most, F.min("__shared")).alias("__least"))
+        bounded = mine.join(least, "__set", "left").withColumn("__least", F.coalesce("__least", F.lit(1)))
+        posts = lambda df, by: df.select("*", F.posexplode("__items").alias("__pos", "__item")).drop("__items").withColumnRenamed("__n", by)
+        left = posts(bounded, "__m").where("__pos <= __m - __least").withColumnRenamed("__set", "__left")
+        right = posts(kinds.select("__set", "__items", "__n"), "__n").withColumnRenamed("__pos", "__at")
+        pairs = left.join(right, "__item").where((F.greatest("__m", "__n") > SMALL) & (F.col("__at") <= F.col("__n") - F.col("__least")))
+        pairs = pairs.select("__left", "__set", "__least").distinct()
+        theirs = kinds.select("__set", F.col("__items").alias("__theirs"), "__ids")
+        wide = pairs.join(mine.select(F.col("__set").alias("__left"), "__items"), "__left").join(theirs, "__set")
+        wide = wide.withColumn("__shared", F.size(F.array_intersect("__items", "__theirs"))).where("__shared >= __least")
+        wide = wide.select(F.col("__left").alias("__set"), F.explode("__ids").alias("__peer"), "__shared")
+        found = best(first.unionByName(wide).groupBy("__set", "__peer").agg(F.max("__shared").alias("__shared")))
+    shown = ordered.join(kinds.select("__items", "__set"), "__items").select("__id", "__set").join(found, "__set").where("__id <> __peer")
+    shown = shown.select(F.col("__id").alias(key), F.col("__peer").alias("peer"), F.col("__shared").cast("bigint").alias("shared"))
+    return W.first_per(shown, [key], [F.desc("shared"), F.asc("peer")], most)
+
+
 def rare_token_neighbours(tokens: DataFrame, nodes: DataFrame, share: float = 0.35, most: int = MOST_TARGETS) -> DataFrame:
     """node, peer, shared, rank: the `most` peers of each node that share most tokens which few enough nodes
-    have (`share` of all, two at least); of equals those of smaller id.
-
-    Nodes with the same set of such tokens have the same peers, so sets are joined, not nodes: what a
-    token costs is the square of the different sets that hold it. A set stands for its first `most` + 1 nodes."""
+    have (`share` of all, two at least); of equals those of smaller id."""
     n_docs = nodes.agg(F.greatest(F.lit(2), F.ceil(share * F.count("*"))).alias("limit"))  # one row
     df = tokens.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(n_docs)).where("df >= 2 and df <= limit")
-    sets = tokens.join(df.select("token"), "token").groupBy("node_id").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-    heads = W.first_per(sets, ["tokens"], ["node_id"], most + 1).groupBy("tokens").agg(F.array_sort(F.collect_list("node_id")).alias("ids"))
-    posts = heads.select(F.xxhash64("tokens").alias("set"), "tokens", "ids")
-    left = posts.select(F.col("tokens").alias("mine"), F.explode("tokens").alias("token"))
-    right = posts.select("tokens", F.col("ids").alias("peers"), F.explode("tokens").alias("token"))
-    pairs = left.join(right, "token").groupBy("mine", "tokens").agg(F.count("*").alias("shared"), F.any_value("peers").alias("peers"))
-    # a set's best peers: as many as a node shows, and one more, which may be the node itself
-    best = W.first_per(pairs.select("mine", "shared", F.explode("peers").alias("peer")), ["mine"], [F.desc("shared"), F.asc("peer")], most + 1).drop("rank")
-    shown = sets.select("node_id", F.col("tokens").alias("mine")).join(best, "mine").where("node_id <> peer")
-    return W.first_per(shown.select("node_id", "peer", "shared"), ["node_id"], [F.desc("shared"), F.asc("peer")], most)
+    sets = tokens.join(df.select("token"), "token").groupBy("node_id").agg(F.collect_set("token").alias("tokens"))
+    return most_shared(sets, most)
 
 
 def subsets(sets: DataFrame, key: str, items: str, most: int = 2) -> DataFrame:

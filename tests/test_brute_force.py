@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumenfold.operators import graph, joins, ranking
@@ -37,6 +38,22 @@ def test_rare_token_neighbours(spark):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("largest, letters", [(4, "abcdefghijklmnop"), (14, "abcdefghijklmnopqrstuvwxyz"), (20, "abcdefghijklmnopqrstuvwxyz")])
+def test_most_shared(spark, largest, letters):
+    """Sets of all sizes around those that list all their subsets; ties and equal sets."""
+    rng = random.Random(largest)
+    weights = [1 / (1 + i) for i in range(len(letters))]
+    sets = {i: sorted(set(rng.choices(letters, weights, k=rng.randint(0, largest)))) for i in range(90)}
+    sets |= {100 + i: sets[i] for i in range(12)} | {200 + i: sets[3] for i in range(9)}
+    df = spark.createDataFrame([(i, s) for i, s in sets.items()], "node_id long, tokens array<string>")
+    got = defaultdict(list)
+    for r in joins.most_shared(df, 5).orderBy("node_id", "rank").collect():
+        got[r["node_id"]].append((r["peer"], r["shared"]))
+    for i, s in sets.items():
+        want = sorted(((j, len(set(s) & set(o))) for j, o in sets.items() if j != i and set(s) & set(o)), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[i] == want, i
+
+
 def test_subsets(spark):
     rng = random.Random(3)
     sets = {i: sorted(set(rng.choices("abcdef", k=rng.randint(1, 4)))) for i in range(40)}
