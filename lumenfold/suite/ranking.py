@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lumenfold.catalog import SQL_CODE, SQL_CODE_CALLS, SQL_MANIFEST, SQL_NODES, SQL_SYMBOLS, Tables
 from lumenfold.functions import text as T
 from lumenfold.functions import vectors as V
+from lumenfold.operators import postings as P
+from lumenfold.operators import vector_cells as C
 from lumenfold.operators import ranking as R
 from lumenfold.operators import windows as W
 from lumenfold.plans import query as Q
@@ -34,6 +36,42 @@ def bm25_topk(t: Tables) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
+def _postings(t: Tables) -> P.Postings:
+    """The index of `documents`: built once, used again for as long as the files are the same."""
+    from lumenfold.sources import storage
+
+    docs = t.documents
+    return P.Postings(t.spark, storage.reused("postings", [docs], ("text",), lambda path: P.build(docs, path)))
+
+
+@query(
+    "fts_topk",
+    "J03 R05",
+    """WITH t AS (SELECT doc_id, source, TOKENS AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t),
+    d AS (SELECT x, count(*) FILTER (list_contains(w, x)) AS df FROM t, (SELECT unnest(['small', 'value', 'under', 'que']) AS x) GROUP BY x)
+    SELECT doc_id AS node_id, source AS file_path, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(w) / mean)), 6) AS score FROM t, s, d WHERE list_contains(w, x) GROUP BY doc_id, source, w, n, mean
+    ORDER BY round(sum(ln((n - df + 0.5) / (df + 0.5) + 1)) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(w) / mean)), 9) DESC, doc_id LIMIT 20""".replace("TOKENS", S.tokens("text")),
+)
+def fts_topk(t: Tables) -> DataFrame:
+    """Any-term hits of the stored index by rank, joined with their nodes."""
+    hits = P.search(_postings(t), ["small", "value", "under", "que"], 20).found
+    return t.nodes().join(F.broadcast(hits.withColumnRenamed("doc_id", "node_id")), "node_id").select("node_id", "file_path", F.round("score", 6).alias("score"))  # 20 rows
+
+
+@query(
+    "fts_many",
+    "J03 R05 F11",
+    """WITH t AS (SELECT doc_id, TOKENS AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), p AS (SELECT doc_id, len(w) AS length, unnest(w) AS x FROM t),
+    d AS (SELECT x, count(*) AS df FROM p GROUP BY x), q AS (SELECT item_id, unnest(list_sort(TOKENS)[1:16]) AS x FROM benchmark)
+    SELECT item_id, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length / mean))), 9) DESC, doc_id) AS rank
+    FROM q JOIN p USING (x) JOIN d USING (x), s GROUP BY item_id, doc_id QUALIFY rank <= 10""".replace("TOKENS", S.tokens("text")),
+)
+def fts_many(t: Tables) -> DataFrame:
+    """The ten best documents for the first sixteen terms of every benchmark item, from the stored index."""
+    asked = t.benchmark.select("item_id", F.slice(F.array_sort(T.tokens(F.col("text"))), 1, 16).alias("terms"))
+    return P.search_many(_postings(t), asked, 10, "item_id").select("item_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 #: A query's tokens with stems and synonyms.
 _EXPANDED = Q.tokens("ordering the sources of results and testing")
 
@@ -84,6 +122,39 @@ def knn_quantised(t: Tables) -> DataFrame:
     return R.nearest_quantised(R.quantised(t.embeddings), t.embeddings, TARGET, 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def _cells(t: Tables) -> C.Cells:
+    """The index of `embeddings`: built once, used again for as long as the files are the same."""
+    from lumenfold.sources import storage
+
+    vectors = t.embeddings
+    return C.Cells(t.spark, storage.reused("vector-cells", [vectors], (), lambda path: C.build(vectors, path)))
+
+
+@query("vector_cells_knn", "R11 R07", f"SELECT vec_id, label, round({_COS}, 6) AS score FROM embeddings ORDER BY round({_COS}, 9) DESC, vec_id LIMIT 10")
+def vector_cells_knn(t: Tables) -> DataFrame:
+    """The ten nearest of all vectors, from the cells that can hold them."""
+    return C.nearest(_cells(t), TARGET, 10).select("vec_id", "label", F.round("score", 6).alias("score"))
+
+
+_PAIR_COS = "CASE WHEN len(q.embedding) = len(e.embedding) AND list_dot_product(q.embedding, q.embedding) > 0 AND list_dot_product(e.embedding, e.embedding) > 0 THEN list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) ELSE 0 END"
+
+
+@query("vector_cells_batch", "R11 R07", f"SELECT q.vec_id AS query_id, e.vec_id, round({_PAIR_COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_PAIR_COS}, 9) DESC, e.vec_id) AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10")
+def vector_cells_batch(t: Tables) -> DataFrame:
+    """The ten nearest of all vectors for every vector whose id 20 divides, exactly."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return C.nearest_of_all(_cells(t), asked, 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("vector_cells_approximate", "R11")
+def vector_cells_approximate(t: Tables) -> DataFrame:
+    """The same from as few cells as find 95 % of the neighbours of other vectors (a test holds its recall)."""
+    index, known = _cells(t), t.embeddings
+    visit = C.visits_for(index, known.where("vec_id % 50 = 7").orderBy(F.xxhash64("vec_id")).limit(200).select(F.col("vec_id").alias("query_id"), "embedding"), 10, 0.95)
+    asked = known.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return C.nearest_of_all(index, asked, 10, visit).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def _graph_sql(terms: list[str]) -> str:
     return " + ".join(f"CASE WHEN contains({S.normalized('concat_ws(chr(32), name, qualified_name, file_path)')}, '{x}') THEN 1 ELSE 0 END" for x in terms)
 
