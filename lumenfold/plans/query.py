@@ -18,7 +18,7 @@ HINTS = {
     "semantic-ranking": ["semantic", "similar", "ranking", "rank", "relevance", "related", "rerank", "retrieve"],
 }
 GRAPH_FIRST = ["caller", "callers", "callee", "callees", "impact", "trace", "topology"]
-FILTER_ALIASES = {"lang": "language", "language": "language", "kind": "kind", "type": "kind", "file": "file", "path": "path", "name": "name", "symbol": "name"}
+FILTER_ALIASES = {"lang": "language", "language": "language", "kind": "kind", "file": "file", "path": "path", "name": "name"}
 
 # How much each source counts on a route, and each feature for an intent.
 ROUTE_WEIGHTS = {"graph-first": {"graph": 1.25, "vector": 1.0, "fts": 1.0}, "graph-first-filter": {"graph": 1.25, "vector": 1.0, "fts": 1.0}, "vector-first": {"graph": 1.0, "vector": 1.35, "fts": 1.0}, "hybrid": {"graph": 1.0, "vector": 1.0, "fts": 1.0}}
@@ -86,6 +86,28 @@ class Query:
     def features(self) -> dict[str, float]:
         return FEATURE_WEIGHTS[self.intent]
 
+    @property
+    def vector_mode(self) -> str:
+        """How vectors are searched: `dense`, `sparse` or `hybrid`, both at once."""
+        if self.intent == "semantic-ranking":
+            return "sparse" if self.filters.get("path") or self.filters.get("file") else "hybrid"
+        return "hybrid" if self.intent in ("compression-feedback", "freshness/status") else "dense"
+
+    def feature_weights(self, mode: str = "hybrid", lexical: float | None = None, semantic: float | None = None) -> dict[str, float]:
+        """What each feature counts, 1 in all. Mode `bm25` counts words alone, `embedding` meaning alone. Own weights of
+        these two leave what they don't use to structure and freshness alike; else the intent says."""
+        if mode in ("bm25", "embedding"):
+            return {"lexical": float(mode == "bm25"), "semantic": float(mode == "embedding"), "structure": 0.0, "freshness": 0.0}
+        if mode != "hybrid":
+            raise ValueError(f"no such mode: {mode}")
+        made = dict(self.features)
+        if lexical is not None or semantic is not None:
+            one, two = max(0.0, lexical or 0.0), max(0.0, semantic or 0.0)
+            rest = max(0.0, 1 - one - two) / 2
+            made = {"lexical": one, "semantic": two, "structure": rest, "freshness": rest}
+        total = sum(made.values())
+        return {k: v / total for k, v in made.items()} if total > 0 else {"lexical": 1.0, "semantic": 0.0, "structure": 0.0, "freshness": 0.0}
+
     @property
     def symbols(self) -> list[str]:
         return [p for p in self.text.split() if is_symbol(p)]

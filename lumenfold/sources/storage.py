@@ -45,17 +45,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def fingerprint(*sources: DataFrame) -> str:
-    """A hash of names, sizes and modification times of the files that frames are read from; their contents aren't read.
-
-    A frame without files is told by its plan alone."""
+    """A hash of what frames select, and of names, sizes and modification times of the files that they read; their
+    contents aren't read. A frame without files is told by its plan alone."""
     parts = []
     for df in sources:
+        parts.append(f"{df.schema.json()} {df._jdf.queryExecution().analyzed().canonicalized()}")
         files = df.inputFiles()
         if files:
             seen = df.sparkSession.read.format("binaryFile").load(files).agg(F.count("*"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
             parts.append(f"{seen[0]}:{seen[1]}")
-        else:
-            parts.append(df._jdf.queryExecution().analyzed().canonicalized().toString())
     return hashlib.sha256("\0".join(parts).encode()).hexdigest()[:32]
 
 

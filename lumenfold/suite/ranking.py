@@ -13,6 +13,7 @@ from lumenfold.functions import vectors as V
 from lumenfold.operators import postings as P
 from lumenfold.operators import vector_cells as C
 from lumenfold.operators import ranking as R
+from lumenfold.operators import search as X
 from lumenfold.operators import windows as W
 from lumenfold.plans import query as Q
 from lumenfold.registry import query
@@ -155,16 +156,21 @@ def vector_cells_approximate(t: Tables) -> DataFrame:
     return C.nearest_of_all(index, asked, 10, visit).select("query_id", "vec_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def _graph_sql(terms: list[str]) -> str:
-    return " + ".join(f"CASE WHEN contains({S.normalized('concat_ws(chr(32), name, qualified_name, file_path)')}, '{x}') THEN 1 ELSE 0 END" for x in terms)
+_ALL_KNOWN = S.normalized("concat_ws(' ', name, qualified_name, file_path, signature, docstring, content)")
 
 
-_GQ = Q.parse("cold widget brass name:cold")
-
-
-@query("graph_score", "R03", f"SELECT node_id, round(({_graph_sql(_GQ.terms)}) / {len(_GQ.terms)}.0 + CASE WHEN contains(lower(name), 'cold') THEN 0.4 ELSE 0 END, 6)::DOUBLE AS score FROM {SQL_SYMBOLS}")
+@query(
+    "graph_score",
+    "R03",
+    f"""WITH n AS (SELECT *, {S.normalized("name")} AS flat, {S.normalized("qualified_name")} AS whole, {S.normalized("regexp_extract(qualified_name, '([^:.#]*)$', 1)")} AS tail FROM {SQL_CODE})
+    SELECT node_id, round(len(list_filter(['cold', 'ring', 'small', 'the', 'widget'], lambda t: contains({_ALL_KNOWN}, t))) / 5.0 + CASE WHEN contains(lower(name), 'gear') THEN 0.4 ELSE 0 END
+      + CASE WHEN flat = 'small ring' THEN 50 WHEN whole = 'small ring' OR tail = 'small ring' THEN 35 WHEN contains(whole, '::small ring') OR suffix(whole, 'small ring') THEN 20 ELSE 0 END + CASE WHEN flat = 'small ring' AND kind IN ('class', 'interface') THEN 12 ELSE 0 END, 6)::DOUBLE AS score FROM n""",
+)
 def graph_score(t: Tables) -> DataFrame:
-    return t.symbols().select("node_id", F.round(R.graph_score(F.col("name"), F.col("qualified_name"), F.col("file_path"), _GQ), 6).alias("score"))
+    """Terms in all that is known of a symbol, a name filter, and the bonuses of a query with one exact symbol."""
+    asked = Q.parse("the cold widget SmallRing name:gear")
+    known = {c: F.col(c) for c in ("signature", "docstring", "content", "kind")}
+    return t.code().select("node_id", F.round(R.graph_score(F.col("name"), F.col("qualified_name"), F.col("file_path"), asked, **known), 6).alias("score"))
 
 
 _LQ = Q.parse("the small and old")
@@ -294,40 +300,100 @@ def annotate_rules(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(notes, ",").alias("notes"))
 
 
-SEARCHED = "similar ranking of the function in src1 and des"
+#: Terms of the searched texts below, as their words say: no stem or synonym but `rank` and `doe` is added.
+_ABOUT = ["and", "des", "function", "in", "of", "rank", "ranking", "similar", "src1", "the"]
+_HOW = ["and", "der", "doe", "does", "function", "how", "relate", "src1", "the", "to"]
 
 
-def _search_sql(text: str, topk: int = 10, budget: int = 8000) -> str:
-    """The whole search as one statement; what the driver knows of the query is spelt out in it."""
-    q = Q.parse(text)
-    assert q.route != "hybrid" and not q.filters and not q.anchors_only
-    topk = Q.result_limit(q, topk)
-    limits = {k: v * topk for k, v in Q.CANDIDATES.items()}
-    share = lambda x: "(" + " + ".join(f"CASE WHEN contains({x}, '{t}') THEN 1 ELSE 0 END" for t in q.terms) + f") / {len(q.terms)}.0::DOUBLE"
-    asked = R.asked_embedding(list(q.terms))
-    weight = "CASE bucket " + " ".join(f"WHEN {k} THEN {v!r}::DOUBLE" for k, v in asked.items()) + " END"
+def _search_sql(terms: list[str], sparse: bool, vector_weight: float, features: tuple[float, float, float, float], prior: float, nodes: str) -> str:
+    """A search for ten rows of 8000 tokens up to its order: r has node_id, file_path, content, score and cost."""
+    listed = S.in_list(terms)
+    share = lambda x: f"len(list_filter({listed}, lambda t: contains({x}, t))) / 10.0::DOUBLE"
+    cut = lambda source, table, n, w: f"(SELECT node_id, '{source}' AS source, score * {w}::DOUBLE AS score FROM {table} WHERE score > 0 ORDER BY round({table}.score, 9) DESC, node_id LIMIT {n})"
     lines = "string_split_regex(content, '\\r?\\n')"
     head = f"CASE WHEN len({lines}) <= 22 THEN content ELSE array_to_string({lines}[1:22], chr(10)) || chr(10) || '... truncated ' || CAST(len({lines}) - 22 AS VARCHAR) || ' lines' END"
-    cut = lambda source, table: f"(SELECT node_id, '{source}' AS source, score * {q.weights[source]}::DOUBLE AS score FROM {table} WHERE score > 0 ORDER BY round({table}.score, 9) DESC, node_id LIMIT {limits[source]})"
     part = lambda c: f"CASE WHEN max({c}) OVER () > 0 THEN greatest({c}, 0) / max({c}) OVER () ELSE 0 END"
-    f, prior = q.features, Q.PRIOR_WEIGHTS[q.route]
-    return f"""WITH n AS (SELECT * FROM {SQL_NODES}), fts AS (SELECT node_id, {share("lower(content)")} AS score FROM n), graph AS (SELECT node_id, {share(S.normalized("concat_ws(' ', file_path, kind)"))} AS score FROM n),
-    b AS (SELECT node_id, bucket, count(*) AS k FROM (SELECT node_id, CAST(('0x' || left(sha256('dense:' || x), 8))::UBIGINT % 64 AS BIGINT) AS bucket FROM (SELECT node_id, unnest({S.tokens("content")}) AS x FROM n)) GROUP BY ALL),
-    e AS (SELECT node_id, bucket, k / sqrt(sum(k * k) OVER (PARTITION BY node_id)) AS weight FROM b), vector AS (SELECT node_id, sum(weight * ({weight})) AS score FROM e WHERE bucket IN ({", ".join(map(str, asked))}) GROUP BY node_id),
-    d AS ({cut("graph", "graph")} UNION ALL {cut("fts", "fts")} UNION ALL {cut("vector", "vector")}),
-    m AS (SELECT node_id, sum(score) + 0.25 * (count(*) - 1) AS merged, coalesce(max(score) FILTER (source = 'fts'), 0) AS lexical, coalesce(max(score) FILTER (source = 'vector'), 0) AS semantic, coalesce(max(score) FILTER (source = 'graph'), 0) AS structure FROM d GROUP BY node_id ORDER BY round(sum(score) + 0.25 * (count(*) - 1), 9) DESC, node_id LIMIT {limits["merged"]}),
-    r AS (SELECT n.node_id, n.file_path, {head} AS shown, ({part("lexical")} * {f["lexical"]} + {part("semantic")} * {f["semantic"]} + least(structure, 1) * {f["structure"]} + CASE state WHEN 'fresh' THEN 1.0 WHEN 'pending' THEN 0.45 WHEN 'stale' THEN 0.15 ELSE 0.0 END * {f["freshness"]}) * {1 - prior} + {part("merged")} * {prior} AS score FROM m JOIN n USING (node_id) JOIN {SQL_MANIFEST} s ON s.doc_id = n.node_id),
-    k AS (SELECT *, {S.token_estimate("shown")} AS cost, row_number() OVER (ORDER BY round(score, 9) DESC, file_path, node_id) AS rank FROM r), x AS (SELECT *, {budget} - coalesce(sum(cost + 5) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM k WHERE rank <= {topk})
+    a, b, c, d = features
+    sparse_list = f"UNION ALL {cut('vector', 'sparse', 20, 1)}" if sparse else ""
+    return f"""WITH n AS (SELECT * FROM {nodes}), q AS (SELECT unnest({listed}) AS x),
+    fts AS (SELECT node_id, {share(S.normalized("content"))} AS score FROM n), graph AS (SELECT node_id, {share(S.normalized("concat_ws(' ', name, qualified_name, file_path, signature, docstring, array_to_string(calls, ' '), content)"))} AS score FROM n),
+    w AS (SELECT node_id, unnest({S.tokens("content")}) AS x FROM n),
+    qd AS (SELECT bucket, k / sqrt(sum(k * k) OVER ()) AS weight FROM (SELECT ('0x' || left(sha256('dense:' || x), 8))::UBIGINT % 64 AS bucket, count(*) AS k FROM q GROUP BY 1)),
+    e AS (SELECT node_id, bucket, k / sqrt(sum(k * k) OVER (PARTITION BY node_id)) AS weight FROM (SELECT node_id, ('0x' || left(sha256('dense:' || x), 8))::UBIGINT % 64 AS bucket, count(*) AS k FROM w GROUP BY ALL)),
+    dense AS (SELECT node_id, sum(e.weight * qd.weight) AS score FROM e JOIN qd USING (bucket) GROUP BY node_id),
+    sparse AS (SELECT node_id, sum(v * k)::DOUBLE AS score FROM (SELECT node_id, ('0x' || left(sha256(x), 8))::UBIGINT % 1000003 AS idx, count(*) AS v FROM w GROUP BY ALL) JOIN (SELECT ('0x' || left(sha256(x), 8))::UBIGINT % 1000003 AS idx, count(*) AS k FROM q GROUP BY 1) USING (idx) GROUP BY node_id),
+    vector AS (SELECT node_id, max(score) AS score FROM ({cut("vector", "dense", 20, 1)} {sparse_list}) GROUP BY node_id),
+    d AS ({cut("graph", "graph", 60, 1)} UNION ALL {cut("fts", "fts", 60, 1)} UNION ALL {cut("vector", "vector", 20, vector_weight)}),
+    m AS (SELECT node_id, sum(score) + 0.25 * (count(*) - 1) AS merged, coalesce(max(score) FILTER (source = 'fts'), 0) AS fts, coalesce(max(score) FILTER (source = 'vector'), 0) AS vector, coalesce(max(score) FILTER (source = 'graph'), 0) AS graph FROM d GROUP BY node_id ORDER BY round(sum(score) + 0.25 * (count(*) - 1), 9) DESC, node_id LIMIT 80),
+    h AS (SELECT n.*, m.* EXCLUDE (node_id), {S.tokens("concat_ws(' ', content, file_path, qualified_name, array_to_string(calls, ' '))")} AS said FROM m JOIN n USING (node_id)), s AS (SELECT count(*) AS n, avg(len(said)) AS mean FROM h), df AS (SELECT x, count(*) FILTER (list_contains(said, x)) AS df FROM h, q GROUP BY x),
+    bm AS (SELECT node_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1)) * any_value(2.2 / (1 + 1.2 * (0.25 + 0.75 * len(said) / mean))) AS bm25 FROM h, s, df WHERE list_contains(said, x) GROUP BY node_id),
+    f AS (SELECT h.*, greatest(coalesce(bm25, 0), fts) AS lexical, greatest(len(list_intersect(said, {listed})) / sqrt(10.0 * len(said)), vector) AS semantic,
+      least(1.0, (least(1.0, {share(S.normalized("concat_ws(' ', file_path, qualified_name)"))} * 0.55 + {share(S.normalized("array_to_string(calls, ' ')"))} * 0.2)) * 0.5 + CASE WHEN max(graph) OVER () > 0 THEN graph / max(graph) OVER () ELSE 0 END * 0.5) AS structure FROM h LEFT JOIN bm USING (node_id)),
+    r AS (SELECT f.node_id, f.file_path, content, {S.token_estimate(head)} AS cost, ({part("lexical")} * {a} + {part("semantic")} * {b} + structure * {c} + CASE state WHEN 'fresh' THEN 1.0 WHEN 'pending' THEN 0.45 WHEN 'stale' THEN 0.15 WHEN 'failed' THEN 0.0 ELSE 0.6 END * {d}) * {1 - prior} + {part("merged")} * {prior} AS score FROM f LEFT JOIN (SELECT doc_id AS node_id, state FROM {SQL_MANIFEST}) USING (node_id))"""
+
+
+_BUDGETED = """, k AS (SELECT *, row_number() OVER (ORDER BY {order}) AS rank FROM {rows}), x AS (SELECT *, 8000 - coalesce(sum(cost + 5) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM k WHERE rank <= 10)
     SELECT node_id, file_path, round(score, 6)::DOUBLE AS score, rank, CAST(least(cost + 5, remaining) AS BIGINT) AS used FROM x WHERE remaining > 5"""
+_RANKED = _BUDGETED.format(order="round(score, 9) DESC, file_path, node_id", rows="r")
+
+#: Greedy coverage as a recursion over steps: each takes the row with most terms not yet covered, then the best score, then the smallest id.
+_COVERED = """, c AS (SELECT *, list_filter({terms}, lambda t: contains(lower(content), t)) AS has FROM r ORDER BY score DESC, node_id LIMIT 20),
+    g(step, taken, covered) AS (SELECT 0, CAST([] AS BIGINT[]), CAST([] AS VARCHAR[]) UNION ALL
+      SELECT step + 1, list_append(taken, pick.node_id), list_concat(covered, pick.has) FROM (SELECT g.*, (SELECT arg_max({{'node_id': node_id, 'has': has}}, (len(list_filter(has, lambda t: NOT list_contains(g.covered, t))), score, -node_id)) FROM c WHERE NOT list_contains(g.taken, c.node_id)) AS pick FROM g) WHERE step < 10 AND pick IS NOT NULL),
+    o AS (SELECT unnest(taken) AS node_id, generate_subscripts(taken, 1) AS place FROM g QUALIFY step = max(step) OVER ()), y AS (SELECT c.*, place FROM c JOIN o USING (node_id))"""
+
+_DOC_NODES = f"(SELECT node_id, kind, file_path, language, content, '' AS name, '' AS qualified_name, '' AS signature, '' AS docstring, CAST([] AS VARCHAR[]) AS calls FROM {SQL_NODES})"
+_CODE_NODES = f"(SELECT n.* REPLACE (coalesce(docstring, '') AS docstring), coalesce(c.calls, CAST([] AS VARCHAR[])) AS calls FROM {SQL_CODE} n LEFT JOIN (SELECT caller AS node_id, list_sort(list(DISTINCT call)) AS calls FROM {SQL_CODE_CALLS} GROUP BY 1) c USING (node_id))"
 
 
-@query("search_pipeline", "L02 L03 L04 R13 R14 R19 W09 U01 A06 P01", _search_sql(SEARCHED))
+def _states(t: Tables) -> DataFrame:
+    return t.manifest().select(F.col("doc_id").alias("node_id"), "state")
+
+
+def _code_nodes(t: Tables) -> DataFrame:
+    said = t.code_calls().groupBy(F.col("caller").alias("node_id")).agg(F.array_sort(F.collect_set("call")).alias("calls"))
+    return t.code().join(said, "node_id", "left")
+
+
+@query("search_pipeline", "L02 L03 L04 R05 R13 R14 R19 R20 W09 U01 A06 P01", _search_sql(_ABOUT, True, 1.35, (0.18, 0.52, 0.22, 0.08), 0.1, _DOC_NODES) + _RANKED)
 def search_pipeline(t: Tables) -> DataFrame:
-    """The whole query: parse, route, three branches, merge, rerank, budget."""
-    return R.search(t.nodes(), t.manifest().select("doc_id", "state"), R.index(t.nodes()), SEARCHED)
+    """The whole query over documents: parse, route, three branches (vectors dense and sparse, as the intent says), merge, rerank, budget."""
+    return X.search(t.nodes(), _states(t), X.index(t.nodes()), "similar ranking of the function in src1 and des")
 
 
-@query("search_hybrid", "R23 R24 L04")
+@query("search_hybrid", "R13 R23 R24 L04", _search_sql(_HOW, False, 1.0, (0.22, 0.18, 0.5, 0.1), 0.2, _DOC_NODES).replace("WITH n", "WITH RECURSIVE n", 1) + _COVERED.format(terms=S.in_list(_HOW)) + _BUDGETED.format(order="place", rows="y"))
 def search_hybrid(t: Tables) -> DataFrame:
     """A query on the hybrid route, whose window is reordered so that new terms are covered first."""
-    return R.search(t.nodes(), t.manifest().select("doc_id", "state"), R.index(t.nodes()), "how does the function relate to src1 and der")
+    return X.search(t.nodes(), _states(t), X.index(t.nodes()), "how does the function relate to src1 and der")
+
+
+@query("search_symbols", "R03 R13 R19 R20", _search_sql(["and", "cold", "gear", "rank", "ranking", "ring", "similar", "small", "src", "the"], True, 1.35, (0.18, 0.52, 0.22, 0.08), 0.1, _CODE_NODES) + _RANKED)
+def search_symbols(t: Tables) -> DataFrame:
+    """The same over source symbols, with their names, signatures, documentation and calls."""
+    nodes = _code_nodes(t)
+    return X.search(nodes, _states(t), X.index(nodes), "similar ranking the small cold gear and ring src")
+
+
+def _vectors_sql(sparse: bool, dense: bool) -> str:
+    lists = " UNION ALL ".join(f"(SELECT * FROM {x} ORDER BY round(score, 9) DESC, node_id LIMIT 15)" for x, use in (("dense", dense), ("sparse", sparse)) if use)
+    return _search_sql(_HOW, True, 1.0, (0, 0, 0, 0), 0.0, _DOC_NODES).split(",\n    vector AS")[0] + f" SELECT node_id, round(max(score), 6) AS score FROM ({lists}) GROUP BY node_id ORDER BY round(max(score), 9) DESC, node_id LIMIT 15"
+
+
+def _vector_query(t: Tables, mode: str) -> DataFrame:
+    return X.vector_hits(X.index(t.nodes()), _HOW, 15, mode).select("node_id", F.round("score", 6).alias("score"))
+
+
+@query("vector_hits_dense", "R11 R13", _vectors_sql(False, True))
+def vector_hits_dense(t: Tables) -> DataFrame:
+    return _vector_query(t, "dense")
+
+
+@query("vector_hits_sparse", "R09 R11 R13", _vectors_sql(True, False))
+def vector_hits_sparse(t: Tables) -> DataFrame:
+    return _vector_query(t, "sparse")
+
+
+@query("vector_hits_hybrid", "R11 R13 A14", _vectors_sql(True, True))
+def vector_hits_hybrid(t: Tables) -> DataFrame:
+    """Both lists, the better score of each node."""
+    return _vector_query(t, "hybrid")

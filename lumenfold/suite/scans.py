@@ -172,15 +172,15 @@ def source_scan(t: Tables) -> DataFrame:
 
 
 _TYPED = "('lang:' || lower(left(p_type, 2)) || ' ' || split_part(p_name, ' ', 1) || ' kind:fn Type:' || lower(p_type) || ' path:src/x lang:py std::' || split_part(p_name, ' ', 2) || ' name: symbol:' || p_brand)"
-_FIELD = "(list_filter(w, lambda x: regexp_matches(x, '(?i)^({keys}):[^:]')))[-1]"
 
 
-def _field_sql(name: str) -> str:
-    keys = "|".join(k for k, v in Q.FILTER_ALIASES.items() if v == name)
-    return f"regexp_replace({_FIELD.format(keys=keys)}, '^[^:]*:', '') AS {name}"
-
-
-@query("parse_fielded_query", "P01", f"SELECT p_partkey, {', '.join(_field_sql(k) for k in ('language', 'kind', 'path', 'name'))}, array_to_string(list_filter(w, lambda x: NOT regexp_matches(x, '(?i)^({'|'.join(Q.FILTER_ALIASES)}):[^:]')), ' ') AS rest FROM (SELECT p_partkey, {S.word_list(_TYPED)} AS w FROM part)")
+@query(
+    "parse_fielded_query",
+    "P01",
+    f"""SELECT p_partkey, regexp_replace(list_filter(w, lambda x: regexp_matches(x, '(?i)^(lang|language):[^:]'))[-1], '^[^:]*:', '') AS language, regexp_replace(list_filter(w, lambda x: regexp_matches(x, '(?i)^kind:[^:]'))[-1], '^[^:]*:', '') AS kind,
+    regexp_replace(list_filter(w, lambda x: regexp_matches(x, '(?i)^path:[^:]'))[-1], '^[^:]*:', '') AS path, regexp_replace(list_filter(w, lambda x: regexp_matches(x, '(?i)^name:[^:]'))[-1], '^[^:]*:', '') AS name,
+    array_to_string(list_filter(w, lambda x: NOT regexp_matches(x, '(?i)^(lang|language|kind|file|path|name):[^:]')), ' ') AS rest FROM (SELECT p_partkey, {S.word_list(_TYPED)} AS w FROM part)""",
+)
 def parse_fielded_query(t: Tables) -> DataFrame:
     """Fields and free text of many queries at once."""
     one, two = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
