@@ -233,6 +233,30 @@ def stream_manifest(t: Tables) -> DataFrame:
     return Fr.streamed(t.spark, f"{t.sf_dir}/events.parquet", _changes)
 
 
+@query(
+    "stream_machine",
+    "T01 T02 T03 T05 T12",
+    """WITH e AS (SELECT 'f' || user_id AS file, event_id, epoch_ms(ts) AS t, CASE WHEN event_type IN ('view', 'click') THEN 'change' WHEN event_type = 'purchase' THEN 'sync' ELSE 'error' END AS kind FROM events),
+    o AS (SELECT *, row_number() OVER w AS n, coalesce(lead(t) OVER w, (SELECT max(t) FROM e)) AS until FROM e WINDOW w AS (PARTITION BY file ORDER BY t, event_id)),
+    x AS (SELECT *, kind = 'change' AND t + 600000 <= until AS waited, t + 7200000 <= until AS ended FROM o),
+    l AS (SELECT file, max(n) AS last, coalesce(max(n) FILTER (kind = 'sync'), 0) AS synced, coalesce(max(n) FILTER (waited OR ended), 0) AS emptied, count(*) + count(*) FILTER (waited) + count(*) FILTER (ended) AS seq FROM x GROUP BY file)
+    SELECT x.file, CASE WHEN ended THEN 'expired' WHEN waited THEN 'pending' WHEN kind = 'change' THEN 'stale' WHEN kind = 'sync' THEN 'fresh' ELSE 'failed' END AS state,
+      CASE WHEN synced > 0 AND emptied < synced THEN (SELECT 'd' || y.event_id FROM x y WHERE y.file = x.file AND y.n = synced) ELSE '' END AS doc_ids, x.event_id, l.seq FROM x JOIN l ON l.file = x.file AND l.last = x.n""",
+)
+def stream_machine(t: Tables) -> DataFrame:
+    """Where a stream of changes, syncs and errors leaves every file: pending ten minutes after a change, gone after two hours."""
+    from lumenfold.streaming import machine as M
+
+    def changes(events: DataFrame) -> DataFrame:
+        kind = F.when(F.col("event_type").isin("view", "click"), "change").when(F.col("event_type") == "purchase", "sync").otherwise("error")
+        ids = F.when(kind == "sync", F.array(F.concat(F.lit("d"), F.col("event_id").cast("string"))))
+        return events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), kind.alias("kind"), F.sha2("props", 256).alias("content_hash"), ids.alias("doc_ids"))
+
+    moves = M.replayed(t.spark, f"{t.sf_dir}/events.parquet", changes, debounce_ms=600_000, live_ms=7_200_000)
+    last = moves.groupBy("file").agg(F.max("seq").alias("seq"))
+    return M.current(moves).join(last, "file").select("file", "state", F.array_join("doc_ids", ",").alias("doc_ids"), "event_id", "seq")
+
+
 @query("stream_debounced", "T03", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT 'f' || user_id AS file, CAST(epoch_us(min(ts)) AS BIGINT) AS start_us, count(*) AS n FROM s GROUP BY user_id, s.n")
 def stream_debounced(t: Tables) -> DataFrame:
     return Fr.debounced(_changes(t.events)).select("file", F.unix_micros("start").alias("start_us"), "n")
