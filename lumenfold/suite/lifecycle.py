@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.catalog import SQL_FEEDBACK, SQL_MANIFEST, Tables
+from lumenfold.catalog import SQL_CODE, SQL_FEEDBACK, SQL_MANIFEST, Tables
 from lumenfold.functions import text as T
 from lumenfold.operators import aggregates as A
 from lumenfold.operators import compression as C
@@ -295,6 +295,35 @@ def collection_lifecycle(t: Tables) -> DataFrame:
     return collections.read(t.spark, path).select("id", "n_chars")
 
 
+@query(
+    "incremental_sync",
+    "T06 T08 S12 S13 S15 R27",
+    f"""WITH n AS (SELECT *, min(node_id) OVER (PARTITION BY file_path) AS first FROM {SQL_CODE}), d AS (SELECT file_path, 'vd_' || left(sha256(CAST(node_id AS VARCHAR) || chr(0) || 'local' || chr(0) || 'v1'), 32) AS id, content || CASE WHEN first % 4 = 1 THEN ' changed' ELSE '' END AS content, first FROM n WHERE first % 5 <> 2)
+    SELECT id, file_path, sha256(content) AS content_hash, 'fresh' AS state, count(*) OVER (PARTITION BY file_path) AS n_docs, CAST(CASE WHEN first % 4 = 1 OR first % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) AS held FROM d""",
+)
+def incremental_sync(t: Tables) -> DataFrame:
+    """An index built of most source files, then synced with their next version: some are new, changed or gone.
+
+    Told are its documents with their file's state and the generation that wrote them: the second for new and changed files only."""
+    from lumenfold.sources import collections, storage, sync
+
+    code = t.code()
+    first = code.groupBy("file_path").agg(F.min("node_id").alias("first"))
+    code = code.join(first, "file_path").select("node_id", "file_path", "content", "first")
+    later = code.where("first % 5 <> 2").withColumn("content", F.concat("content", F.when(F.col("first") % 4 == 1, " changed").otherwise("")))
+
+    def told(nodes: DataFrame) -> tuple[DataFrame, object]:
+        doc_id = collections.document_id(F.col("node_id").cast("string"), F.lit("local"), F.lit("v1"))
+        docs = nodes.select("file_path", doc_id.alias("id"), F.sha2("content", 256).alias("content_hash"))
+        return docs.groupBy("file_path").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("content_hash")), ""), 256).alias("content_hash")), lambda files: docs.join(files, "file_path", "left_semi")
+
+    path = storage.scratch(t.spark)
+    for version in (code.where("first % 7 <> 3"), later):
+        sync.sync(t.spark, path, *told(version))
+    known = sync.manifest(t.spark, path).select("file_path", "state", F.size("doc_ids").cast("bigint").alias("n_docs"), "held")
+    return sync.documents(t.spark, path).join(known, "file_path").select("id", "file_path", "content_hash", "state", "n_docs", "held")
+
+
 @query("session_logs", "S18", "SELECT conv_id, turn, role AS tool_name, length(text) AS chars, turn * 10 AS duration_ms FROM conversations")
 def session_logs(t: Tables) -> DataFrame:
     """Logs in files of one JSON entry a line, read back."""
