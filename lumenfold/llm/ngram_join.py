@@ -258,6 +258,9 @@ def adaptive_join(n: np.ndarray, entries: list[np.ndarray], key: np.ndarray, sid
     return np.concatenate(pairs_x), np.concatenate(pairs_y)
 
 
+#: Rows of a bucket, on average.
+ROWS = 1000
+
 LINKS = "doc_id bigint, links bigint, root bigint"
 
 
@@ -302,7 +305,12 @@ def joined(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMIL
     members = written(groups.join(candidates.select("doc_id", "n", "cls", "blob"), "doc_id").join(classes.select(F.col("rep").alias("doc_id"), "times"), "doc_id"))
     sizes = members.groupBy("component", "cls").agg(F.count("*").alias("size"))
     large = sizes.groupBy("component").agg(F.sum("size").alias("whole")).where(F.col("whole") > BLOCK).select("component", F.lit(True).alias("is_large"))
-    sizes = written(sizes.join(large, "component").select("component", "cls", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    sizes = written(sizes.join(large, "component").select("component", "cls", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    near = [sizes.select("component", (F.col("cls") + step).alias("cls"), F.col("blocks").alias(f"b{step}")) for step in (-1, 1)]
+    copies = sizes.join(near[0], ["component", "cls"], "left").join(near[1], ["component", "cls"], "left")
+    # a document of a large group goes to a bucket for each block that it meets
+    copies = copies.agg(F.sum(F.col("size") * (F.col("blocks") + F.coalesce("b-1", F.lit(0)) + F.coalesce("b1", F.lit(0)))), F.sum("size")).first()
+    sizes = sizes.drop("size")
     dealt = members.join(large, "component", "left").join(sizes, ["component", "cls"], "left")
     for step, to in ((1, "above"), (-1, "below")):
         dealt = dealt.join(sizes.select("component", (F.col("cls") - step).alias("cls"), F.col("blocks").alias(to)), ["component", "cls"], "left")
@@ -314,7 +322,7 @@ def joined(docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMIL
         + ") ELSE array(struct(xxhash64(component) AS key, false AS is_cross)) END"
     )
     dealt = dealt.withColumn("k", F.explode(keys)).withColumn("side", F.xxhash64("cls", "side"))
-    n_buckets = max(32, -(-candidates.count() // 1000))
+    n_buckets = max(1, -(-(members.count() - (copies[1] or 0) + (copies[0] or 0)) // ROWS))
     linked = written(dealt.select("doc_id", "n", "times", "blob", "k.key", "side", "k.is_cross", F.pmod("k.key", F.lit(n_buckets)).alias("bucket")).groupBy("bucket").applyInArrow(_joined(similar), LINKS))
 
     links = linked.groupBy("doc_id").agg(F.sum("links").alias("links")).withColumnRenamed("doc_id", "rep")

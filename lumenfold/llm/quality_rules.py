@@ -1,6 +1,6 @@
 """Quality rules with tokeniser fertility.
 
-A public vocabulary says how well a text is made of the pieces its language is usually made of:
+Public vocabularies say how well a text is made of the pieces its language is usually made of:
 characters per token, the share of byte-fallback tokens, and the entropy of its tokens. Each language
 (or, without one, each script) has its own rejection bands, from medians of all documents:
 
@@ -10,6 +10,11 @@ characters per token, the share of byte-fallback tokens, and the entropy of its
   powers of two of tokens), since long texts have more of it;
 * byte fallback: more than FALLBACK above the language's median and beyond BAND median deviations.
 
+Two vocabularies of different kinds are asked: pieces with byte fallback, and byte-level pairs made for many
+languages, where a token that is no whole characters counts as fallback. Each has medians of its own, and
+a document is out of a band if its deviations, in what each vocabulary allows, are beyond it on average,
+so that what one vocabulary happens to lack rejects nothing alone.
+
 Every document is judged. A cell's median and deviation are drawn towards those of the next wider
 cell, which count as much as WIDER documents: language to script to all documents, and for entropy
 language and length to script and length to length to all. Deviations of all documents are drawn
@@ -61,17 +66,64 @@ _held: dict = {}
 base.CACHES.append(_held)
 
 
-def piece_coder(path: str | None = None) -> tuple[Coder, np.ndarray]:
-    """Ids of words in a sentencepiece vocabulary, and which ids are bytes it fell back to."""
-    path = path or public_tokenizers.path("piece_bpe_32k.model")
-    if path not in _held:
+#: The vocabularies, the first of which also says how long a text is.
+VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
+#: What each vocabulary's columns are called after.
+SUFFIXES = ("", "_2")
+
+
+def _pieces(path: str):
+    """Of a sentencepiece vocabulary: words to id lists, and which ids are bytes it fell back to."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    fallback = [model.is_byte(i) or model.is_unknown(i) for i in range(model.get_piece_size())]
+    return lambda words: model.encode(words, num_threads=1), fallback
+
+
+def _whole(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _pairs(path: str):
+    """Of a byte-level vocabulary of ranks: words (as they stand after a space; an empty one has none) to id lists, and which ids are no whole characters."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fallback = [True] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        fallback[rank] = not _whole(token)
+    return lambda words: [encoding.encode_ordinary(" " + w) if w else [] for w in words], fallback
+
+
+def vocabulary_coder(paths: tuple[str, ...]) -> tuple[Coder, np.ndarray, np.ndarray]:
+    """Ids of words in all vocabularies, one after another, the ids of each beginning where those before end; which ids are
+    fallbacks; and where each vocabulary's begin."""
+    if paths not in _held:
         base.release()  # of other vocabularies
-        import sentencepiece
+        parts = [(_pieces if path.endswith(".model") else _pairs)(path) for path in paths]
+        begin = np.concatenate([[0], np.cumsum([len(f) for _, f in parts])])
+
+        def encode(words: list) -> tuple[np.ndarray, np.ndarray]:
+            lists = [joined(code(words)) for code, _ in parts]
+            each = np.array([sizes for _, sizes in lists]).reshape(len(parts), -1)
+            sizes = each.sum(axis=0)
+            at = np.cumsum(sizes) - sizes + np.concatenate([np.zeros((1, len(words)), np.int64), np.cumsum(each, axis=0)[:-1]])
+            out = np.zeros(int(sizes.sum()), np.uint32)
+            for k, (ids, _) in enumerate(lists):
+                out[spread(at[k], each[k])] = ids + np.uint32(begin[k])
+            return out, sizes
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-        fallback = np.array([model.is_byte(i) or model.is_unknown(i) for i in range(model.get_piece_size())])
-        _held[path] = Coder(lambda words: joined(model.encode(words, num_threads=1))), fallback
-    return _held[path]
+        _held[paths] = Coder(encode), np.concatenate([np.array(f, bool) for _, f in parts]), begin
+    return _held[paths]
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -107,30 +159,32 @@ def script_votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([np.diff(np.concatenate([[0], np.cumsum(script == k)])[offsets]) for k in range(len(_SCRIPTS))])
 
 
-def fertility(column: pa.Array, path: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens, byte-fallback tokens and token entropy (bits) of each text, its words encoded one by one."""
-    coder, fallback = piece_coder(path)
-    n, bytes_, entropy = (np.zeros(len(column), kind) for kind in (np.int64, np.int64, float))
+def fertility(column: pa.Array, paths: tuple[str, ...] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each vocabulary: tokens, byte-fallback tokens and token entropy (bits) of each text, its words encoded one by one."""
+    coder, fallback, begin = vocabulary_coder(paths or tuple(public_tokenizers.path(v) for v in VOCABULARIES))
+    out = [tuple(np.zeros(len(column), kind) for kind in (np.int64, np.int64, float)) for _ in begin[1:]]
     for i, j, first, codes in coded(column, coder):
         ids, each = coder.gather(codes)
-        ids = ids.astype(np.int64)
-        at = np.concatenate([[0], np.cumsum(each)])[first]
-        n[i:j] = np.diff(at)
-        bytes_[i:j] = np.diff(np.concatenate([[0], np.cumsum(fallback[ids])])[at])
-        key = np.sort(np.repeat(np.arange(j - i), n[i:j]) * len(fallback) + ids)
-        begin = group_starts(key)
-        times = np.diff(np.append(begin, len(key)))
-        of = key[begin] // len(fallback)
-        share = times / n[i:j][of]
-        entropy[i:j] = np.bincount(of, -share * np.log2(share), j - i)
-    return n, bytes_, entropy
+        of = np.repeat(np.arange(j - i), np.diff(np.concatenate([[0], np.cumsum(each)])[first]))
+        keys = of * len(fallback) + ids
+        for k, (n, bytes_, entropy) in enumerate(out):
+            mine = (ids >= begin[k]) & (ids < begin[k + 1])
+            n[i:j] = np.bincount(of[mine], minlength=j - i)
+            bytes_[i:j] = np.bincount(of[mine], fallback[ids[mine]], j - i)
+            key = np.sort(keys[mine])
+            starts = group_starts(key)
+            times = np.diff(np.append(starts, len(key)))
+            text = key[starts] // len(fallback)
+            share = times / n[i:j][text]
+            entropy[i:j] = np.bincount(text, -share * np.log2(share), j - i)
+    return out
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURED = "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in (*COUNTS, "print")) + ", n_tokens bigint, n_fallback bigint, entropy double, script string"
+MEASURED = "doc_id bigint, lang string, " + ", ".join(f"{c} bigint" for c in (*COUNTS, "print")) + "".join(f", n_tokens{x} bigint, n_fallback{x} bigint, entropy{x} double" for x in SUFFIXES) + ", script string"
 
 
-def measured(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def measured(docs: DataFrame, vocabularies: tuple[str, ...] | None = None) -> DataFrame:
     """The counts of every document; a map over rows, nothing is shuffled. docs: doc_id, text, lang."""
 
     def run(batches):
@@ -139,11 +193,11 @@ def measured(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 data, offsets = flat(part.column("text"))
                 found = [base_counts(d, o) for _, _, d, o in chunks(data, offsets)]  # a megabyte at a time
                 counts = {c: np.concatenate([x[c] for x in found]) for c in (*COUNTS, "print")}
-                tokens = fertility(part.column("text"), vocabulary)
+                tokens = [x for found_ in fertility(part.column("text"), vocabularies) for x in found_]
                 votes = np.concatenate([script_votes(d, o) for _, _, d, o in chunks(data, offsets)], axis=1)
                 names = np.array(_SCRIPTS)[votes.argmax(axis=0)]
                 columns = [part.column("doc_id"), part.column("lang"), *(pa.array(counts[c], pa.int64()) for c in (*COUNTS, "print")), *map(pa.array, tokens), pa.array(names.astype(object), pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "print", "n_tokens", "n_fallback", "entropy", "script"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "print", *(f"{c}{x}" for x in SUFFIXES for c in ("n_tokens", "n_fallback", "entropy")), "script"])
                 del data, offsets, found, counts, tokens, votes, names, columns
         base.trim()
 
@@ -181,9 +235,9 @@ def medians(rows: DataFrame, cells: DataFrame, values: dict[str, tuple[list[str]
     return cells.select(*_CELL, *(c.alias(f"m_{v}") for v, c in known.items()))
 
 
-def judged(docs: DataFrame, vocabulary: str | None = None, band: float = BAND, lang_col: str | None = "lang") -> DataFrame:
+def judged(docs: DataFrame, vocabularies: tuple[str, ...] | None = None, band: float = BAND, lang_col: str | None = "lang") -> DataFrame:
     """The counts of every document, base_failed (too few words, or too many in repeated windows), its
-    fertility (chars_per_token, fallback_share, entropy) and kept.
+    fertility by each of the two vocabularies (paths; chars_per_token, fallback_share, entropy) and kept.
 
     Null texts have no words and fail. Documents without a language are held to their script's
     bands. An empty table gives no rows; rows that repeat an id are judged each on its own, and
@@ -191,31 +245,36 @@ def judged(docs: DataFrame, vocabulary: str | None = None, band: float = BAND, l
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).where("doc_id is not null")
     base.bounded(docs.sparkSession)
-    facts = written(measured(rows, vocabulary))
+    facts = written(measured(rows, vocabularies))
     facts = facts.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-    tokens = F.greatest("n_tokens", F.lit(1))
-    facts = facts.withColumn("kind", F.coalesce("lang", F.concat(F.lit("script:"), "script"))).withColumn("chars_per_token", F.col("word_chars") / tokens).withColumn("fallback_share", F.col("n_fallback") / tokens)
-    facts = facts.withColumn("length_class", F.floor(2 * F.log2(tokens.cast("double"))).cast("int"))
+    facts = facts.withColumn("kind", F.coalesce("lang", F.concat(F.lit("script:"), "script")))
     step = lambda c: F.round(c * STEPS)
-    facts = facts.withColumn("chars", step(F.col("chars_per_token"))).withColumn("bits", step(F.col("entropy"))).withColumn("bytes", step(F.col("fallback_share")))
-    figures = ["script", "length_class", "n_tokens", "chars", "bits", "bytes"]
+    for x in SUFFIXES:
+        tokens = F.greatest(f"n_tokens{x}", F.lit(1))
+        facts = facts.withColumn(f"chars_per_token{x}", F.col("word_chars") / tokens).withColumn(f"fallback_share{x}", F.col(f"n_fallback{x}") / tokens)
+        facts = facts.withColumn(f"chars{x}", step(F.col(f"chars_per_token{x}"))).withColumn(f"bits{x}", step(F.col(f"entropy{x}"))).withColumn(f"bytes{x}", step(F.col(f"fallback_share{x}")))
+    facts = facts.withColumn("length_class", F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)).cast("double"))).cast("int"))
+    figures = ["script", "length_class", *(f"{c}{x}" for x in SUFFIXES for c in ("n_tokens", "chars", "bits", "bytes"))]
     once = facts.where(F.col("n_words") >= LEAST_WORDS).groupBy("kind", "print").agg(F.min(F.struct(*figures)).alias("f"))
     once = written(once.select("kind", "f.*"))
     cells = once.select(*_CELL).distinct()
-    middle = written(medians(once, cells, {"chars": _BY_KIND, "bytes": _BY_KIND, "bits": _BY_LENGTH}))
-    off = once.join(middle, _CELL)
+    chains = {"chars": _BY_KIND, "bytes": _BY_KIND, "bits": _BY_LENGTH}
+    middle = written(medians(once, cells, {f"{c}{x}": k for x in SUFFIXES for c, k in chains.items()}))
     power = lambda c: F.round(F.log2(1 + c) * STEPS)
-    off = off.select(*_CELL, power(F.abs(F.col("chars") - F.col("m_chars")) * F.sqrt("n_tokens")).alias("d_chars"), power(F.abs(F.col("bytes") - F.col("m_bytes"))).alias("d_bytes"), power(F.abs(F.col("bits") - F.col("m_bits"))).alias("d_bits"))
-    priors = {k: float(np.round(np.log2(1 + d) * STEPS)) for k, d in PRIOR.items()}
-    spread_ = medians(off, cells, {"d_chars": _BY_KIND, "d_bytes": _BY_KIND, "d_bits": _BY_LENGTH}, priors)
+    apart = lambda c, x: F.abs(F.col(f"{c}{x}") - F.col(f"m_{c}{x}")) * (F.sqrt(f"n_tokens{x}") if c == "chars" else F.lit(1.0))
+    off = once.join(middle, _CELL).select(*_CELL, *(power(apart(c, x)).alias(f"d_{c}{x}") for x in SUFFIXES for c in chains))
+    priors = {f"{k}{x}": float(np.round(np.log2(1 + d) * STEPS)) for k, d in PRIOR.items() for x in SUFFIXES}
+    spread_ = medians(off, cells, {f"d_{c}{x}": k for x in SUFFIXES for c, k in chains.items()}, priors)
     bands = written(middle.join(spread_, _CELL))
     held = facts.join(bands, _CELL, "left")
     back = lambda c: F.pow(F.lit(2.0), F.col(c) / STEPS) - 1
-    chars = F.abs(F.col("chars") - F.col("m_chars")) * F.sqrt("n_tokens") > band * F.greatest(back("m_d_chars"), F.lit(STEPS / 4))
-    entropy = F.col("m_bits") - F.col("bits") > band * F.greatest(back("m_d_bits"), F.lit(2.0))
-    fallback = F.col("bytes") - F.col("m_bytes") > F.greatest(band * back("m_d_bytes"), F.lit(FALLBACK * STEPS))
+    mean = lambda parts: sum(parts[1:], parts[0]) / len(parts)
+    chars = mean([apart("chars", x) / F.greatest(back(f"m_d_chars{x}"), F.lit(STEPS / 4)) for x in SUFFIXES]) > band
+    entropy = mean([(F.col(f"m_bits{x}") - F.col(f"bits{x}")) / F.greatest(back(f"m_d_bits{x}"), F.lit(2.0)) for x in SUFFIXES]) > band
+    fallback = mean([(F.col(f"bytes{x}") - F.col(f"m_bytes{x}")) / F.greatest(back(f"m_d_bytes{x}"), F.lit(FALLBACK * STEPS / band)) for x in SUFFIXES]) > band
     rejected = F.coalesce(chars | entropy | fallback, F.lit(False))
-    return held.select("doc_id", *COUNTS, "base_failed", "n_tokens", "chars_per_token", "fallback_share", "entropy", (~F.col("base_failed") & ~rejected).alias("kept"))
+    shown = [f"{c}{x}" for x in SUFFIXES for c in ("n_tokens", "chars_per_token", "fallback_share", "entropy")]
+    return held.select("doc_id", *COUNTS, "base_failed", *shown, (~F.col("base_failed") & ~rejected).alias("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

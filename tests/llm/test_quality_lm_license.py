@@ -52,15 +52,19 @@ def test_bands_keep_clean_texts_and_reject_foreign_ones(spark):
 
 
 def test_word_fertility_adds_up():
-    column = pa.array(["the water", None, "xqzj the the"])
-    tokens, fallback, entropy = quality_rules.fertility(column)
-    coder, _ = quality_rules.piece_coder()
-    for i, words in enumerate((["the", "water"], [], ["xqzj", "the", "the"])):
-        ids = [x for w in words for x in coder.encode([w])[0].tolist()]
-        share = np.array(list(Counter(ids).values())) / max(1, len(ids))
-        assert tokens[i] == len(ids)
-        assert abs(entropy[i] + (share * np.log2(share)).sum()) < 1e-9
-    assert fallback.tolist() == [0, 0, 0]
+    """Both vocabularies against their libraries, a word at a time."""
+    texts = ["the water", None, "xqzj the the", "caf\u00e9 \u0436 \U0001f9ff it's"]
+    found = quality_rules.fertility(pa.array(texts))
+    import public_tokenizers
+
+    pieces, pairs = (read(public_tokenizers.path(name)) for read, name in zip((quality_rules._pieces, quality_rules._pairs), quality_rules.VOCABULARIES, strict=True))
+    for (encode, is_fallback), (tokens, fallback, entropy) in zip((pieces, pairs), found, strict=True):
+        for i, text in enumerate(texts):
+            ids = [x for word in (text or "").split() for x in encode([word])[0]]
+            share = np.array(list(Counter(ids).values())) / max(1, len(ids))
+            assert (tokens[i], fallback[i]) == (len(ids), sum(is_fallback[x] for x in ids))
+            assert abs(entropy[i] + (share * np.log2(share)).sum()) < 1e-9
+    assert [f[1].tolist()[:3] for f in found] == [[0, 0, 0]] * 2 and found[0][1][3] > 0 and found[1][1][3] > 0
 
 
 def test_classifier_on_held_out_paragraphs():
