@@ -26,7 +26,7 @@ from lumenfold.llm.numbering import running
 
 SHARDS = 16
 #: Documents of a group that meet their cells by one key.
-BLOCK = 4096
+BLOCK = 512
 
 
 def quotas(wants: dict[tuple[int, int], int], held: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
