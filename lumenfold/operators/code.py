@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenfold.functions import text as T
 from lumenfold.operators import joins, windows
+from lumenfold.sources import storage
 
 # Endings that an import may leave out.
 EXTENSIONS = ["", ".py", ".rs", ".ts", ".tsx", ".js", ".jsx", ".go", ".java", ".kt", ".md", ".json", ".cts", ".mts", ".cjs", ".mjs", ".d.ts"]
@@ -109,29 +110,104 @@ def node_text(calls: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def neighbours(nodes: DataFrame, calls: DataFrame, related: DataFrame, most: int = MOST_NEIGHBOURS, peers: int = 64) -> DataFrame:
+#: Peers of a file or a name that give a first bound on what a neighbour must have.
+_FIRST = 8
+
+
+def tied_nodes(rows: DataFrame, ties: DataFrame) -> DataFrame:
+    """node_id of rows (node_id, keys, call_keys) that call another, are called by another, or have an explicit tie."""
+    own, said = (rows.select("node_id", F.explode(F.array_distinct(c)).alias("key")) for c in ("keys", "call_keys"))
+    ends = lambda df: df.groupBy("key").agg(F.min("node_id").alias("low"), F.max("node_id").alias("high"))
+    other = (F.col("low") != F.col("node_id")) | (F.col("high") != F.col("node_id"))
+    met = [x.join(ends(y), "key").where(other).select("node_id") for x, y in ((said, own), (own, said))]
+    return met[0].unionByName(met[1]).unionByName(ties.select("node_id")).distinct()
+
+
+def _near(rows: DataFrame, bound: DataFrame, ties: DataFrame) -> DataFrame:
+    """node_id, peer: whoever may still be among a node's neighbours; bound: node_id, kth (what its last one has, if it has all).
+
+    A pair's score is its overlap of tokens and parts of bounded size, so whoever can reach kth shares a least number of
+    tokens, and then one of all but so many less one of either's tokens, rarest first. Pairs of other files must
+    also share a token that few have, or be tied. Nodes whose kth no overlap can reach look no further."""
+    spare = 0.0006  # kth is rounded to three decimals
+    size = rows.select("node_id", "file_path", F.size("tokens").alias("n"), "tokens").join(bound, "node_id")
+    far = RELATED + BY_PATH + BY_CALLS
+    size = size.withColumn("far", F.coalesce("kth", F.lit(-9.0)) - spare - far).withColumn("same", F.coalesce("kth", F.lit(-9.0)) - spare - far - SAME_FILE - F.when(F.col("alone"), ALONE).otherwise(0.0))
+    size = storage.kept(rows.sparkSession, size)
+    need = lambda theta: F.greatest(F.lit(1), F.ceil(F.col(theta) * F.greatest(F.lit(2), F.least("n", "o_n")) - 1e-9))
+
+    def ordered(within: list[str]) -> DataFrame:
+        """A row a node and token, with its place among the node's tokens, those that fewest have first."""
+        long_ = size.select("node_id", *within, F.explode("tokens").alias("token"))
+        often = long_.groupBy(*within, "token").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("node_id").orderBy("df", "token")) - 1
+        return storage.kept(rows.sparkSession, long_.join(often, [*within, "token"]).withColumn("pos", place))
+
+    def met(posts: DataFrame, within: list[str], theta: str) -> DataFrame:
+        sizes = size.select("node_id", "n", theta)
+        left = posts.join(sizes.where(F.col(theta) <= 1), "node_id").select("node_id", *within, "token", "pos", "n", theta)
+        right = posts.join(sizes.select("node_id", "n"), "node_id").select(F.col("node_id").alias("peer"), *within, "token", F.col("pos").alias("o_pos"), F.col("n").alias("o_n"))
+        both = left.join(right, [*within, "token"]).where((F.col("node_id") != F.col("peer")) & (F.col("pos") <= F.col("n") - need(theta)) & (F.col("o_pos") <= F.col("o_n") - need(theta)))
+        return both.select("node_id", "peer").distinct()
+
+    rare = rows.select("node_id", F.explode("few").alias("token"))
+    out = met(ordered([]).join(rare, ["node_id", "token"], "left_semi"), [], "far").unionByName(met(ordered(["file_path"]), ["file_path"], "same"))
+    # tied by name, wherever an overlap of tokens that many have could be enough; one of few tokens was met above
+    plain = rows.select("node_id", (F.size("tokens") - F.size("few")).alias("plain"))
+    smallest = rows.agg(F.min(F.size("tokens")).alias("smallest"))  # one row
+    open_ = size.join(plain, "node_id").join(F.broadcast(smallest)).where(F.col("far") <= F.least(F.lit(1.0), F.col("plain") / F.greatest(F.lit(2), F.least("n", "smallest")))).select("node_id")
+    own, said = (rows.select("node_id", F.explode(F.array_distinct(c)).alias("key")) for c in ("keys", "call_keys"))
+    for mine, theirs in ((said, own), (own, said)):
+        out = out.unionByName(mine.join(open_, "node_id").join(theirs.withColumnRenamed("node_id", "peer"), "key").where("node_id <> peer").select("node_id", "peer"))
+    # in a file, even those that share nothing
+    everyone = size.where("same <= 0").select("node_id", "file_path").join(rows.select(F.col("node_id").alias("peer"), "file_path"), "file_path").where("node_id <> peer").select("node_id", "peer")
+    return out.unionByName(everyone).unionByName(ties.select("node_id", "peer")).distinct()
+
+
+def neighbours(nodes: DataFrame, calls: DataFrame, related: DataFrame, most: int = MOST_NEIGHBOURS, share: float = 0.35) -> DataFrame:
     """node_id, peer, score, relationship, rank: the symbols nearest to each, those that call nothing included.
 
-    nodes: node_id, file_path, tokens (of their text), path_tokens; calls: node_id, call_tokens; related: node_id, peer.
-    Peers are the first `peers` of a file by id, related ones, and those that share a rare token (joins.rare_token_neighbours)."""
-    rows = nodes.join(calls, "node_id", "left").withColumn("call_tokens", F.coalesce("call_tokens", F.array().cast("array<string>")))
-    long_ = nodes.select("node_id", F.explode(F.filter("tokens", lambda t: F.length(t) >= LEAST_TOKEN)).alias("token"))
-    by_file = joins.first_peers(nodes.select("node_id", "file_path"), "file_path", "node_id", ["node_id"], peers).select("node_id", "peer")
-    by_token = joins.rare_token_neighbours(long_, nodes, most=peers).select("node_id", "peer")
-    tied = related.select("node_id", "peer").where("node_id <> peer").distinct()
-    pairs = by_file.unionByName(by_token).unionByName(tied).distinct().join(tied.withColumn("is_tied", F.lit(True)), ["node_id", "peer"], "left")
-    degree = tied.groupBy("node_id").agg(F.count("*").alias("degree"))
-    columns = ["file_path", "tokens", "path_tokens", "call_tokens"]
-    left = rows.select("node_id", *columns).join(degree, "node_id", "left")
-    right = rows.select(F.col("node_id").alias("peer"), *(F.col(c).alias(f"o_{c}") for c in columns))
-    both = pairs.join(left, "node_id").join(right, "peer")
-    shared = lambda c, least: F.size(F.array_intersect(c, f"o_{c}")) / F.greatest(F.lit(least), F.least(F.size(c), F.size(f"o_{c}")))
-    same = F.col("file_path") == F.col("o_file_path")
-    score = F.when(same, SAME_FILE + F.when(F.coalesce("degree", F.lit(0)) == 0, ALONE).otherwise(0.0)).otherwise(0.0) + F.when(F.col("is_tied"), RELATED).otherwise(0.0)
-    score = score + shared("tokens", 2) + shared("path_tokens", 1) * BY_PATH + shared("call_tokens", 1) * BY_CALLS
-    scored = both.select("node_id", "peer", F.when(same, "same-file").otherwise("semantic-overlap").alias("relationship"), same.alias("same"), score.alias("raw"))
-    kept = scored.where(F.col("same") | (F.col("raw") >= LEAST_SCORE)).select("node_id", "peer", "relationship", F.round("raw", 3).alias("score"))
-    return windows.first_per(kept, ["node_id"], [F.desc("score"), F.asc("peer")], most)
+    nodes: node_id, file_path, tokens (of their text), path_tokens and, if calls name symbols, keys (what they are called);
+    calls: node_id, call_tokens and call_keys; related: node_id, peer, ties that names don't tell. Peers are all of a
+    file, all that are tied, and all that share a token which few enough have (`share` of all). Exact: those
+    of a file and a name that come first give each node a bound, and only pairs that can reach it are scored."""
+    none = F.array().cast("array<string>")
+    of = lambda df, c: F.coalesce(F.col(c), none) if c in df.columns else none
+    said = calls.select("node_id", of(calls, "call_tokens").alias("call_tokens"), of(calls, "call_keys").alias("call_keys"))
+    rows = nodes.select("node_id", "file_path", "tokens", "path_tokens", of(nodes, "keys").alias("keys")).join(said, "node_id", "left")
+    rows = rows.withColumns({c: F.coalesce(c, none) for c in ("call_tokens", "call_keys")})
+    ties = storage.kept(nodes.sparkSession, related.select("node_id", "peer").where("node_id <> peer").distinct())
+    long_ = rows.select("node_id", F.explode("tokens").alias("token")).where(F.length("token") >= LEAST_TOKEN)
+    limit = rows.agg(F.greatest(F.lit(2), F.ceil(share * F.count("*"))).alias("limit"))  # one row
+    often = long_.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(limit)).where("df >= 2 and df <= limit")
+    few = long_.join(often.select("token"), "token").groupBy("node_id").agg(F.collect_list("token").alias("few"))
+    held = tied_nodes(rows, ties).withColumn("alone", F.lit(False))
+    rows = rows.join(held, "node_id", "left").join(few, "node_id", "left")
+    rows = storage.kept(nodes.sparkSession, rows.withColumn("alone", F.coalesce("alone", F.lit(True))).withColumn("few", F.coalesce("few", none)))
+
+    columns = ["file_path", "tokens", "path_tokens", "call_tokens", "keys", "call_keys", "few"]
+    # pairs carry 64-bit hashes: shorter than words, and faster to intersect
+    coded = storage.kept(nodes.sparkSession, rows.select("node_id", "alone", F.xxhash64("file_path").alias("file_path"), *(F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in columns[1:])))
+    left, right = coded, coded.select(F.col("node_id").alias("peer"), *(F.col(c).alias(f"o_{c}") for c in columns))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(ties.withColumn("told", F.lit(True)), ["node_id", "peer"], "left").join(left, "node_id").join(right, "peer")
+        shared = lambda c, least: F.size(F.array_intersect(c, f"o_{c}")) / F.greatest(F.lit(least), F.least(F.size(c), F.size(f"o_{c}")))
+        same = F.col("file_path") == F.col("o_file_path")
+        tied = F.coalesce("told", F.lit(False)) | F.arrays_overlap("call_keys", "o_keys") | F.arrays_overlap("keys", "o_call_keys")
+        score = F.when(same, SAME_FILE + F.when(F.col("alone"), ALONE).otherwise(0.0)).otherwise(0.0) + F.when(tied, RELATED).otherwise(0.0)
+        score = score + shared("tokens", 2) + shared("path_tokens", 1) * BY_PATH + shared("call_tokens", 1) * BY_CALLS
+        scored = both.where(same | tied | F.arrays_overlap("few", "o_few")).select("node_id", "peer", F.when(same, "same-file").otherwise("semantic-overlap").alias("relationship"), same.alias("same"), score.alias("raw"))
+        kept = scored.where(F.col("same") | (F.col("raw") >= LEAST_SCORE)).select("node_id", "peer", "relationship", F.round("raw", 3).alias("score"))
+        return windows.first_per(kept, ["node_id"], [F.desc("score"), F.asc("peer")], most)
+
+    named = rows.select("node_id", F.explode("keys").alias("key"))
+    seeds = joins.first_peers(rows.select("node_id", "file_path"), "file_path", "node_id", ["node_id"], _FIRST).unionByName(joins.first_peers(named, "key", "node_id", ["node_id"], _FIRST))
+    first = storage.kept(nodes.sparkSession, best(seeds.select("node_id", "peer").distinct()).drop("rank"))
+    kth = first.groupBy("node_id").agg(F.when(F.count("*") >= most, F.min("score")).alias("kth"))
+    bound = rows.select("node_id", "alone").join(kth, "node_id", "left")
+    more = _near(rows, bound, ties).join(first.select("node_id", "peer"), ["node_id", "peer"], "left_anti")
+    return windows.first_per(first.unionByName(best(more).drop("rank")), ["node_id"], [F.desc("score"), F.asc("peer")], most)
 
 
 def aliases(near: DataFrame, nodes: DataFrame, texts: DataFrame, most: int = MOST_ALIASES) -> DataFrame:

@@ -38,6 +38,15 @@ def resolved_calls(calls: DataFrame, symbols: DataFrame, least: int = 3, most: i
     return exact.unionByName(loose.groupBy("caller", "call").agg(targets).select("caller", "call", F.lit("token").alias("how"), "targets"))
 
 
+def loosely_resolved(calls: DataFrame, symbols: DataFrame, least: int = 3) -> DataFrame:
+    """caller, callee: for calls (caller, call) that no symbol's name or qualified name is, all symbols whose name shares a token with it."""
+    keyed = calls.withColumn("key", T.reference_key(F.col("call")))
+    names = symbols.select(F.explode(F.array(T.reference_key(F.col("name")), T.reference_key(F.col("qualified_name")))).alias("key")).distinct()
+    parts = lambda c: F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= least)))
+    tokens = symbols.select(F.col("node_id").alias("callee"), parts(T.reference_key(F.col("name"))).alias("token"))
+    return keyed.join(names, "key", "left_anti").select("caller", parts(F.col("key")).alias("token")).join(tokens, "token").select("caller", "callee").distinct()
+
+
 def call_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """caller and callee_id for every edge whose target's name or qualified name a node has."""
     keys = nodes.select(F.col("node_id").alias("callee_id"), F.explode(F.array_distinct(F.array(T.reference_key(F.col("name")), T.reference_key(F.col("qualified_name"))))).alias("key"))

@@ -145,17 +145,44 @@ def build_documents(t: Tables) -> DataFrame:
     return R.local_embedding(docs, "node_id", "body").join(ids, "node_id").select("id", "content_hash", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query("semantic_neighbours", "W01 R25")
+_SHARED = "len(list_intersect(a.{c}, b.{c}))::DOUBLE / greatest({least}, least(len(a.{c}), len(b.{c})))"
+
+
+@query(
+    "semantic_neighbours",
+    "W01 R25",
+    f"""WITH c AS (SELECT caller, list_sort(list(DISTINCT call)) AS said, list(DISTINCT {S.reference_key("call")}) AS call_keys FROM {SQL_CODE_CALLS} GROUP BY 1),
+    n AS (SELECT node_id, file_path, {S.tokens("concat_ws(' ', file_path, kind, qualified_name, signature, docstring)")} AS tokens, {S.tokens("file_path")} AS paths, list_distinct([{S.reference_key("name")}, {S.reference_key("qualified_name")}]) AS keys,
+      coalesce({S.tokens("array_to_string(said, ' ')")}, []) AS calls, coalesce(call_keys, []) AS call_keys FROM {SQL_CODE} LEFT JOIN c ON caller = node_id),
+    rare AS (SELECT list(x) AS rare FROM (SELECT x FROM (SELECT unnest(tokens) AS x FROM n) WHERE length(x) >= 3 GROUP BY x HAVING count(*) BETWEEN 2 AND (SELECT greatest(2, ceil(0.35 * count(*))) FROM n))),
+    m AS MATERIALIZED (SELECT n.*, list_intersect(tokens, rare) AS few FROM n, rare),
+    o AS (SELECT k, min(node_id) AS low, max(node_id) AS high FROM (SELECT node_id, unnest(keys) AS k FROM n) GROUP BY k), w AS (SELECT k, min(node_id) AS low, max(node_id) AS high FROM (SELECT node_id, unnest(call_keys) AS k FROM n) GROUP BY k),
+    tied AS (SELECT DISTINCT node_id FROM (SELECT node_id FROM (SELECT node_id, unnest(call_keys) AS k FROM n) JOIN o USING (k) WHERE low <> node_id OR high <> node_id UNION ALL SELECT node_id FROM (SELECT node_id, unnest(keys) AS k FROM n) JOIN w USING (k) WHERE low <> node_id OR high <> node_id)),
+    p AS (SELECT a.node_id, b.node_id AS peer, a.file_path = b.file_path AS same, list_has_any(a.call_keys, b.keys) OR list_has_any(a.keys, b.call_keys) AS tie, list_has_any(a.few, b.few) AS near,
+      {_SHARED.format(c="tokens", least=2)} AS t, {_SHARED.format(c="paths", least=1)} AS p, {_SHARED.format(c="calls", least=1)} AS k FROM m a, m b WHERE a.node_id <> b.node_id),
+    s AS (SELECT node_id, peer, same, CASE WHEN same THEN 0.45 + CASE WHEN node_id IN (SELECT node_id FROM tied) THEN 0 ELSE 0.2 END ELSE 0 END::DOUBLE + CASE WHEN tie THEN 0.3 ELSE 0 END + t + p * 0.25 + k * 0.2 AS raw FROM p WHERE same OR tie OR near)
+    SELECT node_id, peer, CASE WHEN same THEN 'same-file' ELSE 'semantic-overlap' END AS relationship, round(raw, 3) AS score, row_number() OVER (PARTITION BY node_id ORDER BY round(raw, 3) DESC, peer) AS rank FROM s WHERE same OR raw >= 0.18 QUALIFY rank <= 4""",
+)
 def semantic_neighbours(t: Tables) -> DataFrame:
-    """Each symbol's four nearest, by file, calls and rare tokens, with up to twelve names that its own text lacks."""
+    """Each symbol's four nearest, by file, calls and rare tokens."""
+    return _nearest_symbols(t).select("node_id", "peer", "relationship", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+def _nearest_symbols(t: Tables) -> DataFrame:
     code, calls = t.code(), t.code_calls()
+    key = lambda c: T.reference_key(F.col(c))
+    nodes = code.select("node_id", "file_path", T.tokens(F.concat_ws(" ", "file_path", "kind", "qualified_name", "signature", "docstring")).alias("tokens"), T.tokens(F.col("file_path")).alias("path_tokens"), F.array_distinct(F.array(key("name"), key("qualified_name"))).alias("keys"))
+    said = calls.groupBy(F.col("caller").alias("node_id")).agg(T.tokens(F.array_join(F.array_sort(F.collect_set("call")), " ")).alias("call_tokens"), F.collect_set(key("call")).alias("call_keys"))
+    loose = J.loosely_resolved(calls, code).select(F.col("caller").alias("node_id"), F.col("callee").alias("peer"))
+    return K.neighbours(nodes, said, loose.unionByName(loose.select(F.col("peer").alias("node_id"), F.col("node_id").alias("peer"))))
+
+
+@query("neighbour_aliases", "R25")
+def neighbour_aliases(t: Tables) -> DataFrame:
+    """Up to twelve names of each symbol's neighbours that its own text lacks."""
+    code = t.code()
     texts = code.select("node_id", F.concat_ws("\n", "file_path", "kind", "qualified_name", "signature", "docstring").alias("text"))
-    nodes = code.select("node_id", "file_path", T.tokens(F.concat_ws(" ", "file_path", "kind", "qualified_name", "signature", "docstring")).alias("tokens"), T.tokens(F.col("file_path")).alias("path_tokens"))
-    said = calls.groupBy(F.col("caller").alias("node_id")).agg(T.tokens(F.array_join(F.array_sort(F.collect_set("call")), " ")).alias("call_tokens"))
-    resolved = J.resolved_calls(calls, code).select(F.col("caller").alias("node_id"), F.explode("targets").alias("peer"))
-    related = resolved.unionByName(resolved.select(F.col("peer").alias("node_id"), F.col("node_id").alias("peer")))
-    near = K.neighbours(nodes, said, related)
-    return near.join(K.aliases(near, code, texts), "node_id", "left").select("node_id", "peer", "relationship", "score", "rank", F.array_join("aliases", ",").alias("aliases"))
+    return K.aliases(_nearest_symbols(t), code, texts).select("node_id", F.array_join("aliases", ",").alias("aliases"))
 
 
 _FLAT = {c: S.normalized(c) for c in ("name", "qualified_name", "file_path", "tail", "call")}

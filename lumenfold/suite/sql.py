@@ -46,5 +46,9 @@ def is_path(x: str) -> str:
     return rf"(regexp_matches({x}, '[\\/]') OR contains({x}, '::') OR regexp_matches({x}, '\.[A-Za-z0-9]{{1,8}}\b'))"
 
 
+def reference_key(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
 def in_list(xs) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
