@@ -330,9 +330,14 @@ def redacted(text: Column) -> Column:
     return F.when(F.length(text) <= LONGEST_LOG, text).otherwise(F.concat(F.substring(text, 1, LONGEST_LOG), F.lit("..."), (F.length(text) - LONGEST_LOG).cast("string")))
 
 
+# Endings of files that a log mentions, and what may stand around a mention.
+FILE_ENDINGS = ["ts", "tsx", "js", "jsx", "mjs", "cjs", "json", "md", "py", "rs", "go", "java", "kt", "c", "cc", "cpp", "h", "hpp", "cs", "rb", "php", "swift", "scala", "sh", "yaml", "yml", "toml"]
+_BEFORE, _AFTER = r"""(?:^|[\s"'`(])""", r"""(?:$|[\s"'`):,])"""
+
+
 def mentioned_files(text: Column) -> Column:
-    """Distinct file names with a source or document extension."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_./-]+\.(?:ts|tsx|js|jsx|py|rs|go|java|md|json|html))\b"), 1)))
+    """Distinct names of source and document files that stand alone, between spaces, quotes or brackets; sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(rf"{_BEFORE}([\w./-]+\.(?:{'|'.join(FILE_ENDINGS)})){_AFTER}"), 1)))
 
 
 def matched_terms(text: Column, terms: list[str]) -> Column:

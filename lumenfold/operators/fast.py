@@ -24,12 +24,12 @@ TERM = {False: (3.0, 1.0), True: (0.1, 0.05)}
 NO_FAMILY = ["source", "destination", "connector", "connectors", "unit", "integration", "test", "tests"]
 
 
-def families(query: Q.Query) -> list[str]:
-    """Words of the base names of a query's paths, which may name a family of files."""
+def families(query: Q.Query, without: list[str] = NO_FAMILY) -> list[str]:
+    """Words of the base names of a query's paths, which may name a family of files; those in `without` are too common for it."""
     found = []
     for path in query.paths:
         stem = re.sub(r"\.[^.]+$", "", path.replace("\\", "/").rsplit("/", 1)[-1])
-        found += [w for w in re.split(r"[^a-z0-9]+", " ".join(Q.tokens(stem, synonyms=False))) if len(w) >= 3 and not w.isdecimal() and w not in NO_FAMILY]
+        found += [w for w in re.split(r"[^a-z0-9]+", " ".join(Q.tokens(stem, synonyms=False))) if len(w) >= 3 and not w.isdecimal() and w not in without]
     return list(dict.fromkeys(found))
 
 

@@ -39,8 +39,9 @@ def review(added: DataFrame, existing: DataFrame, imports: DataFrame, calls: Dat
     """type, subject, file_path: what four finders say of added symbols (node_id, name, kind, file_path, signature).
 
     same-signature: an existing symbol has it; similar-class: an existing class of another name extends the same;
-    redundant-import: an added import (file_path, specifier, is_added) stands in its file already; unneeded: a function
-    that `most_callers` calls or fewer name. Each finder is one join on equal keys."""
+    redundant-import: an added import (file_path, specifier, is_added) stands in its file already; unneeded: a class
+    or function of whose callers there is evidence (calls: caller, call), `most_callers` or fewer; without evidence
+    nothing is said. Each finder is one join on equal keys."""
     key = T.signature_key(F.col("signature"))
     found = lambda kind, df: df.select(F.lit(kind).alias("type"), F.col("name").alias("subject"), "file_path").distinct()
     same = added.withColumn("__key", key).join(existing.select(key.alias("__key")).distinct(), "__key", "left_semi")
@@ -50,8 +51,8 @@ def review(added: DataFrame, existing: DataFrame, imports: DataFrame, calls: Dat
     similar = base(added).join(ends, "__base").where("__low <> name or __high <> name")
     before = imports.where("not is_added").select("file_path", "specifier").distinct()
     twice = imports.where("is_added").join(before, ["file_path", "specifier"], "left_semi").withColumn("name", F.col("specifier"))
-    counts = calls.groupBy(F.col("call").alias("name")).agg(F.count("*").alias("__n"))
-    unneeded = added.where("kind = 'function'").join(counts, "name", "left").where(F.coalesce("__n", F.lit(0)) <= most_callers)
+    counts = calls.groupBy(F.col("call").alias("name")).agg(F.count("caller").alias("__n"))
+    unneeded = added.where("kind in ('class', 'function')").join(counts, "name").where(F.col("__n") <= most_callers)
     return found("same-signature", same).unionByName(found("similar-class", similar)).unionByName(found("redundant-import", twice)).unionByName(found("unneeded", unneeded))
 
 

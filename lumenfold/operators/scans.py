@@ -105,18 +105,13 @@ def capsule(nodes: DataFrame, query: str, most: int) -> DataFrame:
     return few.agg(F.concat(F.lit('{"query":'), F.lit('"' + query.replace("\\", "\\\\").replace('"', '\\"') + '"'), F.lit(',"nodes":['), F.array_join(items, ","), F.lit("]}")).alias("content"))
 
 
-def cached(candidates: DataFrame, path: str, *parts: str) -> DataFrame:
-    """Candidates of a query and its options (parts), from the store at `path` under a hash of them, and into it if they are not there."""
-    import hashlib
-
-    from lumenfold.sources import collections
-
-    at = f"{path}/{hashlib.sha256(chr(0).join(parts).encode()).hexdigest()}"
-    found = collections.read(candidates.sparkSession, at)
-    if found is None:
-        collections.write(candidates, at)
-        found = collections.read(candidates.sparkSession, at)
-    return found
+def cached(candidates: DataFrame, *parts: str) -> DataFrame:
+    """Candidates of a query and its options (parts) from the store, and into it if they are not there. What is stored is
+    told by its source too: by what it selects, and by the names, sizes and times of the files that it reads."""
+    from lumenfold.sources import storage
+
+    path = storage.reused("candidates", [candidates], parts, lambda to: candidates.write.parquet(to))
+    return candidates.sparkSession.read.schema(candidates.schema).parquet(path)
 
 
 def sidecar_warnings(manifest: DataFrame, stored: DataFrame) -> DataFrame:

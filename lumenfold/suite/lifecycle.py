@@ -193,7 +193,7 @@ _LESSON = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.LESSONS
     f"""WITH p AS (SELECT type, count(*) AS n, list_sort(list(DISTINCT role)) AS files FROM (SELECT role, unnest({_FLAGS}) AS type FROM {_MADE}) GROUP BY type HAVING count(*) >= 3),
     l AS (SELECT string_agg('- **' || type || '** (' || n || ' occurrence' || CASE WHEN n = 1 THEN '' ELSE 's' END || ', confidence ' || printf('%.2f', least(0.95, 0.5 + n * 0.05)) || '): ' || {_LESSON} || ' Affected files: ' || array_to_string(files, ', ') || '.', chr(10) ORDER BY n DESC, type) AS lines,
       string_agg('{{"type":"' || type || '","n":' || n || ',"files":["' || array_to_string(files, '","') || '"]}}', ',' ORDER BY n DESC, type) AS json FROM p)
-    SELECT f.format, CASE WHEN f.title IS NULL THEN '{{"patterns":[' || coalesce(json, '') || ']}}' ELSE '# Learned ' || f.title || ' Guidance' || chr(10) || chr(10) || coalesce(lines, '- No recurring failure patterns met the configured minimum occurrence threshold.') || chr(10) END AS content FROM l, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in C.FORMATS.items())}, ('json', NULL)) f(format, title)""",
+    SELECT f.format, CASE WHEN f.title IS NULL THEN '{{"patterns":[' || coalesce(json, '') || ']}}' ELSE '# Learned ' || f.title || ' Guidance' || chr(10) || chr(10) || coalesce(lines, '- Nothing failed often enough to learn from.') || chr(10) END AS content FROM l, (VALUES {", ".join(f"('{k}', '{v}')" for k, v in C.FORMATS.items())}, ('json', NULL)) f(format, title)""",
 )
 def learned_rules(t: Tables) -> DataFrame:
     """What session logs teach, in each format."""
@@ -273,8 +273,8 @@ def snapshot_modes(t: Tables) -> DataFrame:
     """A snapshot that was written and is read whole, without contents, and with those of two files."""
     from lumenfold.sources import collections, storage
 
-    path = storage.scratch(t.spark)
-    collections.write_snapshot(t.nodes(), path)
+    nodes = t.nodes()
+    path = storage.reused("snapshot", [nodes], ("nodes",), lambda to: collections.write_snapshot(nodes, to))  # once for the same files
     read = lambda mode: collections.read_snapshot(t.spark, path, mode, ["src1", "src2"])
     full, some = read("full").select("node_id", F.length("content").cast("bigint").alias("full_chars")), read("files").select("node_id", F.length("content").cast("bigint").alias("some_chars"))
     return read("lite").select("node_id").join(full, "node_id").join(some, "node_id")

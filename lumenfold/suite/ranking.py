@@ -294,10 +294,21 @@ def family_scores(t: Tables) -> DataFrame:
     return t.symbols().groupBy("file_path").agg(F.sum(value).alias("score"))
 
 
-@query("annotate_rules", "R33", "SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(lower(text), 'license') THEN 'legal' END, CASE WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'contact' END], lambda x: x IS NOT NULL), ',') AS notes FROM documents")
+@query(
+    "annotate_rules",
+    "R33",
+    """WITH d AS (SELECT doc_id, lower(text || CASE doc_id % 4 WHEN 0 THEN ' import { cloneDeep } from lodash' WHEN 1 THEN ' fs-extra: remove()' WHEN 2 THEN ' fs-extra only' ELSE '' END) AS t FROM documents)
+    SELECT doc_id, 'stdlib-replacement' AS type, 'suggestion' AS severity FROM d WHERE contains(t, 'lodash') AND contains(t, 'clonedeep')
+    UNION ALL SELECT doc_id, 'native-replacement', 'suggestion' FROM d WHERE contains(t, 'fs-extra') AND regexp_matches(t, '\\b(copy|remove|mkdir|readjson|writejson)\\b')
+    UNION ALL SELECT doc_id, 'licence', 'notice' FROM d WHERE contains(t, 'license')""",
+)
 def annotate_rules(t: Tables) -> DataFrame:
-    notes = F.array_compact(F.array(F.when(F.lower("text").contains("license"), "legal"), F.when(F.col("text").rlike("[0-9]{3}-[0-9]{4}"), "contact")))
-    return t.documents.select("doc_id", F.array_join(notes, ",").alias("notes"))
+    """What rules say of documents, each with a line of code of one kind or none after it: the given rules, and one of our own."""
+    n = F.col("doc_id") % 4
+    line = F.when(n == 0, " import { cloneDeep } from lodash").when(n == 1, " fs-extra: remove()").when(n == 2, " fs-extra only").otherwise("")
+    rows = t.documents.select(F.col("doc_id").alias("node_id"), F.concat("text", line).alias("content"))
+    found = R.annotated(rows, [*R.RULES, R.Rule("licence", "notice", "Names a licence.", ("license",))])
+    return found.select(F.col("node_id").alias("doc_id"), "type", "severity")
 
 
 #: Terms of the searched texts below, as their words say: no stem or synonym but `rank` and `doe` is added.

@@ -215,11 +215,9 @@ def context_capsule(t: Tables) -> DataFrame:
 @query("candidate_cache", "S09", f"SELECT node_id, name FROM {SQL_SYMBOLS} WHERE starts_with(name, 'cold')")
 def candidate_cache(t: Tables) -> DataFrame:
     """Candidates read from the cache that the query before them filled; what is asked for the second time is not scanned for."""
-    from lumenfold.sources import storage
-
-    path, found = storage.scratch(t.spark), t.symbols().where(F.col("name").startswith("cold")).select("node_id", "name")
-    O.cached(found, path, "cold", "topk=10")
-    return O.cached(found.where("false"), path, "cold", "topk=10")
+    found = t.symbols().where(F.col("name").startswith("cold")).select("node_id", "name")
+    O.cached(found, "cold", "topk=10")
+    return O.cached(found, "cold", "topk=10")
 
 
 @query("sidecar_warnings", "T10 S15", "WITH m AS (SELECT 'd' || doc_id AS file_path, doc_id % 3 AS n_docs, 'h' || doc_id % 5 AS content_hash FROM documents WHERE doc_id % 7 <> 0), s AS (SELECT 'd' || doc_id AS file_path, count(*) AS held, 'h' || any_value(doc_id % 4) AS h FROM documents, (SELECT unnest([1, 2]) AS k) WHERE doc_id % 11 <> 0 AND k <= doc_id % 3 GROUP BY doc_id) SELECT * FROM (SELECT coalesce(m.file_path, s.file_path) AS file_path, CASE WHEN n_docs IS NULL THEN 'documents of a file that the manifest lacks' WHEN held IS NULL AND n_docs > 0 THEN 'no documents of a file in the manifest' WHEN coalesce(held, 0) <> n_docs THEN 'another number of documents than the manifest says' WHEN h <> content_hash THEN 'documents of another content than the manifest''s' END AS warning FROM m FULL JOIN s ON m.file_path = s.file_path) WHERE warning IS NOT NULL")

@@ -33,13 +33,15 @@ _QUERIES = "['priority of mixed sources', 'rank search results', 'decide routing
 @query(
     "synonym_expand",
     "F03",
-    f"""WITH q AS (SELECT unnest({_QUERIES}) AS q), b AS (SELECT q, {S.tokens("q")} AS base, {S.words("q")} AS w FROM q),
-    x AS (SELECT q, list_distinct(list_concat(base, flatten(list_transform(w, lambda t: coalesce({_SYN}[t], []))))) AS toks FROM b)
-    SELECT q, {S.joined("list_sort(list_distinct(CASE WHEN list_has_any(toks, " + S.in_list(T.ROUTING_ANCHORS) + ") AND list_has_any(toks, " + S.in_list(T.ROUTING_TRIGGERS) + ") THEN list_concat(toks, " + S.in_list(T.ROUTING_HINTS) + ") ELSE toks END))")} AS tokens FROM x""",
+    f"""WITH q AS (SELECT item_id, text || ' ' || ({_QUERIES})[item_id % 5 + 1] AS q FROM benchmark), b AS (SELECT item_id, q, {S.tokens("q")} AS base, {S.words("q")} AS w FROM q),
+    x AS (SELECT item_id, list_distinct(list_concat(base, flatten(list_transform(w, lambda t: coalesce({_SYN}[t], []))))) AS toks FROM b)
+    SELECT item_id, {S.joined("list_sort(list_distinct(CASE WHEN list_has_any(toks, " + S.in_list(T.ROUTING_ANCHORS) + ") AND list_has_any(toks, " + S.in_list(T.ROUTING_TRIGGERS) + ") THEN list_concat(toks, " + S.in_list(T.ROUTING_HINTS) + ") ELSE toks END))")} AS tokens FROM x""",
 )
 def synonym_expand(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(q,) for q in ("priority of mixed sources", "rank search results", "decide routing", "callers of parse", "ordering")], "q string")
-    return rows.select("q", _list(T.tokens(F.col("q"), synonyms=True)).alias("tokens"))
+    """Tokens, stems, synonyms and routing hints of every benchmark text with one of five questions after it."""
+    asked = F.array(*map(F.lit, ["priority of mixed sources", "rank search results", "decide routing", "callers of parse", "ordering"]))
+    said = F.concat("text", F.lit(" "), F.element_at(asked, (F.col("item_id") % 5 + 1).cast("int")))
+    return t.benchmark.select("item_id", _list(T.tokens(said, synonyms=True)).alias("tokens"))
 
 
 @query("normalize_text", "F04", f"SELECT p_partkey, {S.normalized('p_name')} AS n FROM part")
@@ -151,9 +153,15 @@ def cache_alignment(t: Tables) -> DataFrame:
     return rows.select("p_partkey", "description", "property", F.col("dynamic_fields").cast("bigint"), F.floor((F.length("description") + F.length("property")) * 0.25).alias("prefix_tokens"), F.round(T.cache_hit_rate(F.col("dynamic_fields"), F.lit(1)), 6).alias("hit_rate"))
 
 
-@query("extract_paths", "F23", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '([A-Za-z0-9_./-]+\\.(?:ts|tsx|js|jsx|py|rs|go|java|md|json|html))\\b', 1))), ',') AS files FROM pages")
+_MENTIONS = "url || ' changed lib/' || page_id || '.rs, (src/a_' || page_id % 7 || '.tsx) and \"x.yaml\": no/y.exe z.tsx.bak w.py.\n' || page_id % 3 || '/end.hpp'"
+
+
+@query("extract_paths", "F23", "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, '(?:^|[\\s\"''`(])([\\w./-]+\\.(?:ts|tsx|js|jsx|mjs|cjs|json|md|py|rs|go|java|kt|c|cc|cpp|h|hpp|cs|rb|php|swift|scala|sh|yaml|yml|toml))(?:$|[\\s\"''`):,])', 1))), ',') AS files FROM (SELECT page_id, " + _MENTIONS.replace("\n", "' || chr(10) || '") + " || ' ' || html AS x FROM pages)")
 def extract_paths(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", _list(T.mentioned_files(F.col("html"))).alias("files"))
+    """Files that each page and a line of a log about it mention."""
+    n = lambda k: (F.col("page_id") % k).cast("string") if k else F.col("page_id").cast("string")
+    said = F.concat("url", F.lit(" changed lib/"), n(0), F.lit(".rs, (src/a_"), n(7), F.lit('.tsx) and "x.yaml": no/y.exe z.tsx.bak w.py.\n'), n(3), F.lit("/end.hpp "), "html")
+    return t.pages.select("page_id", _list(T.mentioned_files(said)).alias("files"))
 
 
 @query("language_of_path", "F25", "SELECT page_id, CASE WHEN regexp_matches(p, '\\.[cm]?tsx?$') THEN 'typescript' WHEN regexp_matches(p, '\\.[cm]?jsx?$') THEN 'javascript' ELSE 'text' END AS language FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.mjs' ELSE '' END AS p FROM pages)")

@@ -50,10 +50,15 @@ def test_options():
 
 
 def test_candidate_cache(spark, tmp_path):
-    rows = spark.createDataFrame([(1, "a")], "id long, name string")
-    assert scans.cached(rows, f"file://{tmp_path}", "q", "10").count() == 1
-    assert scans.cached(rows.where("false"), f"file://{tmp_path}", "q", "10").count() == 1
-    assert scans.cached(rows.where("false"), f"file://{tmp_path}", "q", "11").count() == 0
+    """What is stored is used for the same files and options, and not for changed ones."""
+    path = str(tmp_path / "t")
+    spark.range(4).write.parquet(path)
+    found = lambda: spark.read.parquet(path).where("id > 0")
+    stored = scans.cached(found(), "q", "10").inputFiles()
+    assert scans.cached(found(), "q", "10").inputFiles() == stored != scans.cached(found(), "q", "11").inputFiles()
+    assert scans.cached(spark.read.parquet(path).where("id > 2"), "q", "10").count() == 1
+    spark.range(10, 12).write.mode("append").parquet(path)
+    assert scans.cached(found(), "q", "10").count() == 5
 
 
 def test_store_and_gate(spark):
