@@ -151,16 +151,20 @@ def _grams(text, n: int):
 def containing(seeds: DataFrame, rows: DataFrame, needle: str, haystack: str, gram: int = GRAM) -> DataFrame:
     """Rows whose haystack contains a seed's needle, with that needle, once each; an empty or null needle is in none.
 
-    Different haystacks are cut into runs of up to `gram` characters. A needle looks only where the
-    rarest of its own runs stands, so no pair is tried that shares nothing."""
+    Different haystacks get numbers and are cut into runs of up to `gram` characters, of which only those that some needle
+    has are kept, with the number alone. A needle looks only where the rarest of its own runs stands, so no pair is
+    tried that shares nothing; a haystack itself moves for the pairs that are tried, and to its rows."""
     needles = seeds.select(F.col(needle).alias("__needle")).where("length(__needle) > 0").distinct()
     texts = rows.select(F.col(haystack).alias("__text")).where("__text is not null").distinct()
-    posts = texts.select("__text", F.explode(F.concat(*(_grams(F.col("__text"), n) for n in range(1, gram + 1)))).alias("__gram"))
-    often = posts.groupBy("__gram").agg(F.count("*").alias("__n"))
+    texts = storage.kept(rows.sparkSession, texts.withColumn("__at", F.monotonically_increasing_id()))
     own = F.coalesce(*(F.when(F.length("__needle") >= n, _grams(F.col("__needle"), n)) for n in range(gram, 0, -1)))
-    met = needles.select("__needle", F.explode(own).alias("__gram")).join(often, "__gram", "left")
-    rarest = met.groupBy("__needle").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
-    found = posts.join(rarest, "__gram").where(F.col("__text").contains(F.col("__needle"))).select(F.col("__text").alias(haystack), F.col("__needle").alias(needle))
+    asked = storage.kept(rows.sparkSession, needles.select("__needle", F.explode(own).alias("__gram")))
+    cut = texts.select("__at", F.explode(F.concat(*(_grams(F.col("__text"), n) for n in range(1, gram + 1)))).alias("__gram"))
+    posts = storage.kept(rows.sparkSession, cut.join(asked.select("__gram").distinct(), "__gram", "left_semi"))
+    often = posts.groupBy("__gram").agg(F.count("*").alias("__n"))
+    rarest = asked.join(often, "__gram", "left").groupBy("__needle").agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__gram"))
+    tried = posts.join(rarest, "__gram").select("__at", "__needle").join(texts, "__at")
+    found = tried.where(F.col("__text").contains(F.col("__needle"))).select(F.col("__text").alias(haystack), F.col("__needle").alias(needle))
     return rows.join(found, haystack)
 
 
