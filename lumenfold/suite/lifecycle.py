@@ -200,6 +200,47 @@ def learned_rules(t: Tables) -> DataFrame:
     return C.rules(C.failure_patterns(_logs(t)))
 
 
+_SAID = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'review' ELSE 'retrieve' END AS tool, lower(text || CASE conv_id % 6 WHEN 0 THEN ' no results' WHEN 1 THEN ' a False Positive' WHEN 2 THEN ' lost context' WHEN 3 THEN ' the index is stale' ELSE '' END) AS t, conv_id % 5 = 0 AS nothing, conv_id % 7 = 0 AS late FROM conversations"
+
+
+@query(
+    "failures_of_logs",
+    "K04",
+    f"""SELECT conv_id, turn, array_to_string(list_filter([
+      CASE WHEN (tool = 'retrieve' OR regexp_matches(t, 'retrieve|compression|compressed')) AND regexp_matches(t, 'missing detail|lost context|too aggressive|over.?aggressive|insufficient context|no content found|not enough context') THEN 'compression-over-aggressive' END,
+      CASE WHEN tool = 'search' AND (nothing OR regexp_matches(t, '\\b(0 results|no results|no matches|not found)\\b')) THEN 'empty-search' END,
+      CASE WHEN tool = 'review' AND regexp_matches(t, 'false positive|ignored|dismissed|already (handled|covered|implemented)|not applicable|no action needed') THEN 'review-false-positive' END,
+      CASE WHEN late OR regexp_matches(t, '\\bstale\\b|out[- ]of[- ]date|pending sync|needs? (sync|reindex)|index missing|not indexed') THEN 'stale-index' END], lambda x: x IS NOT NULL), ',') AS types FROM ({_SAID})""",
+)
+def failures_of_logs(t: Tables) -> DataFrame:
+    """Failures told by tool, text and payload of every turn, its text three levels deep in the JSON of its output."""
+    from lumenfold.functions import nested
+
+    conv, turn = F.col("conv_id"), F.col("turn")
+    tool = F.when(turn % 3 == 0, "search").when(turn % 3 == 1, "review").otherwise("retrieve")
+    said = F.concat("text", F.when(conv % 6 == 0, " no results").when(conv % 6 == 1, " a False Positive").when(conv % 6 == 2, " lost context").when(conv % 6 == 3, " the index is stale").otherwise(""))
+    nothing, late = F.when(conv % 5 == 0, F.array().cast("array<string>")), F.when(conv % 7 == 0, F.struct(F.lit(False).alias("isFresh")))
+    inner = F.to_json(F.struct(F.array(F.struct(said.alias("note"))).alias("items"), nothing.alias("nodes"), late.alias("freshness")))
+    output = F.to_json(F.struct(inner.alias("content"), (turn % 2 == 0).alias("ok")))
+    return t.conversations.select("conv_id", "turn", F.array_join(nested.failures(tool, F.lit(""), output), ",").alias("types"))
+
+
+@query(
+    "redact_nested",
+    "F21",
+    """SELECT conv_id, turn, '{"user":"u' || conv_id || '","auth":{api_key=[REDACTED],"tries":' || turn || '},"said":["Bearer [REDACTED]","n' || turn || '",{Password=[REDACTED]}]}' AS clean FROM conversations""",
+)
+def redact_nested(t: Tables) -> DataFrame:
+    """Every turn's log entry, with secrets at three depths, the text itself under a sensitive name."""
+    from lumenfold.functions import nested
+
+    auth = F.struct("role", "turn")
+    auth = F.struct(auth.alias("api_key"), F.col("turn").alias("tries"))
+    said = F.concat(F.lit('["Bearer abc.'), F.col("turn").cast("string"), F.lit('","n'), F.col("turn").cast("string"), F.lit('",'), F.to_json(F.struct(F.col("text").alias("Password"))), F.lit("]"))
+    entry = F.concat(F.lit('{"user":"u'), F.col("conv_id").cast("string"), F.lit('","auth":'), F.to_json(auth), F.lit(',"said":'), said, F.lit("}"))
+    return t.conversations.select("conv_id", "turn", nested.redacted(entry).alias("clean"))
+
+
 @query("state_transitions", "T04 T05", f"SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND state = 'fresh' THEN 'stale' WHEN doc_id % 6 = 0 AND state = 'pending' THEN 'fresh' ELSE state END AS state FROM {SQL_MANIFEST}")
 def state_transitions(t: Tables) -> DataFrame:
     changed, synced = F.col("doc_id") % 4 == 0, F.col("doc_id") % 6 == 0
