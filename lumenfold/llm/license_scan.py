@@ -2,11 +2,13 @@
 
 A paragraph is a line with a word. Sparse word 1- and 2-grams feed a multinomial logistic regression
 over licence families and an unknown class, trained here on the notices below with words dropped,
-doubled and framed by other words, against sentences that use the same words for other things. The
+doubled and framed by other words, and on mentions made of what families are called and of how speech says that
+something is licensed, against sentences that use the same words for other things. The
 class probabilities are calibrated on held-out examples by a temperature and a shift of the unknown
 class. A predicted family counts only if a comparison with its notices confirms it: enough of
 a notice's word 2-grams stand in the paragraph, those that name the family among them; a notice
-without such words needs the same share of the 2-grams that no other family's notice has.
+without such words needs the same share of the 2-grams that no other family's notice has. A mention, which is
+short, must stand in the paragraph word by word.
 
 A notice may be wrapped: runs of lines between blank ones are searched for spans, over any number of
 lines, that hold enough of a notice's 2-grams, and each span is judged as a line is. It counts as
@@ -105,8 +107,33 @@ NAMES = {
 # Sentences with a licence's words that grant none.
 OTHERS = ["She passed her driving test and got a license.", "The free library is open to the public from nine.", "The version of the story that the school published.", "The general said that the work is not for sale.", "Permission to leave was granted at noon.", "The source of the river is subject to the terms of the treaty.", "A copy of the software was sent by the foundation.", "He works at MIT and lives near the apache reservation.", "The university is licensed to sell beer under the law.", "This is the work of the public and the common people."]
 
+# What families are called in speech; first those that also name other things, then those that name nothing else.
+ALIASES = {
+    "MIT": (["MIT"], []),
+    "Apache-2.0": (["Apache", "Apache 2", "Apache Software"], ["Apache 2.0", "Apache v2", "Apache License 2"]),
+    "GPL": ([], ["GPL", "GPLv2", "GPLv3", "GPL 2", "GPL 3", "GPL v2", "GPL v3", "GPL-2.0", "GPL-3.0", "GNU GPL", "GNU General Public"]),
+    "LGPL": ([], ["LGPL", "LGPLv2", "LGPLv3", "LGPL 2.1", "LGPL v2.1", "LGPL 3", "GNU LGPL", "Lesser GPL", "Lesser General Public"]),
+    "AGPL": ([], ["AGPL", "AGPLv3", "AGPL 3", "AGPL v3", "AGPL-3.0", "GNU AGPL", "Affero GPL", "Affero General Public"]),
+    "BSD": (["BSD", "new BSD", "modified BSD", "simplified BSD"], ["3-clause BSD", "2-clause BSD", "BSD 3-clause", "BSD 2-clause", "three-clause BSD", "two-clause BSD"]),
+    "MPL-2.0": (["Mozilla", "MPL"], ["MPL 2.0", "MPL v2", "MPLv2", "Mozilla Public"]),
+    "ISC": (["ISC"], []),
+    "EPL": (["Eclipse", "EPL"], ["EPL 2.0", "EPL v2", "EPL 1.0", "Eclipse Public"]),
+    "BSL-1.0": (["Boost", "BSL"], ["Boost Software", "BSL 1.0"]),
+    "Unlicense": (["Unlicense"], []),
+    "Zlib": (["zlib"], ["zlib/libpng"]),
+    "CC-BY": ([], ["CC BY", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution", "Creative Commons BY"]),
+    "CC-BY-SA": ([], ["CC BY-SA", "CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike", "Creative Commons BY-SA"]),
+    "CC-BY-NC": ([], ["CC BY-NC", "CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial", "Creative Commons BY-NC"]),
+    "CC0": ([], ["CC0", "CC0 1.0"]),
+    "OFL": (["OFL"], ["SIL OFL", "SIL Open Font", "Open Font"]),
+    "Proprietary": ([], []),
+}
+# How a mention says that something is licensed, about any name and about names of nothing else.
+SPEECH = ["{} license", "{} licence", "{} licensed", "{} licenced", "{}-style license", "{} style licence", "license {}", "licence {}", "license is {}", "licensed {}", "licenced {}", "licensed as {}", "licensed under {}", "licensed under the {}", "licence is the {}", "licenses {}", "{} licenses"]
+SPEECH_OF_NAMES = ["under {}", "under the {}", "{} or later", "{} only", "terms of {}", "terms of the {}", "released as {}", "{} compatible", "available as {}", "uses {}", "covered by the {}"]
+
 FAMILIES = ("unknown", *NOTICES)
-TRAIN_EXAMPLES, SEED = 8000, 11
+TRAIN_EXAMPLES, SEED = 16_000, 11
 #: Least calibrated probability of a family, and share of a notice's word pairs that must stand in the paragraph.
 CERTAIN, CONFIRMED = 0.5, 0.6
 
@@ -166,8 +193,17 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def examples(n: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Labelled paragraphs: notices altered at random, and unknown ones made of the same and of foreign words."""
+def _mentions(family: str) -> list[str]:
+    common, own = ALIASES[family]
+    return [pattern.format(name) for names, patterns in ((common, SPEECH), (own, SPEECH + SPEECH_OF_NAMES)) for name in names for pattern in patterns]
+
+
+MENTIONS = {family: _mentions(family) for family in NOTICES}
+
+
+def examples(n: int, seed: int, speech: bool = False) -> tuple[list[str], np.ndarray]:
+    """Labelled paragraphs: notices altered at random, and unknown ones made of the same and of foreign words. With
+    `speech`, most of the former are mentions among other words, and names without a licence are among the latter."""
     rng = np.random.default_rng(seed)
     pool = sorted({w for texts in NOTICES.values() for t in texts for w in t.split()} | {w for t in OTHERS for w in t.split()})
     all_names = {x for xs in NAMES.values() for x in xs}
@@ -183,8 +219,18 @@ def examples(n: int, seed: int) -> tuple[list[str], np.ndarray]:
             words = [w for w in whole if rng.random() > 0.08 or any(x in _tokens(w) for x in names)]
             if similarity(" ".join(words), FAMILIES[k]) < CONFIRMED:  # too little is left to be a notice
                 words = whole
+            if speech and MENTIONS[FAMILIES[k]] and rng.random() < 0.75:
+                said = MENTIONS[FAMILIES[k]]
+                around = [pool[j] for j in rng.integers(0, len(pool), rng.integers(0, 7))]
+                around = [w for w in around if not all_names & set(_tokens(w))]
+                cut = int(rng.integers(0, len(around) + 1))
+                words = around[:cut] + said[rng.integers(len(said))].split() + around[cut:]
         elif (kind := rng.integers(4)) == 0:
             words = OTHERS[rng.integers(len(OTHERS))].split()
+        elif speech and kind == 3 and rng.random() < 0.6:  # names without a licence
+            named = ALIASES[FAMILIES[rng.integers(1, len(FAMILIES))]][0] or ["reserved"]
+            words = named[rng.integers(len(named))].split() + [pool[j] for j in rng.integers(0, len(pool), rng.integers(1, 9))]
+            rng.shuffle(words)
         elif kind == 1:
             words = [pool[j] for j in rng.integers(0, len(pool), rng.integers(2, 20))]
         else:
@@ -201,10 +247,11 @@ def examples(n: int, seed: int) -> tuple[list[str], np.ndarray]:
 
 
 @functools.cache
-def fit(n: int = TRAIN_EXAMPLES, seed: int = SEED, steps: int = 200) -> Classifier:
-    """Train on n examples and calibrate on as many others; a second or two, always the same result."""
-    lines, y = examples(n, seed)
-    known = np.unique(_grams(*_as_column([t for texts in NOTICES.values() for t in texts] + OTHERS))[0])
+def fit(n: int = TRAIN_EXAMPLES, seed: int = SEED, steps: int = 600) -> Classifier:
+    """Train on n examples and calibrate on as many others; some seconds, always the same result."""
+    (lines, y), more = examples(n // 2, seed), examples(n - n // 2, seed + 2, speech=True)
+    lines, y = lines + more[0], np.concatenate([y, more[1]])
+    known = np.unique(_grams(*_as_column([t for texts in (*NOTICES.values(), *MENTIONS.values()) for t in texts] + OTHERS))[0])
     h, of = _grams(*_as_column(lines))
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     hit = known[at] == h
@@ -221,7 +268,8 @@ def fit(n: int = TRAIN_EXAMPLES, seed: int = SEED, steps: int = 200) -> Classifi
         b -= 2.0 * error.mean(axis=0)
     w[np.abs(w) < 0.02] = 0
     model = Classifier(known, w.astype(float), b.astype(float), 1.0, 0.0)
-    held, truth = examples(n, seed + 1)
+    (held, truth), more = examples(n // 2, seed + 1), examples(n - n // 2, seed + 3, speech=True)
+    held, truth = held + more[0], np.concatenate([truth, more[1]])
     which, logits = model.logits(*_as_column(held))
     truth, best = truth[which], np.inf
     for temperature in (0.5, 0.7, 1.0, 1.4, 2.0):
@@ -242,10 +290,21 @@ _TEMPLATES = {family: [_pairs(_tokens(t)) for t in texts] for family, texts in N
 _DISTINCTIVE = {family: [None if {w for p in t for w in p} & set(NAMES[family]) else t - {p for other, us in _TEMPLATES.items() if other != family for u in us for p in u} for t in ts] for family, ts in _TEMPLATES.items()}
 
 
+_SAID = {family: {tuple(_tokens(t)) for t in texts} for family, texts in MENTIONS.items()}
+_SAID_LENGTHS = {family: sorted({len(t) for t in texts}) for family, texts in _SAID.items()}
+
+
+def mentioned(tokens: list[str], family: str) -> bool:
+    """Whether a mention of the family stands in the words."""
+    return any(tuple(tokens[i : i + n]) in _SAID[family] for n in _SAID_LENGTHS[family] for i in range(len(tokens) - n + 1))
+
+
 def similarity(line: str, family: str) -> float:
-    """Largest share of a notice's word pairs that stand in the line. Where nothing names the family, a
+    """Largest share of a notice's word pairs that stand in the line, 1 for a mention. Where nothing names the family, a
     notice with a name must be whole, and of one without the share of distinctive pairs counts, if less."""
     tokens = _tokens(line)
+    if mentioned(tokens, family):
+        return 1.0
     mine = _pairs(tokens)
     named, best = bool(set(NAMES[family]) & set(tokens)), 0.0
     for t, own in zip(_TEMPLATES[family], _DISTINCTIVE[family], strict=True):
