@@ -245,8 +245,8 @@ def hybrid_rerank(t: Tables) -> DataFrame:
     "dense_dedup_check",
     "R28 R07 J05",
     f"""WITH v AS (SELECT vec_id AS node_id, label, CAST(embedding AS DOUBLE[]) AS e, {S.words("coalesce(source, '') || ' ' || coalesce(lang, '')")} AS meta, {S.words("text")} AS w FROM embeddings LEFT JOIN documents ON vec_id = doc_id),
-    n AS (SELECT q.node_id AS query_id, v.node_id, list_cosine_similarity(v.e, q.e) AS score, q.w AS asked, v.meta, v.w FROM v JOIN v q ON v.label = q.label AND q.node_id % 20 = 0 AND v.node_id <> q.node_id QUALIFY row_number() OVER (PARTITION BY q.node_id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, v.node_id) <= 5),
-    s AS (SELECT query_id, node_id, CASE WHEN w IS NOT NULL AND coalesce((len(list_intersect(asked, meta)) / nullif(len(asked), 0) + len(list_intersect(asked, meta)) / nullif(len(meta), 0)) / 2, 0) < 0.15 THEN least(score, coalesce(least(1, (len(list_intersect(asked, w)) / nullif(len(asked), 0) + len(list_intersect(asked, w)) / nullif(len(w), 0)) / 2), 0)) ELSE score END AS score FROM n WHERE score >= 0.15)
+    n AS (SELECT q.node_id AS query_id, v.node_id, list_cosine_similarity(v.e, q.e) AS score, coalesce(q.w, []) AS asked, v.meta, v.w FROM v JOIN v q ON v.label = q.label AND q.node_id % 20 = 0 AND v.node_id <> q.node_id QUALIFY row_number() OVER (PARTITION BY q.node_id ORDER BY round(list_cosine_similarity(v.e, q.e), 9) DESC, v.node_id) <= 5),
+    s AS (SELECT query_id, node_id, CASE WHEN w IS NOT NULL AND coalesce((coalesce(len(list_intersect(asked, meta)) / nullif(len(asked), 0), 0) + coalesce(len(list_intersect(asked, meta)) / nullif(len(meta), 0), 0)) / 2, 0) < 0.15 THEN least(score, coalesce(least(1, (coalesce(len(list_intersect(asked, w)) / nullif(len(asked), 0), 0) + coalesce(len(list_intersect(asked, w)) / nullif(len(w), 0), 0)) / 2), 0)) ELSE score END AS score FROM n WHERE score >= 0.15)
     SELECT query_id, node_id, round(score, 6) AS score FROM s WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node_id) <= 3""",
 )
 def dense_dedup_check(t: Tables) -> DataFrame:
