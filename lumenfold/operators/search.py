@@ -78,12 +78,15 @@ def candidates(nodes: DataFrame, vectors: VectorIndex, query: Q.Query, topk: int
     """node_id, source, score: the best of each branch, by its limit, weighed by the route. nodes: `completed`."""
     limits = {k: v * topk for k, v in Q.CANDIDATES.items()}
     cut = lambda df, source: df.where("score > 0").orderBy(F.desc(F.round("score", 9)), "node_id").limit(limits[source]).select("node_id", F.lit(source).alias("source"), (F.col("score") * query.weights[source]).alias("score"))
-    column = {c: F.col(c) for c in ("signature", "docstring", "calls", "content", "kind")}
-    graph = ranking.graph_score(F.col("name"), F.col("qualified_name"), F.col("file_path"), query, **column)
-    out = cut(nodes.select("node_id", graph.alias("score")), "graph")
+    column = {c: F.col(c) for c in ("signature", "docstring", "calls", "kind")}
+    graph = ranking.graph_score(F.col("name"), F.col("qualified_name"), F.col("file_path"), query, flat_content=F.col("__flat"), **column)
+    # texts are read and normalised once for both branches
+    told = nodes.withColumn("__flat", T.normalized(F.col("content"))).select("node_id", graph.alias("graph"), ranking.lexical_score(F.col("__flat"), query).alias("fts"))
+    told = storage.kept(nodes.sparkSession, told)
+    out = cut(told.select("node_id", F.col("graph").alias("score")), "graph")
     if query.anchors_only:
         return out
-    out = out.unionByName(cut(nodes.select("node_id", ranking.lexical_score(T.normalized(F.col("content")), query).alias("score")), "fts"))
+    out = out.unionByName(cut(told.select("node_id", F.col("fts").alias("score")), "fts"))
     if query.terms:
         hits = vector_hits(vectors, list(query.terms), limits["vector"], query.vector_mode, nodes if query.filters else None)
         out = out.unionByName(cut(hits, "vector"))
