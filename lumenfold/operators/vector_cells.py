@@ -24,11 +24,14 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import vectors as V
 from lumenfold.operators import windows
+from lumenfold.sources import storage
 
 #: Vectors that the quantiser is fitted to, about; a cell gets SAMPLE_A_CELL of them at least.
 SAMPLE, SAMPLE_A_CELL = 65_536, 16
 #: Vectors of a file: larger cells are written, and joined, in several parts.
 PART_ROWS = 65_536
+#: Tasks that a search of many queries deals cells to, at least, and vectors of one, about.
+DEALS, DEAL_ROWS = 24, 16_384
 #: The cell of vectors without a direction.
 NOWHERE = -1
 
@@ -135,15 +138,17 @@ def nearest_of_all(index: Cells, queries: DataFrame, k: int, visit: int | None =
 
     With `visit`, the nearest so many cells. Without, exact: the two nearest cells bound each query's k-th
     score, then it visits the other cells whose bound reaches that."""
-    asked = queries.select(F.col(query).alias("__query"), F.col(vector).cast("array<double>").alias("__target")).where("__target is not null")
+    spark = index.spark
+    target = F.col(vector).cast("array<double>")
+    asked = queries.select(F.col(query).alias("__query"), target.alias("__target"), V.whole(target).alias("__whole")).where("__target is not null")
     parts = dict(zip(index.centres["cell"].tolist(), index.centres["parts"].tolist(), strict=True))
     cells = index.centres["cell"].to_numpy()
-
     nowhere = index.vectors.where(F.col("cell") == NOWHERE).agg(F.coalesce(F.max("part") + 1, F.lit(0))).first()[0]
     reach = _reach(index._matrix, index.centres["least"].to_numpy())
+    deals = max(DEALS, -(-int(index.centres["n"].sum()) // DEAL_ROWS))
 
     def chosen(first: int):
-        """Of each query its first cells, or, with a bound on its k-th score, those others that reach it."""
+        """Of each query its first cells, or, with a bound on its k-th score, those others that reach it, by where they are dealt to."""
 
         def run(least: pd.Series, targets: pd.Series) -> pd.Series:
             out = []
@@ -151,27 +156,57 @@ def nearest_of_all(index: Cells, queries: DataFrame, k: int, visit: int | None =
                 order, bounds = reach(target)
                 seen = order[:first].tolist()
                 some = seen if bound != bound else [i for i in order.tolist() if bounds[i] >= bound - 1e-9 and i not in seen]
-                found = [{"cell": int(cells[i]), "part": p} for i in some for p in range(parts[int(cells[i])])]
-                out.append(found + [{"cell": -1, "part": p} for p in range(nowhere if bound <= 1e-9 else 0)])
+                found = [(int(cells[i]), p) for i in some for p in range(parts[int(cells[i])])] + [(-1, p) for p in range(nowhere if bound <= 1e-9 else 0)]
+                dealt = {}
+                for cell, p in found:
+                    dealt.setdefault((cell * 31 + p) % deals, []).append({"cell": cell, "part": p})
+                out.append([{"deal": d, "at": at} for d, at in dealt.items()])
             return pd.Series(out)
 
-        return F.pandas_udf(run, "array<struct<cell:int,part:int>>")
+        return F.pandas_udf(run, "array<struct<deal:int,at:array<struct<cell:int,part:int>>>>")
+
+    key, of, pick = index.key, index.vector, V.best_cosines(k)
+    types = {f.name: f.dataType.simpleString() for f in index.vectors.schema} | {"__query": asked.schema["__query"].dataType.simpleString()}
+
+    def meet(held: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        """The k best of each query in the cells that were dealt here."""
+        import numpy as np
+
+        given = [t if w else None for t, w in zip(met["__target"], met["__whole"], strict=True)]
+        who = {}
+        for i, at in enumerate(met["__at"]):
+            for x in at:
+                who.setdefault((x["cell"], x["part"]), []).append(i)
+        out = []
+        for at, rows in held.groupby(["cell", "part"], sort=False):
+            mine = np.array(who.get(at, []), int)
+            if len(mine):
+                vectors = [v if w else None for v, w in zip(rows[of], rows["__whole"], strict=True)]
+                i, j, score = pick(met["__query"].to_numpy()[mine], [given[x] for x in mine], rows[key].to_numpy(), vectors)
+                out.append(pd.DataFrame({"__query": met["__query"].to_numpy()[mine[i]], key: rows[key].to_numpy()[j], "cell": at[0], "score": score}))
+        found = pd.concat(out) if out else pd.DataFrame({"__query": [], key: [], "cell": [], "score": []})
+        found = found.assign(__order=np.where(found["score"].isna(), np.inf, found["score"].round(9))).sort_values(["__query", "__order", key], ascending=[True, False, True])
+        return found.groupby("__query").head(k)[["__query", key, "cell", "score"]]
 
     def best(met: DataFrame) -> DataFrame:
-        return windows.first_per(met, ["__query"], [F.desc(F.round("score", 9)), F.asc(index.key)], k)
+        return windows.first_per(met, ["__query"], [F.desc(F.round("score", 9)), F.asc(key)], k)
+
+    held = index.vectors.select("cell", "part", key, of, V.whole(F.col(of)).alias("__whole"), F.pmod(F.col("cell") * 31 + F.col("part"), F.lit(deals)).cast("int").alias("__deal"))
+    held = held.repartition(deals, "__deal").groupBy("__deal")
 
     def scored(rows: DataFrame) -> DataFrame:
-        to = rows.select("__query", "__target", F.explode("__cells").alias("__at")).select("__query", "__target", "__at.cell", "__at.part")
-        met = index.vectors.select("cell", "part", index.key, index.vector).join(to, ["cell", "part"])
-        return best(met.select("__query", index.key, "cell", V.cosine(F.col(index.vector), F.col("__target")).alias("score"))).drop("rank")
+        to = rows.select("__query", "__target", "__whole", F.explode("__cells").alias("__to")).select("__query", "__target", "__whole", F.col("__to.at").alias("__at"), F.col("__to.deal").alias("__deal"))
+        made = held.cogroup(to.repartition(deals, "__deal").groupBy("__deal")).applyInPandas(meet, f"__query {types['__query']}, {key} {types[key]}, cell int, score double")
+        return best(made).drop("rank")
 
     none = F.lit(float("nan"))
     found = scored(asked.withColumn("__cells", chosen(visit or 2)(none, F.col("__target"))))
     if visit is None:
+        found = storage.kept(spark, found)  # k rows a query
         kth = found.groupBy("__query").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(-2.0).alias("__least"))
         more = asked.join(kth, "__query", "left").withColumn("__least", F.coalesce("__least", F.lit(-2.0)))
         found = found.unionByName(scored(more.withColumn("__cells", chosen(2)(F.col("__least"), F.col("__target")))))
-    return best(found).select(F.col("__query").alias(query), index.key, "score", "rank", "cell")
+    return best(found).select(F.col("__query").alias(query), key, "score", "rank", "cell")
 
 
 def visits_for(index: Cells, queries: DataFrame, k: int, recall: float, query: str = "query_id", vector: str = "embedding") -> int:
