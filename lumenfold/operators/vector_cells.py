@@ -85,12 +85,14 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int =
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     told = F.coalesce(finite & F.exists(x, lambda v: v != 0), F.lit(False))
-    sizes = vectors.where(told).groupBy(F.size(vector).alias("dim")).agg(F.count("*").alias("n"))
+    # the length is taken once a vector, not once a component
+    unit = F.element_at(F.transform(F.array(F.sqrt(V.dot(x, x))), lambda n: F.transform(x, lambda v: v / n)), 1)
+    rows = storage.kept(spark, vectors.withColumn("__told", told).withColumn("__unit", F.when(F.col("__told"), unit)))
+    sizes = rows.where("__told").groupBy(F.size(vector).alias("dim")).agg(F.count("*").alias("n"))
     most = sizes.orderBy(F.desc("n"), "dim").first()
     dim, n = (most["dim"], most["n"]) if most else (0, 0)
-    length = F.sqrt(V.dot(x, x))
-    rows = vectors.withColumn("__told", told & (F.size(vector) == dim))
-    known = rows.where("__told").withColumn("__unit", array_to_vector(F.transform(x, lambda v: v / length)))
+    rows = rows.withColumn("__told", F.col("__told") & (F.size(vector) == dim))
+    known = rows.where("__told").withColumn("__unit", array_to_vector("__unit"))
     wanted = max(1, min(cells or round(n**0.5), max(1, min(n, sample) // SAMPLE_A_CELL)))
     schema = "cell int, centre array<double>"
     if n:
@@ -101,7 +103,8 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, sample: int =
         placed = model.transform(known)
     else:
         centres, placed = spark.createDataFrame([], schema), known.withColumn("cell", F.lit(NOWHERE))
-    placed = placed.drop("__unit").unionByName(rows.where("not __told").withColumn("cell", F.lit(NOWHERE))).drop("__told")
+    placed = placed.drop("__unit").unionByName(rows.where("not __told").drop("__unit").withColumn("cell", F.lit(NOWHERE))).drop("__told")
+    placed = storage.kept(spark, placed)
     counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / part_rows).cast("int").alias("parts"))  # a row a cell
     placed = placed.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).drop("parts")
     placed.repartition("cell", "part").write.partitionBy("cell").parquet(f"{path}/vectors")
