@@ -47,6 +47,49 @@ class Postings:
         return self.spark.read.parquet(f"{self.path}/postings")
 
 
+def _posted():
+    """A function for tasks: rows (id, block, part, tokens), the rows of a block one after another, become postings."""
+    import numpy as np
+    import pyarrow as pa
+
+    def posts(held, block):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lists = rows["tokens"].chunk(0)
+        sizes = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(lists)), sizes)
+        by_id = rows["id"].combine_chunks() if hasattr(rows["id"], "combine_chunks") else rows["id"]
+        ids, part = by_id.to_numpy(zero_copy_only=False)[at], rows["part"].to_numpy()[at]
+        order = np.lexsort((part, ids, code))
+        n = np.bincount(code, minlength=len(coded.dictionary))
+        starts = np.concatenate([[0], np.cumsum(n)])
+        lists_of = lambda values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values[order]))
+        top = np.maximum.reduceat(part[order], starts[:-1])
+        columns = {"term": coded.dictionary, "block": pa.array(np.full(len(n), block)), "n": pa.array(n), "top": pa.array(top), "ids": lists_of(ids), "parts": lists_of(part)}
+        return pa.RecordBatch.from_pydict(columns)
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            ends = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for i, j in zip(ends[:-1], ends[1:], strict=True):
+                if j > i:
+                    if held and blocks[i] != at:
+                        yield from made(held, at)
+                        held = []
+                    held, at = [*held, batch.slice(i, j - i)], blocks[i]
+        if held:
+            yield from made(held, at)
+
+    def made(held, at):
+        if sum(len(b.column("tokens").flatten()) for b in held):
+            yield posts(held, at)
+
+    return run
+
+
 def build(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", k1: float = K1, b: float = B, block: int = BLOCK) -> Postings:
     """Write the index of `docs` (key, text) to `path`. A null text counts as an empty one."""
     spark = docs.sparkSession
@@ -58,10 +101,10 @@ def build(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", k
     ranged = rows.repartitionByRange(F.col("length"), F.xxhash64("id")).sortWithinPartitions("length", F.xxhash64("id"))
     place = F.monotonically_increasing_id()  # the range above 33 bits, the row in it below
     blocks = ranged.withColumn("block", F.shiftright(place, 33) * (1 << 24) + F.floor(place.bitwiseAND((1 << 33) - 1) / block))
-    long_ = blocks.select("id", "block", part.alias("part"), F.explode("tokens").alias("term"))
-    merged = long_.groupBy("term", "block").agg(F.count("*").alias("n"), F.max("part").alias("top"), F.array_sort(F.collect_list(F.struct("id", "part"))).alias("rows"))
-    out = merged.select("term", "block", "n", "top", F.col("rows.id").alias("ids"), F.col("rows.part").alias("parts"))
-    out.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+    # a block stands in one task, which makes its postings; terms are sorted within files
+    kind = rows.schema["id"].dataType.simpleString()
+    out = blocks.select("id", "block", part.alias("part"), "tokens").mapInArrow(_posted(), f"term string, block bigint, n bigint, top double, ids array<{kind}>, parts array<double>")
+    out.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
     return Postings(spark, path)
 
 
