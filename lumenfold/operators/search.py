@@ -33,13 +33,45 @@ class VectorIndex:
     sparse: DataFrame
 
 
+def _counted(entry: str, value: str, unit: bool):
+    """A function for tasks: rows of an id and an array of numbers become a row an id and number with how often it
+    stands there, divided by the length of all that an id has if `unit`."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for rows in batches:
+            key, items = rows.columns
+            sizes = rows[items].str.len().to_numpy(int)
+            if not sizes.sum():
+                continue
+            flat = np.concatenate(rows[items].to_list()).astype(np.int64)
+            pairs, n = np.unique((np.repeat(np.arange(len(rows)), sizes) << 32) | flat, return_counts=True)
+            at, n = pairs >> 32, n.astype(float)
+            if unit:
+                n = n / np.sqrt(np.bincount(at, n * n, len(rows)))[at]
+            yield pd.DataFrame({key: rows[key].to_numpy()[at], entry: pairs & 0xFFFFFFFF, value: n})
+
+    return run
+
+
 def index(nodes: DataFrame) -> VectorIndex:
     """What vector search needs of nodes (node_id, content): built once, used again until their files change."""
     spark = nodes.sparkSession
 
     def build(path: str) -> None:
-        ranking.local_embedding(nodes, "node_id", "content").repartitionByRange("bucket").write.parquet(f"{path}/dense")
-        ranking.sparse_postings(nodes, "node_id", "content").repartitionByRange("idx").sortWithinPartitions("idx").write.parquet(f"{path}/sparse")
+        # each text is cut into tokens once; what is counted of it stays in its task
+        told = nodes.where("content is not null").select("node_id", T.tokens(F.col("content")).alias("tokens"))
+        bucket = lambda t: F.pmod(T.hash32(F.concat(F.lit("dense:"), t)), F.lit(ranking.DIMENSION)).cast("int")
+        hashed = told.select("node_id", F.transform("tokens", bucket).alias("buckets"), F.transform("tokens", lambda t: F.pmod(T.hash32(t), F.lit(ranking.HASH_SPACE)).cast("int")).alias("idx"))
+        hashed = storage.kept(spark, hashed)
+        if not hashed.groupBy("node_id").count().where("count > 1").isEmpty():  # rows of one id count as one
+            hashed = hashed.groupBy("node_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("buckets", "idx")))
+        key = hashed.schema["node_id"].dataType.simpleString()
+        dense = hashed.select("node_id", "buckets").mapInPandas(_counted("bucket", "weight", True), f"node_id {key}, bucket bigint, weight double")
+        dense.sortWithinPartitions("bucket").write.parquet(f"{path}/dense")
+        sparse = hashed.select("node_id", "idx").mapInPandas(_counted("idx", "v", False), f"node_id {key}, idx bigint, v double")
+        sparse.sortWithinPartitions("idx").write.parquet(f"{path}/sparse")
 
     path = storage.reused("search-vectors", [nodes.select("node_id", "content")], (ranking.DIMENSION, ranking.HASH_SPACE), build)
     return VectorIndex(spark.read.parquet(f"{path}/dense"), spark.read.parquet(f"{path}/sparse"))
