@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lumenfold.functions import vectors as V
 from lumenfold.operators import code as K
+from lumenfold.operators import ranking as R
+from lumenfold.operators import search as X
+from lumenfold.operators import vector_cells as C
 
 
 def most_rows(df) -> int:
@@ -34,3 +39,40 @@ def test_focus_counts_a_name_that_many_share_and_call_once(spark):
     assert {r["node_id"] for r in found.where("near_path and near_symbol").collect()} == set(range(2 * n))
     alone = K.focus(nodes.where("node_id = 0"), calls.where("caller = 0"), ["src/small"], ["ColdWidget"])
     assert [(r["is_path"], r["near_path"], r["near_symbol"]) for r in alone.collect()] == [(True, False, False)]  # its own call makes nothing near
+
+
+def test_vectors_of_a_group_make_no_rows_for_pairs(spark):
+    n = 300
+    vectors = spark.range(n).select(F.col("id").alias("node_id"), F.lit(1).alias("label"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("embedding"), F.array(F.lit("a")).alias("tokens"))
+    asked = vectors.withColumnRenamed("node_id", "query_id")
+    found = R.dense_duplicates(asked, vectors, vectors.select("node_id", "tokens"), 0.15, 3)
+    assert most_rows(found) < 20 * n
+    assert found.count() == 3 * n
+
+
+def test_cells_make_no_rows_for_pairs(spark, tmp_path):
+    n = 300
+    vectors = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") * 1.0), F.sin(F.col("id") * 1.0)).alias("embedding"))
+    index = C.build(vectors, str(tmp_path / "cells"))
+    found = C.nearest_of_all(index, vectors.withColumnRenamed("vec_id", "query_id"), 3, visit=len(index.centres))
+    assert most_rows(found) < n * n // 4  # k a query and task, not all pairs
+    assert {r["vec_id"] for r in found.where("query_id = 7 and rank = 1").collect()} == {7}
+
+
+def test_cosines_of_matrices_are_those_of_columns(spark):
+    odd = [[1.0, 2.0], [2.0, 4.0], [0.0, 0.0], [1.0, -1.0], [float("nan"), 1.0], [1.0, None], None, [1.0], []]
+    rows = spark.createDataFrame(list(enumerate(odd)), "id long, v array<double>")
+    pairs = rows.alias("a").crossJoin(rows.alias("b")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), V.cosine(F.col("a.v"), F.col("b.v")).alias("s"))
+    order = F.row_number().over(Window.partitionBy("i").orderBy(F.desc(F.round("s", 9)), "j"))
+    wanted = pairs.withColumn("r", order).where("r <= 4").orderBy("i", "r").collect()
+    given = [None if v is None or None in v else v for v in odd]
+    i, j, s = V.best_cosines(4)(range(len(odd)), given, range(len(odd)), given)
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(r["i"], r["j"]) for r in wanted]
+    assert all(abs(x - r["s"]) < 1e-9 or (x != x and r["s"] != r["s"]) for x, r in zip(s, wanted, strict=True))
+
+
+def test_rows_of_one_id_count_as_one_in_the_index(spark):
+    nodes = spark.createDataFrame([(1, "red bolt"), (1, "red"), (2, None), (3, "")], "node_id long, content string")
+    made = X.index(nodes)
+    assert sorted(r["v"] for r in made.sparse.collect()) == [1.0, 2.0]
+    assert abs(made.dense.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0] - 1) < 1e-9
