@@ -14,6 +14,7 @@ from lumenfold.operators import ranking as R
 from lumenfold.operators import windows as W
 from lumenfold.plans import query as Q
 from lumenfold.registry import query
+from lumenfold.sources import storage
 from lumenfold.suite import sql as S
 
 
@@ -169,11 +170,11 @@ def semantic_neighbours(t: Tables) -> DataFrame:
 
 
 def _nearest_symbols(t: Tables) -> DataFrame:
-    code, calls = t.code(), t.code_calls()
+    code, told = t.code(), storage.kept(t.spark, t.said())
     key = lambda c: T.reference_key(F.col(c))
     nodes = code.select("node_id", "file_path", T.tokens(F.concat_ws(" ", "file_path", "kind", "qualified_name", "signature", "docstring")).alias("tokens"), T.tokens(F.col("file_path")).alias("path_tokens"), F.array_distinct(F.array(key("name"), key("qualified_name"))).alias("keys"))
-    said = calls.groupBy(F.col("caller").alias("node_id")).agg(T.tokens(F.array_join(F.array_sort(F.collect_set("call")), " ")).alias("call_tokens"), F.collect_set(key("call")).alias("call_keys"))
-    loose = J.loosely_resolved(calls, code).select(F.col("caller").alias("node_id"), F.col("callee").alias("peer"))
+    said = told.select("node_id", T.tokens(F.array_join("calls", " ")).alias("call_tokens"), F.array_distinct(F.transform("calls", T.reference_key)).alias("call_keys"))
+    loose = J.loosely_resolved(told.select(F.col("node_id").alias("caller"), F.explode("calls").alias("call")), code).select(F.col("caller").alias("node_id"), F.col("callee").alias("peer"))
     return K.neighbours(nodes, said, loose.unionByName(loose.select(F.col("peer").alias("node_id"), F.col("node_id").alias("peer"))))
 
 

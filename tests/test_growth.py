@@ -76,3 +76,19 @@ def test_rows_of_one_id_count_as_one_in_the_index(spark):
     made = X.index(nodes)
     assert sorted(r["v"] for r in made.sparse.collect()) == [1.0, 2.0]
     assert abs(made.dense.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0] - 1) < 1e-9
+
+
+def test_symbols_of_a_file_make_no_rows_for_pairs(spark):
+    """A file whose symbols are like each other: they meet in tasks, and blocks of a file find what the whole finds."""
+    n = 300
+    kind = F.col("id") % 50
+    word = lambda c: F.concat(F.lit("word"), c.cast("string"))
+    nodes = spark.range(n).select(F.col("id").alias("node_id"), F.lit("src/a.ts").alias("file_path"), F.array(F.lit("aaa"), F.lit("bbb"), word(kind)).alias("tokens"), F.array(F.lit("src")).alias("path_tokens"), F.array(word(F.col("id") % 7)).alias("keys"))
+    calls = spark.range(n).select(F.col("id").alias("node_id"), F.array(word(F.col("id") % 5)).alias("call_tokens"), F.array(word(F.col("id") % 3)).alias("call_keys"))
+    found = K.neighbours(nodes, calls, spark.createDataFrame([], "node_id long, peer long"))
+    assert most_rows(found) < 30 * n
+    rows = nodes.join(calls, "node_id").withColumn("alone", F.col("node_id") % 2 == 0)
+    rows = rows.select("node_id", "alone", F.xxhash64("file_path").alias("file_path"), *(F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("tokens", "path_tokens", "call_tokens", "keys", "call_keys")))
+    told = lambda block: sorted(map(tuple, K._beside(rows, 4, block).collect()))
+    assert told(4096) == told(64)
+    assert len(told(64)) == 4 * n
