@@ -92,3 +92,16 @@ def test_symbols_of_a_file_make_no_rows_for_pairs(spark):
     told = lambda block: sorted(map(tuple, K._beside(rows, 4, block).collect()))
     assert told(4096) == told(64)
     assert len(told(64)) == 4 * n
+
+
+def test_equal_lists_meet_once(spark):
+    n = 300
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array(*(F.lit(f"word{i}") for i in range(9))).alias("tokens"))
+    docs = docs.unionByName(spark.range(n, n + 5).select(F.col("id").alias("doc_id"), F.array(*(F.lit(f"word{i}") for i in range(10))).alias("tokens")))
+    found = R.resembling(docs.withColumnRenamed("doc_id", "query_id"), docs, 0.85, 3)
+    assert most_rows(found) < 20 * n
+    got = {}
+    for r in found.orderBy("query_id", F.desc("score"), "doc_id").collect():
+        got.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 3)))
+    assert got[0] == [(1, 1.0), (2, 1.0), (3, 1.0)] and got[299] == [(0, 1.0), (1, 1.0), (2, 1.0)] and got[304] == [(300, 1.0), (301, 1.0), (302, 1.0)]
+    assert len(got) == n + 5
