@@ -105,3 +105,19 @@ def test_equal_lists_meet_once(spark):
         got.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 3)))
     assert got[0] == [(1, 1.0), (2, 1.0), (3, 1.0)] and got[299] == [(0, 1.0), (1, 1.0), (2, 1.0)] and got[304] == [(300, 1.0), (301, 1.0), (302, 1.0)]
     assert len(got) == n + 5
+
+
+def test_sparse_vectors_meet_in_tasks(spark):
+    n = 300
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("red bolt running "), F.col("id") % 7, F.lit("x small"), F.col("id") % 5).alias("text")).unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "none alike")], "doc_id long, text string"))
+    asked = R.sparse_postings(spark.createDataFrame([(i, f"red bolt {i}x nothing") for i in range(40)] + [(99, None)], "item_id long, text string"), "item_id", "text")
+    plain = lambda d, cosine: R.sparse_scores(asked, R.sparse_postings(d, "doc_id", "text"), "item_id", "doc_id", cosine)
+    told = lambda df: {(r["item_id"], r["doc_id"]): round(r["score"], 9) for r in df.collect()}
+    found = R.sparse_matches(asked, docs, "item_id", "doc_id", "text", most=3)
+    assert most_rows(found) < 20 * n
+    whole = told(plain(docs, False))
+    wanted = {k: v for i in range(40) for k, v in sorted(((k, v) for k, v in whole.items() if k[0] == i), key=lambda x: (-x[1], x[0]))[:3]}
+    assert told(found) == wanted
+    assert told(R.sparse_matches(asked, docs, "item_id", "doc_id", "text", cosine=True)) == told(plain(docs, True))
+    twice = docs.unionByName(docs.where("doc_id < 3"))
+    assert told(R.sparse_matches(asked, twice, "item_id", "doc_id", "text")) == told(plain(twice, False))
