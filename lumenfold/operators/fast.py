@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lumenfold.functions import text as T
 from lumenfold.operators import windows
 from lumenfold.plans import query as Q
+from lumenfold.sources import storage
 
 # What each kind of evidence counts.
 EXACT, WHOLE_TERM, NAMED = 25, 10, 5
@@ -48,10 +49,31 @@ def score(query: Q.Query, name: Column, qualified: Column, path: Column, kind: C
     """A symbol's score for a query: exact names, families of files, paths, symbols, references, tests and terms.
 
     calls: what the symbol calls, as one text. Texts may be null. One expression over the row; nothing is joined."""
+    return _score(query, name, qualified, path, kind, signature, doc, source, calls, lambda **made: made)
+
+
+def scored(rows: DataFrame, query: Q.Query) -> DataFrame:
+    """rows (name, qualified_name, file_path, kind, signature, docstring, content, said: what a symbol calls, as one text)
+    with their `score`. What the score asks of a text more than once is made once, in columns before it."""
+    at = {"rows": rows}
+
+    def keep(**made: Column) -> dict[str, Column]:
+        at["rows"] = at["rows"].select("*", *(c.alias(f"__{k}") for k, c in made.items()))
+        return {k: F.col(f"__{k}") for k in made}
+
+    total = _score(query, *(F.col(c) for c in ("name", "qualified_name", "file_path", "kind", "signature", "docstring", "content", "said")), keep)
+    return at["rows"].select(*rows.columns, total.alias("score"))
+
+
+def _score(query: Q.Query, name: Column, qualified: Column, path: Column, kind: Column, signature: Column, doc: Column, source: Column, calls: Column, keep) -> Column:
+    """The score; `keep` gets columns that are used more than once and returns what stands for them."""
     text = lambda *cs: T.normalized(F.concat_ws(" ", *cs))
-    metadata, body, evidence = text(name, qualified, path, signature, doc, calls), text(source), text(signature, doc, source, calls)
-    plain_path, plain_name, is_test = text(path), text(qualified), T.is_test_file(path)
-    own = [T.canonical(name), T.canonical(qualified), T.canonical(T.name_tail(qualified))]
+    flats = keep(name=T.normalized(name), qualified=T.normalized(qualified), path=T.normalized(path), signature=T.normalized(signature), doc=T.normalized(doc), source=T.normalized(source), calls=T.normalized(calls))
+    # no hump or run of marks goes across the space between two texts, so each is normalised alone
+    held = lambda *ks: F.concat_ws(" ", *(flats[k] for k in ks))
+    made = keep(metadata=held("name", "qualified", "path", "signature", "doc", "calls"), body=held("source"), evidence=held("signature", "doc", "source", "calls"), plain_path=held("path"), plain_name=held("qualified"), is_test=T.is_test_file(path), **{f"own{i}": T.canonical(c) for i, c in enumerate((name, qualified, T.name_tail(qualified)))})
+    metadata, body, evidence, own = made["metadata"], made["body"], made["evidence"], [made[f"own{i}"] for i in range(3)]
+    plain_path, plain_name, is_test = made["plain_path"], made["plain_name"], made["is_test"]
     when = lambda c, v: F.when(c, v).otherwise(0.0)
     flat = lambda x: re.sub(r"""[_\-./:(){}\[\],;<>+=!?'"`|\\]+""", " ", re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1 \2", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", x))).lower()
     same = lambda x: re.sub(r"[^A-Za-z0-9_$]", "", x).lower()
@@ -63,14 +85,17 @@ def score(query: Q.Query, name: Column, qualified: Column, path: Column, kind: C
 
     words, found = T.identifier_words(path), families(query)
     if found:
-        family = _sum([F.when(F.array_contains(words, w), 2).when(plain_path.contains(w), 1).otherwise(0) for w in found])
+        words = keep(words=words)["words"]
+        family = keep(family=_sum([F.when(F.array_contains(words, w), 2).when(plain_path.contains(w), 1).otherwise(0) for w in found]))["family"]
         total = total + when(family > 0, FAMILY + F.least(F.lit(float(MOST_FAMILY)), family * FAMILY_EACH) + when(is_test, float(FAMILY_TEST)))
 
     paths = list(dict.fromkeys([*(query.filters[k] for k in ("file", "path") if k in query.filters), *query.paths]))
     hits = []
     for p in map(flat, paths):
         hits.append((plain_path == p) | plain_path.contains(p) | F.lit(p).contains(plain_path) | plain_name.contains(p))
-    n_paths = _sum([h.cast("int") for h in hits])
+    made = keep(**{f"hit{i}": h for i, h in enumerate(hits)}) if hits else {}
+    hits = list(made.values())
+    n_paths = keep(n_paths=_sum([h.cast("int") for h in hits]))["n_paths"] if hits else F.lit(0.0)
     for i, (p, hit) in enumerate(zip(map(flat, paths), hits, strict=True)):
         first = 1.0 if len(paths) <= 1 else 1 + (1 - i / (len(paths) - 1)) * 0.5
         ending = plain_path.endswith(p) | F.lit(p).endswith(plain_path)
@@ -86,11 +111,15 @@ def score(query: Q.Query, name: Column, qualified: Column, path: Column, kind: C
     symbols = list(dict.fromkeys([*([query.filters["name"]] if "name" in query.filters else []), *query.symbols]))
     segments = F.transform(F.split(qualified, r"[:.#/\\]+"), T.canonical)
     strengths, bonuses = [], []
-    for s in symbols:
+    if symbols:
+        made = keep(segments=segments, plain_evidence=T.canonical(evidence))
+        segments, plain_evidence = made["segments"], made["plain_evidence"]
+    for i, s in enumerate(symbols):
         key = same(s)
         is_own = (own[0] == key) | (own[1] == key) | (own[2] == key)
-        said = evidence.contains(key) | T.canonical(evidence).contains(key)
+        said = evidence.contains(key) | plain_evidence.contains(key)
         strength = F.when(is_own, SYMBOL_STRENGTH["name"]).when(F.array_contains(segments, key), SYMBOL_STRENGTH["segment"]).when(said, SYMBOL_STRENGTH["evidence"]).when(own[1].startswith(key), SYMBOL_STRENGTH["beginning"]).otherwise(0.0)
+        strength = keep(**{f"strength{i}": strength})[f"strength{i}"]
         strengths.append((strength, is_own, own[0] == key, evidence.contains(flat(s))))
         bonuses.append(strength * symbol_bonus(s))
     if symbols:
@@ -107,6 +136,7 @@ def score(query: Q.Query, name: Column, qualified: Column, path: Column, kind: C
     anchored = n_paths > 0
     for s, *_ in strengths:
         anchored = anchored | (s > 0)
+    anchored = keep(anchored=anchored)["anchored"]
     for t in query.terms:
         at = lambda k, t=t: F.when(metadata.contains(t), TERM[k][0]).when(body.contains(t), TERM[k][1]).otherwise(0.0)
         total = total + F.when(anchored, at(True)).otherwise(at(False))
@@ -131,16 +161,19 @@ def selected(scored: DataFrame, query: Q.Query, most: int) -> DataFrame:
 
     First come the best of each symbol that the query names, and the first PER_ANCHOR of each path it names; then
     files in turn, each one's best first, PER_FILE of a file at most. Each part is cut before the parts meet."""
-    some = scored.where("score > 0")
     order = [F.desc(F.round("score", 9)), F.asc("node_id")]
-    parts = []
-    for i, s in enumerate(query.symbols):
+    asked = []
+    for s in query.symbols:
         key = T.canonical(F.lit(s))
-        named = some.where((T.canonical(F.col("name")) == key) | (T.canonical(F.col("qualified_name")) == key))
-        parts.append(windows.top(named, order, 1).select("node_id", "file_path", "score", F.lit("symbol").alias("why"), F.lit(i).alias("part"), "rank"))
-    for i, p in enumerate(query.paths):
-        inside = some.where(T.normalized(F.col("file_path")).contains(T.normalized(F.lit(p))))
-        parts.append(windows.top(inside, order, PER_ANCHOR).select("node_id", "file_path", "score", F.lit("path").alias("why"), F.lit(len(query.symbols) + i).alias("part"), "rank"))
+        asked.append((((T.canonical(F.col("name")) == key) | (T.canonical(F.col("qualified_name")) == key)), 1, "symbol"))
+    for p in query.paths:
+        asked.append((T.normalized(F.col("file_path")).contains(T.normalized(F.lit(p))), PER_ANCHOR, "path"))
+    # each part reads what is written; a filter on scores that are yet to be made would make them again
+    some = scored.select("node_id", "file_path", "score", *(c.alias(f"__in{i}") for i, (c, *_) in enumerate(asked)))
+    some = storage.kept(scored.sparkSession, some).where("score > 0")
+    parts = []
+    for i, (_, cap, why) in enumerate(asked):
+        parts.append(windows.top(some.where(f"__in{i}"), order, cap).select("node_id", "file_path", "score", F.lit(why).alias("why"), F.lit(i).alias("part"), "rank"))
     rest = windows.round_robin(some, "file_path", order, PER_FILE, 2 * most)
     out = rest.select("node_id", "file_path", "score", F.lit("ranked").alias("why"), F.lit(1 << 20).alias("part"), "rank")
     for part in parts:

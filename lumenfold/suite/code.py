@@ -266,9 +266,8 @@ _FAST = f"""(WITH c AS (SELECT caller AS node_id, array_to_string(list_sort(list
 
 
 def _fast(t: Tables, asked: Q.Query) -> DataFrame:
-    said = t.code_calls().groupBy(F.col("caller").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_set("call")), " ").alias("said"))
-    made = P.score(asked, *(F.col(c) for c in ("name", "qualified_name", "file_path", "kind", "signature", "docstring", "content", "said")))
-    return t.code().join(said, "node_id", "left").select("node_id", "name", "qualified_name", "file_path", made.alias("score"))
+    said = t.said().select("node_id", F.array_join("calls", " ").alias("said"))
+    return P.scored(t.code().join(said, "node_id", "left"), asked).select("node_id", "name", "qualified_name", "file_path", "score")
 
 
 @query("fast_score", "R30", f"SELECT node_id, round(score, 6)::DOUBLE AS score FROM {_FAST}")

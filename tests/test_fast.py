@@ -96,3 +96,30 @@ def test_selection_puts_anchors_first(nodes):
     rows = nodes.select(F.col("id").alias("node_id"), "name", F.col("qualified").alias("qualified_name"), F.col("path").alias("file_path"), F.lit(1.0).alias("score"))
     got = [(r["node_id"], r["why"]) for r in fast.selected(rows, q, 4).orderBy("rank").collect()]
     assert got == [(0, "symbol"), (2, "path"), (1, "ranked"), (3, "ranked")]
+
+
+@pytest.mark.parametrize("text", QUERIES)
+def test_scores_in_stages(nodes, text):
+    """What is made in columns first scores the same, and no long text is made twice."""
+    q = Q.parse(text)
+    rows = nodes.withColumnsRenamed({"qualified": "qualified_name", "path": "file_path", "doc": "docstring", "source": "content", "calls": "said"})
+    made = fast.scored(rows, q)
+    assert made.columns == [*rows.columns, "score"]
+    for r in made.collect():
+        assert abs(r["score"] - plain(q, NODES[r["id"]])) < 1e-9, (text, r)
+    made_twice = made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(concat_ws( , signature")
+    assert made_twice <= 1, text
+
+
+def test_selection_reads_scores_once(nodes):
+    q = Q.parse("fix ColdWidget in src/small/red_bolt.ts")
+    read = nodes.sparkSession.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        read.add(1)
+        return 1.0
+
+    rows = nodes.select(F.col("id").alias("node_id"), "name", F.col("qualified").alias("qualified_name"), F.col("path").alias("file_path"), score("id").alias("score"))
+    assert len(fast.selected(rows, q, 4).collect()) == 4
+    assert read.value == len(NODES)
