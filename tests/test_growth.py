@@ -121,3 +121,11 @@ def test_sparse_vectors_meet_in_tasks(spark):
     assert told(R.sparse_matches(asked, docs, "item_id", "doc_id", "text", cosine=True)) == told(plain(docs, True))
     twice = docs.unionByName(docs.where("doc_id < 3"))
     assert told(R.sparse_matches(asked, twice, "item_id", "doc_id", "text")) == told(plain(twice, False))
+
+
+def test_rerank_looks_at_texts_once(spark):
+    """The tops and the scores of all symbols come from rows that are written, not from texts and calls made again."""
+    from lumenfold import registry
+
+    plan = registry.queries()["hybrid_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "l_orderkey" not in plan
