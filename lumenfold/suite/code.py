@@ -219,7 +219,8 @@ _TESTS = f"""WITH n AS (SELECT * FROM {SQL_CODE}), t AS (SELECT DISTINCT x FROM
 def affected_scores(t: Tables) -> DataFrame:
     """The ten tests that hold most tokens of a changed file."""
     changed = t.spark.createDataFrame([(_CHANGED,)], "file_path string")
-    return K.affected_tests(t.code(), t.code_calls(), changed, 10)
+    calls = t.said().select(F.col("node_id").alias("caller"), F.explode("calls").alias("call"))  # gathered by caller already
+    return K.affected_tests(t.code(), calls, changed, 10)
 
 
 @query(

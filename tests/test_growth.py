@@ -129,3 +129,18 @@ def test_rerank_looks_at_texts_once(spark):
 
     plan = registry.queries()["hybrid_rerank"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "l_orderkey" not in plan
+
+
+def test_affected_tests_are_not_cut_into_runs(spark):
+    n = 300
+    word = F.concat(F.lit("Widget"), (F.col("id") % 9).cast("string"), F.lit("Bolt"))
+    path = F.when(F.col("id") % 2 == 0, F.lit("src/cold_widget.ts")).otherwise(F.concat(F.lit("src/t"), F.col("id"), F.lit(".test.ts")))
+    nodes = spark.range(n).select(F.col("id").alias("node_id"), word.alias("name"), word.alias("qualified_name"), path.alias("file_path"), F.lit("function cold()").alias("signature"), F.lit(None).cast("string").alias("docstring"), F.repeat(F.lit("some content of a symbol "), 9).alias("content"))
+    nodes = nodes.unionByName(nodes.where("node_id = 1"))
+    calls = spark.range(n).select(F.col("id").alias("caller"), F.when(F.col("id") % 5 == 0, "coldCall").otherwise("other").alias("call"))
+    changed = spark.createDataFrame([("src/cold_widget.ts",)], "file_path string")
+    found = K.affected_tests(nodes, calls, changed, n)
+    assert most_rows(found) < 3 * n
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(found) == told(K.affected_tests(nodes, calls, changed, n, held=2))  # more tokens than tasks may hold
+    assert found.count() == n // 2
