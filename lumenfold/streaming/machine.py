@@ -27,18 +27,20 @@ _ENTRY = "seq bigint, state string, content_hash string, doc_ids array<string>,
 
 def _processor(debounce_ms: int, live_ms: int | None):
     """The processor's class, made here so that workers get it with the query and need not import it."""
-    import pandas as pd
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor
 
+    move = Row("file", "seq", "at", "state", "content_hash", "doc_ids", "event_id")
+
     class Machine(StatefulProcessor):
         def init(self, handle):
             self.handle = handle
             self.entry = handle.getValueState("entry", _ENTRY)
 
         def _get(self):
-            if not self.entry.exists():
-                return {"seq": 0, "state": None, "content_hash": None, "doc_ids": [], "ts": -(1 << 62), "event_id": -(1 << 62), "due": None, "ends": None}
             row = self.entry.get()
+            if row is None:
+                return {"seq": 0, "state": None, "content_hash": None, "doc_ids": [], "ts": -(1 << 62), "event_id": -(1 << 62), "due": None, "ends": None}
             return dict(zip(("seq", "state", "content_hash", "doc_ids", "ts", "event_id", "due", "ends"), row, strict=True)) | {"doc_ids": list(row[3] if row[3] is not None else [])}
 
         def _keep(self, e):
@@ -47,7 +49,7 @@ def _processor(debounce_ms: int, live_ms: int | None):
         def _step(self, out, key, e, at, state):
             e["seq"] += 1
             e["state"] = state
-            out.append((key[0], e["seq"], pd.Timestamp(at, unit="ms", tz="UTC"), state, e["content_hash"], list(e["doc_ids"]), e["event_id"]))
+            out.append(move(key[0], e["seq"], at, state, e["content_hash"], list(e["doc_ids"]), e["event_id"]))
 
         def _timers(self, out, key, e, now):
             """Whatever was due by now, in order."""
@@ -63,20 +65,18 @@ def _processor(debounce_ms: int, live_ms: int | None):
                     e["due"], e["doc_ids"] = None, []
                     self._step(out, key, e, at, "expired")
 
-        def _wake(self, at):
-            if at is not None:
+        def _wake(self, e, was):
+            """One timer a file: for what is due first."""
+            at = min({e["due"], e["ends"]} - {None}, default=None)
+            if at != was and was is not None:
+                self.handle.deleteTimer(was)
+            if at != was and at is not None:
                 self.handle.registerTimer(at)
 
-        def _frame(self, out):
-            return pd.DataFrame(out, columns=["file", "seq", "at", "state", "content_hash", "doc_ids", "event_id"])
-
         def handleInputRows(self, key, rows, timerValues):
-            e, out, found = self._get(), [], []
-            for part in rows:
-                stamps = part["ts"].dt.tz_localize("UTC") if part["ts"].dt.tz is None else part["ts"]
-                millis = (stamps - pd.Timestamp(0, tz="UTC")) // pd.Timedelta(milliseconds=1)
-                found += zip(millis.tolist(), part["event_id"].tolist(), part["kind"].tolist(), part["content_hash"].tolist(), part["doc_ids"].tolist(), strict=True)
-            was = {e["due"], e["ends"]} - {None}
+            e, out = self._get(), []
+            found = [(r["millis"], r["event_id"], r["kind"], r["content_hash"], r["doc_ids"]) for r in rows]
+            was = min({e["due"], e["ends"]} - {None}, default=None)
             for ts, event_id, kind, content_hash, doc_ids in sorted(found, key=lambda r: (r[0], r[1])):
                 if (ts, event_id) <= (e["ts"], e["event_id"]):
                     continue
@@ -89,18 +89,17 @@ def _processor(debounce_ms: int, live_ms: int | None):
                     e["due"] = ts + debounce_ms
                 e["ends"] = None if live_ms is None else ts + live_ms
                 self._step(out, key, e, ts, {"sync": "fresh", "error": "failed"}.get(kind, "stale"))
-            for at in was - {e["due"], e["ends"]}:
-                self.handle.deleteTimer(at)
-            for at in {e["due"], e["ends"]} - was - {None}:
-                self._wake(at)
+            self._wake(e, was)
             self._keep(e)
-            yield self._frame(out)
+            yield from out
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             e, out = self._get(), []
-            self._timers(out, key, e, expiredTimerInfo.getExpiryTimeInMs())
+            # what else is due by the watermark comes now, and needs no timer
+            self._timers(out, key, e, max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+            self._wake(e, None)
             self._keep(e)
-            yield self._frame(out)
+            yield from out
 
         def close(self):
             pass
@@ -113,8 +112,12 @@ def transitions(changes: DataFrame, debounce_ms: int = 250, live_ms: int | None
 
     live_ms: how long an entry lives that nothing touches; None: for ever. An expired entry that changes again
     begins anew, its numbers go on."""
-    keyed = changes.where("file is not null and ts is not null").withWatermark("ts", late).groupBy("file")
-    return keyed.transformWithStateInPandas(statefulProcessor=_processor(debounce_ms, live_ms), outputStructType=TRANSITIONS, outputMode="append", timeMode="EventTime")
+    # rows go to Python and back as they are, in batches of all files: a frame a file costs more than its events
+    millis = F.unix_millis("ts").alias("millis")  # the processor reckons in these
+    keyed = changes.where("file is not null and ts is not null").withWatermark("ts", late).select("ts", millis, "event_id", "file", "kind", "content_hash", "doc_ids").groupBy("file")
+    made = TRANSITIONS.replace("at timestamp", "at bigint")
+    moves = keyed.transformWithState(statefulProcessor=_processor(debounce_ms, live_ms), outputStructType=made, outputMode="append", timeMode="EventTime")
+    return moves.withColumn("at", F.timestamp_millis("at"))
 
 
 def run(changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **options):

@@ -92,3 +92,11 @@ def test_the_path_of_a_file(spark):
     got = told(run(spark, [events], debounce_ms=10_000))
     assert got["a"] == [("stale", (), 0), ("pending", (), 10), ("fresh", (7,), 100), ("stale", (7,), 200), ("failed", (7,), 205), ("stale", (7,), 300), ("pending", (), 310)]
     assert got["b"] == [("stale", (), 400)]
+
+
+def test_two_timers_that_are_due_together_come_in_order(spark):
+    """A file whose both timers are overtaken by the watermark at once is pending, then expired."""
+    events = [(1, 0, "a", "change", [1]), (2, 5, "b", "sync", [2]), (3, 500, "c", "error", None)]
+    got = told(run(spark, [events], debounce_ms=10_000, live_ms=60_000))
+    assert got["a"] == [("stale", (), 0), ("pending", (), 10), ("expired", (), 60)]
+    assert got["b"] == [("fresh", (2,), 5), ("expired", (), 65)] and got["c"] == [("failed", (), 500)]
