@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.sources.storage import scratch
+from lumenfold.sources.storage import scratch, stream
 
 EVENTS = "event_id bigint, ts timestamp, file string, kind string"
 
@@ -72,10 +72,8 @@ def debounced(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
 
 
 def streamed(spark: SparkSession, events_path: str, select) -> DataFrame:
-    """Run the states of a folder of files through the stream once and read the table back."""
+    """Run the states of a file or a folder of files through the stream once and read the table back."""
     top = scratch(spark)
-    schema = spark.read.parquet(events_path).schema
-    folder, _, name = events_path.rpartition("/")
-    rows = select(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder))
+    rows = select(stream(spark, events_path))
     stream_states(rows, f"{top}/states", f"{top}/progress").awaitTermination()
     return read_states(spark, f"{top}/states")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.sources.storage import scratch
+from lumenfold.sources.storage import scratch, stream
 
 #: What a change is: change, sync (with the ids of the documents made) or error.
 CHANGES = "event_id bigint, ts timestamp, file string, kind string, content_hash string, doc_ids array<string>"
@@ -142,11 +142,8 @@ def current(moves: DataFrame) -> DataFrame:
 
 
 def replayed(spark: SparkSession, events_path: str, select, files_a_batch: int | None = None, **options) -> DataFrame:
-    """The transitions of a folder of files (`select` makes CHANGES of them), run through the stream once."""
+    """The transitions of a file or a folder of files (`select` makes CHANGES of them), run through the stream once."""
     top = scratch(spark)
-    schema = spark.read.parquet(events_path).schema
-    folder, _, name = events_path.rpartition("/")
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
-    rows = select((reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).parquet(folder))
+    rows = select(stream(spark, events_path, **({} if files_a_batch is None else {"maxFilesPerTrigger": files_a_batch})))
     run(rows, f"{top}/moves", f"{top}/progress", **options).awaitTermination()
     return spark.read.schema(TRANSITIONS).parquet(f"{top}/moves")

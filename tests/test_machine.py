@@ -100,3 +100,24 @@ def test_two_timers_that_are_due_together_come_in_order(spark):
     got = told(run(spark, [events], debounce_ms=10_000, live_ms=60_000))
     assert got["a"] == [("stale", (), 0), ("pending", (), 10), ("expired", (), 60)]
     assert got["b"] == [("fresh", (2,), 5), ("expired", (), 65)] and got["c"] == [("failed", (), 500)]
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+def test_events_may_be_a_file_or_a_folder(spark, tmp_path, parts):
+    """A table that is a folder of parts is read like one that is a file."""
+    import duckdb
+
+    import __spark_entry__
+
+    given = "/root/testdata/sf0.001/events.parquet"
+    if parts is None:
+        (tmp_path / "events.parquet").symlink_to(given)
+    else:
+        spark.read.parquet(given).repartition(parts).write.parquet(f"{tmp_path}/events.parquet")
+    held = duckdb.connect()
+    held.execute(f"CREATE VIEW events AS SELECT * FROM '{given}'")
+    for name in ("stream_machine", "stream_manifest"):
+        got = __spark_entry__.queries()[name](spark, str(tmp_path))
+        want = held.execute(__spark_entry__.oracle_sql()[name])
+        columns = [d[0] for d in want.description]
+        assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
