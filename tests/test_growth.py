@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -107,6 +109,33 @@ def test_equal_lists_meet_once(spark):
     assert len(got) == n + 5
 
 
+def shuffled_rows(spark) -> int:
+    """Rows that all stages so far have written for others."""
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lists_that_share_rare_tokens_are_not_moved_as_pairs(spark, monkeypatch):
+    """Lists of few words, so that most pairs share one of their rarest: no row is shuffled for a pair that isn't alike."""
+    n, rng = 400, random.Random(5)
+    lists = {i: sorted(rng.sample([f"word{w}" for w in range(30)], 10)) for i in range(n)}
+    for i in range(0, n, 40):  # of eleven tokens one more
+        lists[i + 1] = sorted([*lists[i], "another"])
+    docs = spark.createDataFrame(list(lists.items()), "doc_id long, tokens array<string>").localCheckpoint()
+    wanted = {}
+    for q, a in lists.items():
+        scored = sorted((-(o / len(a) + o / len(b)) / 2, d) for d, b in lists.items() if d != q and (o := len(set(a) & set(b))) and (o / len(a) + o / len(b)) / 2 >= 0.85)
+        wanted |= {(q, d): round(-s, 6) for s, d in scored[:3]}
+    told = lambda: {(r["query_id"], r["doc_id"]): round(r["score"], 6) for r in R.resembling(docs.withColumnRenamed("doc_id", "query_id"), docs, 0.85, 3).collect()}
+    before = shuffled_rows(spark)
+    assert told() == wanted and len(wanted) >= 20
+    assert shuffled_rows(spark) - before < 20 * n
+    monkeypatch.setattr(R, "BLOCK", 300)
+    monkeypatch.setattr(R, "LEAST_SHARE", 200)
+    assert told() == wanted  # of many blocks and shares
+
+
 def test_sparse_vectors_meet_in_tasks(spark):
     n = 300
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("red bolt running "), F.col("id") % 7, F.lit("x small"), F.col("id") % 5).alias("text")).unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "none alike")], "doc_id long, text string"))
