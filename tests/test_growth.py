@@ -136,6 +136,20 @@ def test_lists_that_share_rare_tokens_are_not_moved_as_pairs(spark, monkeypatch)
     assert told() == wanted  # of many blocks and shares
 
 
+def test_lists_that_are_much_alike_do_not_move_with_every_pair(spark, monkeypatch):
+    """A group of near copies: pairs are numbers, and a list's tokens move once, not once a pair."""
+    n = 300
+    shared = F.array(*(F.lit(f"word{i}") for i in range(20)))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_append(shared, F.concat(F.lit("own"), F.col("id").cast("string"))).alias("tokens")).localCheckpoint()
+    told = lambda: sorted((r["query_id"], r["doc_id"], round(r["score"], 6)) for r in R.resembling(docs.withColumnRenamed("doc_id", "query_id"), docs, 0.85, 3).collect())
+    wanted = sorted((q, d, round(20 / 21, 6)) for q in range(n) for d in [x for x in range(4) if x != q][:3])
+    before = shuffled_rows(spark)
+    assert told() == wanted
+    assert shuffled_rows(spark) - before < 40 * n
+    monkeypatch.setattr(R, "MOST_HELD", 2000)
+    assert told() == wanted  # of queries in parts
+
+
 def test_sparse_vectors_meet_in_tasks(spark):
     n = 300
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("red bolt running "), F.col("id") % 7, F.lit("x small"), F.col("id") % 5).alias("text")).unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "none alike")], "doc_id long, text string"))
